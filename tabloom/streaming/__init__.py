@@ -1,0 +1,5 @@
+"""Reserved. The capability set has no unbounded source, watermark or stateful operator, so nothing is built here.
+
+Every operator in this package is a batch DataFrame function; the stateless ones (scalars, projections, filters)
+accept streaming DataFrames unchanged.
+"""
