@@ -80,6 +80,13 @@ def join_profile(df: DataFrame) -> DataFrame:
         "uniqueness", F.coalesce(F.try_divide("n_distinct", "n_notnull"), F.lit(0.0)))
 
 
+def _both_traits(left: DataFrame, right: DataFrame) -> tuple[list[Row], list[Row]]:
+    """Traits of both tables from one job; one row per column reaches the driver."""
+    both = column_traits(left).withColumn("side", F.lit("l")).unionAll(column_traits(right).withColumn("side", F.lit("r")))
+    rows = both.collect()
+    return [r for r in rows if r.side == "l"], [r for r in rows if r.side == "r"]
+
+
 def strategies_for(left: Row, right: Row) -> list[str]:
     """Strategies worth trying for a pair of columns, in order of preference."""
     plan = []
@@ -96,7 +103,7 @@ def strategies_for(left: Row, right: Row) -> list[str]:
 
 def candidate_strategies(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(left_col, right_col, position, strategy)`` from the two column profiles."""
-    rows = _strategy_rows(column_traits(left).collect(), column_traits(right).collect())  # schema-sized
+    rows = _strategy_rows(*_both_traits(left, right))
     return left.sparkSession.createDataFrame(rows, "left_col string, right_col string, position int, strategy string")
 
 
@@ -189,7 +196,7 @@ def value_overlap(left: DataFrame, right: DataFrame, left_col: str, right_col: s
 
 def scored_strategies(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every usable pair with every strategy, its overlap, and the traits both columns bring to the score."""
-    l_rows, r_rows = column_traits(left).collect(), column_traits(right).collect()  # one row per column
+    l_rows, r_rows = _both_traits(left, right)
     usable = lambda r: r.null_rate < MAX_NULL_RATE and not r.looks_free_text
     pairs = _strategy_rows([r for r in l_rows if usable(r)], [r for r in r_rows if usable(r)])
     if not pairs:
@@ -198,7 +205,7 @@ def scored_strategies(left: DataFrame, right: DataFrame) -> DataFrame:
     overlaps = pair_overlaps(left, right, pairs)
 
     def traits(rows: Sequence[Row], side: str) -> DataFrame:
-        df = spark.createDataFrame([tuple(r) for r in rows], PROFILE_SCHEMA)
+        df = spark.createDataFrame([tuple(r)[:-1] for r in rows], PROFILE_SCHEMA)
         return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
     score = F.sqrt(F.col("left_overlap") * F.col("right_overlap"))

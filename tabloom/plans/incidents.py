@@ -150,16 +150,19 @@ def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame
 
 def assemble(
     incidents: DataFrame, classifications: Mapping[str, DataFrame] | None = None, entities: Sequence[DataFrame] = (),
-    reports: Sequence[DataFrame] = (), order: Sequence[str] = (),
+    reports: Sequence[DataFrame] = (), entity_order: Sequence[str] = (), report_order: Sequence[str] = (),
 ) -> DataFrame:
-    """The incident table with classification, entity and report columns joined on."""
+    """The incident table with classification, entity and report columns joined on.
+
+    Rows of a table have no order, so names are listed alphabetically unless order columns are given.
+    """
     if incidents.isEmpty():
         raise FileNotFoundError("No incident records found.")
     base = ensure_id(incidents)
     if base is None:
         raise ValueError("the incident table has no id column")
-    return enrich(base, "incident_id", classification_summary(classifications or {}), entity_summary(entities, order),
-                  report_summary(base, report_lookup(reports, order)))
+    return enrich(base, "incident_id", classification_summary(classifications or {}), entity_summary(entities, entity_order),
+                  report_summary(base, report_lookup(reports, report_order)))
 
 
 def normalize(df: DataFrame) -> DataFrame:

@@ -1,0 +1,173 @@
+"""Readers and writers: the given tables are written in a format, read back and compared with themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cleaning as C, joins as J
+from ..session import scratch_path
+from ..sources import catalog as G, jsonshape as Z, readers as R, sinks as S
+from .registry import query
+from .sqltext import union
+
+
+def _written(df, writer, label, **options):
+    path = scratch_path(df.sparkSession, label)
+    writer(df, path, **options)
+    return df.sparkSession, path
+
+
+@query("s01_csv", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def s01(t):
+    return R.read_csv(*_written(t("customer"), S.write_csv, "csv"))
+
+
+@query("s01b_csv_missing_words", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS n, lang FROM documents")
+def s01b(t):
+    df = t("documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN element_at(array('NA', 'n/a', 'null'), CAST(doc_id % 9 / 3 + 1 AS INT)) ELSE CAST(n_chars AS STRING) END").alias("n"), "lang")
+    return R.read_csv(*_written(df, S.write_csv, "csv"))
+
+
+@query("s01c_csv_quoted_text", "SELECT conv_id, turn, role, text FROM conversations")
+def s01c(t):
+    """Texts with commas, quotes and line breaks."""
+    spark, path = _written(t("conversations"), S.write_csv, "csv")
+    return R.read_csv(spark, path, multi_line=True)
+
+
+@query("s02_tsv", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+def s02(t):
+    return R.read_tsv(*_written(t("part"), S.write_csv, "tsv", sep="\t"))
+
+
+@query("s03_parquet", "SELECT * FROM supplier")
+def s03(t):
+    return R.read_parquet(*_written(t("supplier"), S.write_parquet, "parquet"))
+
+
+@query("s04_json_lines", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def s04(t):
+    return R.read_json(*_written(t("nation"), S.write_json, "json"))
+
+
+@query("s04b_json_document", "SELECT c_custkey, c_name FROM customer")
+def s04b(t):
+    """Files that are one indented JSON document each: no single line is a record."""
+    df = t("customer")
+    text = F.concat(F.lit('{\n  "c_custkey": '), F.col("c_custkey").cast("string"), F.lit(',\n  "c_name":\n    "'), "c_name", F.lit('"\n}'))
+    path = scratch_path(df.sparkSession, "json")
+    # files of at most 1000 customers, each file one indented array
+    body = F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]"))
+    chunk = F.floor(F.col("c_custkey") / 1000).alias("chunk")
+    df.groupBy(chunk).agg(body.alias("value")).write.partitionBy("chunk").text(path)
+    return R.read_json(df.sparkSession, path).select("c_custkey", "c_name")
+
+
+_LAYOUT_DOCS = """CASE o_orderkey % 6
+  WHEN 0 THEN '[{"k": ' || o_orderkey || ', "who": {"c": ' || o_custkey || '}}, {"k": ' || (o_orderkey + 1) || ', "tags": [1, "x"]}]'
+  WHEN 1 THEN '[["k", "status"], [' || o_orderkey || ', "' || o_orderstatus || '"]]'
+  WHEN 2 THEN '{"rows": [{"k": ' || o_orderkey || '}], "total": 1}'
+  WHEN 3 THEN '{"a": {"k": ' || o_orderkey || '}, "b": {"k": ' || o_custkey || '}}'
+  WHEN 4 THEN '{"k": ' || o_orderkey || ', "status": "' || o_orderstatus || '"}'
+  ELSE '{"k": ' || o_orderkey || '}' || chr(10) || '{"k": ' || o_custkey || '}' END"""
+
+
+def _layout_docs(t):
+    return t("orders").select(F.col("o_orderkey").alias("doc"), F.expr(_LAYOUT_DOCS).alias("text"))
+
+
+@query("s05_json_layouts", """
+SELECT o_orderkey AS doc, CASE o_orderkey % 6 WHEN 0 THEN 'array_of_objects' WHEN 1 THEN 'array_of_arrays' WHEN 2 THEN 'wrapped_array' WHEN 3 THEN 'object_of_objects'
+  WHEN 4 THEN 'single_object' ELSE 'ndjson' END AS layout, CASE WHEN o_orderkey % 6 IN (0, 3, 5) THEN 2 ELSE 1 END AS root_records FROM orders""")
+def s05(t):
+    return Z.document_layouts(_layout_docs(t)).select("doc", "layout", "root_records")
+
+
+@query("s05b_json_records_flat", union([
+    "SELECT o_orderkey AS doc, 0 AS pos, o_orderkey AS k, CASE WHEN o_orderkey % 6 IN (1, 4) THEN o_orderstatus END AS status, "
+    "CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS who__c, NULL AS tags, CASE WHEN o_orderkey % 6 = 3 THEN 'a' END AS _key FROM orders",
+    "SELECT o_orderkey, 1, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey + 1 ELSE o_custkey END, NULL, NULL, CASE WHEN o_orderkey % 6 = 0 THEN '[1,\"x\"]' END, "
+    "CASE WHEN o_orderkey % 6 = 3 THEN 'b' END FROM orders WHERE o_orderkey % 6 IN (0, 3, 5)"]))
+def s05b(t):
+    return Z.flatten_records(Z.extract_records(_layout_docs(t)))
+
+
+@query("s06_latin1_fallback", "SELECT s_suppkey, 'Café ' || s_name AS label FROM supplier")
+def s06(t):
+    df = t("supplier").select("s_suppkey", F.concat(F.lit("Café "), "s_name").alias("label"))
+    path = scratch_path(df.sparkSession, "latin1")
+    df.write.csv(path, header=True, encoding="ISO-8859-1")
+    return R.read_csv(df.sparkSession, path)
+
+
+@query("s07_narrow_types", union([
+    f"SELECT '{c}' AS \"column\", CASE WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS type, "
+    f"CAST(min({c}) AS BIGINT) AS lo, CAST(max({c}) AS BIGINT) AS hi FROM {t}" for c, t in (
+        ("l_orderkey", "lineitem"), ("l_partkey", "lineitem"), ("l_suppkey", "lineitem"), ("l_linenumber", "lineitem"))]))
+def s07(t):
+    df = R.narrow_types(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    kinds = df.dtypes
+    one = df.agg(*[e for c, _ in kinds for e in (F.min(c).cast("bigint").alias(f"lo_{c}"), F.max(c).cast("bigint").alias(f"hi_{c}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("type"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi")) for c, k in kinds])))
+
+
+@query("s09_load_report", "SELECT count(*) AS row_count, 6 AS col_count FROM orders")
+def s09(t):
+    spark, path = _written(t("orders"), S.write_csv, "csv")
+    df, report = R.load(spark, path, "csv")
+    return R.load_report(R.check_loaded(df)).where(F.lit(report.row_count) == F.col("row_count"))
+
+
+@query("s10_scan_tables", """
+SELECT 'customer' AS source, CAST(count(*) AS BIGINT) AS rows, 5 AS columns, 'loaded' AS status FROM customer
+UNION ALL SELECT 'nation', count(*), 3, 'loaded' FROM nation UNION ALL SELECT 'supplier', count(*), 4, 'loaded' FROM supplier""")
+def s10(t):
+    spark = t("nation").sparkSession
+    root = scratch_path(spark, "tables")
+    S.write_csv(t("customer").coalesce(1), f"{root}/customer")
+    S.write_csv(t("supplier").coalesce(1), f"{root}/supplier")
+    S.write_json(t("nation").coalesce(1), f"{root}/nation")
+    _, catalog = G.scan_tables(spark, root)
+    return catalog.select(F.regexp_extract("path", "^([a-z]+)/", 1).alias("source"), "rows", "columns", "status")
+
+
+@query("s14_csv_export", "SELECT source_table, source_column, target_table, matched_values FROM (SELECT 'nation' AS source_table, 'n_regionkey' AS source_column, 'region' AS target_table, count(DISTINCT n_regionkey) AS matched_values FROM nation)")
+def s14(t):
+    from ..operators.discovery import infer_relationships
+
+    edges = infer_relationships({"nation": t("nation").select("n_regionkey", "n_name"), "region": t("region")}, ["r_regionkey"])
+    spark, path = _written(edges, S.write_csv, "edges")
+    return R.read_csv(spark, path).select("source_table", "source_column", "target_table", "matched_values")
+
+
+@query("s15_log_sink", """
+SELECT DISTINCT 'SchemaAnalyzer' AS step_name, 'role_assignment' AS action, 'info' AS severity, CAST(2 * 6 AS BIGINT) AS entries FROM orders
+UNION ALL SELECT DISTINCT 'ColumnNormalizer', 'rename_column', 'info', 2 FROM orders""")
+def s15(t):
+    df = t("orders").withColumnRenamed("o_orderkey", "Order Key")
+    path = scratch_path(df.sparkSession, "log")
+    for _ in range(2):  # two runs append to one log
+        result = C.clean(df, steps=(C.normalize_columns, C.infer_roles))
+        S.append_log(result.log_frame(), path)
+    return df.sparkSession.read.parquet(path).groupBy("step_name", "action", "severity").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("s16_merge_history", """
+SELECT 'c_custkey' AS left_col, 'o_custkey' AS right_col, 'numeric' AS strategy, 'inner' AS join_type, count(*) AS merged_rows, count(*) AS matched_rows, CAST(0 AS BIGINT) AS left_only_rows,
+  CAST(0 AS BIGINT) AS right_only_rows, 1 AS warnings FROM customer JOIN orders ON c_custkey = o_custkey""")
+def s16(t):
+    l, r = t("customer"), t("orders")
+    args = ("c_custkey", "o_custkey", "numeric", "inner")
+    record = S.merge_record(J.match_stats(l, r, *args), *args, J.join_warnings(l, r, *args))
+    path = scratch_path(l.sparkSession, "history")
+    S.append_merge(record, path)
+    page = S.history_page(l.sparkSession.read.parquet(path))
+    return page.drop("created_at").withColumn("warnings", F.size("warnings"))
+
+
+@query("s17_to_storable", """
+SELECT c_custkey, '{"n":' || c_nationkey || ',"s":"' || c_mktsegment || '"}' AS nested, '["' || c_name || '"]' AS list, c_name AS blob FROM customer""")
+def s17(t):
+    df = t("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s")).alias("nested"),
+                              F.array("c_name").alias("list"), F.encode("c_name", "UTF-8").alias("blob"))
+    return S.to_storable(df)
