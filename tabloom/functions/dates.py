@@ -26,6 +26,8 @@ _COMPACT = rf"^{_YEAR}(\d\d)(\d\d)$"
 _DAY_NAME = rf"^(\d{{1,2}})\s+([A-Za-z]{{3,9}})\s+{_YEAR}$"
 _NAME_DAY = rf"^([A-Za-z]{{3,9}})\s+(\d{{1,2}})\s+{_YEAR}$"
 _FREE = rf"^{_YEAR}(-\d{{1,2}}(-\d{{1,2}}([ T].*)?)?)?$"
+# one test that turns most other text away before the single shapes are tried
+_ANY_SHAPE = r"^(\d{4}([-/]\d.*)?|\d{8}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|[A-Za-z]{3,9}\s+\d{1,2}\s+\d{4})$"
 _MONTH_NUMBERS = ",".join(
     f"{name}:{number}" for number, month in enumerate(MONTHS, 1) for name in dict.fromkeys([month, month[:3]]))
 
@@ -44,7 +46,8 @@ def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
         return F.replace(F.regexp_replace(s, pattern, form), F.lit("M"), number).try_cast("date")
 
     return (
-        F.when(s.rlike(_YEAR_FIRST), iso(_YEAR_FIRST, "$1-$3-$4"))
+        F.when(~s.rlike(_ANY_SHAPE), F.lit(None).cast("date"))
+        .when(s.rlike(_YEAR_FIRST), iso(_YEAR_FIRST, "$1-$3-$4"))
         .when(s.rlike(_YEAR_LAST), F.coalesce(iso(_YEAR_LAST, "$4-$3-$1"), iso(_YEAR_LAST, "$4-$1-$3")))
         .when(s.rlike(_COMPACT), iso(_COMPACT, "$1-$2-$3"))
         .when(s.rlike(_DAY_NAME), named(_DAY_NAME, 2, "$3-M-$1"))

@@ -21,9 +21,14 @@ def _from_text(text: Column, strategy: str) -> Column:
     if strategy == CASEFOLD:
         return _blank_to_null(F.lower(squeeze(fold_ascii(text))))
     if strategy == NUMERIC:
-        number = to_number(F.regexp_replace(text, ",", ""))
+        plain = F.replace(text, F.lit(","), F.lit(""))
+        number = to_number(plain)
         whole = (number == F.rint(number)) & (F.abs(number) < 1e37)
-        return F.when(whole, number.try_cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+        # up to 15 digits a double holds the same integer, so plain integers need no floating point
+        return (
+            F.when(plain.rlike(r"^[+-]?\d{1,15}$"), plain.try_cast("bigint").cast("string"))
+            .when(whole, number.try_cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+        )
     if strategy == DATE:
         return F.date_format(parse_date(text), "yyyy-MM-dd")
     if strategy == ID_STRIP:

@@ -81,7 +81,7 @@ def squeeze(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of ASCII white space, not only blanks."""
-    return F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))
 
 
 def value_text(c: Column, dtype: T.DataType) -> Column:
@@ -181,8 +181,16 @@ def tokens(c: Column) -> Column:
 
 
 def clean_tokens(c: Column) -> Column:
-    """Tokens without placeholder words."""
-    return F.filter(F.transform(tokens(c), strip), lambda x: ~F.lower(x).isin(PLACEHOLDERS))
+    """Tokens without placeholder words. Text that cannot be a list literal, the common case, is one token."""
+    def real(x: Column) -> Column:
+        return ~F.lower(x).isin(PLACEHOLDERS)
+
+    plain = F.filter(F.array(strip(c)), real)
+    listed = F.filter(F.transform(tokens(c), strip), real)
+    return (
+        F.when(c.isNull(), F.array().cast("array<string>"))
+        .when(c.rlike(r"^[\s\x1c-\x1f]*[\[(]"), listed).otherwise(plain)
+    )
 
 
 def first_clean(c: Column) -> Column:

@@ -257,26 +257,47 @@ def peak(counts: DataFrame, x: str, count: str = "count") -> DataFrame:
 
 def join_unique_many(
     df: DataFrame, keys: Sequence[str], values: Mapping[str, str], order: Sequence[Column | str] = (),
+    firsts: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for several fields at once.
 
-    ``values`` maps result names to source columns. Tokens are de-duplicated by a combining aggregate first, so a key with
-    a third of all rows only ever brings its distinct tokens to one place, which is what the result text itself holds.
+    ``values`` maps result names to source columns; ``firsts`` names results that keep the first token only. Tokens are
+    de-duplicated by a combining aggregate first, so a key with a third of all rows only ever brings its distinct tokens to
+    one place, which is what the result text itself holds. A single whole-number order column keeps that aggregate a hash
+    aggregate (its buffer is one decimal); other orders work too, through a sort.
     """
-    at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]) if order else F.struct(F.lit(0).alias("z"))
     key_cols = [col(k) for k in keys]
-    fields = F.array(*[
-        F.struct(F.lit(name).alias("f"), clean_tokens(col(source).cast("string")).alias("tokens")) for name, source in values.items()])
-    spread = df.select(*key_cols, at.alias("_at"), F.explode(fields).alias("_v")).select(
-        *key_cols, "_at", F.col("_v.f").alias("_f"), F.posexplode_outer("_v.tokens").alias("_i", "_token"))
-    first = spread.groupBy(*key_cols, "_f", "_token").agg(F.min(F.struct("_at", "_i")).alias("_first"))
+    firsts = dict(firsts or {})
+    sources = list(dict.fromkeys([*values.values(), *firsts.values()]))
+    at = [F.col(o) if isinstance(o, str) else o for o in order]
+    whole = not at or (len(at) == 1 and isinstance(df.select(at[0]).schema[0].dataType, T.IntegralType))
+    def placed(j: int, c: str) -> Column:
+        item = lambda x, i: F.struct(F.lit(j).alias("_f"), i.alias("_i"), x.alias("_token"))
+        return F.transform(clean_tokens(col(c).cast("string")), item)
+
+    cells = [placed(j, c) for j, c in enumerate(sources)]
+    # one row without a token keeps keys that have none
+    bare = F.array(F.struct(F.lit(-1).alias("_f"), F.lit(0).alias("_i"), F.lit(None).cast("string").alias("_token")))
+    if whole:
+        place = (at[0] if at else F.lit(0)).cast("decimal(38,0)")
+        spread = df.select(*key_cols, place.alias("_at"), F.inline(F.concat(bare, *cells)))
+        rank = (F.coalesce("_at", F.lit(-1)) * 2147483648 + F.col("_i")).cast("decimal(38,0)")
+    else:
+        spread = df.select(*key_cols, F.struct(*at).alias("_at"), F.inline(F.concat(bare, *cells)))
+        rank = F.struct("_at", "_i")
+    first = spread.groupBy(*key_cols, "_f", "_token").agg(F.min(rank).alias("_first"))
+
+    def mine(source: str) -> Column:
+        return F.col("_f") == sources.index(source)
 
     def text(name: str) -> Column:
-        mine = (F.col("_f") == name) & F.col("_token").isNotNull()
-        gathered = F.array_sort(F.collect_list(F.when(mine, F.struct("_first", "_token"))))
+        gathered = F.array_sort(F.collect_list(F.when(mine(values[name]), F.struct("_first", "_token"))))
         return F.nullif(F.array_join(F.transform(gathered, lambda s: s["_token"]), ", "), F.lit("")).alias(name)
 
-    return first.groupBy(*key_cols).agg(*[text(n) for n in values])
+    def lead(name: str) -> Column:
+        return F.min(F.when(mine(firsts[name]), F.struct("_first", "_token")))["_token"].alias(name)
+
+    return first.groupBy(*key_cols).agg(*[text(n) for n in values], *[lead(n) for n in firsts])
 
 
 def join_unique(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column | str] = (), name: str | None = None) -> DataFrame:

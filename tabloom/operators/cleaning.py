@@ -16,7 +16,7 @@ from ..functions.names import clean_column_names
 from ..functions.text import EMPTY_WORDS, FALSE_WORDS, TRUE_WORDS, strip, to_boolean, to_number
 from ..sources.sinks import log_frame
 from .aggregates import distinct_counts, duplicate_rows, modes, null_counts
-from .profile import fence_outliers
+from .profile import number_figures
 from .quantiles import column_quantiles
 from .rows import domain_anomalies
 from .shape import MOMENT, NESTED, col, field_types, melt_numbers, numeric_columns
@@ -262,20 +262,15 @@ def outlier_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Columns that look normal are judged by z-score with the population deviation, all others by quartile fences.
     """
-    long = melt_numbers(df, columns)
+    figures = number_figures(df, columns)
     n = F.col("n").cast("double")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-        F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"))
-    p = F.when((F.col("n") >= NORMALITY_MIN_ROWS) & (F.col("sd") > 0), normality_p(n, F.col("g1"), F.col("g2") + 3))
-    normal = F.coalesce(p > NORMAL_P, F.lit(False))
-    moments = moments.select(F.col("column"), "n", "mean", "sd", normal.alias("normal"))
+    p = F.when((n >= NORMALITY_MIN_ROWS) & (F.col("sd_pop") > 0), normality_p(n, F.col("g1"), F.col("g2") + 3))
+    moments = figures.withColumn("normal", F.coalesce(p > NORMAL_P, F.lit(False))).where(n >= OUTLIER_MIN_ROWS)
     # one row per column of the schema
-    z = long.join(F.broadcast(moments), "column").groupBy("column", "n", "normal").agg(
-        F.count_if(F.col("normal") & (F.abs((F.col("value") - F.col("mean")) / F.col("sd")) > Z_LIMIT)).alias("z_count"))
-    fences = fence_outliers(df, columns).select("column", F.col("outlier_count").alias("iqr_count"))
-    out = z.join(fences, "column").where(F.col("n") >= OUTLIER_MIN_ROWS)
-    count = F.when(F.col("normal"), F.col("z_count")).otherwise(F.col("iqr_count"))
+    z = melt_numbers(df, columns).join(F.broadcast(moments.where("normal").select("column", "mean", "sd_pop")), "column").groupBy("column").agg(
+        F.count_if(F.abs((F.col("value") - F.col("mean")) / F.col("sd_pop")) > Z_LIMIT).alias("z_count"))
+    out = moments.join(z, "column", "left")
+    count = F.when(F.col("normal"), F.coalesce("z_count", F.lit(0))).otherwise(F.col("outlier_count"))
     return out.select("column", "n", F.when(F.col("normal"), "Z-Score").otherwise("IQR").alias("method"),
                       count.alias("outlier_count"), F.round(count / F.col("n"), 4).alias("outlier_pct"))
 

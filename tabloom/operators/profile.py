@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .aggregates import distinct_counts, high_correlations, null_counts, numeric_moments
-from .quantiles import column_quantiles
-from .shape import MOMENT, field_types, melt_numbers, numeric_columns, value_table
+from .aggregates import high_correlations
+from .quantiles import bracketed_quantiles, distinct_is_small
+from .shape import MOMENT, col, field_types, melt_numbers, table_number, typed_value_table, value_table
 from .windows import top_per_group
 
 
@@ -32,53 +32,96 @@ def column_catalog(df: DataFrame, roles: Mapping[str, str] | None = None) -> Dat
     return df.sparkSession.createDataFrame(rows, "column string, position int, dtype string, kind string, role string")
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _first_pass(df: DataFrame, columns: Sequence[str], values: DataFrame) -> DataFrame:
+    """Per column place: rows, present rows, distinct values, and for numbers count, ends, mean and quartiles."""
+    types = field_types(df)
+    x, n = table_number(), F.col("n")
+    present = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull()
+    numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
+    small = distinct_is_small(df.select(*[col(c) for c in numbers]), numbers) if numbers else True
+    quartiles = F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES]), n) if small else F.lit(None).cast("array<double>")
+    first = values.groupBy("c").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(present, n).otherwise(0)).alias("present"), F.count_if(present).alias("n_distinct"),
+        F.sum(F.when(x.isNotNull(), n)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"), quartiles.alias("q"),
+    )
+    if small:
+        return first
+    place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
+    selected = bracketed_quantiles(melt_numbers(df, numbers), "column", "value", QUARTILES).groupBy("column").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("prob", "quantile"))), lambda s: s["quantile"]).alias("q"))
+    return first.drop("q").join(selected.select(F.element_at(place, F.col("column")).alias("c"), "q"), "c", "left")
+
+
+def _figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
+    """All figures of a profile, keyed by column place; two small aggregates over one value table."""
+    values = typed_value_table(df, columns)
+    first = _first_pass(df, columns, values)
+    x, n = table_number(), F.col("n")
+    # one row per column of the schema
+    joined = values.join(F.broadcast(first.select(F.col("c"), F.col("mean").alias("mu"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))), "c")
+    off, reach = x - F.col("mu"), factor * (F.col("q3") - F.col("q1"))
+    outside = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
+    second = joined.groupBy("c").agg(
+        *[F.sum(n * F.pow(off, F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)],
+        F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outlier_count"))
+    both = first.join(second, "c")
+    size = F.col("n").cast("double")
+    var = F.col("m2") / size
+    g1 = F.when(var > 0, F.col("m3") / size / F.pow(var, F.lit(1.5))).otherwise(0.0)
+    g2 = F.when(var > 0, F.col("m4") / size / (var * var) - 3)
+    kurtosis = F.when(g2.isNull(), 0.0).otherwise((size - 1) / ((size - 2) * (size - 3)) * ((size + 1) * g2 + 6))
+    return both.select(
+        "c", "rows", "present", "n_distinct", "n", "min", "max", "mean", F.get("q", F.lit(1)).alias("median"),
+        F.when(size > 1, F.sqrt(F.col("m2") / (size - 1))).alias("std"), F.sqrt(var).alias("sd_pop"), g1.alias("g1"),
+        F.coalesce(g2, F.lit(0.0)).alias("g2"), F.when(size >= 3, g1 * F.sqrt(size * (size - 1)) / (size - 2)).alias("skewness"),
+        F.when(size >= 4, kurtosis).alias("kurtosis"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"), "outlier_count")
+
+
 def fence_outliers(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
     """``(column, n, q1, median, q3, outlier_count)`` with strict fences at ``factor`` interquartile ranges."""
-    quantiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
-    ends = quantiles.groupBy("column").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"),
-    )
-    reach = factor * (F.col("q3") - F.col("q1"))
-    outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
-    # ends has one row per column of the schema
-    return melt_numbers(df, columns).join(F.broadcast(ends), "column").groupBy("column", "q1", "median", "q3").agg(
-        F.count("value").alias("n"), F.count_if(outside).alias("outlier_count"))
+    figures = _figures(df, columns, factor)
+    return _named(figures, columns).select("column", "n", "q1", "median", "q3", "outlier_count")
+
+
+def _named(figures: DataFrame, columns: Sequence[str]) -> DataFrame:
+    names = figures.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    return names.join(figures, "c").drop("c")
+
+
+def number_figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
+    """Counts, moments (sample and population), quartiles and fence outliers of numeric columns."""
+    return _named(_figures(df, columns, factor), columns)
 
 
 def column_profile(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
     """Per column: nulls, distinct values, moments, quartiles, outliers and a distribution label."""
-    catalog = column_catalog(df, roles)
-    base = catalog.join(null_counts(df), "column").join(distinct_counts(df), "column", "left")
-    numbers = numeric_columns(df)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    base = base.withColumn("unique_count", F.coalesce("n_distinct", F.lit(0))).withColumn(
-        "unique_pct", F.coalesce(F.try_divide(F.col("unique_count"), total), F.lit(0.0))).drop("n_distinct")
-    if numbers:
-        figures = numeric_moments(df, numbers).join(fence_outliers(df, numbers).drop("n"), "column", "left")
-    else:
-        figures = df.sparkSession.createDataFrame([], (
-            "column string, n bigint, min double, max double, mean double, std double, skewness double, kurtosis double, "
-            "q1 double, median double, q3 double, outlier_count bigint"))
-    full = base.join(figures, "column", "left")
-    enough = (F.col("kind") == "number") & (F.col("n") > 10)
-    outliers = F.when(enough, F.col("outlier_count")).otherwise(F.lit(0))
+    full = column_catalog(df, roles).join(_figures(df, df.columns), F.col("position") == F.col("c"), "left")
+    total = F.coalesce("rows", F.lit(0))
+    missing = total - F.coalesce("present", F.lit(0))
+    unique = F.coalesce("n_distinct", F.lit(0))
+    number = F.col("kind") == "number"
+    enough = number & (F.col("n") > 10)
     share = F.when(enough, F.col("outlier_count") / F.col("n")).otherwise(F.lit(0.0))
     label = (
         F.when(F.col("kind") == "boolean", "categorical")
         .when((F.col("kind") == "text") & (F.col("role") == "text_col"), "text")
         .when(F.col("kind") == "text", "categorical")
-        .when((F.col("kind") != "number") | (F.coalesce("n", F.lit(0)) == 0), "unknown")
+        .when(~number | (F.coalesce("n", F.lit(0)) == 0), "unknown")
         .when(F.col("skewness") > 1, "right_skewed")
         .when(F.col("skewness") < -1, "left_skewed")
-        .when(F.col("unique_count") < 10, "categorical")
+        .when(unique < 10, "categorical")
         .otherwise("normal")
     )
     return full.select(
-        "column", "position", "dtype", "kind", "role", "null_count", "null_pct", "unique_count", "unique_pct",
-        label.alias("distribution_type"), outliers.alias("outlier_count"), share.alias("outlier_pct"),
-        "n", "min", "max", "mean", "median", "std", "skewness", "kurtosis", "q1", "q3",
+        "column", "position", "dtype", "kind", "role", missing.alias("null_count"),
+        F.coalesce(F.try_divide(missing, total), F.lit(0.0)).alias("null_pct"), unique.alias("unique_count"),
+        F.coalesce(F.try_divide(unique, total), F.lit(0.0)).alias("unique_pct"), label.alias("distribution_type"),
+        F.when(enough, F.col("outlier_count")).otherwise(F.lit(0)).alias("outlier_count"), share.alias("outlier_pct"),
+        *[F.when(number, F.col(c)).alias(c) for c in ("n", "min", "max", "mean", "median", "std", "skewness", "kurtosis", "q1", "q3")],
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .shape import melt_numbers
+from .shape import col, melt_numbers
 
 DISTINCT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -71,8 +71,15 @@ def bracketed_quantiles(
 
 
 def distinct_is_small(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT_LIMIT) -> bool:
-    """Whether each column has few enough distinct values for a per-group value map (one sketch pass)."""
-    sketch = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    """Whether each column surely has few enough distinct values for a value map in one task.
+
+    Few rows settle it; otherwise one sketch pass does.
+    """
+    if limit <= 0:
+        return False
+    if df.limit(limit + 1).count() <= limit:
+        return True
+    sketch = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     return max(sketch) <= limit * 0.9
 
 
@@ -81,20 +88,21 @@ def column_quantiles(
 ) -> DataFrame:
     """``(column, prob, quantile)`` of numeric columns."""
     rows = melt_numbers(df, columns)
-    if distinct_is_small(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]),
-                         [f"c{i}" for i in range(len(columns))], distinct_limit):
-        wide = rows.groupBy("column").agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-        named = F.array(*[
-            F.struct(F.lit(float(p)).alias("prob"), F.get("q", F.lit(i)).alias("quantile")) for i, p in enumerate(probs)
-        ])
-        return wide.select("column", F.inline(named))
-    return bracketed_quantiles(rows, "column", "value", probs)
+    if not distinct_is_small(df, columns, distinct_limit):
+        return bracketed_quantiles(rows, "column", "value", probs)
+    # equal values collapse before the shuffle; the map then holds each distinct value once, with its count
+    counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.groupBy("column").agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"))
+    named = F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.get("q", F.lit(i)).alias("quantile")) for i, p in enumerate(probs)])
+    return wide.select("column", F.inline(named))
 
 
 def grouped_median(df: DataFrame, key: str, value: str, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
     """``(key, median)`` of a numeric column; a group without numbers keeps a null median."""
     if distinct_is_small(df, [value], distinct_limit):
-        return df.groupBy(key).agg(F.percentile(value, 0.5).alias("median"))
+        counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.groupBy(key).agg(F.percentile(value, 0.5, F.col("_n")).alias("median"))
     medians = bracketed_quantiles(df, key, value, [0.5]).select(F.col(key).alias("_k"), F.col("quantile").alias("median"))
     keys = df.select(key).distinct()
     return keys.join(medians, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")

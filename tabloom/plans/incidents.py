@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.dates import month_of, parse_timestamp, year_of
 from ..functions.names import find_table, find_tables_by_prefix, pick_column, rename_incident
 from ..functions.text import drop_zero_tail, first_clean, parse_list, value_text
-from ..operators.aggregates import first_by_priority, join_unique_many, latest_date
+from ..operators.aggregates import join_unique_many, latest_date
 from ..operators.joins import enrich, list_key_lookup
 from ..operators.rows import coalesce_headers, union_ragged, with_aliases
 from ..operators.shape import col, field_types
@@ -78,17 +78,16 @@ def classification_rows(df: DataFrame, source: str) -> DataFrame | None:
 
 def classification_summary(files: Mapping[str, DataFrame]) -> DataFrame | None:
     """Per incident: first value by file priority for each field, and all distinct values of four fields."""
-    parts = [p for p in (classification_rows(df, name) for name, df in files.items()) if p is not None]
+    # files in order of priority; the place in that order stands for (priority, name) from here on
+    ordered = sorted(files, key=lambda name: (source_priority(name), name))
+    parts = [p.withColumn("_place", F.lit(i)) for i, name in enumerate(ordered) if (p := classification_rows(files[name], name)) is not None]
     if not parts:
         return None
     rows = union_ragged(*parts).where(F.col("incident_id").isNotNull())
-    priority = (F.col("classification_priority"), F.col("classification_source"))
-    firsts = rows.groupBy("incident_id").agg(*[first_by_priority(F.col(f), *priority).alias(f) for f in CLASSIFICATION_FIELDS])
-    lists = join_unique_many(
-        rows, ["incident_id"], {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS}},
-        ["classification_priority", "classification_source"])
-    return lists.join(firsts, "incident_id").select(
-        "incident_id", "classification_sources", *CLASSIFICATION_FIELDS, *[f"{f}_all" for f in LISTED_FIELDS])
+    out = join_unique_many(
+        rows, ["incident_id"], {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS}}, ["_place"],
+        firsts={f: f for f in CLASSIFICATION_FIELDS})
+    return out.select("incident_id", "classification_sources", *CLASSIFICATION_FIELDS, *[f"{f}_all" for f in LISTED_FIELDS])
 
 
 def entity_summary(files: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame | None:

@@ -55,14 +55,14 @@ def a05c(t):
     return A.grouped_metric(t("lineitem"), "l_returnflag", "l_extendedprice", "median").withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
-@query("a05d_grouped_median_by_selection", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM lineitem GROUP BY 1")
+@query("a05d_grouped_median_by_selection", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM lineitem GROUP BY 1", spread=True)
 def a05d(t):
     """The plan for groups too large for a value map: bracket by sketch, then count inside the bracket."""
     return Q.grouped_median(t("lineitem"), "l_suppkey", "l_extendedprice", distinct_limit=0).withColumn("median", F.round("median", 6))
 
 
 @query("a06_distinct_counts", union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in (
-    "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")]))
+    "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")]), spread=True)
 def a06(t):
     return A.distinct_counts(t("lineitem"), ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"])
 
@@ -73,11 +73,11 @@ def a06b(t):
 
 
 @query("a07_numeric_moments", union([
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS std, "
-    f"round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM lineitem" for c in _NUMBERS]))
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min, max({c}) AS max, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 4) AS std, "
+    f"round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM lineitem" for c in _NUMBERS]), spread=True)
 def a07(t):
     m = A.numeric_moments(t("lineitem"), _NUMBERS)
-    return m.select("column", "n", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"),
+    return m.select("column", "n", "min", "max", F.round("mean", 7).alias("mean"), F.round("std", 4).alias("std"),
                     F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"))
 
 
@@ -95,7 +95,7 @@ def a08(t):
 
 
 @query("a08b_quantiles_by_selection", union([
-    f"SELECT '{c}' AS \"column\", {p} AS prob, round(quantile_cont({c}, {p}), 6) AS quantile FROM lineitem" for c in _NUMBERS for p in (0.25, 0.5, 0.75)]))
+    f"SELECT '{c}' AS \"column\", {p} AS prob, round(quantile_cont({c}, {p}), 6) AS quantile FROM lineitem" for c in _NUMBERS for p in (0.25, 0.5, 0.75)]), spread=True)
 def a08b(t):
     q = Q.bracketed_quantiles(melt_numbers(t("lineitem"), _NUMBERS), "column", "value", [0.25, 0.5, 0.75])
     return q.withColumn("quantile", F.round("quantile", 6))
@@ -210,7 +210,7 @@ def _profile_sql(table: str, numbers: list[str], texts: list[str]) -> str:
     return union(parts)
 
 
-@query("a20_potential_targets", union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM lineitem" for c in ("l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]))
+@query("a20_potential_targets", union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM lineitem" for c in ("l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]), spread=True)
 def a20(t):
     return P.potential_targets(P.column_profile(t("lineitem"), {"l_orderkey": "id_col"}))
 
@@ -219,19 +219,19 @@ def a20(t):
 WITH q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(v) AS n FROM (SELECT CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events)),
 o AS (SELECT count(*) AS n FROM events, q WHERE event_id % 17 <> 0 AND (value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)))
 SELECT round(greatest(0.0, 100 - 50 * ((SELECT count(*) FILTER (event_id % 10 = 0) + count(*) FILTER (event_id % 17 = 0) + count(*) FILTER (event_id % 3 = 0) FROM events) / (SELECT count(*) FROM events))
-  - least(10.0, 100 * (SELECT n FROM o) / (SELECT n FROM q))), 1) AS quality_score""")
+  - least(10.0, 100 * (SELECT n FROM o) / (SELECT n FROM q))), 1) AS quality_score""", spread=True)
 def a21(t):
     return P.quality_score(P.column_profile(holes(t)))
 
 
-@query("a22_column_profile", _profile_sql("part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]))
+@query("a22_column_profile", _profile_sql("part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]), spread=True)
 def a22(t):
     p = P.column_profile(t("part"))
     return p.select("column", "null_pct", "unique_count", "distribution_type", "outlier_count", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
 @query("a22b_dataset_summary", """
-SELECT count(*) AS rows, CAST(6 AS BIGINT) AS cols, 100.0 AS quality_score, false AS time_series_detected, 'p_type' AS potential_target_columns FROM part""")
+SELECT count(*) AS rows, CAST(6 AS BIGINT) AS cols, 100.0 AS quality_score, false AS time_series_detected, 'p_type' AS potential_target_columns FROM part""", spread=True)
 def a22b(t):
     return P.dataset_summary(t("part"), {"p_brand": "id_col", "p_name": "id_col", "p_size": "id_col"}).select(
         "rows", "cols", "quality_score", "time_series_detected", "potential_target_columns")
@@ -258,7 +258,7 @@ def a25(t):
 @query("a26_join_unique", """
 SELECT l_orderkey, string_agg(l_returnflag, ', ' ORDER BY first_line, l_returnflag) AS flags
 FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first_line FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2) GROUP BY 1
-UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'N')""")
+UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'N')""", spread=True)
 def a26(t):
     # line numbers repeat within an order, so the flag itself is the second order key
     df = t("lineitem").select("l_orderkey", "l_linenumber", F.expr("CASE WHEN l_returnflag = 'N' THEN 'n/a' ELSE l_returnflag END").alias("f"))
@@ -314,7 +314,7 @@ def a32(t):
 @query("a33_categorical_bars", """
 SELECT "column", value, n FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS r FROM (
   SELECT 'l_returnflag' AS "column", l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2
-  UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2)) WHERE r <= 10""")
+  UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2)) WHERE r <= 10""", spread=True)
 def a33(t):
     df = t("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice")
     return P.categorical_bars(df).drop("rank")

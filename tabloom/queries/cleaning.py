@@ -23,7 +23,7 @@ WITH n AS (SELECT count(*) AS rows FROM documents)
 SELECT 'doc_id' AS "column", 'id_col' AS role FROM n
 UNION ALL SELECT 'text', CASE WHEN count(DISTINCT text) / count(*) > 0.95 THEN 'feature_col' WHEN avg(length(text)) > 50 THEN 'text_col' ELSE 'feature_col' END FROM documents
 UNION ALL SELECT 'lang', 'feature_col' FROM n UNION ALL SELECT 'source', 'feature_col' FROM n
-UNION ALL SELECT 'n_chars', CASE WHEN count(DISTINCT n_chars) / count(*) > 0.95 THEN 'id_col' ELSE 'feature_col' END FROM documents""")
+UNION ALL SELECT 'n_chars', CASE WHEN count(DISTINCT n_chars) / count(*) > 0.95 THEN 'id_col' ELSE 'feature_col' END FROM documents""", spread=True)
 def c02(t):
     df = t("documents")
     result = C.infer_roles(df, C.Context())
@@ -66,7 +66,7 @@ WITH h AS (SELECT event_id, ts, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event
 f AS (SELECT quantile_cont(value, 0.5) AS value, (SELECT event_type FROM h WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS event_type FROM h)
 SELECT h.event_id, coalesce(h.event_type, f.event_type) AS event_type, round(coalesce(h.value, f.value), 6) AS value, h.user_id,
   strftime(last_value(seen IGNORE NULLS) OVER (ORDER BY h.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '%Y-%m-%d %H:%M:%S') AS seen,
-  CASE WHEN h.event_type IS NULL THEN 1 ELSE 0 END AS event_type_was_missing, CASE WHEN h.value IS NULL THEN 1 ELSE 0 END AS value_was_missing FROM h, f""")
+  CASE WHEN h.event_type IS NULL THEN 1 ELSE 0 END AS event_type_was_missing, CASE WHEN h.value IS NULL THEN 1 ELSE 0 END AS value_was_missing FROM h, f""", spread=True)
 def c04(t):
     """More than 30 % of user_id is missing, so that column is left alone."""
     df = holes(t).join(t("events").select(F.col("event_id").alias("_e"), F.expr("CASE WHEN event_id % 30 = 0 THEN NULL ELSE ts END").alias("seen")), F.col("event_id") == F.col("_e")).drop("_e")
@@ -81,7 +81,7 @@ def c05(t):
 
 
 @query("c06_outliers", f"""
-SELECT "column", 'IQR' AS method, outlier_count, round(outlier_count / (SELECT count(*) FROM events), 4) AS outlier_pct FROM ({_fence_sql('events', ['value', 'user_id'])})""")
+SELECT "column", 'IQR' AS method, outlier_count, round(outlier_count / (SELECT count(*) FROM events), 4) AS outlier_pct FROM ({_fence_sql('events', ['value', 'user_id'])})""", spread=True)
 def c06(t):
     return C.outlier_figures(t("events"), ["value", "user_id"]).select("column", "method", "outlier_count", "outlier_pct")
 
@@ -118,7 +118,7 @@ def c08(t):
 @query("c09_clean_all", f"""
 WITH h AS ({_EVENTS_WITH_HOLES}), f AS (SELECT quantile_cont(value, 0.5) AS value, (SELECT event_type FROM h WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS event_type FROM h)
 SELECT h.event_id, coalesce(h.event_type, f.event_type) AS event_type, round(coalesce(h.value, f.value), 6) AS value_x, h.user_id,
-  CASE WHEN h.event_type IS NULL THEN 1 ELSE 0 END AS event_type_was_missing, CASE WHEN h.value IS NULL THEN 1 ELSE 0 END AS value_x_was_missing FROM h, f""")
+  CASE WHEN h.event_type IS NULL THEN 1 ELSE 0 END AS event_type_was_missing, CASE WHEN h.value IS NULL THEN 1 ELSE 0 END AS value_x_was_missing FROM h, f""", spread=True)
 def c09(t):
     df = holes(t).withColumnRenamed("value", "Value X")
     return C.clean(df, C.Context(order_by=("event_id",))).df.withColumn("value_x", F.round("value_x", 6))
@@ -129,7 +129,7 @@ SELECT DISTINCT 'flag_duplicates' AS action, CAST(NULL AS VARCHAR) AS column_nam
 UNION ALL SELECT DISTINCT 'rename_column', 'Line Flag', 'info' FROM lineitem
 UNION ALL SELECT DISTINCT 'suggest_encoder', 'line_flag', 'info' FROM lineitem
 UNION ALL SELECT DISTINCT 'role_assignment', 'line_flag', 'info' FROM lineitem
-UNION ALL SELECT DISTINCT 'role_assignment', 'l_quantity', 'info' FROM lineitem""")
+UNION ALL SELECT DISTINCT 'role_assignment', 'l_quantity', 'info' FROM lineitem""", spread=True)
 def c09b(t):
     df = t("lineitem").select(F.col("l_returnflag").alias("Line Flag"), "l_quantity")
     return C.clean(df).log_frame().select("action", "column_name", "severity")

@@ -80,18 +80,18 @@ _CO = _scored("customer", "orders")
 
 
 @query("d01_join_profile", f"""{_CO} SELECT col AS "column", n_total, n_notnull, n_distinct, round(n_distinct / n_notnull, 9) AS uniqueness, looks_numeric, looks_date, looks_id_prefix, looks_free_text
-FROM r_traits JOIN r_words USING (col)""")
+FROM r_traits JOIN r_words USING (col)""", spread=True)
 def d01(t):
     p = D.join_profile(t("orders"))
     return p.select("column", "n_total", "n_notnull", "n_distinct", F.round("uniqueness", 9).alias("uniqueness"), "looks_numeric", "looks_date", "looks_id_prefix", "looks_free_text")
 
 
-@query("d02_candidate_strategies", f"{_CO} SELECT lc AS left_col, rc AS right_col, CAST(place - 1 AS BIGINT) AS position, strategy FROM pairs")
+@query("d02_candidate_strategies", f"{_CO} SELECT lc AS left_col, rc AS right_col, CAST(place - 1 AS BIGINT) AS position, strategy FROM pairs", spread=True)
 def d02(t):
     return D.candidate_strategies(t("customer"), t("orders")).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("d03_value_overlap", f"""{_CO} SELECT lc AS left_col, rc AS right_col, strategy, matched_left, matched_right, common_keys, est_rows, round(lf, 9) AS left_overlap, round(rf, 9) AS right_overlap FROM figures""")
+@query("d03_value_overlap", f"""{_CO} SELECT lc AS left_col, rc AS right_col, strategy, matched_left, matched_right, common_keys, est_rows, round(lf, 9) AS left_overlap, round(rf, 9) AS right_overlap FROM figures""", spread=True)
 def d03(t):
     s = D.scored_strategies(t("customer"), t("orders"))
     return s.select("left_col", "right_col", "strategy", "matched_left", "matched_right", "common_keys", F.col("est_rows").cast("bigint").alias("est_rows"),
@@ -105,7 +105,7 @@ def d03b(t):
     return D.value_overlap(t("customer"), t("orders"), "c_name", "o_custkey", K.ID_STRIP).select("matched_left", "matched_right", "common_keys")
 
 
-@query("d04_best_strategy", f"{_CO} SELECT lc AS left_col, rc AS right_col, strategy, round(sqrt(lf * rf), 9) AS score FROM best WHERE r = 1")
+@query("d04_best_strategy", f"{_CO} SELECT lc AS left_col, rc AS right_col, strategy, round(sqrt(lf * rf), 9) AS score FROM best WHERE r = 1", spread=True)
 def d04(t):
     b = D.best_strategies(D.scored_strategies(t("customer"), t("orders")))
     return b.select("left_col", "right_col", "strategy", F.round("score", 9).alias("score"))
@@ -114,7 +114,7 @@ def d04(t):
 _POINTS = "overlap_pts uniqueness_pts null_rate_pts cardinality_pts pattern_pts name_pts".split()
 
 
-@query("d05_pair_signals", f"{_CO} SELECT lc AS left_col, rc AS right_col, {', '.join(f'round({p}, 6) AS {p}' for p in _POINTS)} FROM ranked")
+@query("d05_pair_signals", f"{_CO} SELECT lc AS left_col, rc AS right_col, {', '.join(f'round({p}, 6) AS {p}' for p in _POINTS)} FROM ranked", spread=True)
 def d05(t):
     s = D.score_pairs(D.best_strategies(D.scored_strategies(t("customer"), t("orders"))))
     return s.select("left_col", "right_col", *[F.round(p, 6).alias(p) for p in _POINTS])
@@ -122,7 +122,7 @@ def d05(t):
 
 @query("d06_detect_joins", f"""{_CO} SELECT lc AS left_col, rc AS right_col, strategy, join_type, round(confidence, 6) AS confidence, matched_left AS match_count,
   round(100.0 * matched_left / left_total, 6) AS left_match_pct, round(100.0 * common_keys / right_total, 6) AS right_match_pct, est_rows AS est_output_rows
-FROM ranked WHERE confidence >= 5 ORDER BY ranked.confidence DESC, lc, rc LIMIT 8""")
+FROM ranked WHERE confidence >= 5 ORDER BY ranked.confidence DESC, lc, rc LIMIT 8""", spread=True)
 def d06(t):
     c = D.detect_joins(t("customer"), t("orders"))
     return c.select("left_col", "right_col", "strategy", "join_type", F.round("confidence", 6).alias("confidence"), "match_count",
@@ -131,19 +131,19 @@ def d06(t):
 
 
 @query("d06b_detect_joins_part_supplier", f"""{_scored('part', 'supplier')} SELECT lc AS left_col, rc AS right_col, strategy, join_type, round(confidence, 6) AS confidence
-FROM ranked WHERE confidence >= 5 ORDER BY ranked.confidence DESC, lc, rc LIMIT 20""")
+FROM ranked WHERE confidence >= 5 ORDER BY ranked.confidence DESC, lc, rc LIMIT 20""", spread=True)
 def d06b(t):
     c = D.detect_joins(t("part"), t("supplier"), top_n=20)
     return c.select("left_col", "right_col", "strategy", "join_type", F.round("confidence", 6).alias("confidence"))
 
 
-@query("d07_join_type", f"{_CO} SELECT lc AS left_col, rc AS right_col, join_type FROM ranked")
+@query("d07_join_type", f"{_CO} SELECT lc AS left_col, rc AS right_col, join_type FROM ranked", spread=True)
 def d07(t):
     return D.score_pairs(D.best_strategies(D.scored_strategies(t("customer"), t("orders")))).select("left_col", "right_col", "join_type")
 
 
 @query("d08_enriched_candidate", f"""{_CO} SELECT left_total, right_total, matched_left AS match_count, round(100.0 * common_keys / right_total, 6) AS right_match_pct, est_rows AS est_output_rows
-FROM ranked WHERE lc = 'c_name' AND rc = 'o_custkey'""")
+FROM ranked WHERE lc = 'c_name' AND rc = 'o_custkey'""", spread=True)
 def d08(t):
     c = D.detect_joins(t("customer"), t("orders"), top_n=100).where("left_col = 'c_name' AND right_col = 'o_custkey'")
     return c.select("left_total", "right_total", "match_count", F.round("right_match_pct", 6).alias("right_match_pct"), F.col("est_output_rows").cast("bigint").alias("est_output_rows"))
@@ -177,6 +177,6 @@ m AS (SELECT v.tab AS source_table, v.col AS source_column, p.tab AS target_tabl
 SELECT m.*, round(100.0 * matched_values / total, 2) AS overlap_pct FROM m JOIN n ON tab = source_table AND col = source_column WHERE round(100.0 * matched_values / total, 2) >= 5"""
 
 
-@query("d10_infer_relationships", _edges())
+@query("d10_infer_relationships", _edges(), spread=True)
 def d10(t):
     return D.infer_relationships({name: t(name) for name in _KEYS}, list(_KEYS.values()))

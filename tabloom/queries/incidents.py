@@ -49,7 +49,7 @@ class AS (SELECT incident_id, 'classifications_CSETv1, classifications_CSETv0' A
   array_to_string(list_concat(coalesce(vs, []), v0), ', ') AS harm_type_all, array_to_string(ss, ', ') AS sector_of_deployment_all FROM c1)"""
 
 
-@query("m02_classification_summary", f"WITH {_CLASS} SELECT * FROM class")
+@query("m02_classification_summary", f"WITH {_CLASS} SELECT * FROM class", spread=True)
 def m02(t):
     s = M.classification_summary({"classifications_CSETv1": first_file(t), "classifications_CSETv0": second_file(t)})
     # values of one file and priority are ordered by first appearance with nothing else to go by, so compare them sorted within the file
@@ -72,7 +72,7 @@ rep AS (SELECT CAST(s.l_orderkey AS VARCHAR) AS incident_id, count(*) AS report_
   (SELECT string_agg(p_name, ', ' ORDER BY p) FROM ttl WHERE ttl.l_orderkey = s.l_orderkey) AS report_titles, strftime(max(d), '%Y-%m-%d') AS latest_report_date FROM seen s GROUP BY s.l_orderkey)"""
 
 
-@query("m04_report_summary", f"WITH {_REPORT} SELECT * FROM rep")
+@query("m04_report_summary", f"WITH {_REPORT} SELECT * FROM rep", spread=True)
 def m04(t):
     s = M.report_summary(M.ensure_id(incident_file(t)), M.report_lookup([report_file(t)]))
     return s.drop("report_urls")
@@ -87,14 +87,14 @@ _ALL = f"WITH {_CLASS}, {_ENTITY}, {_REPORT}"
 
 
 @query("m05_assemble", f"""{_ALL} SELECT CAST(o_orderkey AS VARCHAR) AS incident_id, harm_type, sector_of_deployment, entities_involved, report_count, report_sources, latest_report_date
-FROM orders LEFT JOIN class c ON c.incident_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN ent e ON e.incident_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN rep r ON r.incident_id = CAST(o_orderkey AS VARCHAR)""")
+FROM orders LEFT JOIN class c ON c.incident_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN ent e ON e.incident_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN rep r ON r.incident_id = CAST(o_orderkey AS VARCHAR)""", spread=True)
 def m05(t):
     return assembled(t).select("incident_id", "harm_type", "sector_of_deployment", "entities_involved", "report_count", "report_sources", "latest_report_date")
 
 
 @query("m06_normalize", """
 SELECT CAST(o_orderkey AS VARCHAR) AS incident_id, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month, o_orderpriority AS allegeddeployerofaisystem_primary,
-  '[''' || o_orderpriority || ''', ''other'']' AS allegeddeployerofaisystem FROM orders""")
+  '[''' || o_orderpriority || ''', ''other'']' AS allegeddeployerofaisystem FROM orders""", spread=True)
 def m06(t):
     n = M.normalize(assembled(t))
     return n.select("incident_id", F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month"), "allegeddeployerofaisystem_primary", "allegeddeployerofaisystem")

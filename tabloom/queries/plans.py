@@ -147,13 +147,13 @@ def n11(t):
     return ranked.select("use", "column", F.round("score", 6).alias("score"))
 
 
-@query("n11b_auto_plan_cells")
+@query("n11b_auto_plan_cells", spread=True)
 def n11b(t):
     df = incidents_like(t)
     return N.cells_table(df, U.auto_plan(df)).groupBy("cell_id", "status").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("n12_incident_plan")
+@query("n12_incident_plan", spread=True)
 def n12(t):
     df = incidents_like(t).withColumn("allegeddeployerofaisystem_primary", F.col("deployer")).withColumn("report_sources", F.col("sector_of_deployment"))
     df = df.withColumn("allegeddeveloperofaisystem_primary", F.col("deployer")).withColumn("title", F.col("deployer"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def read_table(spark: SparkSession, path: str, spread: bool) -> DataFrame:
+    """A given table. A single local file has a single row group, hence a single task; work that is heavy per row is spread
+    over the cores first. A table that is a folder of files comes in many splits already and is left as it is."""
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread and os.path.isfile(path) else df
+
+
+def query(name: str, sql: str | None = None, spread: bool = False):
     """Register ``fn(table) -> DataFrame`` where ``table(name)`` reads one of the given tables."""
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(lambda table: read_table(spark, f"{sf_dir}/{table}.parquet", spread))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -216,7 +216,7 @@ def h24(t):
 
 @query("h25_json_field_profile", """
 SELECT 'k' AS path, 'number' AS kind, count(*) AS count, CAST(0 AS BIGINT) AS null_count, count(*) AS n_int,
-  count(DISTINCT json_extract(props, '$.k')) AS n_unique FROM events""")
+  count(DISTINCT json_extract(props, '$.k')) AS n_unique FROM events""", spread=True)
 def h25(t):
     fields = J.field_profile(t("events").select(F.parse_json("props").alias("record")))
     return fields.select("path", "kind", "count", "null_count", "n_int", "n_unique")
@@ -233,14 +233,14 @@ UNION ALL SELECT 'none', 'null', count(*), count(*), 0, 0, false FROM orders
 UNION ALL SELECT 'tags', 'string', count(*), 0, 1, 0, false FROM orders
 UNION ALL SELECT 'who.cust', 'number', count(*), 0, count(DISTINCT o_custkey), 0, false FROM orders
 UNION ALL SELECT 'who.note', 'string', count(*), count(*) FILTER (o_orderkey % 3 = 0), 1, 0, false FROM orders
-UNION ALL SELECT 'lines[*].s', 'string', 2 * count(*), 0, count(DISTINCT o_orderstatus) + 1, 1, true FROM orders""")
+UNION ALL SELECT 'lines[*].s', 'string', 2 * count(*), 0, count(DISTINCT o_orderstatus) + 1, 1, true FROM orders""", spread=True)
 def h25b(t):
     fields = J.field_profile(t("orders").select(F.parse_json(F.expr(_NESTED_DOC)).alias("record")))
     return fields.select("path", "kind", "count", "null_count", "n_unique", "array_depth", "is_nested")
 
 
 @query("h26_structural_warnings", """
-SELECT DISTINCT 7 AS total_fields, 2 AS nested_fields, 1 AS mixed_fields, 1 AS high_null_fields, 3 AS max_depth, false AS deep_nesting FROM orders""")
+SELECT DISTINCT 7 AS total_fields, 2 AS nested_fields, 1 AS mixed_fields, 1 AS high_null_fields, 3 AS max_depth, false AS deep_nesting FROM orders""", spread=True)
 def h26(t):
     return J.structural_warnings(t("orders").select(F.parse_json(F.expr(_NESTED_DOC)).alias("record")))
 

@@ -78,7 +78,7 @@ def _layout_docs(t):
 
 @query("s05_json_layouts", """
 SELECT o_orderkey AS doc, CASE o_orderkey % 6 WHEN 0 THEN 'array_of_objects' WHEN 1 THEN 'array_of_arrays' WHEN 2 THEN 'wrapped_array' WHEN 3 THEN 'object_of_objects'
-  WHEN 4 THEN 'single_object' ELSE 'ndjson' END AS layout, CASE WHEN o_orderkey % 6 IN (0, 3, 5) THEN 2 ELSE 1 END AS root_records FROM orders""")
+  WHEN 4 THEN 'single_object' ELSE 'ndjson' END AS layout, CASE WHEN o_orderkey % 6 IN (0, 3, 5) THEN 2 ELSE 1 END AS root_records FROM orders""", spread=True)
 def s05(t):
     return Z.document_layouts(_layout_docs(t)).select("doc", "layout", "root_records")
 
@@ -87,7 +87,7 @@ def s05(t):
     "SELECT o_orderkey AS doc, 0 AS pos, o_orderkey AS k, CASE WHEN o_orderkey % 6 IN (1, 4) THEN o_orderstatus END AS status, "
     "CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS who__c, NULL AS tags, CASE WHEN o_orderkey % 6 = 3 THEN 'a' END AS _key FROM orders",
     "SELECT o_orderkey, 1, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey + 1 ELSE o_custkey END, NULL, NULL, CASE WHEN o_orderkey % 6 = 0 THEN '[1,\"x\"]' END, "
-    "CASE WHEN o_orderkey % 6 = 3 THEN 'b' END FROM orders WHERE o_orderkey % 6 IN (0, 3, 5)"]))
+    "CASE WHEN o_orderkey % 6 = 3 THEN 'b' END FROM orders WHERE o_orderkey % 6 IN (0, 3, 5)"]), spread=True)
 def s05b(t):
     return Z.flatten_records(Z.extract_records(_layout_docs(t)))
 
