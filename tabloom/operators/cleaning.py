@@ -239,21 +239,29 @@ def flag_duplicates(df: DataFrame, ctx: Context) -> StepResult:
     return StepResult(df, ctx, [entry], [f"Found {found.duplicates} exact duplicate rows ({found.duplicate_pct:.2%})."])
 
 
-def normality_p(n: Column, g1: Column, b2: Column) -> Column:
-    """p-value of the D'Agostino-Pearson K2 test from count, population skewness and population (non-excess) kurtosis."""
+def skew_z(n: Column, g1: Column) -> Column:
+    """Normal score of a population skewness (D'Agostino 1970)."""
     y = F.when(g1 == 0, 1.0).otherwise(g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))))
     beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (beta2 - 1)) - 1
-    delta, alpha = 1 / F.sqrt(0.5 * F.log(w2)), F.sqrt(2 / (w2 - 1))
-    z1 = delta * F.asinh(y / alpha)
+    return F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
+
+
+def kurtosis_z(n: Column, b2: Column) -> Column:
+    """Normal score of a population, non-excess kurtosis (Anscombe and Glynn 1983)."""
     mean = 3 * (n - 1) / (n + 1)
     var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
     x = (b2 - mean) / F.sqrt(var)
     skew = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / skew * (2 / skew + F.sqrt(1 + 4 / (skew * skew)))
     d = 1 + x * F.sqrt(2 / (a - 4))
-    root = F.signum(d) * F.pow((1 - 2 / a) / F.abs(d), F.lit(1 / 3))
-    z2 = (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
+    root = F.signum(d) * F.pow(F.try_divide(1 - 2 / a, F.abs(d)), F.lit(1 / 3))
+    return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
+
+
+def normality_p(n: Column, g1: Column, b2: Column) -> Column:
+    """p-value of the K2 test: both scores squared, chi-square with two degrees of freedom."""
+    z1, z2 = skew_z(n, g1), kurtosis_z(n, b2)
     return F.exp(-(z1 * z1 + z2 * z2) / 2)
 
 
