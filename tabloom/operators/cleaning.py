@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from ..functions.dates import parse_date, parse_timestamp
 from ..functions.names import clean_column_names
 from ..functions.text import EMPTY_WORDS, FALSE_WORDS, TRUE_WORDS, strip, to_boolean, to_number
+from ..session import cut_lineage
 from ..sources.sinks import log_frame
 from .aggregates import distinct_counts, duplicate_rows, modes, null_counts
 from .profile import number_figures
@@ -54,6 +55,7 @@ class Context:
     order_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
     strict_parity: bool = True
+    checkpoint: bool = False  # write typed and filled rows to the shared folder, so later steps need not redo earlier ones
 
 
 @dataclass(frozen=True)
@@ -347,4 +349,6 @@ def clean(df: DataFrame, ctx: Context | None = None, steps: Sequence[Callable] =
         logs += result.logs
         warnings += result.warnings
         modified += result.modified
+        if result.context.checkpoint and step in (fix_types, fill_missing) and result.modified:
+            result = replace(result, df=cut_lineage(result.df))
     return StepResult(result.df, result.context, logs, warnings, list(dict.fromkeys(modified)))

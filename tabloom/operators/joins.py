@@ -66,9 +66,14 @@ def join_on_key(
     return joined.drop(LEFT_KEY, RIGHT_KEY)
 
 
-def _key_counts(df: DataFrame, column: str, strategy: str, key: str, n: str) -> DataFrame:
-    return df.select(join_key(col(column), field_types(df)[column], strategy).alias(key)).groupBy(key).agg(
-        F.count(F.lit(1)).alias(n))
+def _key_counts(left: DataFrame, right: DataFrame, left_col: str, right_col: str, strategy: str) -> DataFrame:
+    """``(key, nl, nr)``: rows per key on both sides, from one combining aggregate over the two key columns stacked."""
+    def keys(df: DataFrame, column: str, on_left: int) -> DataFrame:
+        key = join_key(col(column), field_types(df)[column], strategy)
+        return df.select(key.alias("key"), F.lit(on_left).alias("l"), F.lit(1 - on_left).alias("r"))
+
+    stacked = keys(left, left_col, 1).unionAll(keys(right, right_col, 0))
+    return stacked.groupBy("key").agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
 
 
 def match_stats(
@@ -77,25 +82,21 @@ def match_stats(
 ) -> DataFrame:
     """One row describing the join without running it: sizes, matches, one-sided rows, repeated keys, null keys.
 
-    Both sides are reduced to key counts first, so a key with a third of the rows is one row here.
+    Both sides are reduced to key counts in a single shuffle, so a key with a third of the rows is one row here.
     """
-    l = _key_counts(left, left_col, strategy, LEFT_KEY, "nl")
-    r = _key_counts(right, right_col, strategy, RIGHT_KEY, "nr")
     wide = "decimal(38,0)"
-    hit = F.col("nl").isNotNull() & F.col("nr").isNotNull()
-    key = F.coalesce(F.col(LEFT_KEY), F.col(RIGHT_KEY))
+    present = F.col("key").isNotNull()
+    hit = (F.col("nl") > 0) & (F.col("nr") > 0) & (F.lit(nulls_match) | present)
     none = F.lit(0).cast(wide)
     keep_left, keep_right = how in ("left", "outer"), how in ("right", "outer")
-    sums = l.join(r, _equal(nulls_match), "full").agg(
-        F.coalesce(F.sum("nl"), F.lit(0)).alias("left_rows"),
-        F.coalesce(F.sum("nr"), F.lit(0)).alias("right_rows"),
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    sums = _key_counts(left, right, left_col, right_col, strategy).agg(
+        total("nl", "left_rows"), total("nr", "right_rows"),
         F.coalesce(F.sum(F.when(hit, F.col("nl").cast(wide) * F.col("nr").cast(wide))).cast(wide), none).alias("matched_rows"),
-        F.coalesce(F.sum(F.when(~hit, F.col("nl"))), F.lit(0)).alias("left_unmatched"),
-        F.coalesce(F.sum(F.when(~hit, F.col("nr"))), F.lit(0)).alias("right_unmatched"),
-        F.coalesce(F.sum(F.when(F.col(LEFT_KEY).isNotNull(), F.col("nl") - 1)), F.lit(0)).alias("left_duplicate_keys"),
-        F.coalesce(F.sum(F.when(F.col(RIGHT_KEY).isNotNull(), F.col("nr") - 1)), F.lit(0)).alias("right_duplicate_keys"),
-        F.coalesce(F.sum(F.when(key.isNull(), F.col("nl"))), F.lit(0)).alias("left_null_keys"),
-        F.coalesce(F.sum(F.when(key.isNull(), F.col("nr"))), F.lit(0)).alias("right_null_keys"),
+        total(F.when(~hit, F.col("nl")), "left_unmatched"), total(F.when(~hit, F.col("nr")), "right_unmatched"),
+        total(F.when(present & (F.col("nl") > 0), F.col("nl") - 1), "left_duplicate_keys"),
+        total(F.when(present & (F.col("nr") > 0), F.col("nr") - 1), "right_duplicate_keys"),
+        total(F.when(~present, F.col("nl")), "left_null_keys"), total(F.when(~present, F.col("nr")), "right_null_keys"),
     )
     left_only = F.col("left_unmatched") if keep_left else F.lit(0).cast("bigint")
     right_only = F.col("right_unmatched") if keep_right else F.lit(0).cast("bigint")
@@ -127,10 +128,9 @@ def join_warnings(
 
 def exact_join_size(left: DataFrame, right: DataFrame, left_col: str, right_col: str, strategy: str = "exact") -> DataFrame:
     """Rows an inner join would give (null keys do not match), from key counts."""
-    l = _key_counts(left, left_col, strategy, LEFT_KEY, "nl")
-    r = _key_counts(right, right_col, strategy, RIGHT_KEY, "nr")
     wide = "decimal(38,0)"
-    return l.join(r, _equal(False)).agg(
+    both = _key_counts(left, right, left_col, right_col, strategy).where("key IS NOT NULL AND nl > 0 AND nr > 0")
+    return both.agg(
         F.coalesce(F.sum(F.col("nl").cast(wide) * F.col("nr").cast(wide)).cast(wide), F.lit(0).cast(wide)).alias("est_rows"),
         F.count(F.lit(1)).alias("common_keys"))
 
