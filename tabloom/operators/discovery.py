@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import keys as K
 from ..functions.dates import parse_date
 from ..functions.text import drop_zero_tail, fold_ascii, looks_id_prefix, looks_numeric, value_text, word_count
-from .shape import col, field_types
+from .shape import col, field_types, small_table
 
 # Thresholds and points that decide the ranking.
 NUMERIC_SHARE, ID_PREFIX_SHARE, DATE_SHARE, FREE_TEXT_WORDS = 0.80, 0.60, 0.75, 4
@@ -27,11 +27,6 @@ NULL_RATE_POINTS = [(0.01, 10.0), (0.05, 8.0), (0.15, 5.0), (0.30, 2.0)]
 CARDINALITY_POINTS = [(0.70, 8.0), (0.40, 5.0), (0.15, 2.0)]
 
 NO_KEY = "\x00no key"
-PROFILE_SCHEMA = (
-    "column string, position int, n_total bigint, n_notnull bigint, null_rate double, median_length double, "
-    "looks_numeric boolean, looks_date boolean, looks_id_prefix boolean, looks_free_text boolean"
-)
-
 
 def _stack(df: DataFrame, columns: Sequence[str], digits: bool) -> DataFrame:
     """``(column, text[, digits_text])``: one row per cell. ``digits_text`` differs from ``text`` for doubles only."""
@@ -47,7 +42,7 @@ def _stack(df: DataFrame, columns: Sequence[str], digits: bool) -> DataFrame:
 
 
 def column_traits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``PROFILE_SCHEMA`` rows: what each column's values look like. All rows, one pass, no shuffle of values."""
+    """One row per column: what its values look like. All rows, one pass, no shuffle of values."""
     chosen = list(columns or df.columns)
     text = F.col("text")
     rates = _stack(df, chosen, digits=False).groupBy("c").agg(
@@ -59,7 +54,7 @@ def column_traits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         F.percentile(word_count(text), 0.5).alias("words"),
         F.percentile(F.length(text), 0.5).alias("length"),
     )
-    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(chosen)], "position int, column string")
+    names = small_table(df.sparkSession, list(enumerate(chosen)), "position int, column string")
     share = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False))
     return names.join(rates, F.col("position") == F.col("c"), "left").select(
         "column", "position", F.coalesce("n_total", F.lit(0)).alias("n_total"), F.coalesce("n_notnull", F.lit(0)).alias("n_notnull"),
@@ -104,7 +99,7 @@ def strategies_for(left: Row, right: Row) -> list[str]:
 def candidate_strategies(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(left_col, right_col, position, strategy)`` from the two column profiles."""
     rows = _strategy_rows(*_both_traits(left, right))
-    return left.sparkSession.createDataFrame(rows, "left_col string, right_col string, position int, strategy string")
+    return small_table(left.sparkSession, rows, "left_col string, right_col string, position int, strategy string")
 
 
 def _strategy_rows(left: Sequence[Row], right: Sequence[Row]) -> list[tuple]:
@@ -140,7 +135,16 @@ def _ladder(value: Column, steps: Sequence[tuple[float, float]], at_most: bool =
     return result.otherwise(0.0)
 
 
-def pair_overlaps(left: DataFrame, right: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
+# traits of a column that the score needs; they travel with each pair, so no join brings them back
+PAIR_TRAITS = ("n_total", "n_notnull", "null_rate", "looks_numeric", "looks_date")
+_PAIR_SCHEMA = "left_col string, right_col string, lc int, rc int, position int, strategy string"
+_TRAIT_SCHEMA = ", ".join(
+    f"{side}_{name} {kind}" for side in "lr" for name, kind in zip(PAIR_TRAITS, ("bigint", "bigint", "double", "boolean", "boolean")))
+
+
+def pair_overlaps(
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple], traits: tuple[Mapping[str, Row], Mapping[str, Row]] | None = None,
+) -> DataFrame:
     """Exact overlap figures of ``(left_col, right_col, position, strategy)`` tuples.
 
     Gives matched rows of both sides, common keys, exact join size, valid rows per side and distinct values per side.
@@ -170,9 +174,11 @@ def pair_overlaps(left: DataFrame, right: DataFrame, pairs: Sequence[tuple]) ->
         return index.groupBy("c", "strategy").agg(F.sum(F.when(real, F.col("n"))).alias(f"{side}_valid"), F.count_if(real).alias(f"{side}_keys")).select(
             F.col("c").alias(f"{side}_c"), F.col("strategy").alias(f"{side}_s"), f"{side}_valid", f"{side}_keys")
 
-    plan = spark.createDataFrame(
-        [(lc, rc, l_place[lc], r_place[rc], p, s) for lc, rc, p, s in pairs],
-        "left_col string, right_col string, lc int, rc int, position int, strategy string")
+    def extra(lc: str, rc: str) -> tuple:
+        return tuple(side[c][t] for side, c in zip(traits, (lc, rc)) for t in PAIR_TRAITS) if traits else ()
+
+    plan = small_table(spark, [(lc, rc, l_place[lc], r_place[rc], p, s, *extra(lc, rc)) for lc, rc, p, s in pairs],
+                       f"{_PAIR_SCHEMA}, {_TRAIT_SCHEMA}" if traits else _PAIR_SCHEMA)
     lt, rt = totals(l_index, "l"), totals(r_index, "r")
     zero = F.lit(0).cast("bigint")
     out = (
@@ -185,7 +191,7 @@ def pair_overlaps(left: DataFrame, right: DataFrame, pairs: Sequence[tuple]) ->
         *[F.coalesce(c, zero).alias(c) for c in ("matched_left", "matched_right", "common_keys", "l_valid", "r_valid", "l_keys", "r_keys")],
         F.coalesce("est_rows", zero.cast(wide)).alias("est_rows"),
         F.coalesce(F.try_divide("matched_left", "l_valid"), F.lit(0.0)).alias("left_overlap"),
-        F.coalesce(F.try_divide("matched_right", "r_valid"), F.lit(0.0)).alias("right_overlap"),
+        F.coalesce(F.try_divide("matched_right", "r_valid"), F.lit(0.0)).alias("right_overlap"), *plan.columns[6:],
     )
 
 
@@ -201,24 +207,15 @@ def scored_strategies(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = _strategy_rows([r for r in l_rows if usable(r)], [r for r in r_rows if usable(r)])
     if not pairs:
         raise ValueError("no usable column pair: all columns are empty or free text")
-    spark = left.sparkSession
-    overlaps = pair_overlaps(left, right, pairs)
-
-    def traits(rows: Sequence[Row], side: str) -> DataFrame:
-        df = spark.createDataFrame([tuple(r)[:-1] for r in rows], PROFILE_SCHEMA)
-        return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-
+    overlaps = pair_overlaps(left, right, pairs, ({r.column: r for r in l_rows}, {r.column: r for r in r_rows}))
     score = F.sqrt(F.col("left_overlap") * F.col("right_overlap"))
     valid = (F.col("l_valid") / F.greatest("l_n_total", F.lit(1)) >= MIN_VALID_RATE) & (
         F.col("r_valid") / F.greatest("r_n_total", F.lit(1)) >= MIN_VALID_RATE)
     exact = Window.partitionBy("lc", "rc")
     return (
-        overlaps.join(traits(l_rows, "l"), F.col("left_col") == F.col("l_column"))
-        .join(traits(r_rows, "r"), F.col("right_col") == F.col("r_column"))
-        .withColumn("valid", valid).withColumn("score", score)
+        overlaps.withColumns({"valid": valid, "score": score})
         # distinct raw values come from the exact strategy of the same pair (a handful of rows per pair)
-        .withColumn("l_unique", F.max(F.when(F.col("strategy") == K.EXACT, F.col("l_keys"))).over(exact))
-        .withColumn("r_unique", F.max(F.when(F.col("strategy") == K.EXACT, F.col("r_keys"))).over(exact))
+        .withColumns({f"{s}_unique": F.max(F.when(F.col("strategy") == K.EXACT, F.col(f"{s}_keys"))).over(exact) for s in "lr"})
     )
 
 
@@ -305,7 +302,7 @@ def suggest_merge_keys(left: DataFrame, right: DataFrame, top_n: int = 3) -> Dat
     if not named:
         return left.sparkSession.createDataFrame(
             [], "left_col string, right_col string, confidence_score double, overlap_pct double, join_type string")
-    base = left.sparkSession.createDataFrame(named, schema)
+    base = small_table(left.sparkSession, named, schema)
     figures = pair_overlaps(left, right, [(lc, rc, 0, K.EXACT) for lc, rc, _ in named])
     l_rows, r_rows = left.agg(F.count(F.lit(1))).scalar(), right.agg(F.count(F.lit(1))).scalar()
     overlap = F.coalesce(F.try_divide(F.col("common_keys"), F.least("l_keys", "r_keys")), F.lit(0.0))
@@ -378,7 +375,7 @@ def infer_relationships(
     for p in parts[1:]:
         stacked = stacked.unionAll(p)
     values = stacked.groupBy("table", "column", "key").agg(F.lit(1).alias("one")).select("table", "column", "key")
-    marks = spark.createDataFrame(list(keys.items()), "table string, column string")
+    marks = small_table(spark, list(keys.items()), "table string, column string")
     # marks has one row per table
     targets = values.join(F.broadcast(marks), ["table", "column"], "left_semi").select(
         F.col("table").alias("target_table"), F.col("column").alias("target_column"), F.col("key").alias("target_key"))

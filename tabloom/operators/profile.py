@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .aggregates import high_correlations
 from .quantiles import bracketed_quantiles, distinct_is_small
-from .shape import MOMENT, col, field_types, melt_numbers, table_number, typed_value_table, value_table
+from .shape import MOMENT, col, field_types, melt_numbers, small_table, table_number, typed_value_table, value_table
 from .windows import top_per_group
 
 
@@ -29,7 +29,7 @@ def column_catalog(df: DataFrame, roles: Mapping[str, str] | None = None) -> Dat
          (roles or {}).get(f.name) or f.metadata.get("role", "feature_col"))
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(rows, "column string, position int, dtype string, kind string, role string")
+    return small_table(df.sparkSession, rows, "column string, position int, dtype string, kind string, role string")
 
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -88,7 +88,7 @@ def fence_outliers(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -
 
 
 def _named(figures: DataFrame, columns: Sequence[str]) -> DataFrame:
-    names = figures.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    names = small_table(figures.sparkSession, list(enumerate(columns)), "c int, column string")
     return names.join(figures, "c").drop("c")
 
 

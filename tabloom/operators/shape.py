@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import stable_token
 
 NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 MOMENT = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -21,6 +23,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A DataFrame of schema-sized rows. Handed over as one Arrow batch it is a local relation: no task, no shuffle."""
+    shape = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in shape.names]
+    table = pa.table({n: pa.array(c, ARROW[f.dataType.simpleString()]) for n, c, f in zip(shape.names, columns, shape.fields)})
+    return spark.createDataFrame(table, shape)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
