@@ -8,3 +8,24 @@ fits AS (SELECT i, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, len
          WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY i)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (i)
 """
+
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+grams AS (SELECT i, unnest(range(1, len(ws) - 1)) AS k, ws FROM w WHERE len(ws) > 2),
+coded AS (SELECT i, k, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c FROM grams),
+again AS (SELECT i, k FROM (SELECT i, k, count(*) OVER (PARTITION BY i, a, b, c) AS n FROM coded) WHERE n > 1),
+covered AS (SELECT i, count(DISTINCT k + s) AS n FROM again, (VALUES (0), (1), (2)) v(s) GROUP BY i),
+lines AS (SELECT i, doc_id, source, text, unnest(string_split(t, chr(10))) AS l FROM d),
+worded AS (SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(regexp_replace(lower(l), '\d', '0', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS plain FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT i, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY i),
+common AS (SELECT source, plain, min(doc_id) AS keeper FROM worded WHERE plain <> '' GROUP BY source, plain HAVING count(DISTINCT text) > 20),
+lost AS (SELECT i, sum(n) AS n FROM worded x JOIN common c ON x.plain = c.plain AND x.source IS NOT DISTINCT FROM c.source
+         WHERE x.doc_id IS DISTINCT FROM c.keeper GROUP BY i),
+f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+        coalesce(covered.n, 0)::BIGINT AS n_repeat_words, (len(ws) - coalesce(lost.n, 0))::BIGINT AS words_left
+      FROM d JOIN w USING (i) LEFT JOIN dup USING (i) LEFT JOIN covered USING (i) LEFT JOIN lost USING (i))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= n_words * (1.0 / 3)::DOUBLE AS kept FROM f
+"""

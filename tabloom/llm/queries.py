@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, oracles, url_filter
+from . import bpe, mixing, oracles, quality, url_filter
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -38,6 +38,12 @@ def op1(pages: DataFrame) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.rule_table(pages.sparkSession, URL_RULES))
 
 
+@register("op2_quality", "documents", oracles.OP2)
+def op2(docs: DataFrame) -> DataFrame:
+    judged = quality.judge_documents(docs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
 @register("op4_bpe", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     coded = bpe.encode_decode(docs, vocabulary_path())
