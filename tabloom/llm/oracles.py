@@ -29,3 +29,16 @@ f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= n_words * (1.0 / 3)::DOUBLE AS kept FROM f
 """
+
+# The closure runs over pairs found by shared shingles.
+OP9 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT i, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT i, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM d WHERE len(ws) > 0)),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+both_ AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.i < y.i GROUP BY x.i, y.i),
+links AS (SELECT a, b FROM both_ JOIN n p ON p.i = a JOIN n q ON q.i = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT i AS a, i AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least_ AS (SELECT r.a AS i, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.i = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (i) JOIN least_ USING (i)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, oracles, quality, url_filter
+from . import bpe, minhash, mixing, oracles, quality, url_filter
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -54,3 +54,8 @@ def op4(docs: DataFrame) -> DataFrame:
 def op5(docs: DataFrame) -> DataFrame:
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+
+
+@register("op9_minhash", "documents", oracles.OP9)
+def op9(docs: DataFrame) -> DataFrame:
+    return minhash.near_duplicates(docs).select("doc_id", F.col("n_shingles").cast("long"), "component_id", "kept")
