@@ -42,3 +42,13 @@ reach AS (SELECT i AS a, i AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e
 least_ AS (SELECT r.a AS i, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.i = r.b GROUP BY r.a)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (i) JOIN least_ USING (i)
 """
+
+OP6 = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT i, label, e, len(e) AS d FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.i AS a, y.i AS b FROM ok x JOIN ok y ON x.label = y.label AND x.d = y.d AND x.i <> y.i WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+n AS (SELECT a AS i, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT r.a AS i, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.i = r.b GROUP BY r.a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)
+"""

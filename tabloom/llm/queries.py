@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, oracles, quality, url_filter
+from . import bpe, minhash, mixing, oracles, quality, url_filter, vectors
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -59,3 +59,8 @@ def op5(docs: DataFrame) -> DataFrame:
 @register("op9_minhash", "documents", oracles.OP9)
 def op9(docs: DataFrame) -> DataFrame:
     return minhash.near_duplicates(docs).select("doc_id", F.col("n_shingles").cast("long"), "component_id", "kept")
+
+
+@register("op6_pivot_index", "embeddings", oracles.OP6)
+def op6(embeddings: DataFrame) -> DataFrame:
+    return vectors.near_vectors(embeddings)
