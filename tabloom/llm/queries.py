@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, oracles, quality, url_filter, vectors
+from . import bpe, minhash, mixing, oracles, quality, suffixes, url_filter, vectors
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -64,3 +64,10 @@ def op9(docs: DataFrame) -> DataFrame:
 @register("op6_pivot_index", "embeddings", oracles.OP6)
 def op6(embeddings: DataFrame) -> DataFrame:
     return vectors.near_vectors(embeddings)
+
+
+@register("op8_suffix_dedup", "documents")
+def op8(docs: DataFrame) -> DataFrame:
+    cut = suffixes.remove_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha256("kept").alias("kept_sha256"))
