@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from .rows import cut_lineage
 
-OTHER = 0x5DEECE66D
 
-
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on a long column. Both sides are dealt out anew by a key made from it, so that adaptive execution can split a hot
-    key even where one side was just grouped by it."""
-    made = F.col(key).bitwiseXOR(F.lit(OTHER))
-    right = right.withColumn("_dealt", made).drop(key) if how != "left_semi" else right.select(made.alias("_dealt"))
-    return left.withColumn("_dealt", made).join(right, "_dealt", how).drop("_dealt")
+def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names. Both sides are dealt out anew by a hash of the keys as well, so that adaptive execution
+    can split a hot key even where one side was just grouped by it."""
+    keys = [keys] if isinstance(keys, str) else keys
+    dealt = F.xxhash64(*keys)
+    return left.withColumn("_dealt", dealt).join(right.withColumn("_dealt", dealt), ["_dealt", *keys], how).drop("_dealt")
 
 
 def components(links: DataFrame) -> DataFrame:

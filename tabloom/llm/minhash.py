@@ -214,7 +214,7 @@ def apart(shared: DataFrame, of: DataFrame) -> DataFrame:
     at = split_join(at, mixed_buckets, "band", "left_semi")
     other = at.select("band", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     close = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
-    return at.join(other, "band").where((F.col("root") < F.col("rb")) & close).select(F.col("c").alias("a"), "b").distinct()
+    return split_join(at, other, "band").where((F.col("root") < F.col("rb")) & close).select(F.col("c").alias("a"), "b").distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import split_join
 from .rows import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -85,10 +86,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = copies_wanted(thin, source_targets(thin, weights, share, most), most)
     # the rank is the odds ratio brought to (0, 1), which keeps its order
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = thin.join(plan, ["key", "preference"]).withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
+    ranked = split_join(thin, plan, ["key", "preference"]).withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
     open_words = ranked.groupBy("key").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("open"))
     limits = rank_limits(ranked.where("rank is not null").select("key", "size", "rank"), open_words)
-    out = ranked.join(limits, "key", "left")
+    out = split_join(ranked, limits, "key", "left")
     extra = F.coalesce(F.when(F.col("limit").isNull(), F.col("rank") < F.col("floor")).otherwise(F.col("rank") <= F.col("limit")).cast("int"), F.lit(0))
     return out.select(F.col("id").alias(id_col), "hash", "size", F.col("source").alias(source_col), "source_size", "target", (F.col("certain") + extra).alias("copies"))
 
@@ -107,7 +108,7 @@ def rank_limits(ranked: DataFrame, open_words: DataFrame) -> DataFrame:
         # where the sum passes what is open, or the last part
         at = sums.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("sum") > F.col("open"), here)), F.max(here)).alias("at"))
         left = cut_lineage(at.select("key", F.col(f"at.{part}").alias(part), "at.open", (F.col(f"at.{part}") / scale).alias("floor")))
-        ranked = ranked.join(left.select("key", part), ["key", part], "left_semi")
+        ranked = split_join(ranked, left.select("key", part), ["key", part], "left_semi")
         left = left.drop(part)
     sums = running_sums(ranked, left, "rank")
     near = (F.col("open") > 0) & (F.col("sum") - F.col("open") <= F.greatest(F.lit(0.0), F.col("open") - (F.col("sum") - F.col("words"))))

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import split_join
 from .rows import cut_lineage, map_rows, sql_type
 
 MAX_DOCS = 20
@@ -89,11 +90,11 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = figures.select("id", "owner", "of", "hash", F.inline("lines"))
     common = each.groupBy("of", "line", "hash").agg(F.min("id").alias("id")).groupBy("of", "line").agg(F.count("*").alias("texts"), F.min("id").alias("keeper"))
     common = common.where(F.col("texts") > max_docs).select("of", "line", "keeper")
-    lost = each.join(common, ["of", "line"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    lost = split_join(each, common, ["of", "line"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # repeated rows (equal in id, host and text) are one here
     lost = lost.groupBy("owner", "of", "hash", "line").agg(F.first("words").alias("words"), F.first("places").alias("places"))
     lost = lost.groupBy("owner", "of", "hash").agg(F.sum("words").alias("n_lost"), F.flatten(F.collect_list("places")).alias("removed"))
-    out = figures.drop("lines").join(lost, ["owner", "of", "hash"], "left")
+    out = split_join(figures.drop("lines"), lost, ["owner", "of", "hash"], "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("n_lost", F.lit(0))
     return out.select(
@@ -108,4 +109,4 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(id_col).alias("owner"), text_key(host_col).alias("of"), F.xxhash64(text_col).alias("hash"))
     lines = F.split(F.col("row")[text_col], "\n")
     text = F.when(F.size("removed") > 0, F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")).otherwise(F.col("row")[text_col])
-    return packed.join(verdicts, ["owner", "of", "hash"]).select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
+    return split_join(packed, verdicts, ["owner", "of", "hash"]).select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")

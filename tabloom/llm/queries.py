@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, oracles, quality, suffixes, url_filter, vectors
+from . import bpe, minhash, mixing, oracles, pii, quality, suffixes, url_filter, vectors
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -71,3 +71,10 @@ def op8(docs: DataFrame) -> DataFrame:
     cut = suffixes.remove_repeats(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha256("kept").alias("kept_sha256"))
+
+
+@register("op3_pii", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    found = pii.find_personal_data(docs)
+    counts = [pii.number_of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("plain")).cast("binary"), 256).alias("base_sha256"), pii.written(pii.all_spans()).alias("spans"))

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .graph import split_join
 from .minhash import mixed
 from .rows import map_batches, map_rows, sql_type
 
@@ -216,11 +217,6 @@ def sorted_repeats(rows: list[tuple]) -> Iterator[tuple]:
             yield r[4], r[5], int(r[6] + j), int(r[6] + j + LENGTH), int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True)
 
 
-def turned(column: str) -> Column:
-    """A key made from a key, so that a join deals out both its sides anew and a hot key can be split."""
-    return F.col(column).bitwiseXOR(F.lit(1))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (removed, as byte positions start and stop), kept (the bytes that stay) for every row."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
@@ -237,31 +233,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = spark.read.parquet(path)
     # equal texts are one here: an anchor is shared if it stands at two places of different texts or of one text
     occurrence = F.xxhash64("t1", "t2", "place")
-    shared = found.groupBy("gram").agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high")).where("low <> high").select(turned("gram").alias("dealt"))
-    candidates = found.withColumn("dealt", turned("gram")).join(shared, "dealt", "left_semi")
-    candidates = candidates.groupBy("t1", "t2").agg(F.collect_set(F.struct("gram", "place", "first", "last")).alias("found"))
+    shared = found.groupBy("gram").agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high")).where("low <> high").select("gram")
+    candidates = split_join(found, shared, "gram", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("gram", "place", "first", "last")).alias("found"))
     one = texts.select("t1", "t2", F.xxhash64("id").alias("who"), F.octet_length("text").alias("bytes")).groupBy("t1", "t2").agg(F.min("who").alias("who"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
     chosen = one.join(candidates, ["t1", "t2"]).select("t1", "t2", "who", "found")
     read = texts.withColumn("who", F.xxhash64("id")).join(chosen, ["t1", "t2", "who"]).select("t1", "t2", "found", "text")
     pieces_path = scratch_path(spark, "pieces")
     map_batches(read, "c1 long, c2 long, t1 long, t2 long, base int, low int, high int, margins binary", starts_of).write.parquet(pieces_path)
     pieces = spark.read.parquet(pieces_path)
-    groups = pieces.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select(
-        turned("c1").alias("d1"), turned("c2").alias("d2"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = pieces.withColumn("d1", turned("c1")).withColumn("d2", turned("c2")).join(groups, ["d1", "d2"])
-    met = met.withColumn("block", F.pmod(F.xxhash64("t1", "t2", "base"), F.col("blocks")).cast("int"))
+    groups = pieces.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = split_join(pieces, groups, ["c1", "c2"]).withColumn("block", F.pmod(F.xxhash64("t1", "t2", "base"), F.col("blocks")).cast("int"))
     met = met.select("c1", "c2", "block", "blocks", "t1", "t2", "base", "low", "high", "margins").repartition("c1", "c2", "block")
     met = met.sortWithinPartitions("c1", "c2", "block", "t1", "t2", "base")
     spans_path = scratch_path(spark, "spans")
     map_batches(met, "t1 long, t2 long, start int, stop int, w1 long, w2 long", repeats_of).write.parquet(spans_path)
     spans = spark.read.parquet(spans_path)
     rest = spans.where("w1 is not null")
-    twice = rest.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(turned("w1").alias("d1"), turned("w2").alias("d2"))
-    late = rest.withColumn("d1", turned("w1")).withColumn("d2", turned("w2")).join(twice, ["d1", "d2"], "left_semi")
+    twice = rest.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    late = split_join(rest, twice, ["w1", "w2"], "left_semi")
     copies = one.where((F.col("copies") > 1) & (F.col("bytes") >= LENGTH)).select("t1", "t2", F.lit(0).alias("start"), F.col("bytes").cast("int").alias("stop"))
     every = spans.where("w1 is null").select("t1", "t2", "start", "stop").unionByName(late.select("t1", "t2", "start", "stop")).unionByName(copies)
     every = every.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    out = texts.withColumn("d1", turned("t1")).join(every.select(turned("t1").alias("d1"), "t2", "found"), ["d1", "t2"], "left")
+    out = split_join(texts, every, ["t1", "t2"], "left")
 
     def cut(key, value: str, spans: list | None) -> tuple:
         data = value.encode()
