@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, oracles, pii, quality, suffixes, url_filter, vectors
+from . import bpe, language, licences, minhash, mixing, oracles, pii, quality, suffixes, url_filter, vectors
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -17,7 +17,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def register(name: str, table: str, sql: str | None = None):
     def add(fn):
-        REGISTRY[name] = (lambda spark, sf_dir: fn(spark.read.parquet(f"{sf_dir}/{table}.parquet")), sql)
+        REGISTRY[name] = (lambda spark, sf_dir: fn(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in table.split())), sql)
         return fn
 
     return add
@@ -78,3 +78,14 @@ def op3(docs: DataFrame) -> DataFrame:
     found = pii.find_personal_data(docs)
     counts = [pii.number_of(k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("plain")).cast("binary"), 256).alias("base_sha256"), pii.written(pii.all_spans()).alias("spans"))
+
+
+@register("op7_language", "pages documents")
+def op7(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    return language.identify(pages, docs)
+
+
+@register("op10_licences", "documents")
+def op10(docs: DataFrame) -> DataFrame:
+    found = licences.document_licences(docs)
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), F.col("n_paragraphs").cast("long"), F.round("probability", 6).alias("probability"))
