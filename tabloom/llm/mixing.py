@@ -118,3 +118,12 @@ def rank_limits(ranked: DataFrame, open_words: DataFrame) -> DataFrame:
 def running_sums(rows: DataFrame, left: DataFrame, part: str) -> DataFrame:
     sums = rows.groupBy("key", part).agg(F.sum("size").alias("words")).join(left, "key")
     return sums.withColumn("sum", F.sum("words").over(Window.partitionBy("key").orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: every document with all its columns, as often as it is taken."""
+    copies = mix(docs, id_col, text_col, source_col, **settings).where("copies > 0").select(
+        source_key(F.col(id_col)).alias("owner"), source_key(F.col(source_col)).alias("of"), "hash", "copies").dropDuplicates(["owner", "of", "hash"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(id_col)).alias("owner"), source_key(F.col(source_col)).alias("of"), F.xxhash64(text_col).alias("hash"))
+    taken = split_join(packed, copies, ["owner", "of", "hash"])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
