@@ -139,5 +139,5 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     names = F.array(*map(F.lit, langs))
     weight = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top")))
     return seen.select(
-        F.col("id").alias(id_col), "host", "declared", F.element_at(names, F.col("vote") + 1).alias("text_language"),
+        F.col("id").alias(id_col), "host", "declared", F.when(F.col("vote").isNotNull(), F.element_at(names, F.col("vote") + 1)).alias("text_language"),
         F.element_at(names, F.array_position("scores", F.col("top")).cast("int")).alias("language"), (1 / weight).alias("confidence"))

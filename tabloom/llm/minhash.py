@@ -4,8 +4,10 @@ Documents with equal shingle sets are one class. Classes meet in band buckets of
 batch of signature values after the other and dropped as soon as the posterior probability of a similarity at or above the
 threshold, under a flat prior, is below ``MISS``; survivors are verified on full sets.
 
-No bucket is expanded into all its pairs at once: first every class is compared with the least class of its buckets only, and
-the links found make components; then only pairs that stand in different components are made.
+No bucket is expanded into its pairs: first every class is compared with the least class of its buckets only, and the links
+found make components. Buckets that then still hold several components are cut into blocks, and every two blocks are one piece
+of work in which the classes of different components are compared. What survives leaves as one row per class and piece; its
+sets meet in the same pieces again, and only links that join something leave those.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer words than a
 shingle the whole text is one shingle; equal rows share their result; a component whose ids are all null has a null id and
@@ -31,7 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at the threshold misses all bands with probability 5e-6
 HASHES = BANDS * ROWS
 BATCH = 16
-MISS = 1e-6
+MISS = 1e-5
+BLOCK = 256
 KNOWN_WORDS = 400_000
 
 _seeds = np.random.default_rng(20240607)
@@ -81,9 +84,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def bands(sig: np.ndarray) -> list[int]:
-    parts = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    return mixed((parts * _PLACES[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
+def bands(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for signatures in rows."""
+    parts = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mixed((parts * _PLACES[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -112,7 +116,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = shingles(text)
             if len(found):
                 sig = signature(found)
-                yield key, code, len(found), xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), bands(sig), sig.tobytes()
+                yield key, code, len(found), xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), bands(sig)[0].tolist(), sig.tobytes()
             else:
                 yield key, code, 0, None, None, None
 
@@ -120,6 +124,17 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        f"id {sql_type(docs, id_col)}, hash long, n_shingles long, c long, bands array<long>, sig binary", run)
 
 
+def surviving(sa: np.ndarray, sb: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (row of sa, row of sb) no batch drops, and their matches."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for k, limit in enumerate(limits):
+        at = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (sa[a[alive], at] == sb[b[alive], at]).sum(axis=1)
+        keep = matches >= limit
+        alive, matches = alive[keep], matches[keep]
+    return alive, matches
+
+
 def promising(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that survive all batches, with their matches; ``sigs`` is (c, n, sig)."""
     limits = least_matches(percent)
@@ -130,16 +145,20 @@ def promising(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for k, limit in enumerate(limits):
-                at = slice(k * BATCH, (k + 1) * BATCH)
-                matches[alive] += (sa[alive, at] == sb[alive, at]).sum(axis=1)
-                alive = alive[matches[alive] >= limit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches[alive])], ["a", "b", "matches"])
+            rows = np.arange(batch.num_rows)
+            alive, matches = surviving(sa, sb, rows, rows, limits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches)], ["a", "b", "matches"])
 
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two ordered runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity; ``sets`` is (c, shingles)."""
     left = split_join(pairs.select(F.col("a").alias("c"), "b"), sets.select("c", F.col("shingles").alias("xa")), "c").withColumnRenamed("c", "a")
@@ -147,9 +166,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def close(rows: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, xa, xb in rows:
-            x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= percent * (len(x) + len(y) - common):
+            if alike(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64), percent):
                 yield a, b
 
     return map_batches(full.select("a", "b", "xa", "xb"), "a long, b long", close)
@@ -181,10 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the most alike first; others only where that leaves two components
     first = near.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", "best.b")
     links = cut_lineage(verified(first, classes, percent))
-    for found in (lambda of: near, lambda of: promising(apart(shared, of), classes.drop("shingles"), percent)):
-        of = cut_lineage(components(links))
-        open_pairs = cut_lineage(across(found(of).select("a", "b"), of))
-        links = cut_lineage(links.union(verified(open_pairs, classes, percent)))
+    of = cut_lineage(components(links))
+    links = cut_lineage(links.union(verified(across(near.select("a", "b"), of), classes, percent)))
+    links = cut_lineage(links.union(joining_links(shared, components(links), classes, percent)))
     of = components(links).select(F.col("node").alias("c"), "root")
 
     ids = split_join(seen.groupBy("c").agg(F.min("id").alias("id")), of, "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -206,15 +222,77 @@ def across(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return with_roots(pairs, of).where("ra <> rb").select("a", "b")
 
 
-def apart(shared: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket and stand in different components."""
-    at = split_join(shared.select("band", "c", "n"), of.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    at = cut_lineage(at)
-    mixed_buckets = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    at = split_join(at, mixed_buckets, "band", "left_semi")
-    other = at.select("band", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    close = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
-    return split_join(at, other, "band").where((F.col("root") < F.col("rb")) & close).select(F.col("c").alias("a"), "b").distinct()
+def pieces_of(rows: Iterator[tuple], width: int = 3) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that lie together by their first columns."""
+    at, held = None, []
+    for row in rows:
+        if row[:width] != at:
+            if held:
+                yield at, held
+            at, held = row[:width], []
+        held.append(row[width:])
+    if held:
+        yield at, held
+
+
+def joining_links(shared: DataFrame, of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components ``of``, as many as join them, from all pairs of classes that share a bucket."""
+    at = cut_lineage(split_join(shared.select("band", "c"), of.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+    several = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
+    several = cut_lineage(several.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    at = split_join(at, several, "band").withColumn("block", F.pmod(F.xxhash64("c", "band"), F.col("blocks")).cast("int"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "root")
+    at = split_join(at, classes.select("c", "n", "sig"), "c").select("band", "i", "j", "block", "c", "root", "n", "sig")
+    limits = least_matches(percent)
+
+    def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (band, i, j), held in pieces_of(rows):
+            block, c, root, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            a, b = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+            open_ = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            if i == j:
+                open_ &= a < b
+            a, b = a[open_], b[open_]
+            if not len(a):
+                continue
+            sig = np.frombuffer(b"".join(r[4] for r in held), np.uint32).reshape(-1, HASHES)
+            alive, _ = surviving(sig, sig, a, b, limits)
+            a, b = a[alive], b[alive]
+            # a pair is looked at in its first common bucket only
+            own = bands(sig)
+            common = own[a] == own[b]
+            here = own[a, common.argmax(axis=1)] == band
+            a, b = a[here], b[here]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
+                yield band, i, j, int(c[a[part[0]]]), c[b[part]].tolist()
+
+    found = cut_lineage(map_batches(at.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), "band long, i int, j int, c long, others array<long>", compare))
+    needed = found.select("band", "i", "j", F.explode(F.concat("others", F.array("c"))).alias("c")).distinct()
+    needed = split_join(needed, classes.select("c", "shingles"), "c").select("band", "i", "j", "c", F.lit(None).cast("array<long>").alias("others"), "shingles")
+    both = needed.unionByName(found.select("*", F.lit(None).cast("binary").alias("shingles")))
+
+    def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, held in pieces_of(rows):
+            sets = {r[0]: np.frombuffer(r[2], np.uint64) for r in held if r[2] is not None}
+            joined = {c: c for c in sets}
+
+            def top(c: int) -> int:
+                while joined[c] != c:
+                    joined[c] = c = joined[joined[c]]
+                return c
+
+            for a, others, _ in held:
+                for b in others or ():
+                    x, y = top(a), top(b)
+                    if x != y and alike(sets[a], sets[b], percent):
+                        joined[x] = y
+                        yield a, b
+
+    return map_batches(both.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), "a long, b long", verify)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -9,7 +9,7 @@ are sorted, and they meet in small groups:
 3. In a group, the suffixes are put in order by mergesort. Two suffixes are compared through their common extension, found by
    binary search over prefix polynomial hashes; neighbours whose extension covers the window are confirmed on the bytes.
 
-A group larger than BLOCK is cut into blocks that are sorted on their own; windows that found no equal in their block are then
+A group larger than BLOCK is cut into blocks that are sorted on their own; one of each different window of a block is then
 counted by digest over all blocks, so a passage in a third of all documents is spread over tasks and no repeat is lost.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; equal texts of at least LENGTH bytes lose
@@ -174,7 +174,7 @@ def starts_of(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def repeats_of(rows: Iterator[tuple]) -> Iterator[tuple]:
     """From pieces (core, block, blocks, text, base, first, last, margins), groups lying together: spans (text, start, stop) of
-    repeated windows, and for groups of several blocks the windows (text, start, digest) that found no equal."""
+    repeated windows, and for groups of several blocks one of each different window (text, start, digest)."""
     held: list[tuple] = []
     for row in rows:
         if len(held) >= AT_ONCE and row[:3] != held[-1][:3]:
@@ -201,15 +201,18 @@ def sorted_repeats(rows: list[tuple]) -> Iterator[tuple]:
     equal = np.zeros(len(order), bool)
     equal[order[same]] = True
     equal[order[:-1][same[1:]]] = True
+    first = np.zeros(len(order), bool)
+    first[order[~same]] = True
     back = np.lexsort((place, piece))
-    piece, place, equal = piece[back], place[back], equal[back]
+    piece, place, equal, first = piece[back], place[back], equal[back], first[back]
     at = np.flatnonzero(equal)
     if len(at):
         cut = np.flatnonzero((np.diff(piece[at]) != 0) | (np.diff(place[at]) != 1)) + 1
         for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(at)) - 1):
             r = rows[piece[at[a]]]
             yield r[4], r[5], int(r[6] + place[at[a]]), int(r[6] + place[at[b]] + LENGTH), None, None
-    for k in np.flatnonzero(~equal):
+    # of each different window one goes on, where other blocks may hold its equal
+    for k in np.flatnonzero(first):
         r = rows[piece[k]]
         if r[3] > 1:
             j = int(place[k])

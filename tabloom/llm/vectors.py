@@ -6,8 +6,9 @@ double precision, and a pair is counted in the list of its first shared combinat
 every two blocks of a list are one small piece of work, so a list of any length is spread over tasks; links leave a piece as
 counts and as one row per vector that names its component there, never as pairs.
 
-The pivots are a sample of at most PIVOTS distinct vectors, the only thing taken to the driver; every vector is indexed.
-Recall against brute force on the test tables is 1.0 at the given numbers.
+The pivots are chosen from a sample of at most SAMPLE distinct vectors, the only thing taken to the driver, so that no two are
+alike (a group of near-duplicates must not hold several, whose order it would shuffle); fixed random points fill up their
+number. Every vector is indexed. Recall against brute force on the test tables is 1.0 at the given numbers.
 
 Defined cases: vectors that are null, empty or zero, hold null or a component that is not finite, or have no label, link with
 nothing; so do vectors of different length; equal vectors of a label are one class whose members link with each other; null
@@ -28,6 +29,8 @@ from .rows import cut_lineage, map_batches
 
 COSINE = 0.98
 PIVOTS, NEAREST, SHARED = 256, 7, 3
+SAMPLE = 1024
+ALIKE = 0.6  # cosine that two pivots stay below
 BLOCK = 256
 
 
@@ -37,6 +40,19 @@ def unit(values: list) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
+def reference_points(sample: list[list], width: int) -> np.ndarray:
+    """PIVOTS unit vectors: from the sample, in order, those unlike all chosen before; then fixed random ones."""
+    points = np.random.default_rng(width).standard_normal((PIVOTS, width))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    n = 0
+    for values in sample:
+        v = unit(values)
+        if n < PIVOTS and (points[:n] @ v < ALIKE).all():
+            points[n] = v
+            n += 1
+    return points
+
+
 def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """node, unit (doubles), shared (bits of the nearest pivots), lists (pivot combination and its list's key)."""
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -44,9 +60,8 @@ def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
         for node, label, values in rows:
             v = unit(values)
             points = pivots.get(len(v))
-            if points is None:  # a length the sample did not meet: fixed random points
-                points = pivots[len(v)] = np.random.default_rng(len(v)).standard_normal((PIVOTS, len(v)))
-                points /= np.linalg.norm(points, axis=1, keepdims=True)
+            if points is None:  # a length the sample did not meet
+                points = pivots[len(v)] = reference_points([], len(v))
             near = np.argsort(-(points @ v), kind="stable")[:NEAREST]
             bits = np.zeros(PIVOTS, np.uint8)
             bits[near] = 1
@@ -104,11 +119,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = table.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(label_col, vector_col)).alias("node"), F.col(label_col).alias("label"), vector.cast("array<double>").alias("v"))
     classes = cut_lineage(rows.where("node is not null").groupBy("node", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
 
-    sample = classes.select("v", F.xxhash64("node").alias("by")).orderBy("by").limit(PIVOTS).collect()
+    sample = classes.select("v", F.xxhash64("node").alias("by")).orderBy("by").limit(SAMPLE).collect()
     pivots: dict[int, list] = {}
     for r in sample:
-        pivots.setdefault(len(r["v"]), []).append(unit(r["v"]))
-    index = cut_lineage(described(classes, {d: np.stack(p) for d, p in pivots.items()}))
+        pivots.setdefault(len(r["v"]), []).append(r["v"])
+    index = cut_lineage(described(classes, {width: reference_points(p, width) for width, p in pivots.items()}))
     postings = index.select("node", F.inline("lists"))
     lists = postings.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     lists = cut_lineage(lists.select("list", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks")))
