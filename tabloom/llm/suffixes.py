@@ -33,7 +33,7 @@ from .rows import map_batches, map_rows, sql_type
 
 LENGTH = 400
 GRAM = 200
-STEP = 32
+STEP = 64
 BLOCK = 512
 PART = 400_000  # bytes of a text worked on at a time
 AT_ONCE = 20_000  # suffix strings sorted together
