@@ -6,26 +6,23 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .text import strip
 
-# --- Fixed values: accepted date shapes in order of precedence; day-first wins when a date is ambiguous. ---
-DATE_SHAPES = [
-    "yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy", "M-d-yyyy", "M/d/yyyy", "yyyyMMdd",
-    "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'",
-]
+# --- Fixed values: month names. Day-first wins when a date is ambiguous. ---
 MONTHS = [
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
     "december",
 ]
-# years 1678 to 2261, the range of nanosecond timestamps
 # --- end of fixed values ---
 
 
-_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+_YEAR = r"(\d{4})"
+# digits alone are a year or a day only in a plausible range; dates with separators may have any year
+_LIKELY = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
 _YEAR_FIRST = rf"^{_YEAR}([-/])(\d{{1,2}})\2(\d{{1,2}})$"
 _YEAR_LAST = rf"^(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}$"
-_COMPACT = rf"^{_YEAR}(\d\d)(\d\d)$"
+_COMPACT = rf"^{_LIKELY}(\d\d)(\d\d)$"
 _DAY_NAME = rf"^(\d{{1,2}})\s+([A-Za-z]{{3,9}})\s+{_YEAR}$"
 _NAME_DAY = rf"^([A-Za-z]{{3,9}})\s+(\d{{1,2}})\s+{_YEAR}$"
-_FREE = rf"^{_YEAR}(-\d{{1,2}}(-\d{{1,2}}([ T].*)?)?)?$"
+_FREE = rf"^({_LIKELY}|{_YEAR}-\d{{1,2}}(-\d{{1,2}}([ T].*)?)?)$"
 # one test that turns most other text away before the single shapes are tried
 _ANY_SHAPE = r"^(\d{4}([-/]\d.*)?|\d{8}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|[A-Za-z]{3,9}\s+\d{1,2}\s+\d{4})$"
 _MONTH_NUMBERS = ",".join(

@@ -123,3 +123,9 @@ def rename_incident(df: DataFrame) -> DataFrame:
 
 def rename_json(df: DataFrame) -> DataFrame:
     return df.toDF(*(json_column_name(c) for c in df.columns))
+
+
+def humanised(column: str | None) -> str:
+    """A column name as a heading: words for underscores, the first letter raised; empty for none."""
+    words = " ".join((column or "").split("_")).strip()
+    return words[:1].upper() + words[1:]

@@ -106,10 +106,6 @@ def stable_token(c: Column, dtype: T.DataType) -> Column:
     return value_text(c, dtype)
 
 
-def drop_nan(c: Column, dtype: T.DataType) -> Column:
-    return F.nanvl(c, F.lit(None)) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
-
-
 def na_to_null(c: Column) -> Column:
     return F.when(~F.trim(c).isin(NA_TOKENS), c)
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_date, parse_timestamp, year_of
 from ..functions.text import clean_tokens, round_even, split_labels, to_number
-from .quantiles import DISTINCT_LIMIT, grouped_median
-from .shape import NESTED, col, field_types, melt_numbers, melt_text, numeric_columns
+from .quantiles import grouped_median
+from .shape import NESTED, col, field_types, melt_numbers, melt_text, numeric_columns, without_nan
 from ..functions.text import stable_token
 
 PAIRS_PER_PASS = 100
@@ -35,7 +35,7 @@ def _share(counts: DataFrame, count: str, total: DataFrame) -> Column:
 
 def value_counts(df: DataFrame, field: str, n: int | None = 15) -> DataFrame:
     """Top values with their percentage of the *non-null* rows; the null bucket is listed like any value."""
-    counts = group_count(df, field)
+    counts = group_count(without_nan(df, [field]), field)
     total = counts.agg(F.coalesce(F.sum(F.when(col(field).isNotNull(), F.col("count"))), F.lit(0)))
     return ranked(counts, field, n).withColumn("percentage", _share(counts, "count", total))
 
@@ -50,14 +50,13 @@ def top_values(df: DataFrame, field: str, n: int = 5) -> DataFrame:
 
 def grouped_metric(
     df: DataFrame, x: str, y: str | None = None, agg: str = "count", n: int | None = 20,
-    distinct_limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
     """Per ``x``: row count, or sum / median / mean of ``y`` read as a number. Largest first, nulls last."""
     if not y or y == "count":
         return ranked(group_count(df, x), x, n)
     rows = df.select(col(x), to_number(col(y), field_types(df)[y]).alias("_y"))
     if agg == "median":
-        data = grouped_median(rows, x, "_y", distinct_limit).withColumnRenamed("median", y)
+        data = grouped_median(rows, x, "_y").withColumnRenamed("median", y)
     else:
         data = rows.groupBy(col(x)).agg((F.sum("_y") if agg == "sum" else F.avg("_y")).alias(y))
     ordered = data.orderBy(col(y).desc_nulls_last(), col(x).asc_nulls_last())
@@ -187,7 +186,7 @@ def date_range(df: DataFrame, field: str) -> DataFrame:
 
 def coverage(df: DataFrame, fields: Sequence[str], digits: int = 1) -> DataFrame:
     """``(field, coverage_pct)``: share of non-null rows."""
-    one = df.agg(*[
+    one = without_nan(df).agg(*[
         F.coalesce(F.try_divide(F.count(col(f)), F.count(F.lit(1))), F.lit(0.0)).alias(f) for f in fields])
     return one.unpivot([], [col(f) for f in fields], "field", "share").select(
         "field", F.round(F.col("share") * 100, digits).alias("coverage_pct"))
@@ -227,6 +226,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 
 def null_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows per combination of missing columns; pattern text has 1 for missing, in column order."""
+    df = without_nan(df)
     flags = [col(c).isNull().cast("int").cast("string") for c in (columns or df.columns)]
     return df.groupBy(F.concat(*flags).alias("pattern")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -236,12 +236,13 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return group_count(df.where(col(row).isNotNull() & col(column).isNotNull()), row, column)
 
 
-def label_pairs(df: DataFrame, row: str, column: str, per_side: int = 4) -> DataFrame:
-    """Pairs of the first labels of two multi-valued fields, row by row (at most per_side squared per row)."""
-    ready = df.where(col(row).isNotNull() & col(column).isNotNull()).select(
-        F.slice(split_labels(col(row).cast("string")), 1, per_side).alias("a"),
-        F.slice(split_labels(col(column).cast("string")), 1, per_side).alias("b"),
-    )
+def label_pairs(df: DataFrame, row: str, column: str, per_side: int | None = None) -> DataFrame:
+    """Pairs of the labels of two multi-valued fields, row by row; with ``per_side`` of the first labels of each only."""
+    def labels(name: str) -> Column:
+        found = split_labels(col(name).cast("string"))
+        return found if per_side is None else F.slice(found, 1, per_side)
+
+    ready = df.where(col(row).isNotNull() & col(column).isNotNull()).select(labels(row).alias("a"), labels(column).alias("b"))
     return ready.select(F.explode("a").alias(row), "b").select(col(row), F.explode("b").alias(column))
 
 

@@ -20,7 +20,7 @@ from .aggregates import distinct_counts, duplicate_rows, modes, null_counts
 from .profile import number_figures
 from .quantiles import column_quantiles
 from .rows import domain_anomalies
-from .shape import MOMENT, NESTED, col, field_types, melt_numbers, numeric_columns
+from .shape import MOMENT, NESTED, col, field_types, melt_numbers, numeric_columns, without_nan
 from .windows import forward_fill
 
 # Role vocabulary of known columns per domain.
@@ -128,7 +128,7 @@ def infer_roles(df: DataFrame, ctx: Context) -> StepResult:
             continue
         roles[c] = role_of(c, types[c], figures[c])
         if roles[c] == "constant_col":
-            warnings.append(f"Column '{c}' is constant (1 unique value) and flagged for potential drop.")
+            warnings.append(f"{c}: one value in all rows; consider dropping it")
         logs.append(_entry(ctx, "SchemaAnalyzer", "role_assignment", c, role=roles[c]))
     tagged = df.select(*[col(c).alias(c, metadata={**df.schema[c].metadata, "role": roles[c]}) for c in df.columns])
     return StepResult(tagged, replace(ctx, roles=roles), logs, warnings)
@@ -184,9 +184,10 @@ def fill_missing(df: DataFrame, ctx: Context) -> StepResult:
 
     From 5 % nulls on a 0/1 column records what was missing. Above 30 % there is only a warning.
     """
+    df = without_nan(df)
     types = field_types(df)
     shares = {r.column: r.null_pct for r in null_counts(df).collect() if r.null_count}
-    warnings = [f"Column '{c}' has >30% missing values ({p:.1%}). User decision required."
+    warnings = [f"{c}: {p:.1%} of the values are missing, too many to fill"
                 for c, p in shares.items() if p > WARN_NULL_SHARE]
     fill = [c for c in df.columns if 0 < shares.get(c, 0) <= WARN_NULL_SHARE]
     if not fill:
@@ -238,7 +239,7 @@ def flag_duplicates(df: DataFrame, ctx: Context) -> StepResult:
     if not found.duplicates:
         return StepResult(df, ctx)
     entry = _entry(ctx, "DuplicateDetector", "flag_duplicates", severity="warning", dup_count=found.duplicates)
-    return StepResult(df, ctx, [entry], [f"Found {found.duplicates} exact duplicate rows ({found.duplicate_pct:.2%})."])
+    return StepResult(df, ctx, [entry], [f"{found.duplicates} rows ({found.duplicate_pct:.2%}) repeat another row"])
 
 
 def skew_z(n: Column, g1: Column) -> Column:
@@ -339,7 +340,7 @@ STEPS: tuple[Callable[[DataFrame, Context], StepResult], ...] = (
 
 def clean(df: DataFrame, ctx: Context | None = None, steps: Sequence[Callable] = STEPS) -> StepResult:
     """All cleaning steps in their fixed order; logs and warnings are concatenated, a failing step aborts."""
-    result = StepResult(df, ctx or Context())
+    result = StepResult(without_nan(df), ctx or Context())
     logs, warnings, modified = [], [], []
     for step in steps:
         try:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .aggregates import high_correlations
-from .quantiles import bracketed_quantiles, distinct_is_small
+from .quantiles import bracketed_quantiles
 from .shape import MOMENT, col, field_types, melt_numbers, small_table, table_number, typed_value_table, value_table
 from .windows import top_per_group
 
@@ -41,19 +41,17 @@ def _first_pass(df: DataFrame, columns: Sequence[str], values: DataFrame) -> Dat
     x, n = table_number(), F.col("n")
     present = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull()
     numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
-    small = distinct_is_small(df.select(*[col(c) for c in numbers]), numbers) if numbers else True
-    quartiles = F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES]), n) if small else F.lit(None).cast("array<double>")
     first = values.groupBy("c").agg(
         F.sum("n").alias("rows"), F.sum(F.when(present, n).otherwise(0)).alias("present"), F.count_if(present).alias("n_distinct"),
         F.sum(F.when(x.isNotNull(), n)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
-        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"), quartiles.alias("q"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
     )
-    if small:
-        return first
+    if not numbers:
+        return first.withColumn("q", F.lit(None).cast("array<double>"))
     place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
     selected = bracketed_quantiles(melt_numbers(df, numbers), "column", "value", QUARTILES).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("prob", "quantile"))), lambda s: s["quantile"]).alias("q"))
-    return first.drop("q").join(selected.select(F.element_at(place, F.col("column")).alias("c"), "q"), "c", "left")
+    return first.join(selected.select(F.element_at(place, F.col("column")).alias("c"), "q"), "c", "left")
 
 
 def _figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:

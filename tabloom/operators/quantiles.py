@@ -1,8 +1,7 @@
 """Exact linear-interpolated quantiles that hold at any size.
 
-Built-in ``percentile`` keeps every distinct value of a group in one task. That is right while the number of distinct
-values is known to be small. Beyond the limit a two-pass selection is used: a mergeable sketch brackets each wanted rank,
-and only values inside the bracket are counted and ordered.
+Built-in ``percentile`` keeps every distinct value of a group in one task. Here a two-pass selection is used at every size: a
+mergeable sketch brackets each wanted rank, and only values inside the bracket are counted and ordered.
 """
 
 from __future__ import annotations
@@ -14,33 +13,32 @@ from pyspark.sql.window import Window
 
 from .shape import col, melt_numbers
 
-DISTINCT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 100_000
 
 
 def bracketed_quantiles(
-    rows: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY,
-    small_group: int = SMALL_GROUP,
+    rows: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = 2.0,
 ) -> DataFrame:
     """``(key, prob, quantile)`` for every key, exact, by bracketing and counting.
 
-    The sketch places a rank within ``n / accuracy``; the bracket is twice as wide on both sides, so it always holds the
-    wanted ranks. Groups of at most ``small_group`` rows use their full range.
+    The sketch places a rank within ``n / accuracy``; the bracket is ``spread`` times as wide on both sides and at least one
+    rank wider. The rows below and inside it are counted, and a rank it does not hold fails the query instead of giving a
+    wrong number.
     """
-    margin = 2.0 / accuracy
+    margin = spread / accuracy
     ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     usable = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     brackets = usable.groupBy("k").agg(
         F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
         F.percentile_approx("v", ends, accuracy).alias("ends"),
     )
-    small = F.col("n") <= small_group
+    # with fewer rows than the sketch keeps apart, one rank is wider than the margin: then the ends are the bracket
+    few = F.lit(spread > 0) & (F.col("n") <= accuracy)
     ranges = F.array(*[
         F.struct(
             F.lit(float(p)).alias("p"),
-            F.when(small, F.col("least")).otherwise(F.get("ends", F.lit(2 * i))).alias("lo"),
-            F.when(small, F.col("most")).otherwise(F.get("ends", F.lit(2 * i + 1))).alias("hi"),
+            F.when(few, F.col("least")).otherwise(F.get("ends", F.lit(2 * i))).alias("lo"),
+            F.when(few, F.col("most")).otherwise(F.get("ends", F.lit(2 * i + 1))).alias("hi"),
         )
         for i, p in enumerate(probs)
     ])
@@ -56,53 +54,27 @@ def bracketed_quantiles(
     upto = Window.partitionBy("k", "n", "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     rank = F.col("p") * (F.col("n") - 1)
-    found = (
-        counted.withColumn("seen", F.sum("c").over(upto)).where(F.col("v").isNotNull())
-        .groupBy("k", "n", "p")
-        .agg(
-            F.min(F.when(F.col("seen") > F.floor(rank), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("seen") > F.ceil(rank), F.col("v"))).alias("b"),
-        )
+    inside = F.col("v").isNotNull()
+    found = counted.withColumn("seen", F.sum("c").over(upto)).groupBy("k", "n", "p").agg(
+        F.min(F.when(inside & (F.col("seen") > F.floor(rank)), F.col("v"))).alias("a"),
+        F.min(F.when(inside & (F.col("seen") > F.ceil(rank)), F.col("v"))).alias("b"),
+        F.coalesce(F.max(F.when(~inside, F.col("seen"))), F.lit(0)).alias("below"), F.max("seen").alias("last"),
     )
+    held = (F.col("below") <= F.floor(rank)) & (F.col("last") > F.ceil(rank))
+    found = found.withColumn("a", F.when(held, F.col("a")).otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
     return found.select(
         F.col("k").alias(key), F.col("p").alias("prob"),
         (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("quantile"),
     )
 
 
-def distinct_is_small(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT_LIMIT) -> bool:
-    """Whether each column surely has few enough distinct values for a value map in one task.
-
-    Few rows settle it; otherwise one sketch pass does.
-    """
-    if limit <= 0:
-        return False
-    if df.limit(limit + 1).count() <= limit:
-        return True
-    sketch = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return max(sketch) <= limit * 0.9
-
-
-def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, prob, quantile)`` of numeric columns."""
-    rows = melt_numbers(df, columns)
-    if not distinct_is_small(df, columns, distinct_limit):
-        return bracketed_quantiles(rows, "column", "value", probs)
-    # equal values collapse before the shuffle; the map then holds each distinct value once, with its count
-    counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy("column").agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"))
-    named = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.get("q", F.lit(i)).alias("quantile")) for i, p in enumerate(probs)])
-    return wide.select("column", F.inline(named))
+    return bracketed_quantiles(melt_numbers(df, columns), "column", "value", probs)
 
 
-def grouped_median(df: DataFrame, key: str, value: str, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+def grouped_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, median)`` of a numeric column; a group without numbers keeps a null median."""
-    if distinct_is_small(df, [value], distinct_limit):
-        counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-        return counts.groupBy(key).agg(F.percentile(value, 0.5, F.col("_n")).alias("median"))
     medians = bracketed_quantiles(df, key, value, [0.5]).select(F.col(key).alias("_k"), F.col("quantile").alias("median"))
     keys = df.select(key).distinct()
     return keys.join(medians, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")

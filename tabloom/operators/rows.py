@@ -26,7 +26,7 @@ def apply_filters(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
             continue
         c = col(name)
         if isinstance(wanted, (list, tuple, set)):
-            df = df.where(c.isin(list(wanted)))
+            df = df.where(reduce(Column.__or__, [equals(c, types[name], w) for w in wanted], F.lit(False)))
         elif isinstance(wanted, Mapping):
             typed = isinstance(types[name], T.NumericType)
             number = c if typed else to_number(c, types[name])
@@ -39,10 +39,20 @@ def apply_filters(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
             if wanted.get("contains") is not None:
                 df = df.where(c.cast("string").rlike(f"(?i){wanted['contains']}"))
         else:
-            df = df.where(c == F.lit(wanted))
+            df = df.where(equals(c, types[name], wanted))
     return df
 
 
+def equals(c: Column, dtype: T.DataType, wanted: Any) -> Column:
+    """Equality that never fails: values of another kind than the column's are compared as text."""
+    kinds = {bool: T.BooleanType, int: T.NumericType, float: T.NumericType, str: T.StringType}
+    if wanted is None or type(wanted) not in kinds or isinstance(dtype, kinds[type(wanted)]):
+        return c == F.lit(wanted)
+    if isinstance(wanted, str) and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return c == F.lit(wanted).try_cast(dtype)
+    return c.cast("string") == F.lit(str(wanted).lower() if isinstance(wanted, bool) else str(wanted))
+
+
 def not_null(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(fields))
 

@@ -23,6 +23,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def without_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN turned into null, the one missing value, in floating-point columns."""
+    types = field_types(df)
+    floats = [c for c in (columns or df.columns) if isinstance(types.get(c), (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in floats}) if floats else df
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A DataFrame of schema-sized rows. Handed over as one Arrow batch it is a local relation: no task, no shuffle."""
     shape = T.StructType.fromDDL(schema)

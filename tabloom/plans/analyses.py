@@ -32,9 +32,9 @@ DEFAULTS = {
 def _need(df: DataFrame, config: Mapping, key: str) -> str:
     name = config.get(key)
     if not name:
-        raise ValueError(f"Missing required config: {key}")
+        raise ValueError(f"the cell's config has no {key}")
     if name not in df.columns:
-        raise ValueError(f"Column '{name}' not found")
+        raise ValueError(f"the table has no column {name}")
     return name
 
 
@@ -246,7 +246,7 @@ def run_cells(df: DataFrame, cells: Sequence[Mapping[str, Any]]) -> tuple[dict[s
             continue
         try:
             results[name] = run_cell(df, cell)
-        except ValueError as problem:
+        except Exception as problem:  # a cell that cannot be built must not hide the others
             errors[name] = str(problem)
     return results, errors
 
@@ -276,7 +276,7 @@ def monthly_rhythm(df: DataFrame, date: str) -> DataFrame:
     return rolling_mean(A.group_count(rows, "month_start", name="incidents"), "month_start", "incidents", 6, "rolling_6m")
 
 
-def label_matrix(df: DataFrame, row: str, column: str, n: int = 10, per_side: int = 4) -> DataFrame:
+def label_matrix(df: DataFrame, row: str, column: str, n: int = 10, per_side: int | None = None) -> DataFrame:
     """Label-by-label counts of two multi-valued fields, restricted to the top labels of each, zero cells included."""
     pairs = A.label_pairs(df, row, column, per_side)
     return with_zero_cells(A.crosstab(top_categories_only(pairs, [row, column], n), row, column), row, column)

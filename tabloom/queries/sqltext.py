@@ -25,7 +25,7 @@ def date(e: str) -> str:
       WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{1,2}}') THEN try_cast({s} || '-01' AS TIMESTAMP)
       WHEN regexp_matches({s}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}[ T]') THEN try_cast({s} AS TIMESTAMP)
     END)"""
-    return f"(CASE WHEN year({parsed}) BETWEEN 1678 AND 2261 THEN CAST({parsed} AS DATE) END)"
+    return f"(CASE WHEN NOT regexp_full_match({s}, '\\d{{4}}|\\d{{8}}') OR year({parsed}) BETWEEN 1678 AND 2261 THEN CAST({parsed} AS DATE) END)"
 
 
 def fold(e: str) -> str:

@@ -16,7 +16,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.(csv|json)$")).select("path", (F.col("length") / (1024.0 * 1024.0)).alias("size_mb"))
 
 
-def scan_tables(spark: SparkSession, root: str, max_file_mb: float | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def scan_tables(spark: SparkSession, root: str, max_file_mb: float | None = None, multi_line: bool | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Named tables of a directory, and a catalog ordered by status, then rows (largest first, unknown last).
 
     The driver holds file names only. A file that cannot be read becomes a catalog row, not a failure.
@@ -32,7 +32,7 @@ def scan_tables(spark: SparkSession, root: str, max_file_mb: float | None = None
             rows.append((name, rel, None, None, size, f"skipped_size_gt_{max_file_mb}MB"))
             continue
         try:
-            df = read_delimited(spark, file.path)[0] if rel.lower().endswith(".csv") else read_json(spark, file.path)
+            df = read_delimited(spark, file.path, multi_line=multi_line)[0] if rel.lower().endswith(".csv") else read_json(spark, file.path)
             if "_corrupt_record" in df.columns:
                 raise ValueError("no JSON records")
             count = df.count()

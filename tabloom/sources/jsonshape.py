@@ -7,6 +7,10 @@ parallel. One single huge document is one row by nature; newline-delimited files
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import json_column_name
@@ -67,8 +71,12 @@ def with_layout(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.transform(F.split(F.trim(col(text)), "\n"), F.trim), lambda x: x != "")
     # the parser stops after the first value, so line-by-line documents are recognised before the whole text is parsed
     several = F.when(F.size(lines) >= 2, F.transform(lines, lambda x: F.try_parse_json(x)))
-    by_line = F.forall(several, lambda x: F.coalesce(_is(x, "dict"), F.lit(False)))
-    d = docs.withColumn("_lines", F.when(by_line, several))
+    is_record = lambda x: F.coalesce(_is(x, "dict"), F.lit(False))
+    records = F.filter(several, is_record)
+    # most lines are records, the first among them; the others are broken lines and are counted
+    by_line = is_record(F.get(several, F.lit(0))) & (2 * F.size(records) > F.size(several))
+    d = docs.withColumn("_lines", F.when(by_line, records)).withColumn(
+        "bad_lines", F.when(by_line, F.size(several) - F.size(records)).otherwise(0))
     d = d.withColumn("_doc", F.when(F.col("_lines").isNull(), F.try_parse_json(col(text))))
     d = d.withColumn("_root", value_type(F.col("_doc"))).withColumn(
         "_items", F.when(F.col("_root") == "list", _as_array(F.col("_doc")))).withColumn(
@@ -132,6 +140,13 @@ def document_layouts(docs: DataFrame, doc: str = "doc", text: str = "text") -> D
     return d.select(col(doc), "layout", F.coalesce(F.size(_records(F.col("layout"))), F.lit(0)).alias("root_records"), "array_keys")
 
 
+def document_problems(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """``(doc, bad_lines, arrays_left_out, no_records)`` per document: what reading its records leaves out."""
+    d = with_layout(docs, text)
+    return d.select(col(doc), "bad_lines", F.greatest(F.size("array_keys") - 1, F.lit(0)).alias("arrays_left_out"),
+                    (F.coalesce(F.size(_records(F.col("layout"))), F.lit(0)) == 0).alias("no_records"))
+
+
 def extract_records(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """``(doc, pos, record)``: every record of every document as VARIANT."""
     d = with_layout(docs, text)
@@ -139,7 +154,25 @@ def extract_records(docs: DataFrame, doc: str = "doc", text: str = "text") -> Da
 
 
 def _ddl_type(spark: SparkSession, merged: str) -> T.DataType:
-    return T.DataType.fromDDL(merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
+    # only where a type stands: at the start, after a field's colon or inside an array; never inside a name
+    ddl = re.sub(r"(^|: |ARRAY<)OBJECT<", r"\1STRUCT<", merged)
+    return T.DataType.fromDDL(re.sub(r"(^|: |ARRAY<)VOID(?=[,>]|$)", r"\1STRING", ddl))
+
+
+def _distinct_names(names: Sequence[str]) -> list[str]:
+    """Names made different in more than case, by numbers after the later ones."""
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        numbered = (name if not k else f"{name}_{k}" for k in itertools.count())
+        out.append(next(n for n in numbered if n.lower() not in taken))
+        taken.add(out[-1].lower())
+    return out
+
+
+def _json_path(keys: Sequence[str]) -> str:
+    """Path of nested keys, quoted so that dots and spaces in a key stay part of it."""
+    return "$" + "".join(f"['{k}']" if "'" not in k else f'["{k}"]' for k in keys)
 
 
 def flatten_records(records: DataFrame, keep: tuple[str, ...] = ("doc", "pos")) -> DataFrame:
@@ -151,21 +184,25 @@ def flatten_records(records: DataFrame, keep: tuple[str, ...] = ("doc", "pos"))
     shape = _ddl_type(records.sparkSession, merged) if merged else T.StructType()
     if not isinstance(shape, T.StructType) or not shape.fields:
         return records.select(*[col(k) for k in keep])
-    typed = records.select(*[col(k) for k in keep], F.try_variant_get("record", "$", shape.simpleString()).alias("_r"))
 
-    def leaves(struct: T.StructType, at: Column, path: str):
+    def leaves(struct: T.StructType, above: tuple[str, ...]):
         for f in struct.fields:
-            here, name = at.getField(f.name), f"{path}__{f.name}" if path else f.name
+            keys = (*above, f.name)
+            path, name = _json_path(keys), json_column_name("__".join(keys))
             if isinstance(f.dataType, T.StructType) and f.dataType.fields:
-                yield from leaves(f.dataType, here, name)
+                yield from leaves(f.dataType, keys)
             elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-                yield F.to_json(here).alias(json_column_name(name))
+                yield name, F.to_json(F.try_variant_get("record", path, "variant"))
             elif isinstance(f.dataType, T.VariantType):
-                yield F.coalesce(F.try_variant_get(here, "$", "string"), F.to_json(here)).alias(json_column_name(name))
+                here = F.try_variant_get("record", path, "variant")
+                yield name, F.coalesce(F.try_variant_get(here, "$", "string"), F.to_json(here))
             else:
-                yield here.alias(json_column_name(name))
+                yield name, F.try_variant_get("record", path, f.dataType.simpleString())
 
-    return typed.select(*[col(k) for k in keep], *leaves(shape, F.col("_r"), ""))
+    # keys are told apart by case and by path, result columns are not; so their names are made distinct
+    found = list(leaves(shape, ()))
+    names = _distinct_names([*keep, *[n for n, _ in found]])[len(keep):]
+    return records.select(*[col(k) for k in keep], *[c.alias(n) for n, (_, c) in zip(names, found, strict=True)])
 
 
 def load_json_structural(spark: SparkSession, path: str) -> DataFrame:
@@ -173,14 +210,14 @@ def load_json_structural(spark: SparkSession, path: str) -> DataFrame:
     return flatten_records(extract_records(read_documents(spark, path)))
 
 
-def walk_values(records: DataFrame, record: str = "record") -> DataFrame:
-    """``(path, type, text)`` of every value below every record, to a depth of 8.
+def walk_values(records: DataFrame, record: str = "record", max_depth: int = MAX_WALK_DEPTH) -> DataFrame:
+    """``(path, type, text)`` of every value below every record; a container below ``max_depth`` levels is one text value.
 
     Each level is one ``explode`` in a single linear plan: finished values pass through, containers open up.
     An array of objects opens as ``path[*]``, any other array is one text value, an empty array is a missing value.
     """
     rows = records.select(F.lit("").alias("path"), col(record).alias("v"), F.lit(False).alias("done"))
-    for depth in range(MAX_WALK_DEPTH + 1):
+    for depth in range(max_depth + 1):
         kind = value_type(F.col("v"))
         items, entries = _as_array(F.col("v")), F.map_entries(_as_map(F.col("v")))
         node = lambda p, v, d: F.struct(p.alias("path"), v.alias("v"), F.lit(d).alias("done"))
@@ -188,8 +225,8 @@ def walk_values(records: DataFrame, record: str = "record") -> DataFrame:
         below = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
         opened = F.transform(entries, lambda e: node(F.concat(below, e["key"]), e["value"], False))
         each = F.transform(items, lambda x: node(F.concat("path", F.lit("[*]")), x, False))
-        if depth == MAX_WALK_DEPTH:  # deeper levels are not looked at
-            opened, each = F.slice(opened, 1, 0), F.slice(each, 1, 0)
+        if depth == max_depth:  # what lies deeper stays together as one text
+            opened = each = F.array(node(F.col("path"), F.to_json("v").cast("variant"), True))
         rows = rows.withColumn("kind", kind).select(F.explode(
             F.when(F.col("done"), keep)
             .when((F.col("kind") == "dict") & (F.size(entries) > 0), opened)
@@ -202,9 +239,9 @@ def walk_values(records: DataFrame, record: str = "record") -> DataFrame:
     return rows.where(F.col("path") != "").select("path", value_type(F.col("v")).alias("type"), text.alias("text"))
 
 
-def field_profile(records: DataFrame, record: str = "record") -> DataFrame:
+def field_profile(records: DataFrame, record: str = "record", max_depth: int = MAX_WALK_DEPTH) -> DataFrame:
     """One row per JSON path: counts, null rate, type counts, distinct values, kind, array depth and content hints."""
-    counted = walk_values(records, record).groupBy("path", "type", "text").agg(F.count(F.lit(1)).alias("n"))
+    counted = walk_values(records, record, max_depth).groupBy("path", "type", "text").agg(F.count(F.lit(1)).alias("n"))
     of = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0))
     hits = lambda h: F.coalesce(F.sum(F.when((F.col("type") == "str") & hint_match(F.col("text"), h), F.col("n"))), F.lit(0))
     grouped = counted.groupBy("path").agg(

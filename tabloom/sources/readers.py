@@ -24,13 +24,26 @@ class LoadReport:
     warnings: list[str] = field(default_factory=list)
 
 
+BAD_ROW = "_malformed_row"
+
+
 def _read_text_columns(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str, multi_line: bool) -> DataFrame:
-    raw = spark.read.csv(
-        path, sep=sep, header=True, inferSchema=False, encoding=encoding, quote='"', escape='"', multiLine=multi_line,
-        mode="PERMISSIVE", enforceSchema=False,
-    )
-    names = unique_names([c if c else "unnamed" for c in raw.columns])
-    return raw.toDF(*names) if names != raw.columns else raw
+    """Text columns, and BAD_ROW with the raw text of rows that have more or fewer fields than the header."""
+    options = {"sep": sep, "header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": True}
+    header = spark.read.csv(path, inferSchema=False, **options).columns
+    if not header:
+        return spark.read.csv(path, inferSchema=False, **options)
+    names = unique_names([c if c else "unnamed" for c in header])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
+    return spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, **options)
+
+
+def _raw_text_facts(spark: SparkSession, path: str | Sequence[str]) -> tuple[bool, bool]:
+    """Whether some line is no valid UTF-8, and whether some line has an odd number of quotes, as a quoted line break leaves."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    found = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8(line)), F.bool_or(F.coalesce(odd, F.lit(False)))).first()
+    return bool(found[0]), bool(found[1])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -71,26 +84,37 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False,
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool | None = None,
     schema: T.StructType | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Delimited text with a header row. Undecodable UTF-8 is read again as latin-1, with a warning.
+    """Delimited text with a header row. Text that is no valid UTF-8 is read as latin-1, with a warning; so are counted rows
+    whose fields do not fit the header (missing fields are null, surplus ones are dropped).
 
-    Give ``schema`` at scale: it saves the two passes that look for types and for undecodable text. ``multi_line`` allows
-    line breaks inside quotes and makes a file unsplittable, so it is off unless asked for.
+    Give ``schema`` at scale: it saves the passes that look at the raw text and for types. ``multi_line`` allows line breaks
+    inside quotes and makes a file unsplittable; None looks for such breaks first and reads that way only if there are any.
     """
     if schema is not None:
-        df = spark.read.csv(path, sep=sep, header=True, schema=schema, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
+        df = spark.read.csv(path, sep=sep, header=True, schema=schema, encoding=encoding, quote='"', escape='"', multiLine=bool(multi_line))
         texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
         return df.withColumns({c: na_to_null(col(c)) for c in texts}), []
     warnings = []
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    if utf8 or multi_line is None:
+        invalid, broken = _raw_text_facts(spark, path)
+        if utf8 and invalid:
+            warnings.append(f"not valid {encoding}; decoded as latin-1 instead")
+            encoding = "ISO-8859-1"
+        if multi_line is None and broken:
+            warnings.append("quoted line breaks found; files are read whole")
+        multi_line = broken if multi_line is None else multi_line
     df = _read_text_columns(spark, path, sep, encoding, multi_line)
-    if encoding.upper().replace("-", "") == "UTF8" and df.columns:
-        damaged = df.agg(*[F.bool_or(col(c).contains("�")).alias(f"x{i}") for i, c in enumerate(df.columns)]).first()
-        if any(damaged):
-            warnings.append(f"Encoding '{encoding}' failed. Read again as latin-1")
-            df = _read_text_columns(spark, path, sep, "ISO-8859-1", multi_line)
-    return infer_types(df), warnings
+    if BAD_ROW not in df.columns:
+        return df, warnings
+    # all columns are counted, for the reader finds a row malformed only where it parses the whole of it
+    bad = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate([BAD_ROW, *df.columns[:-1]])]).first()[0]
+    if bad:
+        warnings.append(f"{bad} rows have more or fewer fields than the header")
+    return infer_types(df.drop(BAD_ROW)), warnings
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
@@ -106,12 +130,29 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """Newline-delimited JSON first; if no line is a record, each file as one document."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    lines = reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Newline-delimited JSON first; if most lines are no records, each file as one document."""
+    return read_json_checked(spark, path, schema)[0]
+
+
+def read_json_checked(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """As read_json, with a warning that counts the lines which are no JSON records and are left out."""
+    if schema is not None:
+        return spark.read.schema(schema).json(path), []
+    lines = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     if lines.columns and "_corrupt_record" not in lines.columns:
-        return lines
-    return reader.option("multiLine", True).json(path)
+        return lines, []
+    others = [c for c in lines.columns if c != "_corrupt_record"]
+    if others:
+        bad = F.col("_corrupt_record")
+        bracket = F.trim(bad).isin("[", "]", "],")  # an array with a record per line
+        # another column is named because the reader refuses to be asked for the malformed lines alone
+        found = lines.agg(F.count(F.when(~bracket, bad)).alias("bad"), F.count(F.when(bad.isNull(), 1)).alias("good"), F.count(col(others[0]))).first()
+        if found["good"] > found["bad"]:
+            # always true, but keeps a column beside the malformed lines in every query, a bare count included
+            named = F.length(F.concat_ws("", col(others[0]).cast("string"))) >= 0
+            kept = lines.where(bad.isNull() & named).drop("_corrupt_record")
+            return kept, [f"{found['bad']} lines are no JSON records"] if found["bad"] else []
+    return spark.read.option("multiLine", True).json(path), []
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
@@ -133,9 +174,9 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def check_loaded(df: DataFrame) -> DataFrame:
     """Raise when a table has no column or no row."""
     if not df.columns:
-        raise LoadError("Dataset is empty or format unrecognized.")
+        raise LoadError("nothing that can be read as a table")
     if df.isEmpty():
-        raise LoadError("File contains no rows.")
+        raise LoadError("the table has no rows")
     return df
 
 
@@ -143,17 +184,17 @@ FORMATS = {"csv": ",", "tsv": "\t"}
 
 
 def load(spark: SparkSession, path: str, file_format: str | None = None, sep: str | None = None, encoding: str = "UTF-8",
-         narrow: bool = True) -> tuple[DataFrame, LoadReport]:
+         narrow: bool = True, multi_line: bool | None = None) -> tuple[DataFrame, LoadReport]:
     """Read any supported file and report rows, columns, types and warnings."""
     kind = (file_format or path.rsplit(".", 1)[-1]).lower()
     warnings: list[str] = []
     if kind in FORMATS:
-        df, warnings = read_delimited(spark, path, sep or FORMATS[kind], encoding)
+        df, warnings = read_delimited(spark, path, sep or FORMATS[kind], encoding, multi_line)
         df = narrow_types(df) if narrow else df
     elif kind == "parquet":
         df = read_parquet(spark, path)
     elif kind in ("json", "jsonl", "ndjson"):
-        df = read_json(spark, path)
+        df, warnings = read_json_checked(spark, path)
     else:
         raise LoadError(f"Unsupported format: {kind}")
     check_loaded(df)
@@ -168,5 +209,5 @@ def load_report(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "LoadError", "LoadReport", "NA_TOKENS", "check_loaded", "infer_types", "load", "load_report", "narrow_types", "read_csv",
-    "read_delimited", "read_json", "read_parquet", "read_tsv",
+    "read_delimited", "read_json", "read_json_checked", "read_parquet", "read_tsv",
 ]

@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators import aggregates as A
 from tabloom.operators import cleaning as C
 
 
@@ -77,7 +78,7 @@ def test_domain_profile_roles(spark):
 def test_duplicates_are_flagged_not_removed(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
     result = C.flag_duplicates(df, C.Context())
-    assert result.df.count() == 3 and "1 exact duplicate" in result.warnings[0]
+    assert result.df.count() == 3 and "1 rows" in result.warnings[0]
 
 
 def test_failing_step_aborts(spark):
@@ -92,3 +93,14 @@ def test_checkpointed_run_gives_the_same_rows(spark):
     df = dirty(spark).withColumn("name", F.when(F.col("id") % 20 != 0, F.col("name")))
     plain, cut = (C.clean(df, C.Context(checkpoint=c)).df for c in (False, True))
     assert plain.exceptAll(cut).count() == 0 and cut.count() == 100
+
+
+def test_nan_is_the_missing_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i), "a") for i in range(90)] + [(nan, "a")] * 10, "x double, c string")
+    result = C.fill_missing(df, C.Context())
+    assert result.df.where("x is null or isnan(x)").count() == 0 and result.df.agg({"x_was_missing": "sum"}).first()[0] == 10
+    both = spark.createDataFrame([(1.0,), (nan,), (None,)], "x double")
+    assert A.coverage(both, ["x"]).first().coverage_pct == 33.3
+    assert {(r.x, r["count"]) for r in A.value_counts(both, "x").collect()} == {(1.0, 1), (None, 2)}
+    assert {(r.pattern, r.rows) for r in A.null_patterns(both).collect()} == {("0", 1), ("1", 2)}

@@ -24,7 +24,7 @@ def test_a_bad_cell_does_not_stop_the_rest(table):
     cells = [{"id": "a", "analysis_type": "trend", "config": {}}, {"id": "b", "analysis_type": "distribution", "config": {"field": "nope"}},
              {"id": "c", "analysis_type": "strange"}, {"id": "d", "analysis_type": "top_n", "config": {"field": "title"}}]
     results, errors = N.run_cells(table, cells)
-    assert set(results) == {"a", "d"} and errors == {"b": "Column 'nope' not found", "c": "Unknown analysis type: strange"}
+    assert set(results) == {"a", "d"} and errors == {"b": "the table has no column nope", "c": "Unknown analysis type: strange"}
     status = {(r.cell_id, r.status) for r in N.cells_table(table, cells).collect()}
     assert status == {("a", "success"), ("b", "error"), ("c", "error"), ("d", "success")}
 
@@ -124,3 +124,18 @@ def test_filters_reach_the_scan(spark):
     text = out.getvalue()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in text and "In(l_returnflag" in text or "EqualTo(l_returnflag" in text
     assert "l_extendedprice" not in text
+
+
+def test_filters_of_another_kind_do_not_fail(spark):
+    from tabloom.operators.rows import apply_filters
+
+    df = spark.createDataFrame([("5", 1), ("x", 2), ("true", 3)], "t string, n int")
+    found = lambda spec: sorted(r.n for r in apply_filters(df, spec).collect())
+    assert [found(s) for s in ({"t": 5}, {"t": [5, "x"]}, {"t": True}, {"n": "2"}, {"n": "abc"}, {"n": [1, "x"]}, {"n": 2})] == [[1], [1, 2], [3], [2], [], [1], [2]]
+
+
+def test_all_labels_are_paired(spark):
+    from tabloom.operators.aggregates import label_pairs
+
+    df = spark.createDataFrame([("['a','b','c','d','e','f']", "['u','v','w','x','y','z']")], "r string, c string")
+    assert label_pairs(df, "r", "c").count() == 36 and label_pairs(df, "r", "c", 4).count() == 16

@@ -18,8 +18,8 @@ def apply(spark, values, expr, kind="string"):
     (K.ID_STRIP, ["EMP-007", "user_42", "#100", "000", "abc", None], ["7", "42", "100", "0", None, None]),
     (K.SLUG, ["New York", "new-york", "Café", "--"], ["newyork", "newyork", "cafe", None]),
     (K.NUMERIC, ["42", "42.0", "1,000", " 7 ", "1.50", "x", "nan", "inf", "1e3", "-0", "1d"], ["42", "42", "1000", "7", "1.5", None, None, None, "1000", "0", None]),
-    (K.DATE, ["2021-1-5", "03/04/2021", "12/25/2021", "20210110", "Jan 10 2021", "10 January 2021", "2021-01-10T05:06:07Z", "2021-02-30", "2021", "word", "1234"],
-     ["2021-01-05", "2021-04-03", "2021-12-25", "2021-01-10", "2021-01-10", "2021-01-10", "2021-01-10", None, "2021-01-01", None, None]),
+    (K.DATE, ["2021-1-5", "03/04/2021", "12/25/2021", "20210110", "Jan 10 2021", "10 January 2021", "2021-01-10T05:06:07Z", "2021-02-30", "2021", "word", "1234", "9999-12-31", "1600-01-01", "16000101"],
+     ["2021-01-05", "2021-04-03", "2021-12-25", "2021-01-10", "2021-01-10", "2021-01-10", "2021-01-10", None, "2021-01-01", None, None, "9999-12-31", "1600-01-01", None]),
     (K.CASEFOLD, ["  New   YORK ", "Ünï", "", "ﬁne Ⅷ"], ["new york", "uni", None, "fine viii"]),
     (K.EXACT, ["A ", "1.0", None], ["A ", "1.0", None]),
 ])

@@ -40,9 +40,9 @@ def brute_paths(records):
     found = {}
 
     def walk(v, path, depth):
-        if depth > 8:
-            return
-        if isinstance(v, dict) and v:
+        if depth == 8 and isinstance(v, (dict, list)) and v:
+            found.setdefault(path, []).append(json.dumps(v))
+        elif isinstance(v, dict) and v:
             for k, x in v.items():
                 walk(x, f"{path}.{k}" if path else k, depth + 1)
         elif isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
@@ -94,6 +94,38 @@ def test_latin1_fallback_warns(spark, tmp_path):
     assert df.first().name == "Café" and "latin-1" in warnings[0]
 
 
+def test_broken_json_lines_are_counted_and_the_others_kept(spark, tmp_path):
+    (tmp_path / "b.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(100)) + '{"a": \n')
+    df, report = R.load(spark, str(tmp_path / "b.json"))
+    assert df.count() == report.row_count == 100 and df.columns == ["a"] and report.warnings == ["1 lines are no JSON records"]
+    docs = spark.createDataFrame([("x", "\n".join(f'{{"a": {i}}}' for i in range(50)) + "\noops")], "doc string, text string")
+    assert Z.extract_records(docs).count() == 50 and Z.document_layouts(docs).first().layout == "ndjson"
+    assert Z.document_problems(docs).first().bad_lines == 1
+    (tmp_path / "p.json").write_text(json.dumps({"a": 1, "b": {"c": 2}}, indent=1))
+    assert R.read_json(spark, str(tmp_path / "p.json")).first().a == 1
+
+
+def test_awkward_json_keys(spark):
+    texts = ['{"AVOID":1,"x":{"VOIDED":2},"n":null}', '{"AVOID":3,"Name":"p","name":"q","d.e":5,"d":{"e":6}}']
+    docs = spark.createDataFrame([(t, t) for t in texts], "doc string, text string")
+    flat = Z.flatten_records(Z.extract_records(docs))
+    rows = {r.AVOID: r.asDict() for r in flat.collect()}
+    assert rows[1]["x__VOIDED"] == 2 and len({c.lower() for c in flat.columns}) == len(flat.columns)
+    assert {"p", "q", 5, 6} <= set(rows[3].values())
+
+
+def test_csv_with_quoted_breaks_and_ragged_rows(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("id,t\n" + "".join(f'{i},"line\nbreak"\n' for i in range(10)))
+    df, report = R.load(spark, str(tmp_path / "q.csv"))
+    assert report.row_count == 10 and dict(df.dtypes)["id"] == "smallint" and "quoted line breaks" in report.warnings[0]
+    (tmp_path / "r.csv").write_text("a,b\n1,2\n1,2,3\n4\n")
+    df, report = R.load(spark, str(tmp_path / "r.csv"))
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, 2), (1, 2), (4, None)] and report.warnings == ["2 rows have more or fewer fields than the header"]
+    (tmp_path / "u.csv").write_text("name\ncafé \ufffd\n")
+    df, report = R.load(spark, str(tmp_path / "u.csv"))
+    assert df.first().name == "café \ufffd" and report.warnings == []
+
+
 def test_empty_and_unknown_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n")
     with pytest.raises(R.LoadError):

@@ -51,14 +51,19 @@ def test_selection_quantiles_equal_numpy(spark, case):
     values = {"ties": np.where(rng.random(5000) < 0.4, 7.0, rng.integers(0, 50, 5000)), "smooth": rng.normal(size=5000), "tiny": np.array([3.0, 1.0])}[case]
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "v": values}))
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r.prob: r.quantile for r in Q.bracketed_quantiles(df, "k", "v", probs, accuracy=200, small_group=10).collect()}
+    got = {r.prob: r.quantile for r in Q.bracketed_quantiles(df, "k", "v", probs, accuracy=200, spread=2.0).collect()}
     assert all(math.isclose(got[p], np.quantile(values, p), abs_tol=1e-12) for p in probs)
 
 
-def test_grouped_median_paths_agree(spark):
+def test_bracket_that_misses_its_rank_fails(spark):
+    df = spark.createDataFrame([("a", float(v % 977)) for v in range(20000)], "k string, v double").repartition(7)
+    with pytest.raises(Exception, match="outside its bracket"):
+        Q.bracketed_quantiles(df, "k", "v", [0.3141], accuracy=3, spread=-0.9).collect()
+
+
+def test_grouped_median_keeps_empty_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", None), (None, 2.0)], "k string, v double")
-    rows = lambda limit: {(r.k, r.median) for r in Q.grouped_median(df, "k", "v", limit).collect()}
-    assert rows(100) == rows(0) == {("a", 2.5), ("b", None), (None, 2.0)}
+    assert {(r.k, r.median) for r in Q.grouped_median(df, "k", "v").collect()} == {("a", 2.5), ("b", None), (None, 2.0)}
 
 
 def test_forward_fill_equals_pandas(spark):
