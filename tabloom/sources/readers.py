@@ -141,7 +141,9 @@ def read_json_checked(spark: SparkSession, path: str | Sequence[str], schema: T.
     lines = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     if lines.columns and "_corrupt_record" not in lines.columns:
         return lines, []
-    others = [c for c in lines.columns if c != "_corrupt_record"]
+    # columns of the records, without those that folder names give
+    found = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path).columns
+    others = [c for c in found if c != "_corrupt_record"]
     if others:
         bad = F.col("_corrupt_record")
         bracket = F.trim(bad).isin("[", "]", "],")  # an array with a record per line
