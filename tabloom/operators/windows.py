@@ -35,8 +35,16 @@ def first_last_change(series: DataFrame, x: str, value: str, when_zero: float |
         "direction", F.when(F.col("change_pct") > 0, "increased").otherwise("decreased"))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropDuplicates(list(keys))
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """The first row of each combination of keys, in the order of ``order_by``, then of all other values."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.select(*[col(k) for k in keys]).distinct().select(*[col(c) for c in df.columns])
+    types = field_types(df)
+    order = [*order_by, *[c for c in others if c not in order_by and not isinstance(types[c], (T.MapType, T.VariantType))]]
+    first = F.min_by(F.struct(*[col(c) for c in others]), F.struct(*[col(c) for c in order]))
+    return df.groupBy(*[col(k) for k in keys]).agg(first.alias("_first")).select(
+        *[col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
 
 
 def top_per_group(counts: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:

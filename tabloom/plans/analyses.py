@@ -20,6 +20,7 @@ from ..operators.joins import top_categories_only
 from ..operators.rows import apply_filters, text_sample
 from ..operators.shape import col, field_types
 from ..operators.windows import first_last_change, rolling_mean, running_sum
+from ..session import cut_lineage
 
 # Default field names of the incident analyses.
 DATE_FIELDS = ["date", "incident_date", "event_date", "created_at"]
@@ -252,10 +253,17 @@ def run_cells(df: DataFrame, cells: Sequence[Mapping[str, Any]]) -> tuple[dict[s
 
 
 def cells_table(df: DataFrame, cells: Sequence[Mapping[str, Any]]) -> DataFrame:
-    """All results as one long table ``(cell_id, status, record)``, each record as JSON; a failed cell is one row."""
+    """All results as one long table ``(cell_id, status, record)``, each record as JSON; a failed cell is one row.
+
+    Each cell is computed on its own and kept in the shared folder, so one that fails on the data takes no other down.
+    """
     results, errors = run_cells(df, cells)
-    parts = [r.select(F.lit(k).alias("cell_id"), F.lit("success").alias("status"), F.to_json(F.struct(*[col(c) for c in r.columns])).alias("record"))
-             for k, r in results.items()]
+    parts = []
+    for name, result in results.items():
+        try:
+            parts.append(cut_lineage(result.select(F.lit(name).alias("cell_id"), F.lit("success").alias("status"), F.to_json(F.struct(*[col(c) for c in result.columns])).alias("record"))))
+        except Exception as problem:
+            errors[name] = str(problem).splitlines()[0]
     if errors:
         parts.append(df.sparkSession.createDataFrame([(k, "error", e) for k, e in errors.items()], "cell_id string, status string, record string"))
     if not parts:

@@ -82,11 +82,13 @@ def j06(t):
 
 
 @query("j06b_merge_checks", """
-WITH m AS (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P')
+WITH m AS (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = CASE WHEN o_orderstatus = 'P' THEN o_custkey ELSE -o_custkey END)
 SELECT count(*) AS rows, CAST(2 * count(*) FILTER (o_orderkey IS NULL) AS BIGINT) AS null_cells,
-  count(*) > 5 * ((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')) AS fan_out FROM m""")
+  count(*) > 5 * ((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)) AS fan_out FROM m""")
 def j06b(t):
-    l, r = t("customer").select("c_custkey", "c_name"), t("orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    # keys of most orders are rewritten, so that there are rows without a match on both sides
+    key = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    l, r = t("customer").select("c_custkey", "c_name"), t("orders").select("o_orderkey", key.alias("o_custkey"))
     return J.merge_checks(l, r, J.merge_on_columns(l, r, "c_custkey", "o_custkey", "left"))
 
 
@@ -115,23 +117,25 @@ def j08(t):
 
 
 @query("j09_enrichment_chain", """
-SELECT n_nationkey, customers, suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON c_nationkey = n_nationkey
+SELECT n_nationkey, customers, suppliers FROM nation LEFT JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_nationkey ELSE -1 - c_nationkey END AS k, count(*) AS customers FROM customer GROUP BY 1) ON k = n_nationkey
 LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
 def j09(t):
     base = t("nation").select("n_nationkey")
-    c = t("customer").where("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    key = F.when(F.col("c_acctbal") < 0, F.col("c_nationkey")).otherwise(-1 - F.col("c_nationkey"))
+    c = t("customer").groupBy(key.alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
     s = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
     return J.enrich(base, "n_nationkey", c, None, s)
 
 
 @query("j10_list_key_lookup", """
 WITH k AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-SELECT l_orderkey AS order_id, count(*) AS listed, count(p_partkey) AS found, max(p_name) AS last_name FROM k LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY 1""")
+SELECT l_orderkey AS order_id, count(*) AS listed, count(p_partkey) AS found, max(p_name) AS last_name FROM k LEFT JOIN part ON l_partkey = CASE WHEN p_size > 10 THEN p_partkey ELSE -p_partkey END GROUP BY 1""")
 def j10(t):
     # list cells such as "['12', '7', '12']", as multi-valued references are published
     cells = t("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.concat(F.lit("['"), F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "', '"), F.lit("']")).alias("refs"))
-    lookup = t("part").where("p_size > 10").select(F.col("p_partkey").cast("string").alias("part_key"), "p_name")
+    key = F.when(F.col("p_size") > 10, F.col("p_partkey")).otherwise(-F.col("p_partkey"))
+    lookup = t("part").select(key.cast("string").alias("part_key"), "p_name")
     rows = J.list_key_lookup(cells, "order_id", X.parse_list(F.col("refs")), lookup, "part_key")
     return rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("listed"), F.count("_lookup").alias("found"), F.max("p_name").alias("last_name"))
 

@@ -132,6 +132,16 @@ def n10(t):
     return N.cells_table(incidents_like(t), cells).groupBy("cell_id", "status").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("n10b_run_cells_dirty", _T + """
+SELECT 'good' AS cell_id, 'success' AS status, count(DISTINCT sector_of_deployment) AS records FROM t UNION ALL SELECT 'pattern', 'error', 1""")
+def n10b(t):
+    """A bad pattern fails alone, a filter of another kind than its column finds nothing."""
+    filters = lambda f: {**cell("top_n", field="sector_of_deployment", filters=f)}
+    cells = [{**cell("top_n", field="sector_of_deployment"), "id": "good"}, {**filters({"sector_of_deployment": {"contains": "("}}), "id": "pattern"},
+             {**filters({"incident_id": "no number"}), "id": "typed"}]
+    return N.cells_table(incidents_like(t), cells).groupBy("cell_id", "status").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("n11_auto_plan", _T + """
 SELECT 'categorical' AS use, 'harm_type' AS "column", round(count(harm_type) / count(*) + 0.2 - count(DISTINCT harm_type) / 200.0, 6) AS score FROM t
 UNION ALL SELECT 'categorical', 'sector_of_deployment', round(1.2 - count(DISTINCT sector_of_deployment) / 200.0, 6) FROM t

@@ -129,6 +129,12 @@ def w05(t):
     return W.keep_first(t("lineitem").select("l_orderkey", "l_returnflag"), ["l_orderkey", "l_returnflag"])
 
 
+@query("w05b_keep_first_ordered", "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) = 1")
+def w05b(t):
+    rows = t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", (-F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("_age"))
+    return W.keep_first(rows, ["l_partkey"], ["_age", "l_orderkey", "l_linenumber"]).drop("_age")
+
+
 @query("w06_top_per_group", """
 SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer)
 WHERE rank <= 3""")
