@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from dataclasses import dataclass, field
+from struct import pack
 
 import numpy as np
 import regex
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .rows import map_rows, sql_type
 
-KEPT_WORDS = 300_000  # codes a worker keeps; beyond, it starts anew
+KEPT_WORDS = 500_000  # codes a worker keeps; beyond, it starts anew
 # Fixed values of the vocabulary's format: white space, the pattern of pieces, the mark of a word's end.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -46,7 +47,8 @@ class Vocabulary:
     name: str = ""
     words: dict[str, tuple[bytes, str]] = field(default_factory=dict)
     pieces: dict[str, list[int]] = field(default_factory=dict)
-    ranks: dict[int, int] = field(default_factory=dict)
+    pairs: list[dict[int, int]] = field(default_factory=list)  # by left symbol: right symbol -> rank
+    results: list[int] = field(default_factory=list)  # by rank
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -62,7 +64,10 @@ class Vocabulary:
                    [ids[c + WORD_END] for c in byte_letters()], path)
 
     def prepare(self) -> None:
-        self.ranks = {a << 32 | b: rank << 32 | new for rank, (a, b, new) in enumerate(self.merges)}
+        self.pairs = [{} for _ in self.tokens]
+        for rank, (a, b, new) in enumerate(self.merges):
+            self.pairs[a].setdefault(b, rank)
+        self.results = [new for _, _, new in self.merges]
         self.piece = regex.compile(PIECES).findall
         self.split = regex.compile(rf"[^{SPACE}]+").findall
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split if self.special else None
@@ -74,7 +79,7 @@ class Vocabulary:
         n = len(symbols)
         if n == 1:
             return symbols
-        find, none = self.ranks.get, 1 << 62
+        pairs, results, none = self.pairs, self.results, 1 << 62
         size = 1 << (n - 1).bit_length()
         place = size - 1
         bits = place.bit_length()
@@ -82,9 +87,9 @@ class Vocabulary:
         k = size
         left = symbols[0]
         for right in symbols[1:]:
-            found = find(left << 32 | right)
-            if found is not None:
-                tree[k] = (found >> 32) << bits | k - size
+            rank = pairs[left].get(right)
+            if rank is not None:
+                tree[k] = rank << bits | k - size
             k += 1
             left = right
         for k in range(size - 1, 0, -1):
@@ -94,20 +99,20 @@ class Vocabulary:
         while (root := tree[1]) != none:
             i = root & place
             j, prior = after[i], before[i]
-            symbols[i] = new = find(symbols[i] << 32 | symbols[j]) & 0xFFFFFFFF
+            symbols[i] = new = results[root >> bits]
             symbols[j] = -1
             after[i] = following = after[j]
-            changes = [(j, none)]
-            found = None
+            value = none
             if following < n:
                 before[following] = i
-                found = find(new << 32 | symbols[following])
-            changes.append((i, none if found is None else (found >> 32) << bits | i))
+                rank = pairs[new].get(symbols[following])
+                if rank is not None:
+                    value = rank << bits | i
+            changes = ((i + size, value), (j + size, none))
             if prior >= 0:
-                found = find(symbols[prior] << 32 | new)
-                changes.append((prior, none if found is None else (found >> 32) << bits | prior))
+                rank = pairs[symbols[prior]].get(new)
+                changes = ((prior + size, none if rank is None else rank << bits | prior), *changes)
             for k, value in changes:
-                k += size
                 if tree[k] == value:
                     continue
                 tree[k] = value
@@ -123,7 +128,7 @@ class Vocabulary:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Codes of a text without white space, and the tokens decoded from them."""
-        lower = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        lower = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         ids: list[int] = []
         for piece in self.piece(lower):
             found = self.pieces.get(piece)
@@ -135,13 +140,13 @@ class Vocabulary:
         for kept in (self.words, self.pieces):
             if len(kept) >= KEPT_WORDS:
                 kept.clear()
-        found = np.array(ids, "<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids))
+        found = pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
         if len(word) <= 64:
             self.words[word] = found
         return found
 
     def encode_decode(self, text: str | None) -> tuple[int, bytes, str]:
-        if not self.ranks:
+        if not self.pairs:
             self.prepare()
         parts = [text or ""]
         if self.marks and any(s in parts[0] for s in self.special):
