@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_date, parse_timestamp, year_of
 from ..functions.text import clean_tokens, round_even, split_labels, to_number
 from .quantiles import grouped_median
-from .shape import NESTED, col, field_types, melt_numbers, melt_text, numeric_columns, without_nan
+from .shape import NESTED, col, field_types, melt_numbers, melt_text, numeric_columns, small_table, without_nan
 from ..functions.text import stable_token
 
-PAIRS_PER_PASS = 100
 # Run states counted as "processing" in the run overview.
 PROCESSING_STATES = ["preprocessing", "eda_running", "agents_running", "queued"]
 
@@ -134,34 +132,27 @@ def correlation_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.select(F.lit(x).alias("x_field"), F.lit(y).alias("y_field"), value.alias("value"), "sample_size")
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(col1, col2, r)`` for every pair col1 before col2; pairwise-complete, at most 100 pairs per scan."""
-    names = list(columns or numeric_columns(df))
+def _correlations(df: DataFrame, names: Sequence[str], own: bool) -> DataFrame:
+    """``(col1, col2, r)`` for every pair col1 before col2, with ``own`` also for each varying column and itself; one scan."""
     ready = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None)).alias(c) for c in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        one = ready.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        rows = F.array(*[
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-        ])
-        parts.append(one.select(F.inline(rows)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
-    return reduce(DataFrame.unionAll, parts)
+    pairs = [(a, b, pearson(col(a), col(b))) for i, a in enumerate(names) for b in names[i + 1:]]
+    pairs += [(c, c, F.when(F.var_pop(col(c)) > 0, 1.0)) for c in names if own]
+    if not pairs:
+        return small_table(df.sparkSession, [], "col1 string, col2 string, r double")
+    one = ready.agg(*[r.alias(f"r{i}") for i, (_, _, r) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r")) for i, (a, b, _) in enumerate(pairs)])))
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(col1, col2, r)`` for every pair col1 before col2, pairwise-complete."""
+    return _correlations(df, list(columns or numeric_columns(df)), own=False)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full symmetric matrix in long form, diagonal included."""
-    names = list(columns or numeric_columns(df))
-    upper = correlation_pairs(df, names)
-    ready = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None)).alias(c) for c in names])
-    own = ready.agg(*[F.when(F.var_pop(col(c)) > 0, 1.0).alias(c) for c in names]).unpivot(
-        [], [col(c) for c in names], "col1", "r").select("col1", F.col("col1").alias("col2"), "r")
-    both = F.array(F.struct("col1", "col2", "r"), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r"))
-    return upper.select(F.inline(both)).unionByName(own)
+    cells = F.array(F.struct("col1", "col2", "r"), F.when(F.col("col1") != F.col("col2"), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r")))
+    return _correlations(df, list(columns or numeric_columns(df)), own=True).select(F.inline(F.array_compact(cells)))
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.85) -> DataFrame:

@@ -160,6 +160,11 @@ def class_balance(df: DataFrame) -> DataFrame:
     """Value counts of text and boolean columns with 2 to 20 distinct values."""
     types = field_types(df)
     chosen = [c for c in df.columns if _kind(types[c]) in ("text", "boolean")]
+    if not chosen:
+        return value_table(df, chosen).select("column", "value", F.col("n").alias("count"))
+    # a sketch turns away columns far beyond the limit before any of their values is moved; the counts below decide
+    sizes = df.agg(*[F.approx_count_distinct(col(c).cast("string")).alias(f"d{i}") for i, c in enumerate(chosen)]).first()
+    chosen = [c for i, c in enumerate(chosen) if sizes[i] <= 40] or chosen[:1]
     booleans = [c for c in chosen if isinstance(types[c], T.BooleanType)]
     counts = value_table(df, chosen)
     few = counts.groupBy("column").agg(F.count("value").alias("u")).where(F.col("u").between(2, 20)).select("column")
