@@ -37,7 +37,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def folder(path: Column) -> Column:
     """A path up to and with its last slash."""
-    return F.regexp_extract(path, r"^(.*/)?", 0)
+    return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
