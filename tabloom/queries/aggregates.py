@@ -72,6 +72,14 @@ def a06b(t):
     return A.distinct_counts(t("lineitem"), approx=True)
 
 
+@query("a06d_approx_distinct_error", """SELECT 'l_orderkey' AS "column", true AS near FROM lineitem UNION SELECT 'l_partkey', true FROM lineitem UNION SELECT 'l_shipdate', true FROM lineitem UNION SELECT 'l_returnflag', true FROM lineitem""")
+def a06d(t):
+    """The sketch is within a fifth of the exact count."""
+    df = t("lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag")
+    near, exact = A.distinct_counts(df, approx=True).withColumnRenamed("n_distinct", "near"), A.distinct_counts(df)
+    return exact.join(near, "column").select("column", (F.abs(F.col("near") - F.col("n_distinct")) <= 0.2 * F.col("n_distinct")).alias("near"))
+
+
 @query("a07_numeric_moments", union([
     f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min, max({c}) AS max, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 4) AS std, "
     f"round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM lineitem" for c in _NUMBERS]), spread=True)

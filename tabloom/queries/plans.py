@@ -99,6 +99,13 @@ def n08(t):
     return N.run_cell(t("documents"), cell("text_sample", field="text", n=10))
 
 
+@query("n08b_text_sample_properties", "SELECT least(10, count(*)) AS rows, least(10, count(*)) AS from_table FROM documents WHERE text IS NOT NULL")
+def n08b(t):
+    sample = N.run_cell(t("documents"), cell("text_sample", field="text", n=10))
+    member = sample.join(t("documents").select(F.col("text").alias("sample")).distinct(), "sample", "left_semi").agg(F.count(F.lit(1)))
+    return sample.agg(F.count(F.lit(1)).alias("rows")).select("rows", member.scalar().alias("from_table"))
+
+
 @query("n09_detailed_summary", _T + f""", y AS (SELECT year, count(*) AS n FROM t GROUP BY 1),
 h AS (SELECT harm_type AS v, count(*) AS n FROM t WHERE harm_type IS NOT NULL GROUP BY 1), s AS (SELECT sector_of_deployment AS v, count(*) AS n FROM t GROUP BY 1), d AS (SELECT deployer AS v, count(*) AS n FROM t GROUP BY 1)
 SELECT 'total' AS section, CAST(1 AS BIGINT) AS position, NULL AS label, count(*) AS count, NULL AS value FROM t

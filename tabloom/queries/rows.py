@@ -180,11 +180,33 @@ def o04(t):
     return R.text_sample(t("documents"), "text", 10, key=["doc_id"])
 
 
+@query("o04b_seeded_sample_properties", "SELECT least(10, count(*)) AS rows, least(10, count(*)) AS from_table, true AS repeatable FROM documents WHERE text IS NOT NULL")
+def o04b(t):
+    """Size, membership and repetition of the sample."""
+    docs = t("documents")
+    first, again = R.text_sample(docs, "text", 10, key=["doc_id"]), R.text_sample(docs.repartition(7, "doc_id"), "text", 10, key=["doc_id"])
+    member = first.join(docs.select(F.col("text").alias("sample")).distinct(), "sample", "left_semi").agg(F.count(F.lit(1)))
+    return first.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", member.scalar().alias("from_table"), (first.exceptAll(again).agg(F.count(F.lit(1))).scalar() == 0).alias("repeatable"))
+
+
 @query("o05_fraction_sample")
 def o05(t):
     return R.fraction_sample(t("lineitem"), 0.1).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("o05b_fraction_sample_properties", "SELECT l_returnflag, true AS near_share, true AS from_table FROM lineitem GROUP BY 1")
+def o05b(t):
+    """Six standard deviations about the wanted share in each group; no row that is not in the table."""
+    lines = t("lineitem")
+    taken = R.fraction_sample(lines, 0.1).withColumn("_taken", F.lit(1)).select("l_orderkey", "l_linenumber", "l_returnflag", "_taken")
+    counts = lines.select("l_returnflag", F.lit(0).alias("_taken")).unionAll(taken.select("l_returnflag", "_taken")).groupBy("l_returnflag").agg(
+        F.sum("_taken").alias("n"), F.count_if(F.col("_taken") == 0).alias("all"))
+    strange = taken.join(lines, ["l_orderkey", "l_linenumber"], "left_anti").agg(F.count(F.lit(1)))
+    spread = F.abs(F.col("n") - 0.1 * F.col("all")) <= 6 * F.sqrt(0.09 * F.col("all")) + 1
+    return counts.select("l_returnflag", spread.alias("near_share"), (strange.scalar() == 0).alias("from_table"))
+
+
 @query("o06_history_page", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def o06(t):
     return history_page(t("orders"), 20, 40, "o_orderdate", "o_orderkey").select("o_orderkey")
