@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import split_join
-from .rows import cut_lineage, map_batches, sql_type
+from .rows import cut_lineage, least_hashed, map_batches, sql_type
 
 TRAIN_ROWS = 2_000
 FEATURES = 6_000
@@ -60,8 +60,8 @@ def grams(text: str) -> Counter:
 
 def letter_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages in order, and the log-probability of each kept string under each."""
-    sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("by")).orderBy("by").limit(TRAIN_ROWS)
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sample = least_hashed(known, [id_col], TRAIN_ROWS).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict[str, Counter] = {}

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import split_join
+from .rows import cut_lineage, least_hashed, text_key
 
 NEGATIVES = 1_000
 CONFIRMED = 0.6  # share of a template's bigrams
@@ -127,10 +128,6 @@ def words_column(paragraph: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(paragraph), _WORD), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
 
 
-def text_key(value: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit(""))
-
-
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
     """owner, hash, place, paragraph, words of the lines that hold an anchor."""
     lines = docs.select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "paragraph"))
@@ -142,8 +139,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """owner, hash, place, family, probability, confirmed for the paragraphs predicted to be of a known family."""
     spark = docs.sparkSession
     if model is None:
-        sample = paragraphs(docs, id_col, text_col, anchors()).select("paragraph", F.xxhash64("paragraph").alias("by")).distinct().orderBy("by").limit(NEGATIVES)
-        model = fit([r["paragraph"] for r in sample.collect()])
+        marked = cut_lineage(paragraphs(docs, id_col, text_col, anchors()).select("paragraph").distinct())
+        model = fit(sorted(r["paragraph"] for r in least_hashed(marked, ["paragraph"], NEGATIVES).collect()))
     found = paragraphs(docs, id_col, text_col, model.anchors)
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.concat_ws(" ", F.col("words")[k], F.col("words")[k + 1]))
     grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array())))

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, split_join
-from .rows import cut_lineage, map_batches, sql_type
+from .rows import cut_lineage, map_batches, sql_type, text_key
 
 WORDS = 5
 PERCENT = 75
@@ -105,10 +105,6 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
-def text_key(value: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit(""))
-
-
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         shingles = Shingler()

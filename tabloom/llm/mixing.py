@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import split_join
-from .rows import cut_lineage
+from .rows import cut_lineage, text_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -28,11 +28,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_key(source: Column) -> Column:
-    """A text that is never null and differs for null and every value."""
-    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
-
-
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """key, source_size, target from rows (key, source, size). The windows run over one row per source.
 
@@ -79,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text = F.col(text_col)
     thin = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), word_count(text).alias("size"),
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(source_col).alias("source"), text_key(source_col).alias("key"), word_count(text).alias("size"),
         # 53 bits of a hash, strictly inside (0, 1)
         ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11) + 0.5) * 2.0 ** -53).alias("u"))
     thin = cut_lineage(thin.withColumn("preference", F.floor(F.log2(F.col("size") + 1.0)) + 1.0))
@@ -123,7 +118,7 @@ def running_sums(rows: DataFrame, left: DataFrame, part: str) -> DataFrame:
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself: every document with all its columns, as often as it is taken."""
     copies = mix(docs, id_col, text_col, source_col, **settings).where("copies > 0").select(
-        source_key(F.col(id_col)).alias("owner"), source_key(F.col(source_col)).alias("of"), "hash", "copies").dropDuplicates(["owner", "of", "hash"])
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(id_col)).alias("owner"), source_key(F.col(source_col)).alias("of"), F.xxhash64(text_col).alias("hash"))
+        text_key(id_col).alias("owner"), text_key(source_col).alias("of"), "hash", "copies").dropDuplicates(["owner", "of", "hash"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(id_col).alias("owner"), text_key(source_col).alias("of"), F.xxhash64(text_col).alias("hash"))
     taken = split_join(packed, copies, ["owner", "of", "hash"])
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import split_join
-from .rows import cut_lineage, map_rows, sql_type
+from .rows import cut_lineage, map_rows, sql_type, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -130,10 +130,6 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUS
     return ranked.where(F.col("score") >= trust).select("pattern", "kind")
 
 
-def text_key(value: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit(""))
-
-
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
     """id, hash (of the text), plain and found: arrays of (start, stop, kind) in order; ``found`` holds what was discovered."""
     span = "struct<start:int,stop:int,kind:string>"

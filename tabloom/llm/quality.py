@@ -15,11 +15,11 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import split_join
-from .rows import cut_lineage, map_rows, sql_type
+from .rows import cut_lineage, map_rows, sql_type, text_key
 
 MAX_DOCS = 20
 MIN_LEFT = 1 / 3
@@ -73,11 +73,6 @@ def text_figures(text: str | None) -> tuple[int, int, int, int, int, list[dict]]
             [{"line": k, "words": n, "places": at} for k, (n, at) in lines.items()])
 
 
-def text_key(value) -> Column:
-    """A text that is never null and differs for null and every value."""
-    return F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit(""))
-
-
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
                     min_left: float = MIN_LEFT) -> DataFrame:
     """id, hash (of the text), host, the five figures, words_left, removed (numbers of removed lines, from 0), base_failed, kept."""

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 from ..session import cut_lineage
 
@@ -56,21 +55,18 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def digest(text: str | None) -> bytes:
-    """16 bytes that stand for a text: equal texts have equal digests, and null has the empty one."""
-    return b"" if text is None else xxhash.xxh3_128_digest(text.encode())
+def text_key(value: str | Column) -> Column:
+    """A text that is never null and differs for null and every value, to join rows on columns that may be null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
-def struct_type(schema: str) -> StructType:
-    return _parse_datatype_string(schema)
+def least_hashed(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The ``n`` rows with the least hash of the columns ``by``. The hashes alone are ordered, each task keeping n of them; whole
+    rows are read again by the greatest hash that is in."""
+    code = F.xxhash64(*by)
+    most = df.select(code.alias("code")).orderBy("code").limit(n).agg(F.max("code")).first()[0]
+    return df.where(code <= F.lit(most)).limit(n)
 
 
-def all_equal(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Join condition under which nulls are equal; an equi-join for Spark."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
-
-
-__all__ = ["all_equal", "cut_lineage", "digest", "map_batches", "map_rows", "sql_type", "struct_type", "to_batch"]
+__all__ = ["cut_lineage", "least_hashed", "map_batches", "map_rows", "sql_type", "text_key", "to_batch"]

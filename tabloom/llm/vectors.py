@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, split_join
-from .rows import cut_lineage, map_batches
+from .rows import cut_lineage, least_hashed, map_batches
 
 COSINE = 0.98
 PIVOTS, NEAREST, SHARED = 256, 7, 3
@@ -119,7 +119,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = table.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(label_col, vector_col)).alias("node"), F.col(label_col).alias("label"), vector.cast("array<double>").alias("v"))
     classes = cut_lineage(rows.where("node is not null").groupBy("node", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
 
-    sample = classes.select("v", F.xxhash64("node").alias("by")).orderBy("by").limit(SAMPLE).collect()
+    sample = least_hashed(classes.select("v", "node"), ["node"], SAMPLE).orderBy("node").collect()
     pivots: dict[int, list] = {}
     for r in sample:
         pivots.setdefault(len(r["v"]), []).append(r["v"])
