@@ -16,6 +16,29 @@ def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.withColumn("_dealt", dealt).join(right.withColumn("_dealt", dealt), ["_dealt", *keys], how).drop("_dealt")
 
 
+def fingerprint(pairs: DataFrame) -> tuple:
+    """Two numbers that stay the same when the rows do."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``of`` (node, root) after more links (a, b): only their roots are worked on again."""
+    ends = cut_lineage(with_roots(links, of).where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if ends.isEmpty():
+        return of
+    up = cut_lineage(components(ends))
+    old = split_join(of.select("node", F.col("root").alias("at")), up.select(F.col("node").alias("at"), "root"), "at", "left")
+    new = split_join(up, of.select("node"), "node", "left_anti")
+    return cut_lineage(old.select("node", F.coalesce("root", "at").alias("root")).unionByName(new.select("node", "root")))
+
+
+def with_roots(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the roots of both in ra, rb; a node without links is its own root."""
+    for end, root in (("a", "ra"), ("b", "rb")):
+        pairs = split_join(pairs, of.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+    return pairs
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): the least node it is connected with, itself for the least one.
 
@@ -23,16 +46,16 @@ def components(links: DataFrame) -> DataFrame:
     split like any hot key. Each round is written to the shared folder, so a lost executor costs one round.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before = cut_lineage(pairs), None
+    pairs = cut_lineage(pairs)
+    before = fingerprint(pairs)
     while True:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
         large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        large = cut_lineage(large)
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         moved = split_join(large, least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         pairs = cut_lineage(moved.union(least.select("u", F.col("least").alias("v"))).distinct())
-        after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = fingerprint(pairs)
         if after == before:
             break
         before = after

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, split_join
+from .graph import components, merged, split_join, with_roots
 from .rows import cut_lineage, map_batches, sql_type, text_key
 
 WORDS = 5
@@ -193,11 +193,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = cut_lineage(promising(shared.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), classes.drop("shingles"), percent))
     # the most alike first; others only where that leaves two components
     first = near.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", "best.b")
-    links = cut_lineage(verified(first, classes, percent))
-    of = cut_lineage(components(links))
-    links = cut_lineage(links.union(verified(across(near.select("a", "b"), of), classes, percent)))
-    links = cut_lineage(links.union(joining_links(shared, components(links), classes, percent)))
-    of = components(links).select(F.col("node").alias("c"), "root")
+    of = cut_lineage(components(verified(first, classes, percent)))
+    of = merged(of, verified(across(near.select("a", "b"), of), classes, percent))
+    of = merged(of, joining_links(shared, of, classes, percent)).select(F.col("node").alias("c"), "root")
 
     ids = split_join(seen.groupBy("c").agg(F.min("id").alias("id")), of, "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = split_join(ids.select("c", "root"), ids.groupBy("root").agg(F.min("id").alias("component_id")), "root")
@@ -207,13 +205,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "hash", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
 
-def with_roots(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the roots of both in ra, rb; a node without links is its own root."""
-    for end, root in (("a", "ra"), ("b", "rb")):
-        pairs = split_join(pairs, of.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
-    return pairs
-
-
 def across(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return with_roots(pairs, of).where("ra <> rb").select("a", "b")
 
