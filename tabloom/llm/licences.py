@@ -52,6 +52,9 @@ UNRELATED = [
     "the general public was invited", "a copy of the letter was sent to the office", "the apache people lived there", "the foundation published a version of the report",
     "reserved seats in the first row", "the software is used in many schools", "free of charge for children", "students at MIT built a robot", "civil rights were reserved for citizens",
 ]
+# Words of which every template holds one; paragraphs without them are of the unknown class.
+ANCHORS = ["license", "licensed", "licence", "licenced", "copyright", "permission", "rights", "apache", "mit", "gnu", "gpl", "bsd", "mozilla", "creative", "cc",
+           "cc0", "domain", "redistribution", "unencumbered", "proprietary", "unauthorized"]
 _WORD = r"[^a-z0-9.+]+"
 
 
@@ -77,11 +80,6 @@ class Model:
     anchors: list[str]
 
 
-def anchors() -> list[str]:
-    """Words of the templates with four letters or more, or with a digit: a marked paragraph holds one of them."""
-    return sorted({w for _, _, grams in template_rows() for w in grams if " " not in w and (len(w) > 3 or any(c.isdigit() for c in w))} | {"mit", "bsd", "gnu", "cc"})
-
-
 def fit(negatives: list[str], seed: int = 3, steps: int = 300, rate: float = 2.0, penalty: float = 1e-4) -> Model:
     """Multinomial logistic regression by full gradient steps on the bounded training rows. A quarter of the rows without a
     licence is held out and sets the threshold."""
@@ -121,7 +119,7 @@ def fit(negatives: list[str], seed: int = 3, steps: int = 300, rate: float = 2.0
         e = np.exp(s - s.max())
         scores.append(float((e[:-1] / e.sum()).max()))
     threshold = max(0.5, float(np.quantile(scores, 1 - FALSE_RATE))) if scores else 0.5
-    return Model(families, {g: w[k].tolist() for g, k in vocabulary.items()}, w[-1].tolist(), min(threshold, 0.95), anchors())
+    return Model(families, {g: w[k].tolist() for g, k in vocabulary.items()}, w[-1].tolist(), min(threshold, 0.95), ANCHORS)
 
 
 def words_column(paragraph: Column) -> Column:
@@ -129,22 +127,29 @@ def words_column(paragraph: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """owner, hash, place, paragraph, words of the lines that hold an anchor."""
-    lines = docs.select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "paragraph"))
-    marked = lines.withColumn("words", words_column(F.col("paragraph")))
-    return marked.where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
+    """row, owner, hash, place, paragraph, words of the lines that hold an anchor. Texts and lines without the letters of any
+    anchor are passed over before they are cut into words."""
+    def holds(text: Column) -> Column:
+        lower, found = F.lower(text), F.lit(False)
+        for w in words:
+            found = found | F.contains(lower, F.lit(w))
+        return found
+
+    rows = docs.where(holds(F.col(text_col))).select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    lines = rows.select("row", "owner", "hash", F.posexplode(F.split("text", "\n")).alias("place", "paragraph")).where(holds(F.col("paragraph")))
+    return lines.withColumn("words", words_column(F.col("paragraph"))).where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """owner, hash, place, family, probability, confirmed for the paragraphs predicted to be of a known family."""
     spark = docs.sparkSession
     if model is None:
-        marked = cut_lineage(paragraphs(docs, id_col, text_col, anchors()).select("paragraph").distinct())
+        marked = cut_lineage(paragraphs(docs, id_col, text_col, ANCHORS).select("paragraph").distinct())
         model = fit(sorted(r["paragraph"] for r in least_hashed(marked, ["paragraph"], NEGATIVES).collect()))
     found = paragraphs(docs, id_col, text_col, model.anchors)
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.concat_ws(" ", F.col("words")[k], F.col("words")[k + 1]))
     grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array())))
-    marks = found.select("owner", "hash", "place", F.explode(grams).alias("gram")).distinct()
+    marks = found.select("row", "owner", "hash", "place", F.explode(grams).alias("gram"))
 
     # one row per string of the bounded vocabulary: its weights, and the templates it belongs to
     belongs: dict[str, list[int]] = {}
@@ -160,7 +165,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     met = marks.join(table, "gram")
     sums = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(len(model.families))]
     shares = [(F.sum(F.array_contains("templates", F.lit(number)).cast("int")) / max(size, 1)).alias(f"t{number}") for number, (_, size) in sizes.items()]
-    scored = met.groupBy("owner", "hash", "place").agg(*sums, *shares)
+    scored = met.groupBy("row", "owner", "hash", "place").agg(*sums, *shares)
     scores = [F.col(f"s{k}") + b for k, b in enumerate(model.bias)]
     top = F.greatest(*scores)
     total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
@@ -177,7 +182,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 def document_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """id, families (in order), n_paragraphs, probability (of the surest) for every row."""
     hits = scan(docs, id_col, text_col, model).groupBy("owner", "hash").agg(
-        F.sort_array(F.collect_set("family")).alias("families"), F.count("*").alias("n_paragraphs"), F.max("probability").alias("probability"))
+        F.sort_array(F.collect_set("family")).alias("families"), F.count_distinct("place").alias("n_paragraphs"), F.max("probability").alias("probability"))
     rows = docs.select(F.col(id_col), text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"))
     out = split_join(rows, hits, ["owner", "hash"], "left")
     return out.select(id_col, F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), "probability")
