@@ -1,21 +1,28 @@
-"""Licence scan by a trained paragraph classifier.
+"""Licence scan by templates and a trained passage classifier.
 
-Paragraphs (lines) that hold a word of the licence vocabulary become sparse sets of word unigrams and bigrams; a logistic
-regression gives each family and the unknown class a probability; a family is named when its probability passes the threshold
-calibrated on held-out paragraphs and one of its templates is found again in the paragraph.
+The words of a text are one sequence, whatever its lines: a template is confirmed where a window of words holds CONFIRMED of
+its bigrams (the window is twice the template's words and 30 more). Confirmed places that overlap are one passage. The passage's
+word unigrams and bigrams are scored by a logistic regression with an unknown class; the families of which the passage has a
+mark are named, all of them, or without any mark the surest one that is confirmed, when the probability of the confirmed
+families together passes the threshold calibrated on held-out paragraphs.
 
-The model is fitted by the driver on the templates below, thinned and embedded in text, and on at most NEGATIVES paragraphs of
+The model is fitted by the driver on the templates below, thinned and embedded in text, and on at most NEGATIVES lines of
 the corpus (those with the least hash); nothing else is taken to the driver. Scoring is joins and sums of DataFrames.
 
-Defined cases: a null or empty text names nothing; a family named twice in a document is given once, with the number of
-paragraphs; repeated rows have equal results; an empty table gives an empty result; null ids are kept; other columns are not
-read. A paragraph without any word of the vocabulary is of the unknown class.
+Defined cases: a null or empty text names nothing; a family named twice in a document is given once; n_paragraphs counts the
+lines on which a named passage ends, so a notice wrapped over lines counts once; repeated rows have equal results; an empty
+table gives an empty result; null ids are kept; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -52,6 +59,13 @@ UNRELATED = [
     "the general public was invited", "a copy of the letter was sent to the office", "the apache people lived there", "the foundation published a version of the report",
     "reserved seats in the first row", "the software is used in many schools", "free of charge for children", "students at MIT built a robot", "civil rights were reserved for citizens",
 ]
+# Bigrams that tell a family from those with nearly the same wording. A template that has none of its family's is
+# told by any of its own.
+MARKS = {
+    "apache-2.0": ["the apache", "apache license"], "mit": ["the mit", "mit license"], "bsd": ["the bsd", "bsd license"], "mpl-2.0": ["the mozilla", "mozilla public"],
+    "gpl": ["gnu general"], "lgpl": ["gnu lesser", "lesser general"], "agpl": ["gnu affero", "affero general"],
+    "cc-by": ["by 4.0", "attribution 4.0"], "cc-by-sa": ["by sa", "attribution sharealike"], "cc-by-nc": ["by nc", "attribution noncommercial"],
+}
 # Words of which every template holds one; paragraphs without them are of the unknown class.
 ANCHORS = ["license", "licensed", "licence", "licenced", "copyright", "permission", "rights", "apache", "mit", "gnu", "gpl", "bsd", "mozilla", "creative", "cc",
            "cc0", "domain", "redistribution", "unencumbered", "proprietary", "unauthorized"]
@@ -123,60 +137,121 @@ def fit(negatives: list[str], seed: int = 3, steps: int = 300, rate: float = 2.0
 
 
 def words_column(paragraph: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(paragraph), _WORD), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    return F.filter(F.transform(F.split(paragraph, _WORD), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a text has the letters of any of the words."""
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in words]))
+
+
+def templates() -> list[dict]:
+    """number, family, grams (bigrams), marks, need (bigrams that confirm), reach (words in which they must lie)."""
+    out = []
+    for number, (family, text) in enumerate((f, t) for f, all_ in TEMPLATES.items() for t in all_):
+        words = words_of(text)
+        grams = sorted(set(map(" ".join, zip(words, words[1:]))))
+        own = sorted(set(MARKS.get(family, [])) & set(grams))
+        out.append({"number": number, "family": family, "grams": grams, "marks": own or grams, "need": ceil(CONFIRMED * len(grams) - 1e-9), "reach": 2 * len(words) + 30})
+    return out
+
+
+def passages(text: Column) -> Column:
+    """Array of (start, stop, line, families, own) for the places of a text where templates are confirmed: a template's bigrams
+    are counted in windows of words that run across line ends; passages that overlap are one. ``own`` are the families of which
+    a mark was found, ``line`` is the one on which the passage ends, words are counted from 0."""
+    known = templates()
+    table = F.array(*[F.struct(F.lit(t["family"]).alias("family"), F.array(*map(F.lit, t["grams"])).alias("grams"), F.array(*map(F.lit, t["marks"])).alias("marks"),
+                               F.lit(t["need"]).alias("need"), F.lit(t["reach"]).alias("reach")) for t in known])
+    every = sorted({g for t in known for g in t["grams"]})
 
+    def hits(tokens: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda k: F.struct(
+            k.alias("at"), tokens[k + 1]["line"].alias("line"), F.concat_ws(" ", tokens[k]["word"], tokens[k + 1]["word"]).alias("gram")))
+        return F.when(F.size(tokens) > 1, F.filter(pairs, lambda p: p["gram"].isin(every)))
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """row, owner, hash, place, paragraph, words of the lines that hold an anchor. Texts and lines without the letters of any
-    anchor are passed over before they are cut into words."""
-    def holds(text: Column) -> Column:
-        lower, found = F.lower(text), F.lit(False)
-        for w in words:
-            found = found | F.contains(lower, F.lit(w))
-        return found
+    def window(own: Column, k: Column, reach: Column) -> Column:
+        """From hit k: the bigrams met, and where the last new one was."""
+        begin = F.struct(F.array().cast("array<string>").alias("met"), own[k]["at"].alias("start"), own[k]["at"].alias("stop"), own[k]["line"].alias("line"))
+        near = F.filter(F.slice(own, k + 1, reach), lambda h: h["at"] < own[k]["at"] + reach)
+        return F.aggregate(near, begin, lambda w, h: F.when(F.array_contains(w["met"], h["gram"]), w).otherwise(F.struct(
+            F.concat(w["met"], F.array(h["gram"])).alias("met"), w["start"].alias("start"), (h["at"] + 1).alias("stop"), h["line"].alias("line"))))
 
-    rows = docs.where(holds(F.col(text_col))).select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    lines = rows.select("row", "owner", "hash", F.posexplode(F.split("text", "\n")).alias("place", "paragraph")).where(holds(F.col("paragraph")))
-    return lines.withColumn("words", words_column(F.col("paragraph"))).where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
+    def places(found: Column, t: Column) -> Column:
+        """Windows that confirm, from the left, without those that a later start makes shorter at no loss."""
+        own = F.filter(found, lambda h: F.array_contains(t["grams"], h["gram"]))
+        none = F.array().cast("array<struct<start:int,stop:int,line:int,families:array<string>,own:array<string>>>")
+        length = lambda w: w["stop"] - w["start"]
+
+        def choose(windows: Column) -> Column:
+            good = F.filter(windows, lambda w, k: (F.size(w["met"]) >= t["need"]) & ~F.coalesce(
+                (F.size(F.get(windows, k + 1)["met"]) >= F.size(w["met"])) & (length(F.get(windows, k + 1)) <= length(w)), F.lit(False)))
+            return F.aggregate(good, none, lambda done, w: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] > w["start"]), done).otherwise(F.concat(done, F.array(F.struct(
+                w["start"].alias("start"), w["stop"].alias("stop"), w["line"].alias("line"), F.array(t["family"]).alias("families"),
+                F.when(F.arrays_overlap(w["met"], t["marks"]), F.array(t["family"])).otherwise(F.array().cast("array<string>")).alias("own"))))))
+
+        return let(own, lambda o: let(F.transform(F.sequence(F.lit(0), F.size(o) - 1), lambda k: window(o, k, t["reach"])), choose))
+
+    def merge(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], p["stop"]).alias("stop"), F.greatest(last["line"], p["line"]).alias("line"),
+                        F.array_union(last["families"], p["families"]).alias("families"), F.array_union(last["own"], p["own"]).alias("own"))
+        return F.when((F.size(done) > 0) & (last["stop"] >= p["start"]) & (last["line"] == p["line"]) | (last["stop"] > p["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(p)))
+
+    def of(tokens: Column) -> Column:
+        def confirmed(found: Column) -> Column:
+            met = F.array_distinct(F.transform(found, lambda h: h["gram"]))
+            able = F.filter(table, lambda t: F.size(F.array_intersect(met, t["grams"])) >= t["need"])
+            all_ = F.array_sort(F.flatten(F.transform(able, lambda t: places(found, t))))
+            begin = F.array().cast("array<struct<start:int,stop:int,line:int,families:array<string>,own:array<string>>>")
+            merged = F.aggregate(all_, begin, merge)
+            return F.transform(merged, lambda p: F.struct(p["line"].alias("place"), p["start"].alias("start"), p["families"].alias("families"), p["own"].alias("own"),
+                                                          F.transform(F.slice(tokens, p["start"] + 1, p["stop"] - p["start"] + 1), lambda x: x["word"]).alias("words")))
+        return let(hits(tokens), confirmed)
+
+    tokens = F.flatten(F.transform(F.split(F.lower(text), "\n"), lambda line, n: F.transform(words_column(line), lambda w: F.struct(w.alias("word"), n.alias("line")))))
+    return let(tokens, of)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """owner, hash, place, family, probability, confirmed for the paragraphs predicted to be of a known family."""
+    """owner, hash, place, family, probability for the passages of known families. The probability is that of the families
+    confirmed in the passage together."""
     spark = docs.sparkSession
+    rows = docs.where(holds(F.col(text_col), ANCHORS))
     if model is None:
-        marked = cut_lineage(paragraphs(docs, id_col, text_col, ANCHORS).select("paragraph").distinct())
+        lines = rows.select(F.explode(F.split(text_col, "\n")).alias("paragraph")).where(holds(F.col("paragraph"), ANCHORS))
+        marked = cut_lineage(lines.distinct())
         model = fit(sorted(r["paragraph"] for r in least_hashed(marked, ["paragraph"], NEGATIVES).collect()))
-    found = paragraphs(docs, id_col, text_col, model.anchors)
+    found = rows.select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"), F.inline(passages(F.col(text_col))))
+    found = cut_lineage(found)
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.concat_ws(" ", F.col("words")[k], F.col("words")[k + 1]))
-    grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array())))
-    marks = found.select("row", "owner", "hash", "place", F.explode(grams).alias("gram"))
-
-    # one row per string of the bounded vocabulary: its weights, and the templates it belongs to
-    belongs: dict[str, list[int]] = {}
-    sizes = {}
-    for family, number, all_ in template_rows():
-        double = {g for g in all_ if " " in g}
-        sizes[number] = (family, len(double))
-        for g in double:
-            belongs.setdefault(g, []).append(number)
-    rows = [(g, w, belongs.get(g, [])) for g, w in model.weights.items()]
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(
-        F.lit(g).alias("gram"), F.array(*map(F.lit, w)).alias("weights"), F.array(*map(F.lit, t)).cast("array<int>").alias("templates")) for g, w, t in rows])))
-    met = marks.join(table, "gram")
-    sums = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(len(model.families))]
-    shares = [(F.sum(F.array_contains("templates", F.lit(number)).cast("int")) / max(size, 1)).alias(f"t{number}") for number, (_, size) in sizes.items()]
-    scored = met.groupBy("row", "owner", "hash", "place").agg(*sums, *shares)
-    scores = [F.col(f"s{k}") + b for k, b in enumerate(model.bias)]
-    top = F.greatest(*scores)
-    total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
-    best = F.greatest(*scores[:-1])
-    family, confirmed = F.lit(None).cast("string"), F.lit(0.0)
-    for k, name in reversed(list(enumerate(model.families[:-1]))):
-        family = F.when(scores[k] == best, F.lit(name)).otherwise(family)
-        own = [F.col(f"t{number}") for number, (f, _) in sizes.items() if f == name]
-        confirmed = F.when(scores[k] == best, F.greatest(*own) if len(own) > 1 else own[0]).otherwise(confirmed)
-    out = scored.select("owner", "hash", "place", family.alias("family"), (F.exp(best - top) / total).alias("probability"), confirmed.alias("confirmed"))
-    return out.where((F.col("probability") >= model.threshold) & (F.col("confirmed") >= CONFIRMED))
+    grams = F.array_distinct(F.concat("words", pairs))
+    keys = ["row", "owner", "hash", "place", "start", "families", "own"]
+    marks = found.select(*keys, F.explode(grams).alias("gram"))
+
+    # one row per string of the bounded vocabulary: its weights
+    rows = json.dumps([{"gram": g, "weights": w} for g, w in model.weights.items()])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<gram:string,weights:array<double>>>")))
+    met = marks.join(F.broadcast(table), "gram")
+    scored = met.groupBy(*keys).agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(len(model.families))])
+    scores = F.array(*[F.col(f"s{k}") + b for k, b in enumerate(model.bias)])
+    names, n = F.array(*map(F.lit, model.families)), len(model.families) - 1
+
+    def verdict(p: Column) -> Column:
+        """Families named, and the probability of the confirmed ones together."""
+        total, best = F.aggregate(p, F.lit(0.0), lambda t, x: t + x), F.array_max(F.slice(p, 1, n))
+        sure = F.filter(names, lambda f, k: (k < n) & (F.get(p, k) == best) & F.array_contains("families", f))
+        shares = F.zip_with(p, names, lambda x, f: F.when(F.array_contains("families", f), x).otherwise(0.0))
+        # without any mark the surest family decides, if it is one of the confirmed
+        return F.struct(F.when(F.size("own") > 0, F.col("own")).otherwise(sure).alias("named"), (F.aggregate(shares, F.lit(0.0), lambda t, x: t + x) / total).alias("probability"))
+
+    out = scored.select("owner", "hash", "place", let(let(scores, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))), verdict).alias("v"))
+    return out.where(F.col("v.probability") >= model.threshold).select("owner", "hash", "place", F.explode("v.named").alias("family"), F.col("v.probability").alias("probability"))
 
 
 def document_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

@@ -258,6 +258,26 @@ def test_licences(dirty, none, spark):
     assert held_out.where("array_join(families, ',') <> truth").count() == 0
 
 
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    "apache-2.0": "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "lgpl": "This work is licensed under the GNU Lesser\nGeneral Public License, version 3",
+    "apache-2.0,mit": "under the MIT License or the Apache License, Version 2.0",
+    "apache-2.0,mit ": "Licensed under the Apache License, Version 2.0\nor the MIT License, at your option",
+    "cc-by-nc": "Licensed under CC\nBY-NC 4.0",
+    "": "the general public was invited\nunder the terms of the members",
+}
+
+
+def test_licences_across_lines_and_dual(spark):
+    docs = spark.createDataFrame([(k, f"{say(30, k)}\n\n{t}\n\n{say(30, 50 + k)}") for k, t in enumerate(WRAPPED.values())] + [(99, "Released under the MIT License.\n" * 3)], "doc_id long, text string")
+    found = {r.doc_id: (",".join(r.families), r.n_paragraphs) for r in licences.document_licences(docs).collect()}
+    assert [found[k] for k in range(len(WRAPPED))] == [(w.strip(), int(w != "")) for w in WRAPPED]
+    assert found[99] == ("mit", 3)
+
+
 def test_queries_give_the_contract_columns(spark):
     want = {"op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op5_mixing": "doc_id size source_size target taken",
             "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_minhash": "doc_id n_shingles component_id kept"}
