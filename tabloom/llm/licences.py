@@ -66,9 +66,6 @@ MARKS = {
     "gpl": ["gnu general"], "lgpl": ["gnu lesser", "lesser general"], "agpl": ["gnu affero", "affero general"],
     "cc-by": ["by 4.0", "attribution 4.0"], "cc-by-sa": ["by sa", "attribution sharealike"], "cc-by-nc": ["by nc", "attribution noncommercial"],
 }
-# Words of which every template holds one; paragraphs without them are of the unknown class.
-ANCHORS = ["license", "licensed", "licence", "licenced", "copyright", "permission", "rights", "apache", "mit", "gnu", "gpl", "bsd", "mozilla", "creative", "cc",
-           "cc0", "domain", "redistribution", "unencumbered", "proprietary", "unauthorized"]
 _WORD = r"[^a-z0-9.+]+"
 
 
@@ -91,7 +88,6 @@ class Model:
     weights: dict[str, list[float]]
     bias: list[float]
     threshold: float
-    anchors: list[str]
 
 
 def fit(negatives: list[str], seed: int = 3, steps: int = 300, rate: float = 2.0, penalty: float = 1e-4) -> Model:
@@ -133,7 +129,7 @@ def fit(negatives: list[str], seed: int = 3, steps: int = 300, rate: float = 2.0
         e = np.exp(s - s.max())
         scores.append(float((e[:-1] / e.sum()).max()))
     threshold = max(0.5, float(np.quantile(scores, 1 - FALSE_RATE))) if scores else 0.5
-    return Model(families, {g: w[k].tolist() for g, k in vocabulary.items()}, w[-1].tolist(), min(threshold, 0.95), ANCHORS)
+    return Model(families, {g: w[k].tolist() for g, k in vocabulary.items()}, w[-1].tolist(), min(threshold, 0.95))
 
 
 def words_column(paragraph: Column) -> Column:
@@ -161,6 +157,39 @@ def templates() -> list[dict]:
     return out
 
 
+def gates() -> list[tuple[list[str], list[str], int]]:
+    """(cover, words, least) per template. A text that holds ``need`` of the template's bigrams holds a word of ``cover``, as fewer
+    than ``need`` bigrams are without one, and ``least`` of its ``words``, as fewer words have not so many bigrams between them."""
+    out, chosen = [], set()
+    for t in templates():
+        grams = [set(g.split(" ")) for g in t["grams"]]
+        words, cover, open_ = sorted(set().union(*grams)), [], grams
+        for w in sorted(words, key=lambda w: (w not in chosen, -len(w), w)):
+            if len(open_) < t["need"]:
+                break
+            if len(w) > 3 and any(w in g for g in open_):
+                cover.append(w)
+                open_ = [g for g in open_ if w not in g]
+        if len(open_) >= t["need"]:
+            cover = words
+        ends = sorted((sum(2 if len(g) == 1 else 1 for g in grams if w in g) for w in words), reverse=True)
+        least = next(k for k in range(1, len(words) + 1) if sum(ends[:k]) >= 2 * t["need"])
+        chosen.update(cover)
+        out.append((cover, words, least))
+    return out
+
+
+def covers() -> list[str]:
+    return sorted({w for cover, _, _ in gates() for w in cover})
+
+
+def may_confirm(text: Column) -> Column:
+    """Whether a text has the letters of so many words of a template that the template could be confirmed in it."""
+    def passes(t: Column, cover: list[str], words: list[str], least: int) -> Column:
+        return reduce(or_, [F.contains(t, F.lit(w)) for w in cover]) & (sum((F.contains(t, F.lit(w)).cast("int") for w in words[1:]), F.contains(t, F.lit(words[0])).cast("int")) >= least)
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [passes(t, *g) for g in gates()]))
+
+
 def passages(text: Column) -> Column:
     """Array of (start, stop, line, families, own) for the places of a text where templates are confirmed: a template's bigrams
     are counted in windows of words that run across line ends; passages that overlap are one. ``own`` are the families of which
@@ -222,9 +251,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """owner, hash, place, family, probability for the passages of known families. The probability is that of the families
     confirmed in the passage together."""
     spark = docs.sparkSession
-    rows = docs.where(holds(F.col(text_col), ANCHORS))
+    rows = docs.where(holds(F.col(text_col), covers()) & may_confirm(F.col(text_col)))
     if model is None:
-        lines = rows.select(F.explode(F.split(text_col, "\n")).alias("paragraph")).where(holds(F.col("paragraph"), ANCHORS))
+        lines = rows.select(F.explode(F.split(text_col, "\n")).alias("paragraph")).where(holds(F.col("paragraph"), covers()))
         marked = cut_lineage(lines.distinct())
         model = fit(sorted(r["paragraph"] for r in least_hashed(marked, ["paragraph"], NEGATIVES).collect()))
     found = rows.select(text_key(id_col).alias("owner"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"), F.inline(passages(F.col(text_col))))

@@ -278,6 +278,18 @@ def test_licences_across_lines_and_dual(spark):
     assert found[99] == ("mit", 3)
 
 
+def test_licence_gate_passes_what_can_be_confirmed(spark):
+    r, rows = random.Random(5), []
+    for t in licences.templates():
+        rows += [" | ".join(r.sample(t["grams"], t["need"])) for _ in range(40)]
+    rows += ["Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+             "hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert docs.where(licences.holds(F.col("text"), licences.covers()) & licences.may_confirm(F.col("text"))).count() == len(rows)
+    found = licences.document_licences(docs.where(f"doc_id >= {len(rows) - 2}")).orderBy("doc_id").collect()
+    assert [f.families for f in found] == [["bsd"], ["mit"]]
+
+
 def test_queries_give_the_contract_columns(spark):
     want = {"op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op5_mixing": "doc_id size source_size target taken",
             "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_minhash": "doc_id n_shingles component_id kept"}
