@@ -35,7 +35,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # strings that look like identifiers: with a digit or an @, six letters or more
-CANDIDATE = re.compile(r"[^\s\"'<>()\[\]{},;]{6,80}")
+CANDIDATE = re.compile(r"[^\s\"'<>()\[\]{},;]{6,}")
+# groups of digits with blanks, brackets or dashes between them, as cards and phones are written
+GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++(?:[ ().-]{1,3}[0-9]++)+")
+LEAST_DIGITS = 7
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -78,37 +81,46 @@ def code(value: str) -> int:
 
 
 def contexts(text: str, start: int, end: int) -> list[int]:
-    """Patterns around a place: the word before, the two words before, and the words on both sides, in lower case without digits."""
-    before = [re.sub(r"[\d\W_]+", "", w.lower()) for w in text[max(0, start - 80):start].split()[-2:]]
+    """Patterns around a place: the word before, the two words before, the words on both sides, and the word after, in lower case
+    without digits. Before the place, tokens without letters are passed over."""
+    before = [w for w in (re.sub(r"[\d\W_]+", "", w.lower()) for w in text[max(0, start - 80):start].split()) if w][-2:]
     after = [re.sub(r"[\d\W_]+", "", w.lower()) for w in text[end:end + 40].split()[:1]]
     out = []
-    if before and before[-1]:
+    if before:
         out.append(code("1 " + before[-1]))
-        if len(before) == 2 and before[0]:
+        if len(before) == 2:
             out.append(code("2 " + " ".join(before)))
         if after and after[0]:
             out.append(code(f"3 {before[-1]} _ {after[0]}"))
+    if after and after[0]:
+        out.append(code("4 " + after[0]))
     return out
 
 
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of identifier-like strings in order, clear of the places taken: groups of digits, then runs without a gap."""
+    def clear(found: Iterator[tuple[int, int]], of: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        at = 0
+        for a, b in found:
+            while at < len(of) and of[at][1] <= a:
+                at += 1
+            if at == len(of) or of[at][0] >= b:
+                yield a, b
+
+    groups = list(clear(((m.start(), m.end()) for m in GROUPS.finditer(text) if len(NOT_DIGIT.sub("", m[0])) >= LEAST_DIGITS), taken))
+    runs = ((m.start(), m.start() + len(m[0].rstrip(".:!?"))) for m in CANDIDATE.finditer(text))
+    runs = ((a, b) for a, b in runs if b - a >= 6 and any(c.isdigit() or c == "@" for c in text[a:b]))
+    yield from sorted([*groups, *clear(runs, sorted([*taken, *groups]))])
+
+
 def evidence(text: str | None) -> tuple[list[dict], list[dict]]:
     """Plain spans, and mentions: each seed and candidate with its place, instance and patterns; kind is null for candidates."""
     text = text or ""
     plain = plain_spans(text)
     mentions = [{"start": a, "stop": b, "kind": k, "instance": code(text[a:b]), "patterns": contexts(text, a, b)} for a, b, k in plain]
-    taken, at = sorted((a, b) for a, b, _ in plain), 0
-    for m in CANDIDATE.finditer(text) if any(c in text for c in "0123456789@") else ():
-        value = m[0].rstrip(".:!?")
-        a, b = m.start(), m.start() + len(value)
-        if len(value) < 6 or not any(c.isdigit() or c == "@" for c in value):
-            continue
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue
-        patterns = contexts(text, a, b)
-        if patterns:
-            mentions.append({"start": a, "stop": b, "kind": None, "instance": code(value), "patterns": patterns})
+    for a, b in candidates(text, sorted((a, b) for a, b, _ in plain)) if any(c in text for c in "0123456789@") else ():
+        if patterns := contexts(text, a, b):
+            mentions.append({"start": a, "stop": b, "kind": None, "instance": code(text[a:b]), "patterns": patterns})
     return [{"start": a, "stop": b, "kind": k} for a, b, k in plain], mentions
 
 

@@ -108,6 +108,15 @@ def test_personal_data_discovers_by_context(spark):
     assert {(r.doc_id, r.n, r.kind) for r in found if r.n > 0} == {(k, 1, "phone") for k in range(30, 34)}
 
 
+def test_personal_data_discovers_groups_of_digits(spark):
+    texts = ["4111 1111 1111 1112", "030 123 4567", "(555) 123-4567", "X" * 60 + "7" * 60]
+    rows = [(k, f"{say(5, k)} please dial hotline +1 555 010 {1000 + k} today {say(5, 500 + k)}") for k in range(60)]
+    rows += [(100 + k, f"{say(5, 100 + k)} please dial hotline {t} today {say(5, 600 + k)}") for k, t in enumerate(texts)]
+    masked = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert all(masked[100 + k] == f"{say(5, 100 + k)} please dial hotline <phone> today {say(5, 600 + k)}" for k in range(len(texts)))
+    assert list(pii.candidates("1" * 300_000 + " " + "(" * 300_000, [])) == [(0, 300_000)]
+
+
 def test_email_time_is_linear():
     assert pii.plain_spans("a" * 300_000 + " " + "1" * 300_000 + "@" * 1000) == []
 
