@@ -52,3 +52,27 @@ reach AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN l
 c AS (SELECT r.a AS i, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.i = r.b GROUP BY r.a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)
 """
+
+
+def op11(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """All rounds as one chain of tables: a_r assigns, c_r moves the centroids."""
+    def assign(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT v.i, m.c, list_sum(list_transform(list_zip(v.q, m.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} m) GROUP BY i)"""
+
+    def move(r: int) -> str:
+        return f"""s{r} AS (SELECT a.c, p.p, sum(v.q[p.p])::BIGINT AS s, count(*) AS n FROM a{r} a JOIN v USING (i), range(1, {width + 1}) p(p) GROUP BY a.c, p.p),
+f{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS q FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f.q, m.q) AS q FROM c{r} m LEFT JOIN f{r} f USING (c))"""
+
+    steps = ",\n".join(f"{assign(r)},\n{move(r)}" for r in range(rounds))
+    return f"""
+WITH x AS (SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS MATERIALIZED (SELECT i, vec_id, list_transform(e, lambda y: floor(256 * y)::BIGINT) AS q FROM x WHERE len(e) = {width} AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k})),
+{steps},
+{assign(rounds)},
+g AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, cluster_inertia, (SELECT sum(d) FROM a{rounds})::BIGINT AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (i) JOIN g USING (c) JOIN c{rounds} m USING (c)
+"""

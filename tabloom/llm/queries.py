@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licences, minhash, mixing, oracles, pii, quality, suffixes, url_filter, vectors
+from . import bpe, centroids, language, licences, minhash, mixing, oracles, periods, pii, quality, secrets, suffixes, url_filter, vectors
 
 VOCABULARY_NAME = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -89,3 +89,44 @@ def op7(pages: DataFrame, docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     found = licences.document_licences(docs)
     return found.select("doc_id", F.array_join("families", ",").alias("families"), F.col("n_paragraphs").cast("long"), F.round("probability", 6).alias("probability"))
+
+
+@register("op11_centroids", "embeddings", oracles.op11())
+def op11(embeddings: DataFrame) -> DataFrame:
+    written = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    found = centroids.cluster(embeddings)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written.cast("binary"), 256).alias("centroid_sha256"))
+
+
+@register("op12_secrets", "documents")
+def op12(docs: DataFrame) -> DataFrame:
+    base, every = secrets.spans(secrets.BASE), secrets.spans()
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return secrets.scan(docs).select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, chosen by the id's CRC, repeats a stretch of its own words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n.cast("long"))
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " "))
+
+    # the words are bound once, as the only element of an array
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    changed = F.coalesce(F.element_at(F.transform(words, planted), 1), F.col("text"))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periods", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit(""))
+    return periods.find_runs(with_planted_period(docs)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.floor(1000 * F.col("strongest.length") / F.col("strongest.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), sha256("collapsed").alias("collapsed_sha256"))
