@@ -101,7 +101,7 @@ def op11(embeddings: DataFrame) -> DataFrame:
 @register("op12_secrets", "documents")
 def op12(docs: DataFrame) -> DataFrame:
     base, every = secrets.spans(secrets.BASE), secrets.spans()
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    counts = [secrets.number_of(k, secrets.BASE).alias(f"n_{k}") for k in secrets.KINDS]
     return secrets.scan(docs).select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(every).alias("spans"))
 
 

@@ -145,3 +145,7 @@ def spans(rules: tuple[Rule, ...] | None = None) -> Column:
     """Distinct spans of the findings (of some rules only), in order, as (kind, start, stop)."""
     chosen = F.col("findings") if rules is None else F.filter("findings", lambda f: f["rule"].isin(*[r.code for r in rules]))
     return F.array_distinct(F.transform(chosen, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["stop"].alias("stop"))))
+
+
+def number_of(kind: str, rules: tuple[Rule, ...] | None = None) -> Column:
+    return F.size(F.filter(spans(rules), lambda s: s["kind"] == kind)).cast("long")

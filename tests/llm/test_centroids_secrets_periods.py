@@ -164,13 +164,15 @@ def test_many_unseen_blobs_take_the_other_way(spark, monkeypatch):
 
 
 def test_secrets_query(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    got = REGISTRY["op12_secrets"][0](spark, SF)
+    larger = "/root/testdata/sf0.01"  # the smallest table holds no secret
+    docs = spark.read.parquet(f"{larger}/documents.parquet").collect()
+    got = REGISTRY["op12_secrets"][0](spark, larger)
     assert got.columns[:6] == "doc_id n_assign n_access n_hex base_sha256 spans".split()
     want = []
     for r in docs:
         spans = plain_secrets(r.text)
         want.append((r.doc_id, *(sum(s[0] == k for s in spans) for k in secrets.KINDS), hashlib.sha256(told(spans).encode()).hexdigest()))
+    assert any(w[1] for w in want) and any(w[3] for w in want)
     assert rows_of(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=key)
 
 
