@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import find_table, find_tables_by_prefix, table_names
-from .readers import read_delimited, read_json
+from .readers import read_delimited_checked, read_records
 
-CATALOG_SCHEMA = "table string, path string, rows bigint, columns int, size_mb double, status string"
+CATALOG_SCHEMA = "table string, path string, rows bigint, columns int, size_mb double, status string, bad_rows bigint, warnings array<string>"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -29,18 +29,16 @@ def scan_tables(spark: SparkSession, root: str, max_file_mb: float | None = None
     for name, rel, file in zip(table_names(relative), relative, found):
         size = round(file.size_mb, 2)
         if max_file_mb is not None and file.size_mb > max_file_mb:
-            rows.append((name, rel, None, None, size, f"skipped_size_gt_{max_file_mb}MB"))
+            rows.append((name, rel, None, None, size, f"skipped_size_gt_{max_file_mb}MB", None, None))
             continue
         try:
-            df = read_delimited(spark, file.path, multi_line=multi_line)[0] if rel.lower().endswith(".csv") else read_json(spark, file.path)
-            if "_corrupt_record" in df.columns:
-                raise ValueError("no JSON records")
-            count = df.count()
+            loaded = read_delimited_checked(spark, file.path, multi_line=multi_line) if rel.lower().endswith(".csv") else read_records(spark, file.path)
+            count = loaded.df.count()
         except Exception as problem:  # a broken file must not hide the others
-            rows.append((name, rel, None, None, size, f"error:{type(problem).__name__}"))
+            rows.append((name, rel, None, None, size, f"error:{type(problem).__name__}", None, None))
             continue
-        tables[name] = df
-        rows.append((name, rel, count, len(df.columns), size, "loaded"))
+        tables[name] = loaded.df
+        rows.append((name, rel, count, len(loaded.df.columns), size, "loaded", loaded.bad_rows, loaded.warnings))
     catalog = spark.createDataFrame(rows, CATALOG_SCHEMA)
     return tables, catalog.orderBy(F.col("status").asc(), F.col("rows").desc_nulls_last(), "table")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -10,10 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.names import unique_names
 from ..functions.text import NA_TOKENS, na_to_null, to_boolean, to_number
 from ..operators.shape import col
-
-
-class LoadError(ValueError):
-    """A file that gives no table."""
+from .lines import BAD_SCHEMA, LoadError, Loaded, file_lines, local_name, read_records
 
 
 @dataclass(frozen=True)
@@ -22,28 +20,28 @@ class LoadReport:
     col_count: int
     types: dict[str, str]
     warnings: list[str] = field(default_factory=list)
+    bad_rows: int = 0
 
 
+LOG = logging.getLogger("tabloom")
+FILE = "_file_of_row"
 BAD_ROW = "_malformed_row"
 
 
-def _read_text_columns(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str, multi_line: bool) -> DataFrame:
-    """Text columns, and BAD_ROW with the raw text of rows that have more or fewer fields than the header."""
-    options = {"sep": sep, "header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": True}
-    header = spark.read.csv(path, inferSchema=False, **options).columns
-    if not header:
-        return spark.read.csv(path, inferSchema=False, **options)
-    names = unique_names([c if c else "unnamed" for c in header])
+def _text_columns(spark: SparkSession, path: str | Sequence[str], names: list[str], options: dict) -> DataFrame:
+    """Text columns by position, BAD_ROW with the raw text of rows that have more or fewer fields than the header, and the file."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
-    return spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, **options)
+    raw = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, **options)
+    return raw.withColumn(FILE, F.col("_metadata.file_path"))
 
 
-def _raw_text_facts(spark: SparkSession, path: str | Sequence[str]) -> tuple[bool, bool]:
-    """Whether some line is no valid UTF-8, and whether some line has an odd number of quotes, as a quoted line break leaves."""
-    line = F.col("value")
+def _file_facts(spark: SparkSession, path: str | Sequence[str]) -> dict[str, tuple[bool, bool]]:
+    """For each file, whether some line is no valid UTF-8, and whether some line has an odd number of quotes, as a quoted line
+    break leaves. The driver holds file names."""
+    line = F.col("line")
     odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
-    found = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8(line)), F.bool_or(F.coalesce(odd, F.lit(False)))).first()
-    return bool(found[0]), bool(found[1])
+    found = file_lines(spark, path).groupBy("file").agg(F.bool_or(~F.is_valid_utf8(line)).alias("invalid"), F.bool_or(F.coalesce(odd, F.lit(False))).alias("broken"))
+    return {local_name(r.file): (bool(r.invalid), bool(r.broken)) for r in found.collect()}
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -83,46 +81,89 @@ def infer_types(df: DataFrame) -> DataFrame:
     return clean.withColumns(casts) if casts else clean
 
 
-def read_delimited(
+def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool | None = None,
+                   schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """As read_delimited_checked, without the rows that do not fit the header."""
+    loaded = read_delimited_checked(spark, path, sep, encoding, multi_line, schema)
+    return loaded.df, loaded.warnings
+
+
+def read_delimited_checked(
     spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool | None = None,
     schema: T.StructType | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Delimited text with a header row. Text that is no valid UTF-8 is read as latin-1, with a warning; so are counted rows
-    whose fields do not fit the header (missing fields are null, surplus ones are dropped).
-
-    Give ``schema`` at scale: it saves the passes that look at the raw text and for types. ``multi_line`` allows line breaks
-    inside quotes and makes a file unsplittable; None looks for such breaks first and reads that way only if there are any.
+) -> Loaded:
+    """Delimited text with a header row. Each file that is no valid UTF-8 is read as latin-1, the others as they are. Rows whose
+    fields do not fit the header stay (missing fields are null, surplus ones are dropped), are counted and kept in ``bad``.
+
+    ``schema`` gives the columns by position and saves the pass that looks for types; the checks are the same, and values that
+    do not fit their type are null and counted. ``multi_line`` allows line breaks inside quotes and makes a file unsplittable;
+    None looks for such breaks and reads only the files that have some in that way. With an encoding other than UTF-8 and
+    ``multi_line`` given, the raw text is not looked at.
     """
-    if schema is not None:
-        df = spark.read.csv(path, sep=sep, header=True, schema=schema, encoding=encoding, quote='"', escape='"', multiLine=bool(multi_line))
-        texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-        return df.withColumns({c: na_to_null(col(c)) for c in texts}), []
-    warnings = []
+    warnings: list[str] = []
     utf8 = encoding.upper().replace("-", "") == "UTF8"
+    groups: dict[tuple[str, bool], list[str]] = {}
     if utf8 or multi_line is None:
-        invalid, broken = _raw_text_facts(spark, path)
-        if utf8 and invalid:
-            warnings.append(f"not valid {encoding}; decoded as latin-1 instead")
-            encoding = "ISO-8859-1"
-        if multi_line is None and broken:
-            warnings.append("quoted line breaks found; files are read whole")
-        multi_line = broken if multi_line is None else multi_line
-    df = _read_text_columns(spark, path, sep, encoding, multi_line)
-    if BAD_ROW not in df.columns:
-        return df, warnings
+        for file, (invalid, broken) in sorted(_file_facts(spark, path).items()):
+            groups.setdefault(("ISO-8859-1" if utf8 and invalid else encoding, broken if multi_line is None else multi_line), []).append(file)
+    if not groups:  # nothing to look at, or no line in any file
+        groups = {(encoding, bool(multi_line)): []}
+    latin = sum(len(files) for (e, _), files in groups.items() if utf8 and e != encoding)
+    broken = sum(len(files) for (_, m), files in groups.items() if multi_line is None and m)
+    if latin:
+        warnings.append(f"not valid {encoding}; {latin} files decoded as latin-1 instead")
+    if broken:
+        warnings.append(f"quoted line breaks found; {broken} files are read whole")
+
+    order = sorted(groups.items(), key=lambda g: (g[0][0] != encoding, g[0][1]))
+    # one way for all: the path is read as given, with the columns that folder names give
+    sources = [(path if len(order) == 1 else files, {"sep": sep, "header": True, "encoding": e, "quote": '"', "escape": '"', "multiLine": m, "enforceSchema": True}) for (e, m), files in order]
+    header = spark.read.csv(sources[0][0], inferSchema=False, **sources[0][1]).columns
+    folders = [f.name for f in spark.read.text(path).schema.fields if f.name != "value"] if len(order) == 1 else []
+    header = [c for c in header if c not in folders]
+    none = spark.createDataFrame([], BAD_SCHEMA)
+    if not header:
+        return Loaded(spark.read.csv(path, inferSchema=False, sep=sep, header=True), none, 0, warnings)
+    names = unique_names([c if c else "unnamed" for c in header])
+    df = _text_columns(spark, *sources[0][:1], names, sources[0][1])
+    for files, options in sources[1:]:
+        df = df.unionByName(_text_columns(spark, files, names, options))
+    if schema is None:
+        typed, misfit = infer_types(df.drop(BAD_ROW, FILE)), F.lit(False)
+    else:
+        if len(schema.fields) != len(names):
+            warnings.append(f"the schema has {len(schema.fields)} columns, the header {len(names)}")
+        casts, misfit = {}, F.lit(False)
+        for name, f in zip(names, schema.fields):
+            value = na_to_null(col(name))
+            cast = value if isinstance(f.dataType, T.StringType) else to_boolean(value) if isinstance(f.dataType, T.BooleanType) else F.trim(value).try_cast(f.dataType)
+            casts[f.name], misfit = cast, misfit | (value.isNotNull() & cast.isNull())
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields[len(names):]}
+        typed = df.select(*[c.alias(n) for n, c in {**casts, **missing}.items()], *[col(c) for c in folders])
     # all columns are counted, for the reader finds a row malformed only where it parses the whole of it
-    bad = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate([BAD_ROW, *df.columns[:-1]])]).first()[0]
-    if bad:
-        warnings.append(f"{bad} rows have more or fewer fields than the header")
-    return infer_types(df.drop(BAD_ROW)), warnings
+    counts = df.agg(F.count_if(misfit).alias("misfit"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate([BAD_ROW, *names])]).first()
+    if counts["n0"]:
+        warnings.append(f"{counts['n0']} rows have more or fewer fields than the header")
+    if counts["misfit"]:
+        warnings.append(f"{counts['misfit']} rows have values that do not fit the schema")
+    whole = F.length(F.concat_ws("", *[col(c) for c in names])) >= 0
+    bad = df.where(F.col(BAD_ROW).isNotNull() & whole).select(F.col(FILE).alias("file"), F.col(BAD_ROW).alias("line"))
+    return Loaded(typed, bad, counts["n0"], warnings)
+
+
+def _told(loaded: Loaded, path: str | Sequence[str]) -> DataFrame:
+    for warning in loaded.warnings:
+        LOG.warning("%s: %s", path, warning)
+    return loaded.df
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    return read_delimited(spark, path, ",", **options)[0]
+    """Comma-separated text; warnings go to the log (read_delimited_checked returns them)."""
+    return _told(read_delimited_checked(spark, path, ",", **options), path)
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    return read_delimited(spark, path, "\t", **options)[0]
+    return _told(read_delimited_checked(spark, path, "\t", **options), path)
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -130,31 +171,14 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """Newline-delimited JSON first; if most lines are no records, each file as one document."""
-    return read_json_checked(spark, path, schema)[0]
+    """Records of JSON files, each file as lines or as one document; warnings go to the log (read_records returns them)."""
+    return _told(read_records(spark, path, schema), path)
 
 
 def read_json_checked(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
     """As read_json, with a warning that counts the lines which are no JSON records and are left out."""
-    if schema is not None:
-        return spark.read.schema(schema).json(path), []
-    lines = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    if lines.columns and "_corrupt_record" not in lines.columns:
-        return lines, []
-    # columns of the records, without those that folder names give
-    found = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path).columns
-    others = [c for c in found if c != "_corrupt_record"]
-    if others:
-        bad = F.col("_corrupt_record")
-        bracket = F.trim(bad).isin("[", "]", "],")  # an array with a record per line
-        # another column is named because the reader refuses to be asked for the malformed lines alone
-        found = lines.agg(F.count(F.when(~bracket, bad)).alias("bad"), F.count(F.when(bad.isNull(), 1)).alias("good"), F.count(col(others[0]))).first()
-        if found["good"] > found["bad"]:
-            # always true, but keeps a column beside the malformed lines in every query, a bare count included
-            named = F.length(F.concat_ws("", col(others[0]).cast("string"))) >= 0
-            kept = lines.where(bad.isNull() & named).drop("_corrupt_record")
-            return kept, [f"{found['bad']} lines are no JSON records"] if found["bad"] else []
-    return spark.read.option("multiLine", True).json(path), []
+    loaded = read_records(spark, path, schema)
+    return loaded.df, loaded.warnings
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
@@ -189,19 +213,18 @@ def load(spark: SparkSession, path: str, file_format: str | None = None, sep: st
          narrow: bool = True, multi_line: bool | None = None) -> tuple[DataFrame, LoadReport]:
     """Read any supported file and report rows, columns, types and warnings."""
     kind = (file_format or path.rsplit(".", 1)[-1]).lower()
-    warnings: list[str] = []
     if kind in FORMATS:
-        df, warnings = read_delimited(spark, path, sep or FORMATS[kind], encoding, multi_line)
-        df = narrow_types(df) if narrow else df
+        loaded = read_delimited_checked(spark, path, sep or FORMATS[kind], encoding, multi_line)
     elif kind == "parquet":
-        df = read_parquet(spark, path)
+        loaded = Loaded(read_parquet(spark, path), spark.createDataFrame([], BAD_SCHEMA))
     elif kind in ("json", "jsonl", "ndjson"):
-        df, warnings = read_json_checked(spark, path)
+        loaded = read_records(spark, path)
     else:
         raise LoadError(f"Unsupported format: {kind}")
+    df = narrow_types(loaded.df) if narrow and kind in FORMATS else loaded.df
     check_loaded(df)
     rows = df.count()
-    return df, LoadReport(rows, len(df.columns), {f.name: f.dataType.simpleString() for f in df.schema.fields}, warnings)
+    return df, LoadReport(rows, len(df.columns), {f.name: f.dataType.simpleString() for f in df.schema.fields}, loaded.warnings, loaded.bad_rows)
 
 
 def load_report(df: DataFrame) -> DataFrame:
@@ -210,6 +233,6 @@ def load_report(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "LoadError", "LoadReport", "NA_TOKENS", "check_loaded", "infer_types", "load", "load_report", "narrow_types", "read_csv",
-    "read_delimited", "read_json", "read_json_checked", "read_parquet", "read_tsv",
+    "LoadError", "LoadReport", "Loaded", "NA_TOKENS", "check_loaded", "infer_types", "load", "load_report", "narrow_types", "read_csv",
+    "read_delimited", "read_delimited_checked", "read_json", "read_json_checked", "read_parquet", "read_records", "read_tsv",
 ]
