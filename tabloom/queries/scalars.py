@@ -245,6 +245,28 @@ def h26(t):
     return J.structural_warnings(t("orders").select(F.parse_json(F.expr(_NESTED_DOC)).alias("record")))
 
 
+@query("h25c_json_field_samples", """
+WITH s AS (SELECT 'id' AS path, CAST(o_orderkey AS VARCHAR) AS text FROM orders UNION ALL SELECT 'who.cust', CAST(o_custkey AS VARCHAR) FROM orders
+  UNION ALL SELECT 'lines[*].s', unnest([o_orderstatus, 'Z']) FROM orders UNION ALL SELECT 'who.note', 'x' FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT 'tags', '[1,"a"]' FROM orders UNION ALL SELECT 'mix', CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '{}' END FROM orders),
+c AS (SELECT path, text, count(*) AS n FROM s GROUP BY path, text)
+SELECT path, text, n FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, text) <= 3""", spread=True)
+def h25c(t):
+    """Example values of every field, most frequent first."""
+    return J.field_samples(t("orders").select(F.parse_json(F.expr(_NESTED_DOC)).alias("record")), 3).select("path", "text", "n")
+
+
+_ODD_DOC = """CASE o_orderkey % 5 WHEN 0 THEN '{"p": [{"a": 1}], "q": [{"a": 1}, {"a": ' || o_orderkey || '}]}' WHEN 1 THEN '[]' WHEN 2 THEN '{oops ' || o_orderkey
+  WHEN 3 THEN '{"a": 1}' || chr(10) || '{"a": ' || o_orderkey || '}' || chr(10) || '{"a"' ELSE '{"a": ' || o_orderkey || '}' END"""
+
+
+@query("h26b_document_warnings", """
+SELECT o_orderkey AS doc, CASE o_orderkey % 5 WHEN 0 THEN 'several arrays, only the largest is used: p, q' WHEN 1 THEN 'empty document'
+  WHEN 2 THEN 'unknown layout: no JSON document and no JSON lines' ELSE '1 lines are no JSON records' END AS warning FROM orders WHERE o_orderkey % 5 < 4""", spread=True)
+def h26b(t):
+    return J.document_warnings(t("orders").select(F.col("o_orderkey").alias("doc"), F.expr(_ODD_DOC).alias("text")))
+
+
 _RENAMED = {"o_orderkey": " Order Key ", "o_custkey": "Cust--Key", "o_orderstatus": "1st Status", "o_totalprice": "order key", "o_orderdate": "***",
             "o_orderpriority": "Priority.Level"}
 

@@ -147,6 +147,19 @@ def document_problems(docs: DataFrame, doc: str = "doc", text: str = "text") ->
                     (F.coalesce(F.size(_records(F.col("layout"))), F.lit(0)) == 0).alias("no_records"))
 
 
+def document_warnings(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """``(doc, warning)``: one row per thing that reading a document's records leaves out or cannot do."""
+    d = with_layout(docs, text)
+    none = F.coalesce(F.size(_records(F.col("layout"))), F.lit(0)) == 0
+    told = F.array_compact(F.array(
+        F.when(F.col("layout") == "unknown", "unknown layout: no JSON document and no JSON lines"),
+        F.when(F.col("layout") == "empty", "empty document"),
+        F.when(none & ~F.col("layout").isin("unknown", "empty"), "no records"),
+        F.when(F.col("layout") == "wrapped_multi", F.concat(F.lit("several arrays, only the largest is used: "), F.array_join("array_keys", ", "))),
+        F.when(F.col("bad_lines") > 0, F.concat(F.col("bad_lines").cast("string"), F.lit(" lines are no JSON records")))))
+    return d.select(col(doc), F.explode(told).alias("warning"))
+
+
 def extract_records(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """``(doc, pos, record)``: every record of every document as VARIANT."""
     d = with_layout(docs, text)

@@ -117,7 +117,9 @@ def _split(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType
     # another column is named because the reader refuses to be asked for the malformed lines alone
     named = F.length(F.concat_ws("", col(schema.fields[0].name).cast("string"))) >= 0
     broken = text.isNotNull() & ~_is_record(text)
-    counts = raw.agg(F.count_if(broken & named).alias("bad"), F.count_if(text.isNotNull() & ~broken & named).alias("misfit")).first()
+    # a value is only found not to fit where its column is asked for
+    every = F.length(F.concat_ws("", *[col(f.name).cast("string") for f in schema.fields])) >= 0
+    counts = raw.agg(F.count_if(broken & every).alias("bad"), F.count_if(text.isNotNull() & ~broken & every).alias("misfit")).first()
     bad = raw.where(broken & named).select(F.col("_metadata.file_path").alias("file"), text.alias("line"))
     return raw.where(~broken & named).drop(MALFORMED), bad, counts["bad"], counts["misfit"]
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import joins as J
-from tabloom.sources import catalog as G, jsonshape as Z, readers as R, sinks as S
+from tabloom.sources import catalog as G, jsonshape as Z, lines as Z_lines, readers as R, sinks as S
 
 LAYOUTS = [
     ("array_of_objects", '[{"a":1,"b":{"c":2}},{"a":2,"d":[1,2]}]', 2), ("array_of_arrays", '[["x","y"],[1,2],[3,4]]', 2),
@@ -174,3 +174,88 @@ def test_logs_and_history(spark, tmp_path):
         S.append_merge(S.merge_record(J.match_stats(l, r, *args), *args, J.join_warnings(l, r, *args)), path)
     page = S.history_page(spark.read.parquet(path), limit=1).collect()
     assert len(page) == 1 and (page[0].merged_rows, page[0].matched_rows, page[0].left_only_rows, len(page[0].warnings)) == (3, 2, 1, 1)
+
+
+GOOD = ['{"a": 1, "t": "x}]"}', '{"a": 2, "t": "[{"}', '{"a": 3, "t": "q\\"{"}']
+BAD = ['{"a": ', "oops", '{"a": {"b": [']
+
+
+@pytest.mark.parametrize("lines", [GOOD + BAD, BAD + GOOD, [x for pair in zip(BAD, GOOD) for x in pair], BAD[:1] + GOOD + ["}"], ["{", *GOOD, "}"]])
+def test_malformed_lines_never_hide_records(spark, tmp_path, lines):
+    path = tmp_path / "x.json"
+    path.write_text("\n".join(lines) + "\n\n")
+    for schema in (None, "a bigint, t string"):
+        loaded = R.read_records(spark, str(path), schema and R.T.StructType.fromDDL(schema))
+        assert sorted(r.a for r in loaded.df.collect()) == [1, 2, 3] and loaded.df.count() == 3
+        assert loaded.bad_rows == len(lines) - 3 and loaded.warnings == [f"{len(lines) - 3} lines are no JSON records"]
+        assert sorted(r.line for r in loaded.bad.collect()) == sorted(set(lines) - set(GOOD)) and loaded.bad.count() == len(lines) - 3
+    assert R.load(spark, str(path))[1].bad_rows == len(lines) - 3
+
+
+def test_documents_are_proven_by_brackets(spark, tmp_path):
+    texts = {"pretty": json.dumps([{"a": 1, "b": {"c": "]}"}}, {"a": 2}], indent=2), "rows": '[\n{"a": 1},\n{"a": 2}\n]\n', "blank": '\n\n[\n\n{"a": 1}\n]\n\n',
+             "lines": '{"a": 1}\n{"a": 2}', "several": '{\n"a": 1\n}\n{\n"a": 2\n}', "glued": '{\n"a": 1\n}{\n"a": 2\n}', "open": '[\n{"a": 1},\n', "one line": '[{"a": 1}]'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    documents, lines = Z_lines.documents_among(spark, str(tmp_path))
+    stem = lambda paths: {p.rsplit("/", 1)[-1].removesuffix(".json") for p in paths}
+    assert stem(documents) == {"pretty", "rows", "blank"} and stem(lines) == set(texts) - stem(documents)
+    # blocks of a few bytes: depths are carried across them
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "b.json").write_text(json.dumps([{"a": k, "b": [k]} for k in range(300)], indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert len(Z_lines.documents_among(spark, str(tmp_path / "big"))[0]) == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert R.read_json(spark, str(tmp_path / "big")).count() == 300
+    mixed = R.read_records(spark, [str(tmp_path / f"{n}.json") for n in ("pretty", "lines", "several")])
+    assert sorted(r.a for r in mixed.df.collect()) == [1, 1, 2, 2] and mixed.bad_rows == 6
+    with pytest.raises(R.LoadError):
+        R.read_records(spark, _written(tmp_path, "none.json", "{oops\n5\n"))
+
+
+def _written(folder, name, text):
+    (folder / name).write_text(text)
+    return str(folder / name)
+
+
+def test_values_that_do_not_fit_a_schema(spark, tmp_path):
+    path = _written(tmp_path, "v.json", '{"a": 1}\n{"a": "x", "b": 2}\n{"b": 3}\n{"a"')
+    loaded = R.read_records(spark, path, R.T.StructType.fromDDL("a bigint, b bigint"))
+    assert sorted(map(tuple, loaded.df.collect()), key=str) == [(1, None), (None, 2), (None, 3)]
+    assert loaded.warnings == ["1 lines are no JSON records", "1 records have values that do not fit the schema"]
+    path = _written(tmp_path, "v.csv", 'k,n,d,ok\n1,2.5,2020-01-31,true\nx,NA,2020-13-01,no\n"3",4,,\n4,5\n6,7,2020-02-01,false,9\n')
+    loaded = R.read_delimited_checked(spark, path, schema=R.T.StructType.fromDDL("id int, n double, d date, ok boolean"))
+    got = {r.n: (r.id, str(r.d), r.ok) for r in loaded.df.collect()}
+    assert got == {2.5: (1, "2020-01-31", True), None: (None, "None", False), 4.0: (3, "None", None), 5.0: (4, "None", None), 7.0: (6, "2020-02-01", False)}
+    assert loaded.warnings == ["2 rows have more or fewer fields than the header", "1 rows have values that do not fit the schema"]
+    assert sorted(r.line for r in loaded.bad.collect()) == ["4,5", "6,7,2020-02-01,false,9"] and loaded.bad_rows == 2
+
+
+def test_quoted_break_with_schema(spark, tmp_path):
+    path = _written(tmp_path, "q.csv", 'id,t\n1,"line\nbreak"\n2,b\n')
+    loaded = R.read_delimited_checked(spark, path, schema=R.T.StructType.fromDDL("id int, t string"))
+    assert sorted(map(tuple, loaded.df.collect())) == [(1, "line\nbreak"), (2, "b")] and loaded.bad_rows == 0
+
+
+def test_encodings_and_breaks_are_found_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,name\n1,Café\n".encode("latin-1"))
+    (tmp_path / "b one.csv").write_text("id,name\n2,Café €\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text('id,name\n3,"x\ny"\n')
+    loaded = R.read_delimited_checked(spark, str(tmp_path))
+    assert sorted(map(tuple, loaded.df.collect())) == [(1, "Café"), (2, "Café €"), (3, "x\ny")]
+    assert loaded.warnings == ["not valid UTF-8; 1 files decoded as latin-1 instead", "quoted line breaks found; 1 files are read whole"]
+
+
+def test_warnings_are_logged(spark, tmp_path, caplog):
+    R.read_csv(spark, _written(tmp_path, "r.csv", "a,b\n1,2,3\n"))
+    R.read_json(spark, _written(tmp_path, "r.json", '{"a": 1}\n{'))
+    assert [m.split(": ")[-1] for m in caplog.messages] == ["1 rows have more or fewer fields than the header", "1 lines are no JSON records"]
+
+
+def test_document_warnings(spark):
+    docs = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(LAYOUTS)] + [(99, None)], "doc int, text string")
+    told = {r.doc: r.warning for r in Z.document_warnings(docs).collect()}
+    assert told[6] == "several arrays, only the largest is used: p, q" and told[10] == "empty document" and told[11] == told[99] == "unknown layout: no JSON document and no JSON lines"
+    assert set(told) == {6, 10, 11, 99}
