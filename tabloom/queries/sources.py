@@ -45,7 +45,7 @@ def _dirty_csv(t, break_every: int = 0):
     path = scratch_path(df.sparkSession, "csv")
     # a file of at most 1000 customers is one value, header included
     body = F.concat(F.lit("key,name,balance,segment\n"), F.array_join(F.collect_list(F.expr(line)), "\n"))
-    df.groupBy(F.floor(F.col("c_custkey") / 1000)).agg(body.alias("value")).select("value").write.text(path)
+    df.groupBy(F.floor(F.col("c_custkey") / 1000).alias("chunk")).agg(body.alias("value")).write.partitionBy("chunk").text(path)
     return df.sparkSession, path
 
 
@@ -57,7 +57,7 @@ FROM customer""")
 def s01d(t):
     """A given schema keeps all row checks; names with line breaks inside quotes stay whole."""
     loaded = R.read_delimited_checked(*_dirty_csv(t, 17), schema=T.StructType.fromDDL("key bigint, name string, balance double, segment string"))
-    return loaded.df.select("*", F.lit(loaded.bad_rows).cast("bigint").alias("bad_rows"), F.lit(loaded.warnings[-1]).alias("told"))
+    return loaded.df.select("key", "name", "balance", "segment", F.lit(loaded.bad_rows).cast("bigint").alias("bad_rows"), F.lit(loaded.warnings[-1]).alias("told"))
 
 
 @query("s01e_csv_bad_rows", "SELECT c_custkey AS key, c_custkey % 7 = 0 AS surplus FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0")
