@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from .shape import MOMENT, col, field_types
+from ..session import cut_lineage
+from .shape import col, field_types
+
+SAMPLED = 64  # keys looked at per slice to find where slices begin
 
 
 def rolling_mean(series: DataFrame, order: str, value: str, rows: int, name: str) -> DataFrame:
@@ -53,77 +57,74 @@ def top_per_group(counts: DataFrame, group: str, order: Sequence[Column], k: int
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _as_double(name: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col(name)).cast("double")
-    if isinstance(dtype, MOMENT):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    return col(name).cast("double")
+def _sort_key(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str]) -> Column:
+    """Group, order and a hash of the row as one comparable value: any types, nulls first, ties broken by the row's values."""
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.struct(*[col(p).alias(f"g{i}") for i, p in enumerate(partition_by)], *[col(o).alias(f"o{i}") for i, o in enumerate(order_by)],
+                    F.xxhash64(*[col(c) for c in hashable]).alias("tie"))
+
+
+def slice_bounds(df: DataFrame, key: Column, pieces: int) -> DataFrame | None:
+    """One row ``cuts``: lower bounds of the slices after the first, from about SAMPLED distinct keys a slice; None without rows.
+
+    The sample, chosen by hash, only balances the slices; results do not depend on it.
+    """
+    rows = df.count()
+    if not rows:
+        return None
+    every = max(1, rows // (pieces * SAMPLED))
+    sample = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).distinct()
+    # a window over the bounded sample alone
+    tiles = sample.select("k", F.ntile(pieces).over(Window.orderBy("k")).alias("tile")).groupBy("tile").agg(F.min("k").alias("k"))
+    ordered = F.sort_array(F.collect_list("k"))
+    return cut_lineage(tiles.agg(F.slice(ordered, 2, pieces).alias("cuts")))
+
+
+def _slice_of(key: Column, cuts: Column, pieces: int) -> Column:
+    """How many cuts are not above the key, by bisection."""
+    def step(at: Column, _: Column) -> Column:
+        mid = ((at["lo"] + at["hi"]) / 2).cast("int")
+        below = (at["lo"] < at["hi"]) & (F.get(cuts, mid) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(pieces.bit_length() + 1)), start, step, lambda at: at["lo"])
 
 
 def forward_fill(
     df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
-    """Replace nulls by the last earlier non-null value. Leading nulls stay.
+    """Replace nulls by the last earlier non-null value of the group. Leading nulls stay.
 
-    ``order_by`` is required: a DataFrame has no row order. Without ``partition_by`` the order range is cut into slices
-    of about equal size from a quantile sketch; each slice is filled on its own and then takes the last value of the
-    slices before it. A first order key shared by many rows is cut further by the second order key.
+    ``order_by`` is required: a DataFrame has no row order. A prefix scan over slices of about equal size: the whole of group,
+    order and row hash decides a row's slice, so that neither a group nor an order key that holds a third of all rows is one
+    task's load. Each slice is filled on its own; of each slice the last values of the group that goes on in the next slice, one
+    row, are scanned over the slices and fill what is still open there. Keys may have any type that can be ordered; rows that
+    tie in them are ordered by a hash of their values, and rows equal in all columns lie together.
     """
     if not order_by:
         raise ValueError("forward_fill needs order_by: rows of a DataFrame have no order of their own")
-    order = [col(o).asc_nulls_first() for o in order_by]
-
-    def filled(window):
-        return {c: F.last(col(c), ignorenulls=True).over(window) for c in columns}
-
-    if partition_by:
-        w = Window.partitionBy(*[col(p) for p in partition_by]).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns(filled(w))
-
-    spark = df.sparkSession
-    types = field_types(df)
-    keys = list(order_by[:2])
-    if not all(isinstance(types[k], (T.NumericType, *MOMENT)) for k in keys[:1]):
-        raise ValueError("the first order key must be numeric, a date or a timestamp")
-    keys = [k for k in keys if isinstance(types[k], (T.NumericType, *MOMENT))]
-    pieces = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if pieces < 2:
-        pieces = 2
-    marks = [i / pieces for i in range(1, pieces)]
-    cuts = df.agg(*[F.percentile_approx(_as_double(k, types[k]), marks, 10_000).alias(f"q{i}")
-                    for i, k in enumerate(keys)]).first()
-    first_cuts = cuts[0] or []
-    heavy = sorted({q for q in first_cuts if first_cuts.count(q) > 1})
-
-    placed = df.withColumn("_x0", F.coalesce(_as_double(keys[0], types[keys[0]]), F.lit(float("-inf"))))
-    placed = _bucket(placed, "_x0", first_cuts, "_slice")
-    if heavy and len(keys) > 1:
-        is_heavy = F.col("_x0").isin(heavy)
-        placed = placed.withColumn("_x1", F.coalesce(_as_double(keys[1], types[keys[1]]), F.lit(float("-inf"))))
-        placed = _bucket(placed, "_x1", cuts[1] or [], "_part")
-        sub = F.when(is_heavy, F.col("_part")).otherwise(F.lit(float(pieces + 1)))
-        placed = placed.withColumn("_part", sub).drop("_x1")
-    else:
-        placed = placed.withColumn("_part", F.lit(0.0))
-
-    within = Window.partitionBy("_slice", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumns(filled(within))
-    # one row per slice: the last value seen in it, carried over from all slices before
-    lasts = placed.groupBy("_slice", "_part").agg(*[
-        F.max_by(col(c), F.when(col(c).isNotNull(), F.struct(*[col(o) for o in order_by]))).alias(c) for c in columns])
-    before = Window.orderBy("_slice", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("_slice", "_part", *[F.last(col(c), ignorenulls=True).over(before).alias(f"_c{i}")
-                                                for i, c in enumerate(columns)])
-    # at most slices squared rows, a number chosen here and not by the data
-    joined = local.join(F.broadcast(carried), ["_slice", "_part"])
-    fill = {c: F.coalesce(col(c), F.col(f"_c{i}")) for i, c in enumerate(columns)}
+    pieces = max(2, slices or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = _sort_key(df, order_by, partition_by)
+    bounds = slice_bounds(df, key, pieces)
+    if bounds is None:
+        return df
+    groups = [f"g{i}" for i in range(len(partition_by))]
+    placed = df.select("*", key.alias("_k"), bounds.scalar().alias("_cuts"))
+    placed = placed.withColumn("_slice", _slice_of(F.col("_k"), F.col("_cuts"), pieces)).withColumn("_next", F.get("_cuts", F.col("_slice"))).drop("_cuts")
+
+    def same(a: str, b: str) -> Column:
+        return reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups], F.col(a).isNotNull() & F.col(b).isNotNull())
+
+    # one row per slice: the last values of the group that its end is in
+    tail = placed.where(same("_k", "_next")).groupBy("_slice").agg(
+        F.first("_next").alias("_next"), *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("_k"))).alias(f"_c{i}") for i, c in enumerate(columns)])
+    before = Window.partitionBy(*[F.col(f"_next.{g}") for g in groups], F.lit(0)).orderBy("_slice")
+    carried = tail.select((F.col("_slice") + 1).alias("_slice"), F.col("_next").alias("_from"),
+                          *[F.last(f"_c{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(columns))])
+    within = Window.partitionBy("_slice", *[F.col(f"_k.{g}") for g in groups]).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.drop("_next").withColumns({c: F.last(col(c), ignorenulls=True).over(within) for c in columns})
+    # at most one row per slice, a number chosen here and not by the data
+    joined = local.join(F.broadcast(carried), "_slice", "left")
+    fill = {c: F.coalesce(col(c), F.when(same("_k", "_from"), F.col(f"_c{i}"))) for i, c in enumerate(columns)}
     return joined.withColumns(fill).select(*[col(c) for c in df.columns])
-
-
-def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)

@@ -124,6 +124,19 @@ def w04c(t):
     return W.forward_fill(df, ["v"], ["ts", "event_id"], ["user_id"]).select("event_id", "v")
 
 
+@query("w04d_forward_fill_hot_group", """
+SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY owner ORDER BY kind, ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v,
+  last_value(word IGNORE NULLS) OVER (PARTITION BY owner ORDER BY kind, ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word
+FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'one' WHEN event_id % 7 > 0 THEN NULL ELSE 'u' || user_id END AS owner, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE event_type END AS kind, ts,
+  CASE WHEN event_id % 5 > 0 THEN NULL ELSE value END AS v, CASE WHEN event_id % 11 > 0 THEN NULL ELSE event_type || event_id END AS word FROM events)""")
+def w04d(t):
+    """Two thirds of all rows are one group, a third shares its first order key, which is text, as is the null group's."""
+    df = t("events").select("event_id", F.expr("CASE WHEN event_id % 3 > 0 THEN 'one' WHEN event_id % 7 > 0 THEN NULL ELSE 'u' || user_id END").alias("owner"),
+                            F.expr("CASE WHEN event_id % 2 = 0 THEN 'a' ELSE event_type END").alias("kind"), "ts", F.expr("CASE WHEN event_id % 5 > 0 THEN NULL ELSE value END").alias("v"),
+                            F.expr("CASE WHEN event_id % 11 > 0 THEN NULL ELSE event_type || event_id END").alias("word"))
+    return W.forward_fill(df, ["v", "word"], ["kind", "ts", "event_id"], ["owner"]).select("event_id", "v", "word")
+
+
 @query("w05_keep_first", "SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem")
 def w05(t):
     return W.keep_first(t("lineitem").select("l_orderkey", "l_returnflag"), ["l_orderkey", "l_returnflag"])
