@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_date, parse_timestamp, year_of
@@ -15,6 +17,9 @@ from ..functions.text import stable_token
 # Run states counted as "processing" in the run overview.
 PROCESSING_STATES = ["preprocessing", "eda_running", "agents_running", "queued"]
 
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+BLOCK_ROWS = 4096
+
 
 def ranked(counts: DataFrame, value: str, n: int | None, count: str = "count") -> DataFrame:
     """Largest counts first; ties by value, nulls last. With ``n`` this is a per-task top-n, not a full sort."""
@@ -132,16 +137,56 @@ def correlation_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.select(F.lit(x).alias("x_field"), F.lit(y).alias("y_field"), value.alias("value"), "sample_size")
 
 
+def comoments(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)`` for every two columns i <= j by place: number of rows where both are present, and over
+    these the centred sums of both, of their squares and of their product.
+
+    One scan. Every task multiplies blocks of rows as matrices (present, value, square) and hands over one row per cell; Spark
+    adds the cells up, so the work of a row is columns squared without an expression, or a plan, of that size. Values are
+    centred at each column's mean, found before in one aggregate, so that sums of squares keep their digits. NaN and infinities
+    count as missing.
+    """
+    numbers = [col(c).cast("double") for c in names]
+    ready = df.select(*[F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).alias(f"c{k}") for k, x in enumerate(numbers)])
+    means = ready.agg(*[F.avg(c).alias(c) for c in ready.columns]).first()
+    centre = np.array([m if m is not None else 0.0 for m in means])
+    upper = np.triu_indices(len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(centre), len(centre)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]) - centre
+                present = ~np.isnan(v)
+                v, m = np.where(present, v, 0.0), present.astype(float)
+                q = v * v
+                total += np.stack([m.T @ m, v.T @ m, m.T @ v, q.T @ m, m.T @ q, v.T @ v])
+        cells = total[:, upper[0], upper[1]]
+        if len(centre):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(u.astype(np.int32) for u in upper), *cells)], ["i", "j", *SUMS])
+
+    cells = ready.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
+    return cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def _correlations(df: DataFrame, names: Sequence[str], own: bool) -> DataFrame:
-    """``(col1, col2, r)`` for every pair col1 before col2, with ``own`` also for each varying column and itself; one scan."""
-    ready = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None)).alias(c) for c in names])
-    pairs = [(a, b, pearson(col(a), col(b))) for i, a in enumerate(names) for b in names[i + 1:]]
-    pairs += [(c, c, F.when(F.var_pop(col(c)) > 0, 1.0)) for c in names if own]
-    if not pairs:
-        return small_table(df.sparkSession, [], "col1 string, col2 string, r double")
-    one = ready.agg(*[r.alias(f"r{i}") for i, (_, _, r) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r")) for i, (a, b, _) in enumerate(pairs)])))
+    """``(col1, col2, r)`` for every pair col1 before col2, with ``own`` also for each varying column and itself; null where
+    either does not vary over the rows that have both."""
+    schema = "col1 string, col2 string, r double"
+    if not names:
+        return small_table(df.sparkSession, [], schema)
+    n = F.col("n")
+    spread = lambda one, two: F.col(two) - F.try_divide(F.col(one) * F.col(one), n)
+    # what rounding leaves of a sum that should be zero
+    varies = lambda one, two: spread(one, two) > F.col(two) * 1e-13
+    r = F.when(varies("x", "xx") & varies("y", "yy"), F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n), F.sqrt(spread("x", "xx") * spread("y", "yy"))))
+    r = F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), 1.0)).otherwise(r)
+    label = small_table(df.sparkSession, list(enumerate(names)), "k int, name string")
+    pairs = comoments(df, names).where("i <= j" if own else "i < j").select("i", "j", r.alias("r"))
+    for k, c in (("i", "col1"), ("j", "col2")):  # one row per column of the schema
+        pairs = pairs.join(F.broadcast(label.select(F.col("k").alias(k), F.col("name").alias(c))), k)
+    return pairs.select("col1", "col2", "r")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

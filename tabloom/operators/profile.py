@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .aggregates import high_correlations
-from .quantiles import bracketed_quantiles
+from .quantiles import column_quantiles
 from .shape import MOMENT, col, field_types, melt_numbers, small_table, table_number, typed_value_table, value_table
 from .windows import top_per_group
 
@@ -49,7 +49,7 @@ def _first_pass(df: DataFrame, columns: Sequence[str], values: DataFrame) -> Dat
     if not numbers:
         return first.withColumn("q", F.lit(None).cast("array<double>"))
     place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
-    selected = bracketed_quantiles(melt_numbers(df, numbers), "column", "value", QUARTILES).groupBy("column").agg(
+    selected = column_quantiles(df, numbers, QUARTILES).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("prob", "quantile"))), lambda s: s["quantile"]).alias("q"))
     return first.join(selected.select(F.element_at(place, F.col("column")).alias("c"), "q"), "c", "left")
 

@@ -178,6 +178,18 @@ def a16(t):
     return A.high_correlations(df, ["p_partkey", "p_size", "twice"]).withColumn("correlation", F.round("correlation", 6))
 
 
+@query("a15b_correlation_with_holes", """
+WITH h AS (SELECT CASE WHEN l_orderkey % 3 > 0 THEN l_quantity END AS q, CASE WHEN l_partkey % 5 > 0 THEN l_extendedprice + 1e9 END AS p, CASE WHEN l_suppkey % 2 > 0 THEN l_discount END AS d,
+  5.0 AS constant, CASE WHEN l_suppkey % 2 = 0 THEN l_tax END AS other FROM lineitem)
+""" + union([f"SELECT '{a}' AS col1, '{b}' AS col2, round({'NULL' if 'constant' in (a, b) or (a, b) == ('d', 'other') else f'corr({a}, {b})'}, 6) AS r FROM h"
+             + (" LIMIT 1" if 'constant' in (a, b) or (a, b) == ('d', 'other') else "") for i, a in enumerate(["q", "p", "d", "constant", "other"]) for b in ["q", "p", "d", "constant", "other"][i + 1:]]).replace("FROM h LIMIT 1", ""))
+def a15b(t):
+    """Pairwise-complete: columns with different holes, one far from zero, one constant, and two that no row has both of."""
+    h = t("lineitem").selectExpr("CASE WHEN l_orderkey % 3 > 0 THEN l_quantity END AS q", "CASE WHEN l_partkey % 5 > 0 THEN l_extendedprice + 1e9 END AS p",
+                                 "CASE WHEN l_suppkey % 2 > 0 THEN l_discount END AS d", "5.0D AS constant", "CASE WHEN l_suppkey % 2 = 0 THEN l_tax END AS other")
+    return A.correlation_pairs(h).withColumn("r", F.round("r", 6))
+
+
 @query("a17_duplicate_rows", """
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates, round(sum(n - 1) / sum(n), 9) AS duplicate_pct
 FROM (SELECT *, count(*) AS n FROM (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R') GROUP BY ALL)""")

@@ -55,10 +55,30 @@ def test_selection_quantiles_equal_numpy(spark, case):
     assert all(math.isclose(got[p], np.quantile(values, p), abs_tol=1e-12) for p in probs)
 
 
-def test_bracket_that_misses_its_rank_fails(spark):
-    df = spark.createDataFrame([("a", float(v % 977)) for v in range(20000)], "k string, v double").repartition(7)
-    with pytest.raises(Exception, match="outside its bracket"):
-        Q.bracketed_quantiles(df, "k", "v", [0.3141], accuracy=3, spread=-0.9).collect()
+@pytest.mark.parametrize("case", ["ties", "smooth", "powers", "wide"])
+def test_selection_in_rounds(spark, case):
+    rng = np.random.default_rng(4)
+    n = 4000
+    values = {"ties": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 900, n)), "smooth": rng.normal(size=n), "powers": 2.0 ** rng.integers(-1000, 1000, n),
+              "wide": np.concatenate([rng.normal(size=n - 2), [-1.7e308, 1.7e308]])}[case]
+    keys = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b"], n)).astype(object)
+    keys[rng.random(n) < 0.1] = None
+    df = spark.createDataFrame(list(zip(keys.tolist(), values.tolist())), "k string, v double")
+    probs = [0.0, 0.25, 0.5, 0.77, 1.0]
+    got = {(r.k, r.prob): r.quantile for r in Q.bracketed_quantiles(df, "k", "v", probs, accuracy=100, cells=5, few=20).collect()}
+    for k in ("hot", "a", "b", None):
+        own = values[[x == k for x in keys]]
+        assert all(math.isclose(got[k, p], np.quantile(own, p), rel_tol=1e-12, abs_tol=1e-12) for p in probs), k
+    whole = {r.prob: r.quantile for r in Q.column_quantiles(df, ["v"], probs, accuracy=100, cells=7, few=1).collect()}
+    assert all(math.isclose(whole[p], np.quantile(values, p), rel_tol=1e-12, abs_tol=1e-12) for p in probs)
+
+
+def test_bracket_that_misses_its_rank_is_widened(spark):
+    values = [float(v % 977) for v in range(20000)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double").repartition(7)
+    got = Q.bracketed_quantiles(df, "k", "v", [0.3141], accuracy=3, spread=-0.9, few=50).first()
+    assert math.isclose(got.quantile, np.quantile(values, 0.3141))
+    assert Q.bracketed_quantiles(df.limit(0), "k", "v", [0.5]).count() == 0
 
 
 def test_grouped_median_keeps_empty_groups(spark):
@@ -78,6 +98,39 @@ def test_forward_fill_equals_pandas(spark):
         W.forward_fill(df, ["v"], [])
 
 
+def test_forward_fill_splits_hot_groups_and_orders(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, f"g{i % 9}"]), rng.choice(["x", "x", None, f"w{i:04d}"]), i % 3 == 0, rng.choice([None, None, float(i)]), rng.choice([None, f"t{i}"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, g string, o string, b boolean, v double, t string").repartition(5)
+    got = {r.i: (r.v, r.t) for r in W.forward_fill(df, ["v", "t"], ["o", "b", "i"], ["g"], slices=16).collect()}
+    last, want = {}, {}
+    for i, g, _, _, v, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2] is not None, r[2] or "", r[3], r[0])):
+        before = last.get(g, (None, None))
+        last[g] = want[i] = (before[0] if v is None else v, before[1] if t is None else t)
+    assert got == want
+    key = W._sort_key(df, ["o", "b", "i"], ["g"])
+    placed = df.select("g", "o", key.alias("k"), W.slice_bounds(df, key, 16).scalar().alias("cuts"))
+    placed = placed.select("g", "o", W._slice_of(F.col("k"), F.col("cuts"), 16).alias("s"))
+    sizes = [r["count"] for r in placed.groupBy("s").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4 * 1500 / 16
+    assert placed.where("g = 'hot' and o = 'x'").select("s").distinct().count() > 3
+    assert W.forward_fill(df.limit(0), ["v"], ["i"]).count() == 0
+
+
+def test_correlations_of_many_columns_in_one_scan(spark):
+    rng = np.random.default_rng(7)
+    n, m = 300, 500
+    base = rng.normal(size=(n, 5))
+    data = base[:, rng.integers(0, 5, m)] + rng.normal(size=(n, m)) * rng.random(m) + rng.integers(-1000, 1000, m)
+    data[rng.random((n, m)) < 0.1] = np.nan
+    pdf = pd.DataFrame(data, columns=[f"x.{k}" for k in range(m)])
+    df = spark.createDataFrame(pdf).repartition(4)
+    pairs = A.correlation_pairs(df)
+    want = pdf.corr().to_numpy()
+    got = {(int(r.col1[2:]), int(r.col2[2:])): r.r for r in pairs.collect()}
+    assert len(got) == m * (m - 1) // 2 and all(math.isclose(v, want[k], abs_tol=1e-9) for k, v in got.items())
+
+
 def test_histogram_bins(spark):
     assert [(r.bin, r["count"]) for r in A.histogram(frame(spark, [5, 5]), ["x"]).collect()] == [(15, 2)]
     bins = {r.bin: r["count"] for r in A.histogram(frame(spark, range(31)), ["x"]).collect()}
