@@ -6,8 +6,9 @@ threshold, under a flat prior, is below ``MISS``; survivors are verified on full
 
 No bucket is expanded into its pairs: first every class is compared with the least class of its buckets only, and the links
 found make components. Buckets that then still hold several components are cut into blocks, and every two blocks are one piece
-of work in which the classes of different components are compared. What survives leaves as one row per class and piece; its
-sets meet in the same pieces again, and only links that join something leave those.
+of work in which the classes of different components are compared. A piece returns the classes that have some candidate left,
+one row each; their full sets meet in the same piece again, cut to a number of shingles, where candidates are found anew and
+verified. Only links that join something leave it; pairs never do.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer words than a
 shingle the whole text is one shingle; equal rows share their result; a component whose ids are all null has a null id and
@@ -34,8 +35,10 @@ BANDS, ROWS = 32, 4  # a pair at the threshold misses all bands with probability
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-5
-BLOCK = 256
-KNOWN_WORDS = 400_000
+BLOCK = 1024  # classes of a bucket that are compared with another block, or with each other, in one piece
+STEP = 256  # signatures compared at once
+HELD = 1 << 20  # shingles of a side that a verifying task holds
+KNOWN_WORDS = 200_000
 
 _seeds = np.random.default_rng(20240607)
 _FACTORS = _seeds.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,8 +225,41 @@ def pieces_of(rows: Iterator[tuple], width: int = 3) -> Iterator[tuple[tuple, li
         yield at, held
 
 
+def open_pairs(classes: dict[str, np.ndarray], band: int, inside: bool, limits: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (a, b, matches) of a piece, as places in its arrays, from one square of STEP by STEP pairs after the other: of
+    different components, of sizes that allow the similarity, dropped by no batch, and in their first common bucket."""
+    root, n, sig, own, first = (classes[k] for k in ("root", "n", "sig", "own", "first"))
+    left, right = np.flatnonzero(first), np.flatnonzero(first if inside else ~first)
+    for x in range(0, len(left), STEP):
+        for y in range(x if inside else 0, len(right), STEP):
+            a, b = (z.ravel() for z in np.meshgrid(left[x:x + STEP], right[y:y + STEP], indexing="ij"))
+            may = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            if inside:
+                may &= a < b
+            a, b = a[may], b[may]
+            if not len(a):
+                continue
+            alive, matches = surviving(sig, sig, a, b, limits)
+            a, b = a[alive], b[alive]
+            common = own[a] == own[b]
+            here = own[a, common.argmax(axis=1)] == band
+            yield a[here], b[here], matches[here]
+
+
+def of_piece(held: list[tuple], i: int) -> dict[str, np.ndarray]:
+    """The arrays of a piece from rows that begin with (block, c, root, n, sig)."""
+    block, c, root, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
+    sig = np.frombuffer(b"".join(r[4] for r in held), np.uint32).reshape(-1, HASHES)
+    return {"c": c, "root": root, "n": n, "sig": sig, "own": bands(sig), "first": block == i}
+
+
 def joining_links(shared: DataFrame, of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components ``of``, as many as join them, from all pairs of classes that share a bucket."""
+    """Links (a, b) between the components ``of``, as many as join them, from all pairs of classes that share a bucket.
+
+    Two passes over pieces, each of two blocks of a bucket. The first compares signatures and returns the classes that have a
+    candidate at all, never the pairs; the second brings their full sets, finds the candidates again and verifies them, the most
+    alike first, as long as their components are not joined. Its pieces are cut to HELD shingles a side.
+    """
     at = cut_lineage(split_join(shared.select("band", "c"), of.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
     several = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
     several = cut_lineage(several.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
@@ -235,51 +271,45 @@ def joining_links(shared: DataFrame, of: DataFrame, classes: DataFrame, percent:
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (band, i, j), held in pieces_of(rows):
-            block, c, root, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-            open_ = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-            if i == j:
-                open_ &= a < b
-            a, b = a[open_], b[open_]
-            if not len(a):
-                continue
-            sig = np.frombuffer(b"".join(r[4] for r in held), np.uint32).reshape(-1, HASHES)
-            alive, _ = surviving(sig, sig, a, b, limits)
-            a, b = a[alive], b[alive]
-            # a pair is looked at in its first common bucket only
-            own = bands(sig)
-            common = own[a] == own[b]
-            here = own[a, common.argmax(axis=1)] == band
-            a, b = a[here], b[here]
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
-                yield band, i, j, int(c[a[part[0]]]), c[b[part]].tolist()
-
-    found = cut_lineage(map_batches(at.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), "band long, i int, j int, c long, others array<long>", compare))
-    needed = found.select("band", "i", "j", F.explode(F.concat("others", F.array("c"))).alias("c")).distinct()
-    needed = split_join(needed, classes.select("c", "shingles"), "c").select("band", "i", "j", "c", F.lit(None).cast("array<long>").alias("others"), "shingles")
-    both = needed.unionByName(found.select("*", F.lit(None).cast("binary").alias("shingles")))
+            piece = of_piece(held, i)
+            n, first = piece["n"], piece["first"]
+            # cuts of a side hold HELD shingles at most, or one class
+            cut = np.zeros(len(n), np.int64)
+            for side in (np.flatnonzero(first), np.flatnonzero(~first)):
+                cut[side] = np.cumsum(n[side]) // HELD
+            met: set[tuple[int, int, int]] = set()
+            for a, b, _ in open_pairs(piece, band, i == j, limits, percent):
+                pair = np.stack([cut[a], cut[b]])
+                if i == j:
+                    pair.sort(axis=0)
+                for ends in (a, b):
+                    met.update(zip(pair[0].tolist(), pair[1].tolist(), ends.tolist()))
+            for k, m, at_ in sorted(met):
+                yield band, i, j, k, m, int(cut[at_]) if i == j else (k if first[at_] else -1 - m), *held[at_][1:4]
+
+    found = map_batches(at.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), "band long, i int, j int, k int, m int, block int, c long, root long, n long", compare)
+    sets = split_join(cut_lineage(found), classes.select("c", "sig", "shingles"), "c").select("band", "i", "j", "k", "m", "block", "c", "root", "n", "sig", "shingles")
 
     def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for _, held in pieces_of(rows):
-            sets = {r[0]: np.frombuffer(r[2], np.uint64) for r in held if r[2] is not None}
-            joined = {c: c for c in sets}
+        for (band, i, j, k, m), held in pieces_of(rows, 5):
+            piece = of_piece(held, k)
+            joined: dict[int, int] = {}
 
             def top(c: int) -> int:
-                while joined[c] != c:
-                    joined[c] = c = joined[joined[c]]
+                while joined.setdefault(c, c) != c:
+                    joined[c] = c = joined.setdefault(joined[c], joined[c])
                 return c
 
-            for a, others, _ in held:
-                for b in others or ():
-                    x, y = top(a), top(b)
-                    if x != y and alike(sets[a], sets[b], percent):
-                        joined[x] = y
-                        yield a, b
+            root, c = piece["root"].tolist(), piece["c"].tolist()
+            for a, b, matches in open_pairs(piece, band, i == j and k == m, limits, percent):
+                order = np.argsort(-matches, kind="stable")
+                for x, y in zip(a[order].tolist(), b[order].tolist()):
+                    p, q = top(root[x]), top(root[y])
+                    if p != q and alike(np.frombuffer(held[x][5], np.uint64), np.frombuffer(held[y][5], np.uint64), percent):
+                        joined[p] = q
+                        yield c[x], c[y]
 
-    return map_batches(both.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), "a long, b long", verify)
+    return map_batches(sets.repartition("band", "i", "j", "k", "m").sortWithinPartitions("band", "i", "j", "k", "m"), "a long, b long", verify)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

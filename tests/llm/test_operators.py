@@ -299,6 +299,22 @@ def test_licence_gate_passes_what_can_be_confirmed(spark):
     assert [f.families for f in found] == [["bsd"], ["mit"]]
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16, "STEP": 5}, {"BLOCK": 16, "STEP": 5, "HELD": 700}, {"HELD": 1}])
+def test_groups_about_the_threshold_keep_every_joining_link(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
+    r, base, rows = random.Random(12), say(150, 77).split(), []
+    for k in range(70):  # copies of one text with so many edits that many pairs lie just above or below the limit
+        words = list(base)
+        for at in r.sample(range(150), r.randrange(1, 9)):
+            words[at] = f"edit{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.near(rows)
+    assert 2 <= len({w[2] for w in want}) <= 65
+    assert rows_of(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=key)
+
+
 def test_queries_give_the_contract_columns(spark):
     want = {"op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op5_mixing": "doc_id size source_size target taken",
             "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_minhash": "doc_id n_shingles component_id kept"}
