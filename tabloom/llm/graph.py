@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import cut_lineage
+from .rows import cut_lineage, map_batches
+
+FOREST = 400_000  # nodes whose links a task holds at once
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
@@ -16,11 +20,6 @@ def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.withColumn("_dealt", dealt).join(right.withColumn("_dealt", dealt), ["_dealt", *keys], how).drop("_dealt")
 
 
-def fingerprint(pairs: DataFrame) -> tuple:
-    """Two numbers that stay the same when the rows do."""
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def merged(of: DataFrame, links: DataFrame) -> DataFrame:
     """Components ``of`` (node, root) after more links (a, b): only their roots are worked on again."""
     ends = cut_lineage(with_roots(links, of).where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
@@ -39,24 +38,58 @@ def with_roots(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
+def local_stars(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(node, least node it is connected with by the links at hand) for links (a, b). What is at hand is a task's links, or as
+    many as touch FOREST nodes; a node may leave once for each such lot."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above[x]) != x:
+            above[x] = x = above[up]
+        return x
+
+    for a, b in rows:
+        above.setdefault(a, a)
+        above.setdefault(b, b)
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+        if len(above) >= FOREST:
+            yield from ((x, top(x)) for x in list(above))
+            above.clear()
+    yield from ((x, top(x)) for x in list(above))
+
+
+def told_apart(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """From (node, root) in order: the node's least root (up), and a link from each other root to it (not up)."""
+    at = low = last = None
+    for node, root in rows:
+        if node != at:
+            at, low, last = node, root, root
+            yield node, root, True
+        elif root != last:
+            last = root
+            yield root, low, False
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): the least node it is connected with, itself for the least one.
 
-    Alternating large and small stars: every round moves links to least neighbours, with sums and joins only; a hot node is
-    split like any hot key. Each round is written to the shared folder, so a lost executor costs one round.
+    A level contracts the links of every task where they are; nodes that several tasks saw link the roots they got there, and
+    only those few links make the next level. A node is a row per task however many links it has, so that a hot node is no load
+    of its own. In the end the pointers of each level are followed from the top down, by joins that can be split. A level is one
+    shuffle and is written to the shared folder; a lost executor costs one level.
     """
-    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = cut_lineage(pairs)
-    before = fingerprint(pairs)
+    levels = []
+    links = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     while True:
-        both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-        large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
-        moved = split_join(large, least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        pairs = cut_lineage(moved.union(least.select("u", F.col("least").alias("v"))).distinct())
-        after = fingerprint(pairs)
-        if after == before:
+        stars = map_batches(links, "node long, root long", local_stars)
+        found = cut_lineage(map_batches(stars.repartition("node").sortWithinPartitions("node", "root"), "node long, root long, up boolean", told_apart))
+        levels.append(found.where("up").select("node", "root"))
+        links = found.where("not up").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if links.isEmpty():
             break
-        before = after
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = levels.pop()
+    for level in reversed(levels):
+        out = split_join(level.withColumnRenamed("root", "at"), out.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("root", "at").alias("root"))
+    return out

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabloom.llm import bpe, language, licences, minhash, mixing, pii, quality, suffixes, url_filter, vectors
+from tabloom.llm import bpe, graph, language, licences, minhash, mixing, pii, quality, suffixes, url_filter, vectors
 from tabloom.llm.queries import REGISTRY, URL_RULES, vocabulary_path
 
 from . import brute
@@ -315,6 +315,21 @@ def test_groups_about_the_threshold_keep_every_joining_link(spark, monkeypatch,
     assert rows_of(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("forest", [400_000, 3])
+def test_components(spark, monkeypatch, forest):
+    monkeypatch.setattr(graph, "FOREST", forest)
+    r = random.Random(9)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(1000 + k, 1001 + k) for k in range(300)] + [(5000, 5001 + k) for k in range(300)] + [(7, 7), (-3, 5000), (-3, 5000)]
+    r.shuffle(links)
+    ids = sorted({x for a, b in links if a != b for x in (a, b)})
+    place = {x: k for k, x in enumerate(ids)}
+    want = dict(zip(ids, brute.closure(ids, [(place[a], place[b]) for a, b in links if a != b])))
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = graph.components(df).collect()
+    assert {x.node: x.root for x in got} == want and len(got) == len(want)
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_queries_give_the_contract_columns(spark):
     want = {"op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op5_mixing": "doc_id size source_size target taken",
             "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_minhash": "doc_id n_shingles component_id kept"}
