@@ -19,7 +19,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .rows import map_rows, sql_type
+from .rows import kept, map_rows, sql_type
 
 KEPT_WORDS = 500_000  # codes a worker keeps; beyond, it starts anew
 # Fixed values of the vocabulary's format: white space, the pattern of pieces, the mark of a word's end.
@@ -137,9 +137,9 @@ class Vocabulary:
                 if len(piece) <= 64:
                     self.pieces[piece] = found
             ids += found
-        for kept in (self.words, self.pieces):
-            if len(kept) >= KEPT_WORDS:
-                kept.clear()
+        for words in (self.words, self.pieces):
+            if len(words) >= KEPT_WORDS:
+                words.clear()
         found = pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
         if len(word) <= 64:
             self.words[word] = found
@@ -167,13 +167,10 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-_AT_WORK: dict[str, Vocabulary] = {}
-
-
 def at_work(sent) -> Vocabulary:
-    """The worker's vocabulary, kept over tasks with the words it knows."""
+    """The worker's vocabulary, kept over the operator's tasks with the words it knows."""
     vocabulary = sent.value
-    return _AT_WORK.setdefault(vocabulary.name, vocabulary)
+    return kept("bpe").setdefault(vocabulary.name, vocabulary)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,10 +178,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
     return map_rows(docs.select(id_col, text_col), f"{id_col} {sql_type(docs, id_col)}, n_tokens long, ids binary, decoded string",
-                    lambda key, text: (key, *at_work(sent).encode_decode(text)))
+                    lambda key, text: (key, *at_work(sent).encode_decode(text)), "bpe")
 
 
 def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, decoded from ids as encode_decode gives them; null ids decode to an empty text."""
     sent = coded.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
-    return map_rows(coded.select(id_col, ids_col), f"{id_col} {sql_type(coded, id_col)}, decoded string", lambda key, ids: (key, at_work(sent).decode(ids)))
+    return map_rows(coded.select(id_col, ids_col), f"{id_col} {sql_type(coded, id_col)}, decoded string", lambda key, ids: (key, at_work(sent).decode(ids)), "bpe")

@@ -16,14 +16,28 @@ PIECE_CHARS = 4_000_000
 PIECE_ROWS = 2_000
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[..., tuple]) -> DataFrame:
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator's tasks keep in a Python worker from one task to the next."""
+    return _KEPT.setdefault(owner, {})
+
+
+def drop_kept(owner: str | None) -> None:
+    """A worker keeps things of one operator at a time: a task of another one frees their memory."""
+    for other in [o for o in _KEPT if o != owner]:
+        del _KEPT[other]
+
+
+def map_rows(df: DataFrame, schema: str, fn: Callable[..., tuple], keeps: str | None = None) -> DataFrame:
     """``fn(*values of a row) -> tuple`` for every row, in Arrow tasks. Results leave in pieces bounded by size, so a task
     never holds more than one piece and one incoming batch (which Spark bounds by bytes)."""
-    return map_batches(df, schema, lambda rows: (fn(*r) for r in rows))
+    return map_batches(df, schema, lambda rows: (fn(*r) for r in rows), keeps)
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """As map_rows, for a generator over all rows of a task."""
+def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterator[tuple]], keeps: str | None = None) -> DataFrame:
+    """As map_rows, for a generator over all rows of a task. ``keeps`` names the operator whose kept things the tasks use."""
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -33,6 +47,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iter
                 yield from zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         held, size = [], 0
         for row in fn(rows_of(batches)):
             held.append(row)
@@ -69,4 +84,4 @@ def least_hashed(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.where(code <= F.lit(most)).limit(n)
 
 
-__all__ = ["cut_lineage", "least_hashed", "map_batches", "map_rows", "sql_type", "text_key", "to_batch"]
+__all__ = ["cut_lineage", "kept", "least_hashed", "map_batches", "map_rows", "sql_type", "text_key", "to_batch"]
