@@ -20,7 +20,7 @@ from .aggregates import distinct_counts, duplicate_rows, modes, null_counts
 from .profile import number_figures
 from .quantiles import column_quantiles
 from .rows import domain_anomalies
-from .shape import MOMENT, NESTED, col, field_types, melt_numbers, numeric_columns, without_nan
+from .shape import MOMENT, NESTED, col, field_types, numeric_columns, without_nan
 from .windows import forward_fill
 
 # Role vocabulary of known columns per domain.
@@ -273,15 +273,11 @@ def outlier_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Columns that look normal are judged by z-score with the population deviation, all others by quartile fences.
     """
-    figures = number_figures(df, columns)
+    figures = number_figures(df, columns, z_limit=Z_LIMIT).where(F.col("n") >= OUTLIER_MIN_ROWS)
     n = F.col("n").cast("double")
     p = F.when((n >= NORMALITY_MIN_ROWS) & (F.col("sd_pop") > 0), normality_p(n, F.col("g1"), F.col("g2") + 3))
-    moments = figures.withColumn("normal", F.coalesce(p > NORMAL_P, F.lit(False))).where(n >= OUTLIER_MIN_ROWS)
-    # one row per column of the schema
-    z = melt_numbers(df, columns).join(F.broadcast(moments.where("normal").select("column", "mean", "sd_pop")), "column").groupBy("column").agg(
-        F.count_if(F.abs((F.col("value") - F.col("mean")) / F.col("sd_pop")) > Z_LIMIT).alias("z_count"))
-    out = moments.join(z, "column", "left")
-    count = F.when(F.col("normal"), F.coalesce("z_count", F.lit(0))).otherwise(F.col("outlier_count"))
+    out = figures.withColumn("normal", F.coalesce(p > NORMAL_P, F.lit(False)))
+    count = F.when(F.col("normal"), F.col("z_count")).otherwise(F.col("outlier_count"))
     return out.select("column", "n", F.when(F.col("normal"), "Z-Score").otherwise("IQR").alias("method"),
                       count.alias("outlier_count"), F.round(count / F.col("n"), 4).alias("outlier_pct"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.text import stable_token
 from .aggregates import high_correlations
-from .quantiles import column_quantiles
-from .shape import MOMENT, col, field_types, melt_numbers, small_table, table_number, typed_value_table, value_table
+from .quantiles import brackets, column_quantiles, sketched_ends
+from .shape import MOMENT, col, digest_table, field_types, melt_numbers, numeric_columns, small_table, value_table
 from .windows import top_per_group
 
 
@@ -33,71 +35,83 @@ def column_catalog(df: DataFrame, roles: Mapping[str, str] | None = None) -> Dat
 
 
 QUARTILES = (0.25, 0.5, 0.75)
-
-
-def _first_pass(df: DataFrame, columns: Sequence[str], values: DataFrame) -> DataFrame:
-    """Per column place: rows, present rows, distinct values, and for numbers count, ends, mean and quartiles."""
-    types = field_types(df)
-    x, n = table_number(), F.col("n")
-    present = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull()
-    numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
-    first = values.groupBy("c").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(present, n).otherwise(0)).alias("present"), F.count_if(present).alias("n_distinct"),
-        F.sum(F.when(x.isNotNull(), n)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
-        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
-    )
-    if not numbers:
-        return first.withColumn("q", F.lit(None).cast("array<double>"))
-    place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
-    selected = column_quantiles(df, numbers, QUARTILES).groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("prob", "quantile"))), lambda s: s["quantile"]).alias("q"))
-    return first.join(selected.select(F.element_at(place, F.col("column")).alias("c"), "q"), "c", "left")
-
-
-def _figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
-    """All figures of a profile, keyed by column place; two small aggregates over one value table."""
-    values = typed_value_table(df, columns)
-    first = _first_pass(df, columns, values)
-    x, n = table_number(), F.col("n")
+FIGURES = ("n", "min", "max", "mean", "std", "sd_pop", "g1", "g2")
+NUMBERS = ("min", "max", "mean", "median", "std", "skewness", "kurtosis", "q1", "q3")
+MAX_CLASSES = 20
+# the sketch holds one register per value at most, so up to MAX_CLASSES values are never estimated beyond twice as many
+SKETCH_CLASSES = 2 * MAX_CLASSES
+
+
+def statistics_bundle(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float | int | None]]:
+    """Per numeric column with a finite value: count, ends, moments and exact quartiles; a few numbers a column, kept by the driver.
+
+    One scan adds up moments and a quantile sketch per column in every task; a second one picks the values that the sketch's
+    brackets leave open. No other value is moved. Infinities and NaN count as missing.
+    """
+    numbers = melt_numbers(df, columns)
+    x = F.col("value")
+    one = numbers.groupBy("column").agg(
+        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("sd_pop"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        sketched_ends("value", QUARTILES).alias("ends")).where("n > 0")
+    bundle, rows = {}, []
+    for r in one.collect():
+        bundle[r["column"]] = {c: r[c] for c in FIGURES} | {"g1": r["g1"] or 0.0, "flat": not r["sd_pop"]}
+        rows.append((r["column"], r["n"], r["min"], r["max"], *r["ends"]))
+    if not rows:
+        return bundle
+    places = [f"e{i}" for i in range(2 * len(QUARTILES))]
+    sketched = small_table(df.sparkSession, rows, "k string, n bigint, least double, most double, " + ", ".join(f"{e} double" for e in places))
+    ranges = brackets(sketched.select("k", "n", "least", "most", F.array(*places).alias("ends")), QUARTILES)
+    for r in column_quantiles(df, columns, QUARTILES, ranges=ranges).collect():
+        bundle[r["column"]][f"q{QUARTILES.index(r['prob']) + 1}"] = r["quantile"]
+    return bundle
+
+
+def number_figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0, z_limit: float = 3.5) -> DataFrame:
+    """Counts, moments (sample and population), quartiles, values outside the fences at ``factor`` interquartile ranges, and
+    values beyond ``z_limit`` population deviations. Columns without a finite number have no row."""
+    bundle = statistics_bundle(df, columns)
+    rows = []
+    for c in (c for c in columns if c in bundle):
+        f = bundle[c]
+        n, g1, g2, q1, q3 = f["n"], f["g1"], f["g2"], f["q1"], f["q3"]
+        skewness = (0.0 if f["flat"] else g1 * math.sqrt(n * (n - 1)) / (n - 2)) if n >= 3 else None
+        kurtosis = (0.0 if f["flat"] else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)) if n >= 4 else None
+        rows.append((c, n, f["min"], f["max"], f["mean"], f["q2"], f["std"], f["sd_pop"], 0.0 if f["flat"] else g1, 0.0 if f["flat"] else g2,
+                     skewness, kurtosis, q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)))
+    doubles = ("min", "max", "mean", "median", "std", "sd_pop", "g1", "g2", "skewness", "kurtosis", "q1", "q3", "low", "high")
+    known = small_table(df.sparkSession, rows, "column string, n bigint, " + ", ".join(f"{c} double" for c in doubles))
     # one row per column of the schema
-    joined = values.join(F.broadcast(first.select(F.col("c"), F.col("mean").alias("mu"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))), "c")
-    off, reach = x - F.col("mu"), factor * (F.col("q3") - F.col("q1"))
-    outside = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
-    second = joined.groupBy("c").agg(
-        *[F.sum(n * F.pow(off, F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)],
-        F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outlier_count"))
-    both = first.join(second, "c")
-    size = F.col("n").cast("double")
-    var = F.col("m2") / size
-    g1 = F.when(var > 0, F.col("m3") / size / F.pow(var, F.lit(1.5))).otherwise(0.0)
-    g2 = F.when(var > 0, F.col("m4") / size / (var * var) - 3)
-    kurtosis = F.when(g2.isNull(), 0.0).otherwise((size - 1) / ((size - 2) * (size - 3)) * ((size + 1) * g2 + 6))
-    return both.select(
-        "c", "rows", "present", "n_distinct", "n", "min", "max", "mean", F.get("q", F.lit(1)).alias("median"),
-        F.when(size > 1, F.sqrt(F.col("m2") / (size - 1))).alias("std"), F.sqrt(var).alias("sd_pop"), g1.alias("g1"),
-        F.coalesce(g2, F.lit(0.0)).alias("g2"), F.when(size >= 3, g1 * F.sqrt(size * (size - 1)) / (size - 2)).alias("skewness"),
-        F.when(size >= 4, kurtosis).alias("kurtosis"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"), "outlier_count")
+    limits = F.broadcast(known.select("column", "mean", "sd_pop", "low", "high"))
+    x, far = F.col("value"), F.abs((F.col("value") - F.col("mean")) / F.col("sd_pop")) > z_limit
+    outside = melt_numbers(df, [r[0] for r in rows] or columns).join(limits, "column").groupBy("column").agg(
+        F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outlier_count"), F.count_if((F.col("sd_pop") > 0) & far).alias("z_count"))
+    return known.drop("low", "high").join(F.broadcast(outside), "column")
 
 
 def fence_outliers(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
     """``(column, n, q1, median, q3, outlier_count)`` with strict fences at ``factor`` interquartile ranges."""
-    figures = _figures(df, columns, factor)
-    return _named(figures, columns).select("column", "n", "q1", "median", "q3", "outlier_count")
-
+    return number_figures(df, columns, factor).select("column", "n", "q1", "median", "q3", "outlier_count")
 
-def _named(figures: DataFrame, columns: Sequence[str]) -> DataFrame:
-    names = small_table(figures.sparkSession, list(enumerate(columns)), "c int, column string")
-    return names.join(figures, "c").drop("c")
 
-
-def number_figures(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
-    """Counts, moments (sample and population), quartiles and fence outliers of numeric columns."""
-    return _named(_figures(df, columns, factor), columns)
+def presence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column: rows, present values and distinct values, counted on digests of 16 bytes."""
+    chosen = list(columns if columns is not None else df.columns)
+    held = F.col("a").isNotNull()
+    counted = digest_table(df, chosen).groupBy("c").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(held, F.col("n")).otherwise(0)).alias("present"), F.count_if(held).alias("n_distinct"))
+    names = small_table(df.sparkSession, list(enumerate(chosen)), "c int, column string")
+    return names.join(counted, "c").drop("c")
 
 
 def column_profile(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
     """Per column: nulls, distinct values, moments, quartiles, outliers and a distribution label."""
-    full = column_catalog(df, roles).join(_figures(df, df.columns), F.col("position") == F.col("c"), "left")
+    full = column_catalog(df, roles).join(presence(df), "column", "left")
+    if numbers := numeric_columns(df):
+        full = full.join(number_figures(df, numbers), "column", "left")
+    else:
+        full = full.withColumns({c: F.lit(None).cast("double") for c in ("n", *NUMBERS, "outlier_count")})
     total = F.coalesce("rows", F.lit(0))
     missing = total - F.coalesce("present", F.lit(0))
     unique = F.coalesce("n_distinct", F.lit(0))
@@ -118,8 +132,8 @@ def column_profile(df: DataFrame, roles: Mapping[str, str] | None = None) -> Dat
         "column", "position", "dtype", "kind", "role", missing.alias("null_count"),
         F.coalesce(F.try_divide(missing, total), F.lit(0.0)).alias("null_pct"), unique.alias("unique_count"),
         F.coalesce(F.try_divide(unique, total), F.lit(0.0)).alias("unique_pct"), label.alias("distribution_type"),
-        F.when(enough, F.col("outlier_count")).otherwise(F.lit(0)).alias("outlier_count"), share.alias("outlier_pct"),
-        *[F.when(number, F.col(c)).alias(c) for c in ("n", "min", "max", "mean", "median", "std", "skewness", "kurtosis", "q1", "q3")],
+        F.when(enough, F.col("outlier_count")).otherwise(F.lit(0)).cast("bigint").alias("outlier_count"), share.alias("outlier_pct"),
+        *[F.when(number, F.col(c)).alias(c) for c in ("n", *NUMBERS)],
     )
 
 
@@ -130,7 +144,24 @@ def quality_score(profile: DataFrame) -> DataFrame:
 
 
 def potential_targets(profile: DataFrame) -> DataFrame:
-    return profile.where(F.col("unique_count").between(2, 20) & (F.col("role") != "id_col")).select("column", "unique_count")
+    return profile.where(F.col("unique_count").between(2, MAX_CLASSES) & (F.col("role") != "id_col")).select("column", "unique_count")
+
+
+def _few_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that can have at most MAX_CLASSES distinct values; a sketch turns the others away before a value is moved."""
+    if not columns:
+        return []
+    sizes = df.agg(*[F.approx_count_distinct(stable_token(col(c), field_types(df)[c])).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if sizes[i] <= SKETCH_CLASSES]
+
+
+def target_columns(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
+    """As potential_targets of the profile, from a table itself: only columns with few values are counted exactly."""
+    catalog = column_catalog(df, roles)
+    few = _few_valued(df, df.columns)
+    if not few:
+        return small_table(df.sparkSession, [], "column string, unique_count bigint")
+    return potential_targets(catalog.join(presence(df, few).select("column", F.col("n_distinct").alias("unique_count")), "column"))
 
 
 def dataset_summary(df: DataFrame, roles: Mapping[str, str] | None = None, profile: DataFrame | None = None) -> DataFrame:
@@ -162,12 +193,10 @@ def class_balance(df: DataFrame) -> DataFrame:
     chosen = [c for c in df.columns if _kind(types[c]) in ("text", "boolean")]
     if not chosen:
         return value_table(df, chosen).select("column", "value", F.col("n").alias("count"))
-    # a sketch turns away columns far beyond the limit before any of their values is moved; the counts below decide
-    sizes = df.agg(*[F.approx_count_distinct(col(c).cast("string")).alias(f"d{i}") for i, c in enumerate(chosen)]).first()
-    chosen = [c for i, c in enumerate(chosen) if sizes[i] <= 40] or chosen[:1]
+    chosen = _few_valued(df, chosen) or chosen[:1]
     booleans = [c for c in chosen if isinstance(types[c], T.BooleanType)]
     counts = value_table(df, chosen)
-    few = counts.groupBy("column").agg(F.count("value").alias("u")).where(F.col("u").between(2, 20)).select("column")
+    few = counts.groupBy("column").agg(F.count("value").alias("u")).where(F.col("u").between(2, MAX_CLASSES)).select("column")
     # one row per column of the schema
     kept = counts.join(F.broadcast(few), "column", "left_semi")
     return kept.where(F.col("value").isNotNull() | F.col("column").isin(booleans)).select(

@@ -16,23 +16,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .shape import col, melt_numbers
+from .shape import melt_numbers
 
 SKETCH_ACCURACY = 10_000
+SPREAD = 2.0
 CELLS = 2048
 FEW = 10_000
 TARGET = ["k", "p"]
 
 
-def _brackets(usable: DataFrame, probs: Sequence[float], accuracy: int, spread: float) -> DataFrame:
-    """``(k, p, n, lo, hi)``: the sketch places a rank within ``n / accuracy``; the bracket is ``spread`` times as wide on both
-    sides and at least one rank wider."""
+def sketched_ends(value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = SPREAD) -> Column:
+    """Aggregate: the sketch places a rank within ``n / accuracy``; a bracket's two ends are ``spread`` times as far on both sides."""
     margin = spread / accuracy
-    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketched = usable.groupBy("k").agg(
-        F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
-        F.percentile_approx("v", ends, accuracy).alias("ends"),
-    )
+    return F.percentile_approx(value, [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))], accuracy)
+
+
+def brackets(sketched: DataFrame, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = SPREAD) -> DataFrame:
+    """``(k, n, ranges of p, lo, hi)`` from ``(k, n, least, most, ends)``; every bracket is at least one rank wider than its rank."""
     # with fewer rows than the sketch keeps apart, one rank is wider than the margin: then the ends are the bracket
     few = F.lit(spread > 0) & (F.col("n") <= accuracy)
     ranges = F.array(*[
@@ -93,13 +93,17 @@ def _round(live: DataFrame, targets: DataFrame, cells: int, small: bool) -> Data
 
 
 def bracketed_quantiles(
-    rows: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = 2.0,
-    cells: int = CELLS, few: int = FEW, small: bool = False,
+    rows: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = SPREAD,
+    cells: int = CELLS, few: int = FEW, small: bool = False, ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, prob, quantile)`` for every key, exact. ``small`` says that the keys are few, as columns are: figures per key are
     then told to all tasks instead of moving rows. A bracket that misses its rank is replaced by the key's whole range."""
     usable = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    held = cut_lineage(_held(usable, _brackets(usable, probs, accuracy, spread), small))
+    if ranges is None:
+        ranges = brackets(usable.groupBy("k").agg(
+            F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
+            sketched_ends("v", probs, accuracy, spread).alias("ends")), probs, accuracy, spread)
+    held = cut_lineage(_held(usable, ranges, small))
     below, above = _ranks()
     inside = F.col("v").isNotNull()
     sizes = held.groupBy(*TARGET, "n").agg(

@@ -233,7 +233,7 @@ def _profile_sql(table: str, numbers: list[str], texts: list[str]) -> str:
 @query("a20_potential_targets", union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM lineitem HAVING count(DISTINCT {c}) BETWEEN 2 AND 20" for c in (
     "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]), spread=True)
 def a20(t):
-    return P.potential_targets(P.column_profile(t("lineitem"), {"l_orderkey": "id_col"}))
+    return P.target_columns(t("lineitem"), {"l_orderkey": "id_col"})
 
 
 @query("a21_quality_score", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
+from ..operators import encoders as E
 from ..operators.aggregates import duplicate_rows
 from .aggregates import _EVENTS_WITH_HOLES, _fence_sql, holes
 from .registry import query
@@ -86,6 +87,16 @@ def c06(t):
     return C.outlier_figures(t("events"), ["value", "user_id"]).select("column", "method", "outlier_count", "outlier_pct")
 
 
+@query("c06c_outliers_by_z_score", """
+WITH x AS (SELECT sqrt(-2 * ln(((o_orderkey * 7919) % 10007 + 0.5) / 10007)) * cos(2 * pi() * ((o_orderkey * 104729) % 10009 + 0.5) / 10009) AS v FROM orders),
+m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd, count(*) AS n FROM x)
+SELECT 'v' AS "column", 'Z-Score' AS method, count(*) FILTER (abs((v - mu) / sd) > 3.5) AS outlier_count, round(count(*) FILTER (abs((v - mu) / sd) > 3.5) / any_value(n), 4) AS outlier_pct FROM x, m""", spread=True)
+def c06c(t):
+    """A bell curve made from the order keys, so that the normality test takes the z-score branch."""
+    bell = "sqrt(-2 * ln(((o_orderkey * 7919) % 10007 + 0.5D) / 10007)) * cos(2 * pi() * ((o_orderkey * 104729) % 10009 + 0.5D) / 10009) AS v"
+    return C.outlier_figures(t("orders").selectExpr(bell), ["v"]).select("column", "method", "outlier_count", "outlier_pct")
+
+
 @query("c06b_normality_figures", """
 WITH m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x) AS mu FROM (SELECT l_extendedprice AS x FROM lineitem)),
 c AS (SELECT any_value(n) AS n, avg(pow(l_extendedprice - mu, 3)) / pow(avg(pow(l_extendedprice - mu, 2)), 1.5) AS g1, avg(pow(l_extendedprice - mu, 4)) / pow(avg(pow(l_extendedprice - mu, 2)), 2) AS b2 FROM lineitem, m),
@@ -108,6 +119,36 @@ def c07(t):
     return C.encoder_suggestions(df, {"p_partkey": "id_col"})
 
 
+@query("c07b_encode_suggested", """
+WITH p AS (SELECT *, p_partkey % 5 AS fold FROM part), g AS (SELECT sum(p_retailprice) AS t, count(*) AS n FROM p),
+gf AS (SELECT fold, sum(p_retailprice) AS t, count(*) AS n FROM p GROUP BY 1), v AS (SELECT p_name, sum(p_retailprice) AS t, count(*) AS n FROM p GROUP BY 1),
+vf AS (SELECT p_name, fold, sum(p_retailprice) AS t, count(*) AS n FROM p GROUP BY 1, 2), kinds AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS k FROM (SELECT DISTINCT p_type FROM p)),
+brands AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS k FROM (SELECT DISTINCT p_brand FROM p))
+SELECT p_partkey, """ + ", ".join(f"CAST(kinds.k = {k} AS INT) AS p_type_is_{k}" for k in range(6)) + """, CAST(brands.k AS INT) AS p_brand_code,
+  round((v.t - vf.t + 10 * (g.t - gf.t) / (g.n - gf.n)) / (v.n - vf.n + 10), 6) AS p_name_target
+FROM p, g JOIN gf ON true JOIN v ON true JOIN vf ON true JOIN kinds ON true JOIN brands ON true
+WHERE gf.fold = p.fold AND v.p_name = p.p_name AND vf.p_name = p.p_name AND vf.fold = p.fold AND kinds.p_type = p.p_type AND brands.p_brand = p.p_brand""", spread=True)
+def c07b(t):
+    """What c07 suggests, fitted and applied: the target mean of a row's name leaves out the row's own fold."""
+    df, fold = t("part").select("p_partkey", "p_type", "p_brand", "p_name", "p_retailprice"), F.pmod("p_partkey", F.lit(5))
+    plan = E.plan_encoders(df, {"p_partkey": "id_col", "p_retailprice": "target_col"}, target="p_retailprice")
+    coded = E.fit_encoders(df, plan, "p_retailprice", fold, 5).transform(df, fold)
+    return coded.drop("p_type", "p_brand", "p_name", "p_retailprice").withColumn("p_name_target", F.round("p_name_target", 6))
+
+
+@query("c07c_encode_frequency", """
+WITH v AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT count(*) AS n FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE round(v.n / g.n, 9) END AS o_custkey_share, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month,
+  day(o_orderdate) AS o_orderdate_day, CAST(isodow(o_orderdate) - 1 AS INT) AS o_orderdate_weekday, CAST(isodow(o_orderdate) > 5 AS INT) AS o_orderdate_is_weekend
+FROM orders JOIN v USING (o_custkey), g""", spread=True)
+def c07c(t):
+    """Fitted on all orders, applied to rows of which a third hold a customer never seen."""
+    df = t("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
+    fitted = E.fit_encoders(df, {"o_custkey": "frequency", "o_orderdate": "date_parts"})
+    coded = fitted.transform(df.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("o_custkey"))))
+    return coded.drop("o_custkey", "o_orderdate").withColumn("o_custkey_share", F.round("o_custkey_share", 9))
+
+
 @query("c08_domain_rules", """SELECT 'exam_score' AS "column", 'outside_0_100' AS rule, count(*) AS rows FROM part WHERE p_retailprice / 10 > 100 HAVING count(*) > 0""")
 def c08(t):
     from ..operators.rows import domain_anomalies

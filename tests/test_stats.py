@@ -164,3 +164,27 @@ def test_text_sample_is_stable(spark):
     a = [r.sample for r in R.text_sample(df.repartition(3), "t", 10).collect()]
     assert a == [r.sample for r in R.text_sample(df.repartition(7), "t", 10).collect()] and len(set(a)) > 5
     assert len(R.text_sample(df, "t", 5000).collect()) == 1000
+
+
+def test_bundle_ignores_missing_and_infinite_values(spark):
+    rows = [(1.0, None, 1), (2.0, None, 1), (float("inf"), None, 1), (float("nan"), None, 2), (None, None, 3), (4.0, None, 4)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    got = {r.column: r for r in P.number_figures(df, ["a", "b", "c"]).collect()}
+    assert set(got) == {"a", "c"} and (got["a"].n, got["a"].min, got["a"].max, got["a"].median) == (3, 1.0, 4.0, 2.0)
+    profile = {r.column: r for r in P.column_profile(df).collect()}
+    assert [(profile[c].null_count, profile[c].unique_count, profile[c].n) for c in "abc"] == [(2, 4, 3), (6, 0, None), (0, 4, 6)]
+    assert P.number_figures(df.limit(0), ["a"]).count() == 0 and P.column_profile(df.limit(0)).count() == 3
+
+
+def test_targets_without_a_profile_equal_those_of_it(spark):
+    df = spark.range(500).selectExpr("id", "id % 20 AS twenty", "CAST(id % 21 AS STRING) AS more", "IF(id % 3 = 0, NULL, id % 2 = 0) AS flag", "'x' AS one")
+    want = {(r.column, r.unique_count) for r in P.potential_targets(P.column_profile(df)).collect()}
+    assert {(r.column, r.unique_count) for r in P.target_columns(df).collect()} == want == {("twenty", 20), ("flag", 2)}
+    assert P.target_columns(df.select("id")).count() == 0
+
+
+def test_long_text_travels_as_digests(spark):
+    df = spark.range(50).selectExpr("repeat(CAST(id % 7 AS STRING), 1000) AS text", "CAST(id AS DOUBLE) AS x")
+    assert {r.column: r.n_distinct for r in A.distinct_counts(df).collect()} == {"text": 7, "x": 50}
+    shuffled = A.digest_table(df, ["text", "x"])
+    assert [t for _, t in shuffled.dtypes] == ["int", "bigint", "bigint", "bigint"]
