@@ -2,8 +2,11 @@
 
 Entities that plain patterns prove are seeds. The words beside a seed make lexical patterns; Spark counts how patterns and
 instances (seeds and identifier-like strings that no plain pattern takes) occur together, and scores both in turns: a pattern
-is trusted by the share of its instances that are trusted, an instance by the patterns it appears in. Strings in the context of
-patterns that reach ``TRUST`` are discovered identifiers and become spans of the pattern's kind.
+is trusted by the share of its instances that are trusted, an instance by the patterns it appears in. The rounds end when the
+trusted patterns are those of the fixed point. A pattern takes part if its kind has ``LEAST_SEEDS`` seeds, ``TRUST`` of all its
+seeds (kinds in conflict have none) and ``LEAST_SHARE`` of all its instances. Strings in the context of patterns that reach
+``TRUST`` are discovered identifiers and become spans of the pattern's kind. Neighbour words that reach beyond 80 characters
+before or 40 after a place are no context.
 
 Defined cases: a null or empty text has no spans; repeated rows have equal results and count once as evidence; a table without
 seeds has no patterns; an empty table gives an empty result; null ids are kept; other columns are not read. Candidates that
@@ -23,8 +26,9 @@ from .graph import split_join
 from .rows import cut_lineage, map_rows, sql_type, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 TRUST = 0.8
+LEAST_SHARE = 0.25  # of a pattern's distinct instances that must be seeds of its kind
+SETTLED = 1e-9
 LEAST_SEEDS = 5  # distinct seed instances that a pattern needs
 SMOOTHING = 1.0
 
@@ -83,8 +87,14 @@ def code(value: str) -> int:
 def contexts(text: str, start: int, end: int) -> list[int]:
     """Patterns around a place: the word before, the two words before, the words on both sides, and the word after, in lower case
     without digits. Before the place, tokens without letters are passed over."""
-    before = [w for w in (re.sub(r"[\d\W_]+", "", w.lower()) for w in text[max(0, start - 80):start].split()) if w][-2:]
-    after = [re.sub(r"[\d\W_]+", "", w.lower()) for w in text[end:end + 40].split()[:1]]
+    low, high = max(0, start - 80), end + 40
+    left, right = text[low:start].split(), text[end:high].split()
+    if low and left and not text[low - 1].isspace() and not text[low].isspace():
+        del left[0]  # cut by the reach
+    if len(right) == 1 and high < len(text) and not text[high - 1].isspace() and not text[high].isspace():
+        del right[0]
+    before = [w for w in (re.sub(r"[\d\W_]+", "", w.lower()) for w in left) if w][-2:]
+    after = [re.sub(r"[\d\W_]+", "", w.lower()) for w in right[:1]]
     out = []
     if before:
         out.append(code("1 " + before[-1]))
@@ -124,25 +134,35 @@ def evidence(text: str | None) -> tuple[list[dict], list[dict]]:
     return [{"start": a, "stop": b, "kind": k} for a, b, k in plain], mentions
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
+def trusted_patterns(edges: DataFrame, trust: float = TRUST, least_share: float = LEAST_SHARE) -> DataFrame:
     """(pattern, kind) of trust, from distinct edges (pattern, instance, kind of a seed or null). Sums over edges only: a
-    frequent word's pattern is one partial sum per task."""
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count("kind").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    totals = cut_lineage(totals)
-    live = cut_lineage(split_join(edges, totals.select("pattern"), "pattern", "left_semi"))
-    scores = live.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score"))
-    scores = scores.distinct()
-    for _ in range(rounds):
-        ranked = split_join(live.select("pattern", "instance"), scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
-        ranked = cut_lineage(split_join(ranked, totals, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("instances") + SMOOTHING)).alias("score")))
+    frequent word's pattern is one partial sum per task.
+
+    Scores start from the seeds alone and only rise. A pattern's score moves by at most q times the largest change of a round
+    before, q being the largest share of unseen instances, so no score can still rise by more than q / (1 - q) times the last
+    change: the rounds end when no pattern below trust can reach it any more, as one aggregate a round tells."""
+    counts = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count("kind").alias("all_seeds"), F.array_max(F.array(*[
+        F.struct(F.count_if(F.col("kind") == k).alias("seeds"), F.lit(k).alias("kind")) for k in KINDS])).alias("best"))
+    counts = counts.select("pattern", "instances", "all_seeds", "best.seeds", "best.kind")
+    most_seeds = F.greatest(F.lit(LEAST_SEEDS), trust * F.col("all_seeds"), least_share * F.col("instances"))
+    ranked = counts.where(F.col("seeds") >= most_seeds).withColumn("score", F.col("seeds") / (F.col("instances") + SMOOTHING))
+    ranked = cut_lineage(ranked.drop("all_seeds"))
+    unseen = cut_lineage(split_join(edges.where("kind is null").select("pattern", "instance"), ranked.select("pattern", "kind"), "pattern"))
+    q = ranked.agg(F.coalesce(F.max((F.col("instances") - F.col("seeds")) / (F.col("instances") + SMOOTHING)), F.lit(0.0))).first()[0]
+    while True:
         # an unseen instance is as good as its best pattern; seeds stay certain
-        unseen = live.where("kind is null").select("pattern", "instance")
-        grown = split_join(unseen, ranked.where(F.col("score") >= trust / 2), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
-        scores = cut_lineage(live.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct().unionByName(grown))
-    return ranked.where(F.col("score") >= trust).select("pattern", "kind")
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
+        grown = split_join(unseen, ranked.select("pattern", "score"), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
+        sums = split_join(unseen, grown, ["instance", "kind"]).groupBy("pattern").agg(F.sum("score").alias("sum"))
+        score = (F.col("seeds") + F.coalesce("sum", F.lit(0.0))) / (F.col("instances") + SMOOTHING)
+        ranked = cut_lineage(split_join(ranked.withColumnRenamed("score", "was"), sums, "pattern", "left").select(
+            "pattern", "instances", "seeds", "kind", "was", score.alias("score")))
+        state = ranked.agg(F.max(F.abs(F.col("score") - F.col("was"))).alias("change"), F.max(F.when(F.col("score") < trust, F.col("score"))).alias("below")).first()
+        ranked = ranked.drop("was")
+        if state["below"] is None or state["change"] < SETTLED or state["below"] + state["change"] * q / (1 - q) < trust:
+            return ranked.where(F.col("score") >= trust).select("pattern", "kind")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust: float = TRUST) -> DataFrame:
     """id, hash (of the text), plain and found: arrays of (start, stop, kind) in order; ``found`` holds what was discovered."""
     span = "struct<start:int,stop:int,kind:string>"
     seen = cut_lineage(map_rows(
@@ -151,7 +171,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lambda key, h, text: (key, h, *evidence(text))))
     mentions = seen.select(text_key("id").alias("owner"), "hash", F.inline("mentions"))
     edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct()
-    patterns = trusted_patterns(edges, rounds, trust)
+    patterns = trusted_patterns(edges, trust)
     open_ = mentions.where("kind is null").select("owner", "hash", "start", "stop", F.explode("patterns").alias("pattern"))
     found = split_join(open_, patterns, "pattern").groupBy("owner", "hash", "start", "stop").agg(F.min("kind").alias("kind"))
     found = found.groupBy("owner", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("found"))

@@ -108,6 +108,44 @@ def test_personal_data_discovers_by_context(spark):
     assert {(r.doc_id, r.n, r.kind) for r in found if r.n > 0} == {(k, 1, "phone") for k in range(30, 34)}
 
 
+def plain_trust(edges, trust, least_share):
+    """Scores by turns until they stand still, from (pattern, instance, kind or None)."""
+    held = defaultdict(list)
+    for p, i, k in edges:
+        held[p].append((i, k))
+    of = {}
+    for p, rows in held.items():
+        n, kind = max((sum(k == x for _, k in rows), x) for x in pii.KINDS)
+        if n >= max(pii.LEAST_SEEDS, trust * sum(k is not None for _, k in rows), least_share * len(rows)):
+            of[p] = (kind, n, [i for i, k in rows if k is None])
+    scores = {p: n / (len(held[p]) + 1) for p, (_, n, _) in of.items()}
+    for _ in range(2000):
+        best = defaultdict(float)
+        for p, (kind, _, unseen) in of.items():
+            for i in unseen:
+                best[i, kind] = max(best[i, kind], scores[p])
+        scores = {p: (n + sum(best[i, kind] for i in unseen)) / (len(held[p]) + 1) for p, (kind, n, unseen) in of.items()}
+    return {(p, of[p][0]) for p, x in scores.items() if x >= trust}
+
+
+def test_pattern_scores_reach_their_fixed_point(spark):
+    r = random.Random(8)
+    edges = {(p, 1000 * p + i, "phone" if i < 30 else None) for p, unseen in ((1, 40), (2, 89), (3, 95)) for i in range(30 + unseen)}
+    edges |= {(4, 5000 + i, "phone" if i % 2 else "card") for i in range(40)} | {(5, 6000 + i, "ip") for i in range(4)}
+    edges |= {(r.randint(10, 40), i, "email" if i % 3 else None) for i in range(400)} | {(r.randint(10, 40), 3 * i, None) for i in range(300)}
+    frame = spark.createDataFrame(sorted(edges, key=key), "pattern long, instance long, kind string")
+    got = {tuple(t) for t in pii.trusted_patterns(frame).collect()}
+    assert got == plain_trust(edges, pii.TRUST, pii.LEAST_SHARE) and {(1, "phone"), (2, "phone")} <= got and not {p for p, _ in got} & {3, 4, 5}
+    assert pii.trusted_patterns(frame.limit(0)).count() == 0
+
+
+def test_personal_data_with_more_unseen_than_seeds(spark):
+    rows = [(k, f"{say(5, k)} please dial hotline {'+1 555 010 ' + str(1000 + k) if k < 30 else 'X' + str(77000 + k) + 'Q'} today {say(5, 500 + k)}") for k in range(70)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("found") == 1)
+    assert rows_of(found, "doc_id") == sorted(((k,) for k in range(30, 70)), key=key)
+    assert pii.contexts("z" * 90 + " 123456", 91, 97) == pii.contexts("y" * 95 + " 123456", 96, 102) == []
+
+
 def test_personal_data_discovers_groups_of_digits(spark):
     texts = ["4111 1111 1111 1112", "030 123 4567", "(555) 123-4567", "X" * 60 + "7" * 60]
     rows = [(k, f"{say(5, k)} please dial hotline +1 555 010 {1000 + k} today {say(5, 500 + k)}") for k in range(60)]
