@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -292,49 +294,102 @@ def peak(counts: DataFrame, x: str, count: str = "count") -> DataFrame:
     return counts.orderBy(F.col(count).desc(), col(x)).limit(1)
 
 
-def join_unique_many(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, str], order: Sequence[Column | str] = (),
-    firsts: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for several fields at once.
+@dataclass
+class Side:
+    """One table that gives fields to a joined result.
 
-    ``values`` maps result names to source columns; ``firsts`` names results that keep the first token only. Tokens are
-    de-duplicated by a combining aggregate first, so a key with a third of all rows only ever brings its distinct tokens to
-    one place, which is what the result text itself holds. A single whole-number order column keeps that aggregate a hash
-    aggregate (its buffer is one decimal); other orders work too, through a sort.
+    ``values`` maps result names to columns whose distinct clean tokens are listed, ``firsts`` to columns of which the first
+    token is kept, ``counts`` to text columns whose distinct values are counted, ``latest`` to date expressions of which the
+    greatest is kept. ``order`` says which rows come first.
     """
-    key_cols = [col(k) for k in keys]
-    firsts = dict(firsts or {})
-    sources = list(dict.fromkeys([*values.values(), *firsts.values()]))
-    at = [F.col(o) if isinstance(o, str) else o for o in order]
-    whole = not at or (len(at) == 1 and isinstance(df.select(at[0]).schema[0].dataType, T.IntegralType))
-    def placed(j: int, c: str) -> Column:
-        item = lambda x, i: F.struct(F.lit(j).alias("_f"), i.alias("_i"), x.alias("_token"))
-        return F.transform(clean_tokens(col(c).cast("string")), item)
-
-    cells = [placed(j, c) for j, c in enumerate(sources)]
-    # one row without a token keeps keys that have none
-    bare = F.array(F.struct(F.lit(-1).alias("_f"), F.lit(0).alias("_i"), F.lit(None).cast("string").alias("_token")))
+    df: DataFrame
+    values: Mapping[str, str] = field(default_factory=dict)
+    order: Sequence[Column | str] = ()
+    firsts: Mapping[str, str] = field(default_factory=dict)
+    counts: Mapping[str, str] = field(default_factory=dict)
+    latest: Mapping[str, Column] = field(default_factory=dict)
+
+
+def _cells(side: Side, keys: Sequence[str], start: int) -> tuple[DataFrame, dict[str, int]]:
+    """Key, field number, token, place of the token and the dates of a side; field numbers by column, from ``start`` on."""
+    listed = list(dict.fromkeys([*side.values.values(), *side.firsts.values()]))
+    counted = list(dict.fromkeys(side.counts.values()))
+    numbers = {c: start + j for j, c in enumerate(listed)} | {f"#{c}": start + len(listed) + j for j, c in enumerate(counted)}
+    at = [F.col(o) if isinstance(o, str) else o for o in side.order]
+    whole = not at or (len(at) == 1 and isinstance(side.df.select(at[0]).schema[0].dataType, T.IntegralType))
+    item = lambda j, i, x: F.struct(F.lit(j).alias("_f"), i.alias("_i"), x.alias("_token"))
+
+    # a row without any token stays as a row of nulls, so that its key and dates stay
+    none = F.filter(F.array(item(-1, F.lit(0), F.lit(None).cast("string"))), lambda x: x["_f"] >= 0)
+
+    def tokens(c: str) -> Column:
+        return F.transform(clean_tokens(col(c).cast("string")), lambda x, i: item(numbers[c], i, x))
+
+    def counting(c: str) -> Column:
+        return F.when(col(c).isNotNull(), F.array(item(numbers[f"#{c}"], F.lit(0), col(c).cast("string")))).otherwise(F.array())
+
+    place = (at[0] if whole and at else F.lit(0)).cast("decimal(38,0)")
+    spread = side.df.select(
+        *[col(k) for k in keys], place.alias("_at"), *([] if whole else [F.struct(*at).alias("_order")]),
+        *[d.alias(n) for n, d in side.latest.items()], F.inline_outer(F.concat(*map(tokens, listed), *map(counting, counted), none)))
     if whole:
-        place = (at[0] if at else F.lit(0)).cast("decimal(38,0)")
-        spread = df.select(*key_cols, place.alias("_at"), F.inline(F.concat(bare, *cells)))
-        rank = (F.coalesce("_at", F.lit(-1)) * 2147483648 + F.col("_i")).cast("decimal(38,0)")
-    else:
-        spread = df.select(*key_cols, F.struct(*at).alias("_at"), F.inline(F.concat(bare, *cells)))
-        rank = F.struct("_at", "_i")
-    first = spread.groupBy(*key_cols, "_f", "_token").agg(F.min(rank).alias("_first"))
+        # a whole number stays a hash aggregate's buffer; any other order goes through a sort
+        rank = (F.coalesce("_at", F.lit(-1)) * 2147483648 + F.coalesce("_i", F.lit(0))).cast("decimal(38,0)")
+        return spread.withColumn("_first", rank).drop("_at", "_i"), numbers
+    return spread.withColumn(f"_rank{start}", F.struct("_order", "_i")).drop("_at", "_order", "_i"), numbers
+
+
+def join_unique_sides(sides: Sequence[Side], keys: Sequence[str]) -> DataFrame:
+    """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for fields of several tables at once.
 
-    def mine(source: str) -> Column:
-        return F.col("_f") == sources.index(source)
+    The cells of all sides are stacked under field numbers and shuffled twice in all, not twice a side: tokens are
+    de-duplicated by a combining aggregate first, so a key with a third of all rows only ever brings its distinct tokens to one
+    place, which is what the result text itself holds; then each key gathers what is left in one list and every field is read
+    from it. Counted values stay out of that list. A single whole-number order column per side keeps the first aggregate a
+    hash aggregate. A key that a side lacks has nulls in that side's fields.
+    """
+    stacked, numbers, width = [], [], 0
+    for side in sides:
+        cells, own = _cells(side, keys, width)
+        stacked.append(cells)
+        numbers.append(own)
+        width += len(own)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    ranks = [c for c in rows.columns if c == "_first" or c.startswith("_rank")]
+    dates = [n for side in sides for n in side.latest]
+    key_cols = [col(k) for k in keys]
+    first = rows.groupBy(*key_cols, "_f", "_token").agg(*[F.min(c).alias(c) for c in ranks], *[F.max(col(d)).alias(d) for d in dates])
 
-    def text(name: str) -> Column:
-        gathered = F.array_sort(F.collect_list(F.when(mine(values[name]), F.struct("_first", "_token"))))
-        return F.nullif(F.array_join(F.transform(gathered, lambda s: s["_token"]), ", "), F.lit("")).alias(name)
+    counted = {n: own[f"#{c}"] for side, own in zip(sides, numbers) for n, c in side.counts.items()}
+    held = ~F.col("_f").isin(list(counted.values())) if counted else F.col("_f").isNotNull()
+    gathered = first.groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.when(held, F.struct("_f", *ranks, "_token")))).alias("_all"),
+        *[F.nullif(F.count_if(F.col("_f") == j), F.lit(0)).alias(n) for n, j in counted.items()], *[F.max(col(d)).alias(d) for d in dates])
 
-    def lead(name: str) -> Column:
-        return F.min(F.when(mine(firsts[name]), F.struct("_first", "_token")))["_token"].alias(name)
+    def mine(j: int) -> Column:
+        return F.filter("_all", lambda s: s["_f"] == j)
 
-    return first.groupBy(*key_cols).agg(*[text(n) for n in values], *[lead(n) for n in firsts])
+    def text(j: int) -> Column:
+        return F.nullif(F.array_join(F.transform(mine(j), lambda s: s["_token"]), ", "), F.lit(""))
+
+    out = [*key_cols]
+    for side, own in zip(sides, numbers):
+        out += [text(own[c]).alias(n) for n, c in side.values.items()]
+        out += [F.get(mine(own[c]), F.lit(0))["_token"].alias(n) for n, c in side.firsts.items()]
+        out += [col(n) for n in (*side.counts, *side.latest)]
+    return gathered.select(*out)
+
+
+def join_unique_many(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, str], order: Sequence[Column | str] = (),
+    firsts: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for several fields at once.
+
+    ``values`` maps result names to source columns; ``firsts`` names results that keep the first token only. See
+    ``join_unique_sides``.
+    """
+    return join_unique_sides([Side(df, values, order, dict(firsts or {}))], keys)
 
 
 def join_unique(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column | str] = (), name: str | None = None) -> DataFrame:

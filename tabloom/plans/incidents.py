@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.dates import month_of, parse_timestamp, year_of
+from ..functions.dates import month_of, parse_date, parse_timestamp, year_of
 from ..functions.names import find_table, find_tables_by_prefix, pick_column, rename_incident
 from ..functions.text import drop_zero_tail, first_clean, parse_list, value_text
-from ..operators.aggregates import join_unique_many, latest_date
-from ..operators.joins import enrich, list_key_lookup
+from ..operators.aggregates import Side, join_unique_sides
+from ..operators.joins import enrich
 from ..operators.rows import coalesce_headers, union_ragged, with_aliases
 from ..operators.shape import col, field_types
 from ..sources.catalog import list_files
@@ -52,6 +52,9 @@ LIST_ALIASES = {
 }
 # --- end of fixed values ---
 
+CLASSIFICATION_COLUMNS = ["classification_sources", *CLASSIFICATION_FIELDS, *[f"{f}_all" for f in LISTED_FIELDS]]
+REPORT_COLUMNS = ["report_count", *REPORT_FIELDS, "latest_report_date"]
+
 
 def ensure_id(df: DataFrame) -> DataFrame | None:
     """The table with a text ``incident_id``, trimmed and without a ``.0`` tail; None when no id column exists."""
@@ -76,30 +79,36 @@ def classification_rows(df: DataFrame, source: str) -> DataFrame | None:
         *[coalesce_headers(df, headers).alias(f) for f, headers in CLASSIFICATION_FIELDS.items()])
 
 
-def classification_summary(files: Mapping[str, DataFrame]) -> DataFrame | None:
-    """Per incident: first value by file priority for each field, and all distinct values of four fields."""
+def classification_side(files: Mapping[str, DataFrame]) -> Side | None:
     # files in order of priority; the place in that order stands for (priority, name) from here on
     ordered = sorted(files, key=lambda name: (source_priority(name), name))
     parts = [p.withColumn("_place", F.lit(i)) for i, name in enumerate(ordered) if (p := classification_rows(files[name], name)) is not None]
     if not parts:
         return None
     rows = union_ragged(*parts).where(F.col("incident_id").isNotNull())
-    out = join_unique_many(
-        rows, ["incident_id"], {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS}}, ["_place"],
-        firsts={f: f for f in CLASSIFICATION_FIELDS})
-    return out.select("incident_id", "classification_sources", *CLASSIFICATION_FIELDS, *[f"{f}_all" for f in LISTED_FIELDS])
+    listed = {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS}}
+    return Side(rows, listed, ["_place"], firsts={f: f for f in CLASSIFICATION_FIELDS})
 
 
-def entity_summary(files: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame | None:
-    """Entity names per incident, joined. Rows without an incident id form one group of their own."""
+def classification_summary(files: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Per incident: first value by file priority for each field, and all distinct values of four fields."""
+    side = classification_side(files)
+    return None if side is None else join_unique_sides([side], ["incident_id"]).select("incident_id", *CLASSIFICATION_COLUMNS)
+
+
+def entity_side(files: Sequence[DataFrame], order: Sequence[str] = ()) -> Side | None:
     parts = []
     for df in files:
         known, name = ensure_id(df), pick_column(df.columns, ENTITY_NAMES)
         if known is not None and name:
             parts.append(known.select("incident_id", col(name).cast("string").alias("entity_name"), *[col(o) for o in order if o in df.columns]))
-    if not parts:
-        return None
-    return join_unique_many(union_ragged(*parts), ["incident_id"], {"entities_involved": "entity_name"}, order)
+    return Side(union_ragged(*parts), {"entities_involved": "entity_name"}, order) if parts else None
+
+
+def entity_summary(files: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame | None:
+    """Entity names per incident, joined. Rows without an incident id form one group of their own."""
+    side = entity_side(files, order)
+    return None if side is None else join_unique_sides([side], ["incident_id"])
 
 
 def report_key(c: Column) -> Column:
@@ -118,18 +127,19 @@ def report_lookup(files: Sequence[DataFrame], order: Sequence[str] = ()) -> Data
     keyed = reports.withColumn("report_key", report_key(value_text(col(id_col), types[id_col]))).where(F.col("report_key").isNotNull())
     texts = {n: c for n, headers in REPORT_FIELDS.items() if (c := pick_column(reports.columns, headers))}
     date = pick_column(reports.columns, REPORT_DATES)
-    parts = []
-    if texts:
-        parts.append(join_unique_many(keyed, ["report_key"], texts, order))
-    if date:
-        parts.append(keyed.groupBy("report_key").agg(latest_date(col(date), types[date]).alias("latest_report_date")))
-    if not parts:
+    if not texts and not date:
         return None
-    return parts[0] if len(parts) == 1 else parts[0].join(parts[1], "report_key")
+    latest = {"latest_report_date": parse_date(col(date), types[date])} if date else {}
+    out = join_unique_sides([Side(keyed, texts, order, latest=latest)], ["report_key"])
+    return out.withColumns({c: iso_date(c) for c in latest})
 
 
-def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame | None:
-    """Per incident: number of distinct reports it lists, and what is known of them. Incidents listing none have no row."""
+def iso_date(name: str) -> Column:
+    return F.date_format(name, "yyyy-MM-dd")
+
+
+def report_side(incidents: DataFrame, lookup: DataFrame | None) -> Side | None:
+    """One row per report key that an incident row lists, with what is known of that report; repeats fall to the aggregate."""
     listed = pick_column(incidents.columns, REPORT_LISTS)
     if listed is None:
         return None
@@ -139,12 +149,18 @@ def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame
     for name in (*REPORT_FIELDS, "latest_report_date"):
         if name not in lookup.columns:
             lookup = lookup.withColumn(name, F.lit(None).cast("string"))
-    rows = list_key_lookup(incidents, "incident_id", keys, lookup, "report_key")
-    counts = rows.groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("report_count"), latest_date(F.col("latest_report_date")).alias("latest_report_date"))
-    texts = join_unique_many(rows, ["incident_id"], {n: n for n in REPORT_FIELDS}, ["_pos"])
-    return counts.join(texts.withColumnRenamed("incident_id", "_id"), F.col("incident_id").eqNullSafe(F.col("_id"))).select(
-        "incident_id", "report_count", *REPORT_FIELDS, "latest_report_date")
+    listed_keys = incidents.select("incident_id", F.posexplode(keys).alias("_pos", "_key"))
+    rows = listed_keys.join(lookup.withColumnRenamed("report_key", "_lookup"), F.col("_key") == F.col("_lookup"), "left")
+    return Side(rows, {n: n for n in REPORT_FIELDS}, ["_pos"], counts={"report_count": "_key"},
+                latest={"latest_report_date": parse_date(F.col("latest_report_date"))})
+
+
+def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame | None:
+    """Per incident: number of distinct reports it lists, and what is known of them. Incidents listing none have no row."""
+    side = report_side(incidents, lookup)
+    if side is None:
+        return None
+    return join_unique_sides([side], ["incident_id"]).select("incident_id", *REPORT_COLUMNS).withColumn("latest_report_date", iso_date("latest_report_date"))
 
 
 def assemble(
@@ -160,8 +176,16 @@ def assemble(
     base = ensure_id(incidents)
     if base is None:
         raise ValueError("the incident table has no id column")
-    return enrich(base, "incident_id", classification_summary(classifications or {}), entity_summary(entities, entity_order),
-                  report_summary(base, report_lookup(reports, report_order)))
+    columns = {"classification": CLASSIFICATION_COLUMNS, "entity": ["entities_involved"], "report": REPORT_COLUMNS}
+    sides = {"classification": classification_side(classifications or {}), "entity": entity_side(entities, entity_order),
+             "report": report_side(base, report_lookup(reports, report_order))}
+    present = {n: side for n, side in sides.items() if side is not None}
+    if not present:
+        return base
+    # all sides meet in one aggregate by id, joined once; the join's own shuffle lets a hot id of incidents be split
+    found = join_unique_sides(list(present.values()), ["incident_id"])
+    found = found.select("incident_id", *[c for n in present for c in columns[n]])
+    return enrich(base, "incident_id", found.withColumn("latest_report_date", iso_date("latest_report_date")) if "report" in present else found)
 
 
 def normalize(df: DataFrame) -> DataFrame:

@@ -188,3 +188,22 @@ def test_long_text_travels_as_digests(spark):
     assert {r.column: r.n_distinct for r in A.distinct_counts(df).collect()} == {"text": 7, "x": 50}
     shuffled = A.digest_table(df, ["text", "x"])
     assert [t for _, t in shuffled.dtypes] == ["int", "bigint", "bigint", "bigint"]
+
+
+def test_several_sides_meet_in_one_aggregate(spark):
+    a = spark.createDataFrame([("k", "x", 2), ("k", "y", 1), ("k", "x", 0), ("n", "n/a", 0), (None, "z", None)], "id string, v string, o int")
+    b = spark.createDataFrame([("k", "p", "r1", "2024-01-02"), ("k", "p", "r2", "2024-03-01"), ("m", None, None, "2023-01-01")], "id string, w string, r string, d string")
+    out = A.join_unique_sides([
+        A.Side(a, {"vs": "v"}, ["o"], firsts={"v1": "v"}),
+        A.Side(b, {"ws": "w"}, [F.col("r"), F.col("w")], counts={"n": "r"}, latest={"last": F.col("d").cast("date")})], ["id"])
+    got = {r.id: (r.vs, r.v1, r.ws, r.n, str(r["last"])) for r in out.collect()}
+    assert got == {"k": ("x, y", "x", "p", 2, "2024-03-01"), "n": (None, None, None, None, "None"), "m": (None, None, None, None, "2023-01-01"),
+                   None: ("z", "z", None, None, "None")}
+    # sides without rows, and a side whose only fields are counts
+    assert A.join_unique_sides([A.Side(a.limit(0), {"vs": "v"}), A.Side(b, counts={"n": "r"})], ["id"]).where("id = 'k'").first().n == 2
+
+
+def test_assembly_shuffles_sides_together(spark):
+    side = spark.createDataFrame([("k", "x")], "id string, v string")
+    plan = A.join_unique_sides([A.Side(side, {f"v{i}": "v"}) for i in range(4)], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
