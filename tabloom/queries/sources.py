@@ -133,10 +133,10 @@ def s04e(t):
 @query("s04f_json_lines_beside_documents", """
 SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'c' || o_custkey END AS c FROM orders""")
 def s04f(t):
-    """A folder of both: even orders as indented arrays of at most 500, odd ones as lines; their types are merged."""
+    """A folder of both: even orders as indented arrays of at most 10,000, odd ones as lines; their types are merged."""
     df = t("orders")
     path = scratch_path(df.sparkSession, "json")
-    even = df.where("o_orderkey % 2 = 0").select(F.floor(F.col("o_orderkey") / 1000).alias("chunk"), F.expr("""'{\n "k": ' || o_orderkey || ',\n "c": ' || o_custkey || '\n}'""").alias("value"))
+    even = df.where("o_orderkey % 2 = 0").select(F.floor(F.col("o_orderkey") / 20000).alias("chunk"), F.expr("""'{\n "k": ' || o_orderkey || ',\n "c": ' || o_custkey || '\n}'""").alias("value"))
     even.groupBy("chunk").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("chunk").text(path)
     df.where("o_orderkey % 2 = 1").select(F.expr("""'{"k": ' || o_orderkey || ', "c": "c' || o_custkey || '"}'""").alias("value"), F.lit(-1).alias("chunk")).write.mode("append").partitionBy("chunk").text(path)
     return R.read_records(df.sparkSession, path).df.select("k", "c")

@@ -109,9 +109,22 @@ def _is_record(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).rlike("^(OBJECT|ARRAY<OBJECT)"), F.lit(False))
 
 
-def _split(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, whole: bool, root: str | None) -> tuple[DataFrame, DataFrame, int, int]:
-    """Records, malformed rows, the number of these, and the number of records with a value that does not fit."""
-    full = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+def _names_of_folders(spark: SparkSession, paths: str | Sequence[str], own: T.StructType, whole: bool, root: str | None) -> T.StructType:
+    """The schema of records with the columns that folder names give; only names are listed, no record is read again."""
+    probe = T.StructType([T.StructField("_none", T.StringType())])
+    folders = {f.name: f for f in _reader(spark, whole, root).schema(probe).json(paths).schema.fields if f.name != "_none"}
+    return T.StructType([*(folders.pop(f.name, f) for f in own.fields), *folders.values()])
+
+
+def _split(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, whole: bool, root: str | None, whole_numbers: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, int, int]:
+    """Records, malformed rows, the number of these, and the number of records with a value that does not fit.
+
+    ``whole_numbers`` are text columns that hold nothing else in these files: asked for a number as text, the reader goes back to
+    the file for every single value of a document, so they are read as numbers."""
+    fields = [T.StructField(f.name, T.LongType()) if f.name in whole_numbers else f for f in schema.fields]
+    full = T.StructType([*fields, T.StructField(MALFORMED, T.StringType())])
     raw = _reader(spark, whole, root).schema(full).json(paths)
     text = F.col(MALFORMED)
     # another column is named because the reader refuses to be asked for the malformed lines alone
@@ -121,7 +134,14 @@ def _split(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType
     every = F.length(F.concat_ws("", *[col(f.name).cast("string") for f in schema.fields])) >= 0
     counts = raw.agg(F.count_if(broken & every).alias("bad"), F.count_if(text.isNotNull() & ~broken & every).alias("misfit")).first()
     bad = raw.where(broken & named).select(F.col("_metadata.file_path").alias("file"), text.alias("line"))
-    return raw.where(~broken & named).drop(MALFORMED), bad, counts["bad"], counts["misfit"]
+    records = raw.where(~broken & named).drop(MALFORMED)
+    return records.withColumns({c: col(c).cast("string") for c in whole_numbers}), bad, counts["bad"], counts["misfit"]
+
+
+def _inferred(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> tuple[T.StructType, bool]:
+    """The schema of the records themselves, and whether some could not be read."""
+    found = _reader(spark, whole, None).option("recursiveFileLookup", True).json(paths).schema
+    return T.StructType([f for f in found.fields if f.name != MALFORMED]), MALFORMED in found.names
 
 
 def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, layout: str | None = None) -> Loaded:
@@ -132,22 +152,27 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
         documents, lines = documents_among(spark, path)
     else:
         documents, lines = ([], [path]) if layout == "lines" else ([path], [])
+    known = {}
     if documents and layout is None:
         # brackets alone do not prove a document: one that does not parse is read as lines, which reports it
-        probe = T.StructType([T.StructField("_none", T.StringType()), T.StructField(MALFORMED, T.StringType())])
-        failed = _reader(spark, True, None).schema(probe).json(documents).where(F.col(MALFORMED).isNotNull() & F.col("_none").isNull())
-        failed = {local_name(r.file) for r in failed.select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
-        documents, lines = [d for d in documents if d not in failed], [*lines, *(d for d in documents if d in failed)]
+        known[True], unread = _inferred(spark, documents, True) if schema is None else (None, True)
+        failed = set()
+        if unread:
+            probe = T.StructType([T.StructField("_none", T.StringType()), T.StructField(MALFORMED, T.StringType())])
+            broken = _reader(spark, True, None).schema(probe).json(documents).where(F.col(MALFORMED).isNotNull() & F.col("_none").isNull())
+            failed = {local_name(r.file) for r in broken.select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+        if failed:
+            documents, lines, known = [d for d in documents if d not in failed], [*lines, *(d for d in documents if d in failed)], {}
     root = path if isinstance(path, str) and documents and lines else None
     if root is not None and len(documents) + len(lines) == 1:
         root = None
     parts = [(path if not (documents and lines) else files, whole) for files, whole in ((lines, False), (documents, True)) if files]
+    whole_numbers = {}
     if schema is None:
-        found = [s for files, whole in parts if (s := _reader(spark, whole, root).json(files).schema)]
-        found = [T.StructType([f for f in s.fields if f.name != MALFORMED]) for s in found]
+        own = {whole: known.get(whole) or _inferred(spark, files, whole)[0] for files, whole in parts}
         # names of folders are columns, too, but no records
-        own = [T.StructType([f for f in _reader(spark, whole, None).option("recursiveFileLookup", True).json(files).schema.fields if f.name != MALFORMED]) for files, whole in parts]
-        names = {f.name for s in own for f in s.fields}
+        found = [s for files, whole in parts if (s := _names_of_folders(spark, files, own[whole], whole, root))]
+        names = {f.name for s in own.values() for f in s.fields}
         if not names:
             if parts and not spark.read.text(path).where(F.trim("value") != "").isEmpty():
                 raise LoadError("no JSON records")
@@ -157,7 +182,11 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
         for s in found[1:]:
             merged = merged_type(merged, s)
         schema = T.StructType(sorted(merged.fields, key=lambda f: f.name not in names))
-    read = [_split(spark, files, schema, whole, root) for files, whole in parts]
+        folders = {f.name for s in found for f in s.fields} - names
+        if True in own:
+            text = {f.name for f in schema.fields if f.dataType == T.StringType()} - folders
+            whole_numbers[True] = [f.name for f in found[-1].fields if f.name in text and f.dataType == T.LongType()]
+    read = [_split(spark, files, schema, whole, root, whole_numbers.get(whole, ())) for files, whole in parts]
     if not read:
         return Loaded(spark.createDataFrame([], schema), spark.createDataFrame([], BAD_SCHEMA))
     df, bad = read[0][:2]

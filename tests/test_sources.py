@@ -259,3 +259,15 @@ def test_document_warnings(spark):
     told = {r.doc: r.warning for r in Z.document_warnings(docs).collect()}
     assert told[6] == "several arrays, only the largest is used: p, q" and told[10] == "empty document" and told[11] == told[99] == "unknown layout: no JSON document and no JSON lines"
     assert set(told) == {6, 10, 11, 99}
+
+
+def test_numbers_of_documents_are_not_read_one_by_one_as_text(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"part={n}").mkdir()
+    (tmp_path / "part=1" / "a.json").write_text('[\n{"k": 1,\n "c": 7, "d": 1.50},\n{"k": 2, "c": null, "d": 2}\n]')
+    (tmp_path / "part=2" / "b.json").write_text('{"k": 3, "c": "c3", "d": "x"}\n')
+    loaded = R.read_records(spark, str(tmp_path))
+    assert sorted(map(tuple, loaded.df.select("k", "c", "d", "part").collect())) == [(1, "7", "1.50", 1), (2, None, "2", 1), (3, "c3", "x", 2)]
+    assert loaded.bad_rows == 0 and loaded.warnings == [] and dict(loaded.df.dtypes)["c"] == "string"
+    # a document's whole numbers stay numbers in the scan; text is asked for only where the file holds other values
+    assert "c:bigint" in loaded.df._jdf.queryExecution().toString()
