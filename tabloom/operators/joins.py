@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import join_key
 from .shape import col, field_types
 
 HOW = ("inner", "left", "right", "outer")
 LEFT_KEY, RIGHT_KEY = "_tl_left_key", "_tl_right_key"
+# a key whose rows multiply to more than HOT_ROWS is joined in cells of BLOCK by BLOCK rows, so that many tasks share it
+HOT_ROWS, BLOCK = 1_000_000, 500
+HOT_KEY, LEFT_BLOCK, RIGHT_BLOCK, CELL = "_tl_hot_key", "_tl_left_block", "_tl_right_block", "_tl_cell"
 
 
 def with_key(df: DataFrame, column: str, strategy: str, name: str) -> DataFrame:
@@ -46,6 +49,45 @@ def _split_outer(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     return kept.unionByName(lonely, allowMissingColumns=True)
 
 
+def _hot_keys(left: DataFrame, right: DataFrame, nulls_match: bool) -> DataFrame:
+    """Keys that give more than HOT_ROWS rows, and their blocks per side. Each has more than 2 * sqrt(HOT_ROWS) rows, so they are few."""
+    stacked = left.select(F.col(LEFT_KEY).alias(HOT_KEY), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+        right.select(F.col(RIGHT_KEY), F.lit(0), F.lit(1)))
+    counts = stacked.groupBy(HOT_KEY).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
+    hot = counts.where(F.col("nl").cast("double") * F.col("nr") > HOT_ROWS)
+    hot = hot if nulls_match else hot.where(F.col(HOT_KEY).isNotNull())
+    return hot.select(HOT_KEY, F.ceil(F.col("nl") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("nr") / BLOCK).cast("int").alias("nr"))
+
+
+def _dealt(df: DataFrame, key: str, hot: DataFrame, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Rows of hot keys: each in one block of its own side, once for every block of the other side."""
+    rows = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(HOT_KEY)))
+    # numbered in an order of their values, so that a task that runs again deals them alike; equal rows still differ
+    plain = [col(f.name) for f in df.schema.fields if f.dataType.simpleString().find("map<") < 0 and not isinstance(f.dataType, T.VariantType)]
+    # never null, as the exploded block is: cells of two types would be cast, and shuffled once more
+    block = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(own[0])).cast("int"), F.lit(0))
+    rows = rows.sortWithinPartitions(F.xxhash64(*plain)).withColumn(own[1], block)
+    dealt = rows.withColumn(other[1], F.explode(F.sequence(F.lit(0), F.col(other[0]) - 1)))
+    # a stated number of partitions: adaptive execution would merge them by their bytes, which tell nothing of the rows they give
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(*[col(c) for c in df.columns], F.struct(HOT_KEY, LEFT_BLOCK, RIGHT_BLOCK).alias(CELL)).repartition(tasks, CELL)
+
+
+def _joined(left: DataFrame, right: DataFrame, how: str, nulls_match: bool) -> DataFrame:
+    """Join of two keyed tables. One key's rows multiply, and no engine shares out one small pair of partitions whose result is
+    large: hot keys have rows on both sides, so whatever ``how`` is they are an inner join of their own, in cells."""
+    on = _equal(nulls_match)
+    hot = _hot_keys(left, right, nulls_match)
+    keys = F.broadcast(hot.select(HOT_KEY))
+    l, r = (df.join(keys, F.col(k).eqNullSafe(F.col(HOT_KEY)), "left_anti") for df, k in ((left, LEFT_KEY), (right, RIGHT_KEY)))
+    rest = _split_outer(l, r, on) if how == "outer" else l.join(r, on, how)
+    blocks = ("nl", LEFT_BLOCK), ("nr", RIGHT_BLOCK)
+    a, b = _dealt(left, LEFT_KEY, hot, *blocks), _dealt(right, RIGHT_KEY, hot, *blocks[::-1])
+    # a broadcast of one side would leave all cells to the tasks that read the other; null keys are equal inside a struct
+    met = a.alias("a").join(b.alias("b").hint("merge"), F.col(f"a.{CELL}") == F.col(f"b.{CELL}"))
+    return rest.unionAll(met.select(*[col(c) for c in (*left.columns, *right.columns)]))
+
+
 def join_on_key(
     left: DataFrame, right: DataFrame, left_col: str, right_col: str, strategy: str = "exact", how: str = "inner",
     suffixes: tuple[str, str] = ("_left", "_right"), nulls_match: bool = True,
@@ -61,9 +103,7 @@ def join_on_key(
     l = with_key(left, left_col, strategy, LEFT_KEY)
     r = with_key(right, right_col, strategy, RIGHT_KEY)
     l, r = _suffixed(l, both, suffixes[0]), _suffixed(r, both, suffixes[1])
-    on = _equal(nulls_match)
-    joined = _split_outer(l, r, on) if how == "outer" else l.join(r, on, how)
-    return joined.drop(LEFT_KEY, RIGHT_KEY)
+    return _joined(l, r, how, nulls_match).drop(LEFT_KEY, RIGHT_KEY)
 
 
 def _key_counts(left: DataFrame, right: DataFrame, left_col: str, right_col: str, strategy: str) -> DataFrame:
@@ -155,14 +195,13 @@ def merge_on_columns(left: DataFrame, right: DataFrame, left_col: str, right_col
         l, r = _suffixed(left, others, "_left"), _suffixed(right, others, "_right")
         l = l.withColumn(LEFT_KEY, col(left_col))
         r = r.withColumn(RIGHT_KEY, col(right_col)).drop(left_col)
-        joined = _split_outer(l, r, _equal(True)) if how == "outer" else l.join(r, _equal(True), how)
+        joined = _joined(l, r, how, True)
         key = F.coalesce(F.col(LEFT_KEY), F.col(RIGHT_KEY)) if how in ("right", "outer") else F.col(LEFT_KEY)
         return joined.withColumn(left_col, key).drop(LEFT_KEY, RIGHT_KEY)
     both = shared_columns(left, right)
     l = _suffixed(left.withColumn(LEFT_KEY, col(left_col)), both, "_left")
     r = _suffixed(right.withColumn(RIGHT_KEY, col(right_col)), both, "_right")
-    joined = _split_outer(l, r, _equal(True)) if how == "outer" else l.join(r, _equal(True), how)
-    return joined.drop(LEFT_KEY, RIGHT_KEY)
+    return _joined(l, r, how, True).drop(LEFT_KEY, RIGHT_KEY)
 
 
 def merge_checks(left: DataFrame, right: DataFrame, merged: DataFrame) -> DataFrame:

@@ -94,3 +94,30 @@ def test_relationships(spark):
     }
     edges = D.infer_relationships(tables).collect()
     assert [(e.source_table, e.target_table, e.matched_values, e.overlap_pct) for e in edges] == [("entities", "incidents", 1, 50.0)]
+
+
+@pytest.mark.parametrize("how", J.HOW)
+def test_hot_keys_are_joined_in_cells(spark, monkeypatch, how):
+    monkeypatch.setattr(J, "HOT_ROWS", 100)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    key = lambda i, hot: None if i % 3 == 0 else "hot" if i % 3 == 1 else f"{hot}{i % 4}"
+    l, r = [(key(i, "k"), i % 40, {"m": i % 2}) for i in range(90)], [(key(i, "k" if i % 2 else "only"), i) for i in range(70)]
+    left, right = spark.createDataFrame(l, "a string, x int, m map<string,int>").repartition(3), spark.createDataFrame(r, "b string, y int")
+    for nulls_match in (True, False):
+        same = lambda a, b: a == b and (nulls_match or a is not None)
+        want = [(a[0], a[1], b[0], b[1]) for a in l for b in r if same(a[0], b[0])]
+        if how in ("left", "outer"):
+            want += [(a[0], a[1], None, None) for a in l if not any(same(a[0], b[0]) for b in r)]
+        if how in ("right", "outer"):
+            want += [(None, None, b[0], b[1]) for b in r if not any(same(a[0], b[0]) for a in l)]
+        got = J.join_on_key(left, right, "a", "b", K.EXACT, how, nulls_match=nulls_match)
+        assert got.columns == ["a", "x", "m", "b", "y"]
+        assert sorted(map(repr, (tuple(row) for row in got.select("a", "x", "b", "y").collect()))) == sorted(map(repr, want))
+    met = J.join_on_key(left, right, "a", "b", K.EXACT, how).where("a = 'hot'")
+    # 30 by 23 rows are four by three cells: no task has them all
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [n["count"] for n in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 30 * 23 and max(sizes) < 30 * 23
