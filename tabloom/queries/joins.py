@@ -95,9 +95,12 @@ def j06b(t):
 @query("j06c_same_name_outer", """
 SELECT coalesce(a, b) AS nationkey, count(*) AS rows FROM (SELECT c_nationkey AS a FROM customer) FULL JOIN (SELECT s_nationkey + 10 AS b FROM supplier) ON a = b GROUP BY 1""")
 def j06c(t):
-    l = t("customer").select(F.col("c_nationkey").alias("nationkey"), "c_name")
-    r = t("supplier").select((F.col("s_nationkey") + 10).alias("nationkey"), "s_name")
-    return J.merge_on_columns(l, r, "nationkey", "nationkey", "outer").groupBy("nationkey").agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per key, from key counts merged: the rows of a nation need not be multiplied to be counted."""
+    l = t("customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    r = t("supplier").groupBy((F.col("s_nationkey") + 10).alias("nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
+    one = F.lit(1).cast("bigint")
+    merged = J.merge_on_columns(l, r, "nationkey", "nationkey", "outer")
+    return merged.select("nationkey", (F.coalesce("customers", one) * F.coalesce("suppliers", one)).alias("rows"))
 
 
 @query("j07_heuristic_size", """
