@@ -252,6 +252,8 @@ def enrich(base: DataFrame, key: str, *sides: DataFrame | None) -> DataFrame:
 def list_key_lookup(df: DataFrame, id_col: str, list_items: Column, lookup: DataFrame, lookup_key: str) -> DataFrame:
     """One row per (id, distinct list item) with the lookup columns; items keep the position of their first occurrence."""
     items = df.select(col(id_col), F.posexplode(list_items).alias("_pos", "_key"))
+    # lists are short in bytes and long in items: what adaptive execution merged by bytes would be one task's aggregate here
+    items = items.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), col(id_col), F.col("_key"))
     distinct = items.groupBy(id_col, "_key").agg(F.min("_pos").alias("_pos"))
     return distinct.join(lookup.withColumnRenamed(lookup_key, "_lookup"), F.col("_key") == F.col("_lookup"), "left")
 

@@ -121,3 +121,12 @@ def test_hot_keys_are_joined_in_cells(spark, monkeypatch, how):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 30 * 23 and max(sizes) < 30 * 23
+
+
+def test_listed_keys_are_counted_in_many_tasks(spark):
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), (F.col("id") % 7).cast("string").alias("v"))
+    cells = rows.groupBy("k").agg(F.collect_list("v").alias("refs"))  # small enough to be merged into one partition
+    lookup = spark.createDataFrame([("1", "one"), ("6", "six")], "ref string, name string")
+    found = J.list_key_lookup(cells, "k", F.col("refs"), lookup, "ref")
+    assert found.count() == 40 * 7 and found.where("name = 'one'").count() == 40
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
