@@ -146,8 +146,9 @@ def hint_match(c: Column, hint: str) -> Column:
 
 
 def drop_zero_tail(c: Column) -> Column:
-    """Identifier text: trimmed, without a trailing ``.0``."""
-    return F.regexp_replace(strip(c.cast("string")), r"\.0+$", "")
+    """Identifier text: trimmed, without a trailing ``.0``. Text without ``.0`` in it, the common case, meets no pattern."""
+    s = strip(c.cast("string"))
+    return F.when(s.contains(".0"), F.regexp_replace(s, r"\.0+$", "")).otherwise(s)
 
 
 def is_list_literal(c: Column) -> Column:
@@ -176,21 +177,36 @@ def tokens(c: Column) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(items, F.array(strip(c))))
 
 
-def clean_tokens(c: Column) -> Column:
-    """Tokens without placeholder words. Text that cannot be a list literal, the common case, is one token."""
-    def real(x: Column) -> Column:
-        return ~F.lower(x).isin(PLACEHOLDERS)
+def cell_text(c: Column) -> Column:
+    """The trimmed text of a cell, or null where it is a placeholder word and so holds no token."""
+    s = strip(c)
+    return F.when(~F.lower(s).isin(PLACEHOLDERS), s)
 
-    plain = F.filter(F.array(strip(c)), real)
-    listed = F.filter(F.transform(tokens(c), strip), real)
-    return (
-        F.when(c.isNull(), F.array().cast("array<string>"))
-        .when(c.rlike(r"^[\s\x1c-\x1f]*[\[(]"), listed).otherwise(plain)
-    )
+
+def opens_list(s: Column) -> Column:
+    return F.substring(s, 1, 1).isin("[", "(")
+
+
+def cell_tokens(s: Column) -> Column:
+    """Clean tokens of a ``cell_text``. Only text that may be a list literal meets functions over arrays, which Spark does not
+    compile."""
+    listed = F.filter(F.transform(tokens(s), strip), lambda x: ~F.lower(x).isin(PLACEHOLDERS))
+    return F.when(opens_list(s), listed).otherwise(F.array(s))
+
+
+def maybe_tokens(c: Column) -> Column:
+    """Tokens without placeholder words, or null. Text that cannot be a list literal, the common case, is one token."""
+    s = cell_text(c)
+    return F.when(s.isNotNull(), cell_tokens(s))
+
+
+def clean_tokens(c: Column) -> Column:
+    return F.coalesce(maybe_tokens(c), F.array().cast("array<string>"))
 
 
 def first_clean(c: Column) -> Column:
-    return F.get(clean_tokens(c), F.lit(0))
+    s = cell_text(c)
+    return F.when(opens_list(s), F.get(cell_tokens(s), F.lit(0))).otherwise(s)
 
 
 def parse_list(c: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_date, parse_timestamp, year_of
-from ..functions.text import clean_tokens, round_even, split_labels, to_number
+from ..functions.text import maybe_tokens, round_even, split_labels, to_number
 from .quantiles import grouped_median
 from .shape import NESTED, col, digest_table, field_types, melt_numbers, melt_text, numeric_columns, small_table, without_nan
 from ..functions.text import stable_token
@@ -310,74 +310,66 @@ class Side:
     latest: Mapping[str, Column] = field(default_factory=dict)
 
 
-def _cells(side: Side, keys: Sequence[str], start: int) -> tuple[DataFrame, dict[str, int]]:
-    """Key, field number, token, place of the token and the dates of a side; field numbers by column, from ``start`` on."""
+def _tokens_of(side: Side, number: int, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str], str]:
+    """Key, side number, place of the row, dates, and the clean tokens of each of its columns as one array column; the names of
+    these by source column (counted values are values as they are, under ``#``); and the name of the place."""
     listed = list(dict.fromkeys([*side.values.values(), *side.firsts.values()]))
     counted = list(dict.fromkeys(side.counts.values()))
-    numbers = {c: start + j for j, c in enumerate(listed)} | {f"#{c}": start + len(listed) + j for j, c in enumerate(counted)}
+    names = {c: f"_t{k}" for k, c in enumerate([*listed, *(f"#{c}" for c in counted)])}
     at = [F.col(o) if isinstance(o, str) else o for o in side.order]
-    whole = not at or (len(at) == 1 and isinstance(side.df.select(at[0]).schema[0].dataType, T.IntegralType))
-    item = lambda j, i, x: F.struct(F.lit(j).alias("_f"), i.alias("_i"), x.alias("_token"))
-
-    # a row without any token stays as a row of nulls, so that its key and dates stay
-    none = F.filter(F.array(item(-1, F.lit(0), F.lit(None).cast("string"))), lambda x: x["_f"] >= 0)
-
-    def tokens(c: str) -> Column:
-        return F.transform(clean_tokens(col(c).cast("string")), lambda x, i: item(numbers[c], i, x))
-
-    def counting(c: str) -> Column:
-        return F.when(col(c).isNotNull(), F.array(item(numbers[f"#{c}"], F.lit(0), col(c).cast("string")))).otherwise(F.array())
-
-    place = (at[0] if whole and at else F.lit(0)).cast("decimal(38,0)")
-    spread = side.df.select(
-        *[col(k) for k in keys], place.alias("_at"), *([] if whole else [F.struct(*at).alias("_order")]),
-        *[d.alias(n) for n, d in side.latest.items()], F.inline_outer(F.concat(*map(tokens, listed), *map(counting, counted), none)))
-    if whole:
-        # a whole number stays a hash aggregate's buffer; any other order goes through a sort
-        rank = (F.coalesce("_at", F.lit(-1)) * 2147483648 + F.coalesce("_i", F.lit(0))).cast("decimal(38,0)")
-        return spread.withColumn("_first", rank).drop("_at", "_i"), numbers
-    return spread.withColumn(f"_rank{start}", F.struct("_order", "_i")).drop("_at", "_order", "_i"), numbers
+    kind = side.df.select(at[0]).schema[0].dataType if len(at) == 1 else None
+    # a whole number stays a hash aggregate's buffer; any other order goes through a sort
+    whole = not at or isinstance(kind, T.IntegralType)
+    rank = "_first" if whole else f"_rank{number}"
+    place = F.coalesce(at[0].cast("bigint"), F.lit(-1)) if at and whole else F.struct(*at) if at else F.lit(0).cast("bigint")
+    # null where there is none: an empty array would take more of a row than most tokens
+    counting = {f"#{c}": F.when(col(c).isNotNull(), F.array(col(c).cast("string"))) for c in counted}
+    cells = {c: maybe_tokens(col(c).cast("string")) for c in listed} | counting
+    rows = side.df.select(*[col(k) for k in keys], F.lit(number).alias("_side"), place.alias(rank), *[d.alias(n) for n, d in side.latest.items()],
+                          *[cells[c].alias(n) for c, n in names.items()])
+    return rows, names, rank
 
 
 def join_unique_sides(sides: Sequence[Side], keys: Sequence[str]) -> DataFrame:
     """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for fields of several tables at once.
 
-    The cells of all sides are stacked under field numbers and shuffled twice in all, not twice a side: tokens are
-    de-duplicated by a combining aggregate first, so a key with a third of all rows only ever brings its distinct tokens to one
-    place, which is what the result text itself holds; then each key gathers what is left in one list and every field is read
-    from it. Counted values stay out of that list. A single whole-number order column per side keeps the first aggregate a
-    hash aggregate. A key that a side lacks has nulls in that side's fields.
+    The rows of all sides are stacked and shuffled twice in all, not twice a side. Rows of a key that are equal in all their
+    tokens become one by a combining aggregate first, so a key with a third of all rows brings each different row of its fields
+    to one place once; then each key gathers what is left in one list a side, out of which every field is read. A row travels
+    whole: its cells are neither stacked nor shuffled one by one, and a caller that reads few fields makes few. A single
+    whole-number order column per side keeps the first aggregate a hash aggregate. A key that a side lacks has nulls in that
+    side's fields.
     """
-    stacked, numbers, width = [], [], 0
-    for side in sides:
-        cells, own = _cells(side, keys, width)
-        stacked.append(cells)
-        numbers.append(own)
-        width += len(own)
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-    ranks = [c for c in rows.columns if c == "_first" or c.startswith("_rank")]
+    parts = [_tokens_of(side, s, keys) for s, side in enumerate(sides)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[0] for p in parts])
+    places = list(dict.fromkeys(p[2] for p in parts))
+    cells = [c for c in rows.columns if c.startswith("_t") and c[2:].isdigit()]
     dates = [n for side in sides for n in side.latest]
     key_cols = [col(k) for k in keys]
-    first = rows.groupBy(*key_cols, "_f", "_token").agg(*[F.min(c).alias(c) for c in ranks], *[F.max(col(d)).alias(d) for d in dates])
+    first = rows.groupBy(*key_cols, "_side", *cells).agg(*[F.min(c).alias(c) for c in places], *[F.max(col(d)).alias(d) for d in dates])
 
-    counted = {n: own[f"#{c}"] for side, own in zip(sides, numbers) for n, c in side.counts.items()}
-    held = ~F.col("_f").isin(list(counted.values())) if counted else F.col("_f").isNotNull()
+    mine = lambda s, x: F.when(F.col("_side") == s, x)
+    some = lambda n: F.coalesce(n, F.array().cast("array<string>")).alias(n)
     gathered = first.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.when(held, F.struct("_f", *ranks, "_token")))).alias("_all"),
-        *[F.nullif(F.count_if(F.col("_f") == j), F.lit(0)).alias(n) for n, j in counted.items()], *[F.max(col(d)).alias(d) for d in dates])
-
-    def mine(j: int) -> Column:
-        return F.filter("_all", lambda s: s["_f"] == j)
-
-    def text(j: int) -> Column:
-        return F.nullif(F.array_join(F.transform(mine(j), lambda s: s["_token"]), ", "), F.lit(""))
-
+        *[F.collect_list(mine(s, F.struct(F.col(rank).alias("at"), *map(some, names.values())))).alias(f"_all{s}") for s, (_, names, rank) in enumerate(parts)],
+        *[F.max(mine(s, F.size(n))).alias(f"_most{s}{n}") for s, (_, names, _) in enumerate(parts) for n in names.values()],
+        *[F.max(col(d)).alias(d) for d in dates])
+
+    def found(s: int, n: str) -> Column:
+        """Distinct tokens by place of the row, place in the row's list, token."""
+        placed = F.arrays_zip(F.col(f"_all{s}.at").alias("at"), F.col(f"_all{s}.{n}").alias("x"))
+        single = F.flatten(F.sort_array(placed)["x"])
+        several = F.sort_array(F.flatten(F.transform(placed, lambda r: F.transform(r["x"], lambda t, i: F.struct(r["at"].alias("at"), i.alias("i"), t.alias("t"))))))["t"]
+        return F.array_distinct(F.when(F.col(f"_most{s}{n}") > 1, several).otherwise(single))
+
+    tokens = gathered.select(*key_cols, *[col(d) for d in dates], *[found(s, n).alias(f"_found{s}{n}") for s, (_, names, _) in enumerate(parts) for n in names.values()])
     out = [*key_cols]
-    for side, own in zip(sides, numbers):
-        out += [text(own[c]).alias(n) for n, c in side.values.items()]
-        out += [F.get(mine(own[c]), F.lit(0))["_token"].alias(n) for n, c in side.firsts.items()]
-        out += [col(n) for n in (*side.counts, *side.latest)]
-    return gathered.select(*out)
+    for s, (side, (_, names, _)) in enumerate(zip(sides, parts)):
+        out += [F.nullif(F.array_join(F.col(f"_found{s}{names[c]}"), ", "), F.lit("")).alias(n) for n, c in side.values.items()]
+        out += [F.get(F.col(f"_found{s}{names[c]}"), F.lit(0)).alias(n) for n, c in side.firsts.items()]
+        out += [F.nullif(F.size(F.col(f"_found{s}{names[f'#{c}']}")).cast("bigint"), F.lit(0)).alias(n) for n, c in side.counts.items()]
+        out += [col(n) for n in side.latest]
+    return tokens.select(*out)
 
 
 def join_unique_many(

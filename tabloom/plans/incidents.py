@@ -5,10 +5,10 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.dates import month_of, parse_date, parse_timestamp, year_of
-from ..functions.names import find_table, find_tables_by_prefix, pick_column, rename_incident
+from ..functions.names import columns_matching, find_table, find_tables_by_prefix, pick_column, rename_incident
 from ..functions.text import drop_zero_tail, first_clean, parse_list, value_text
 from ..operators.aggregates import Side, join_unique_sides
 from ..operators.joins import enrich
@@ -61,7 +61,9 @@ def ensure_id(df: DataFrame) -> DataFrame | None:
     source = "incident_id" if "incident_id" in df.columns else pick_column(df.columns, INCIDENT_IDS)
     if source is None:
         return None
-    return df.withColumn("incident_id", drop_zero_tail(value_text(col(source), field_types(df)[source])))
+    kind = field_types(df)[source]
+    text = value_text(col(source), kind)
+    return df.withColumn("incident_id", text if isinstance(kind, T.IntegralType) else drop_zero_tail(text))
 
 
 def source_priority(source: str) -> int:
@@ -79,21 +81,31 @@ def classification_rows(df: DataFrame, source: str) -> DataFrame | None:
         *[coalesce_headers(df, headers).alias(f) for f, headers in CLASSIFICATION_FIELDS.items()])
 
 
+def published(files: Mapping[str, DataFrame]) -> list[str]:
+    """The fields for which some file has a header; the others need no aggregate."""
+    return [f for f, headers in CLASSIFICATION_FIELDS.items() if any(columns_matching(df.columns, h) for df in files.values() for h in headers)]
+
+
+def filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``incident_id`` and the columns, null texts where there are none."""
+    return df.select("incident_id", *[c if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def classification_side(files: Mapping[str, DataFrame]) -> Side | None:
     # files in order of priority; the place in that order stands for (priority, name) from here on
     ordered = sorted(files, key=lambda name: (source_priority(name), name))
     parts = [p.withColumn("_place", F.lit(i)) for i, name in enumerate(ordered) if (p := classification_rows(files[name], name)) is not None]
     if not parts:
         return None
-    rows = union_ragged(*parts).where(F.col("incident_id").isNotNull())
-    listed = {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS}}
-    return Side(rows, listed, ["_place"], firsts={f: f for f in CLASSIFICATION_FIELDS})
+    rows, fields = union_ragged(*parts).where(F.col("incident_id").isNotNull()), published(files)
+    listed = {"classification_sources": "classification_source", **{f"{f}_all": f for f in LISTED_FIELDS if f in fields}}
+    return Side(rows, listed, ["_place"], firsts={f: f for f in fields})
 
 
 def classification_summary(files: Mapping[str, DataFrame]) -> DataFrame | None:
     """Per incident: first value by file priority for each field, and all distinct values of four fields."""
     side = classification_side(files)
-    return None if side is None else join_unique_sides([side], ["incident_id"]).select("incident_id", *CLASSIFICATION_COLUMNS)
+    return None if side is None else filled(join_unique_sides([side], ["incident_id"]), CLASSIFICATION_COLUMNS)
 
 
 def entity_side(files: Sequence[DataFrame], order: Sequence[str] = ()) -> Side | None:
@@ -143,16 +155,16 @@ def report_side(incidents: DataFrame, lookup: DataFrame | None) -> Side | None:
     listed = pick_column(incidents.columns, REPORT_LISTS)
     if listed is None:
         return None
-    keys = F.filter(F.transform(parse_list(value_text(col(listed), field_types(incidents)[listed])), report_key), lambda k: k.isNotNull())
+    items = parse_list(value_text(col(listed), field_types(incidents)[listed]))
     if lookup is None:
         lookup = incidents.sparkSession.createDataFrame([], "report_key string")
-    for name in (*REPORT_FIELDS, "latest_report_date"):
-        if name not in lookup.columns:
-            lookup = lookup.withColumn(name, F.lit(None).cast("string"))
-    listed_keys = incidents.select("incident_id", F.posexplode(keys).alias("_pos", "_key"))
-    rows = listed_keys.join(lookup.withColumnRenamed("report_key", "_lookup"), F.col("_key") == F.col("_lookup"), "left")
-    return Side(rows, {n: n for n in REPORT_FIELDS}, ["_pos"], counts={"report_count": "_key"},
-                latest={"latest_report_date": parse_date(F.col("latest_report_date"))})
+    if "latest_report_date" not in lookup.columns:
+        lookup = lookup.withColumn("latest_report_date", F.lit(None).cast("string"))
+    lookup = lookup.withColumn("latest_report_date", parse_date(F.col("latest_report_date")))  # once a report, not once a listing
+    listed_keys = incidents.select("incident_id", F.posexplode(items).alias("_pos", "_item")).select("incident_id", "_pos", report_key(F.col("_item")).alias("_key"))
+    rows = listed_keys.where(F.col("_key").isNotNull()).join(lookup.withColumnRenamed("report_key", "_lookup"), F.col("_key") == F.col("_lookup"), "left")
+    return Side(rows, {n: n for n in REPORT_FIELDS if n in lookup.columns}, ["_pos"], counts={"report_count": "_key"},
+                latest={"latest_report_date": F.col("latest_report_date")})
 
 
 def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame | None:
@@ -160,7 +172,7 @@ def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame
     side = report_side(incidents, lookup)
     if side is None:
         return None
-    return join_unique_sides([side], ["incident_id"]).select("incident_id", *REPORT_COLUMNS).withColumn("latest_report_date", iso_date("latest_report_date"))
+    return filled(join_unique_sides([side], ["incident_id"]), REPORT_COLUMNS).withColumn("latest_report_date", iso_date("latest_report_date"))
 
 
 def assemble(
@@ -184,7 +196,7 @@ def assemble(
         return base
     # all sides meet in one aggregate by id, joined once; the join's own shuffle lets a hot id of incidents be split
     found = join_unique_sides(list(present.values()), ["incident_id"])
-    found = found.select("incident_id", *[c for n in present for c in columns[n]])
+    found = filled(found, [c for n in present for c in columns[n]])
     return enrich(base, "incident_id", found.withColumn("latest_report_date", iso_date("latest_report_date")) if "report" in present else found)
 
 

@@ -207,3 +207,14 @@ def test_assembly_shuffles_sides_together(spark):
     side = spark.createDataFrame([("k", "x")], "id string, v string")
     plan = A.join_unique_sides([A.Side(side, {f"v{i}": "v"}) for i in range(4)], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_sides_travel_as_rows_not_cell_by_cell(spark):
+    rows = [("1", 2, "b", "['x', 'y']"), ("1", 1, "a", "n/a"), ("1", 1, "c", "['z', 'x']"), ("2", 1, "--", None), (None, 3, "a", "q")]
+    df = spark.createDataFrame(rows, "k string, at long, a string, b string")
+    out = A.join_unique_sides([A.Side(df, {"all_a": "a", "all_b": "b"}, ["at"], firsts={"b": "b"}, counts={"n": "a"})], ["k"])
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: tuple(r)[1:] for r in out.collect()}
+    assert got == {"1": ("a, c, b", "z, x, y", "z", 3), "2": (None, None, None, 1), None: ("a", "q", "q", 1)}
+    # a caller that reads the keys only makes no tokens
+    assert "lower" not in out.select("k")._jdf.queryExecution().optimizedPlan().toString()
