@@ -22,6 +22,7 @@ SKETCH_ACCURACY = 10_000
 SPREAD = 2.0
 CELLS = 2048
 FEW = 10_000
+FEW_KEYS = 1_000
 TARGET = ["k", "p"]
 
 
@@ -94,15 +95,18 @@ def _round(live: DataFrame, targets: DataFrame, cells: int, small: bool) -> Data
 
 def bracketed_quantiles(
     rows: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY, spread: float = SPREAD,
-    cells: int = CELLS, few: int = FEW, small: bool = False, ranges: DataFrame | None = None,
+    cells: int = CELLS, few: int = FEW, small: bool | None = None, ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, prob, quantile)`` for every key, exact. ``small`` says that the keys are few, as columns are: figures per key are
-    then told to all tasks instead of moving rows. A bracket that misses its rank is replaced by the key's whole range."""
+    then told to all tasks instead of moving and sorting all rows by key. Unless it is given, it holds up to FEW_KEYS keys. A bracket that misses its rank is replaced by the key's whole range."""
     usable = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     if ranges is None:
         ranges = brackets(usable.groupBy("k").agg(
             F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
             sketched_ends("v", probs, accuracy, spread).alias("ends")), probs, accuracy, spread)
+    if small is None:
+        ranges = cut_lineage(ranges)
+        small = ranges.limit(FEW_KEYS + 1).count() <= FEW_KEYS
     held = cut_lineage(_held(usable, ranges, small))
     below, above = _ranks()
     inside = F.col("v").isNotNull()

@@ -218,3 +218,12 @@ def test_sides_travel_as_rows_not_cell_by_cell(spark):
     assert got == {"1": ("a, c, b", "z, x, y", "z", 3), "2": (None, None, None, 1), None: ("a", "q", "q", 1)}
     # a caller that reads the keys only makes no tokens
     assert "lower" not in out.select("k")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_keys_are_told_to_all_tasks(spark, monkeypatch):
+    seen = []
+    held = Q._held
+    monkeypatch.setattr(Q, "_held", lambda usable, ranges, small: seen.append(small) or held(usable, ranges, small))
+    df = spark.range(300).selectExpr("id % 3 k", "double(id) v")
+    got = {r.k: r.quantile for r in Q.bracketed_quantiles(df, "k", "v", [0.5]).collect()}
+    assert got == {0: 148.5, 1: 149.5, 2: 150.5} and seen == [True]
