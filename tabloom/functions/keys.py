@@ -69,3 +69,36 @@ def key_of_text(text: Column, digits_text: Column, folded: Column, strategy: Col
         .when(strategy == DATE, _from_text(text, DATE))
         .when(strategy == ID_STRIP, _from_text(digits_text, ID_STRIP))
     )
+
+
+def typed_key(c: Column, dtype: T.DataType, text: Column, strategy: str) -> Column:
+    """Key of a whole number or a double, the same as that of its ``text``, which is only read where the number itself does
+    not tell."""
+    read = _from_text(text, strategy)
+    if isinstance(dtype, T.IntegralType):
+        c = c.cast("bigint")
+        if strategy in (EXACT, CASEFOLD):
+            return text
+        if strategy == NUMERIC:
+            return F.when((c > -(10**15)) & (c < 10**15), text).otherwise(read)
+        if strategy == DATE:
+            return F.when(may_be_date(c), read)
+        return F.when(c >= 0, text).otherwise(read)
+    if strategy == CASEFOLD:
+        return F.lower(text)
+    if strategy == NUMERIC:
+        size = F.abs(c)
+        # tenths of thousandths have lost digits in their text
+        whole = F.when((c == F.rint(c)) & (size < 1e37), c.try_cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+        return F.when((size >= 1e-4) & (size < 1e-3), read).when(~F.isnan(c) & (size != float("inf")), whole)
+    if strategy == DATE:
+        return F.lit(None).cast("string")
+    if strategy == ID_STRIP:
+        digits = F.translate(id_text(c, dtype), "-.E+", "")
+        return F.when(F.abs(c) != float("inf"), F.when(digits.startswith("0"), F.regexp_replace(digits, r"^0+(?=.)", "")).otherwise(digits))
+    return read
+
+
+def may_be_date(c: Column) -> Column:
+    """Whole numbers of four or eight digits, the only ones that can read as a date."""
+    return c.between(1000, 9999) | c.between(10_000_000, 99_999_999)

@@ -130,3 +130,23 @@ def test_listed_keys_are_counted_in_many_tasks(spark):
     found = J.list_key_lookup(cells, "k", F.col("refs"), lookup, "ref")
     assert found.count() == 40 * 7 and found.where("name = 'one'").count() == 40
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_number_keys_are_those_of_their_text(spark):
+    ints = [0, 7, -5, 1999, 20240131, -1234, 999_999_999_999_999, 1_000_000_000_000_000, 9_007_199_254_740_993, -(2**63), None]
+    reals = [0.0, -0.0, 42.0, 4516.95, -0.5, 1e-5, 0.00012345678901234567, 12345678.9, 1e16, 1e37, 3e300, -2.5e-7, float("inf"), -float("inf"), float("nan"), None]
+    for values, kind in ((ints, "bigint"), (reals, "double")):
+        df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+        dtype = df.schema["x"].dataType
+        for s in K.STRATEGIES:
+            text = K.value_text(F.col("x"), dtype)
+            rows = df.select("x", K.typed_key(F.col("x"), dtype, text, s).alias("a"), K.join_key(F.col("x"), dtype, s).alias("b")).collect()
+            assert [r.a for r in rows] == [r.b for r in rows], (kind, s)
+
+
+def test_strategies_with_one_key_share_a_row(spark):
+    df = spark.range(100).select("id", F.format_string("N-%d", "id").alias("name"))
+    index = D.key_index(df, {"id": [K.EXACT, K.CASEFOLD, K.NUMERIC, K.ID_STRIP], "name": [K.EXACT, K.ID_STRIP]})
+    assert index.where("c = 0").count() == 100 and index.where("c = 1").count() == 200
+    row = index.where("c = 0 and key = '42'").first()
+    assert (row.exact, row.casefold, row.numeric, row.id_strip, row.slug) == (1, 1, 1, 1, None)
