@@ -249,6 +249,20 @@ def test_suffixes_in_several_blocks(spark, monkeypatch):
     assert got == sorted(((i, n) for i, _, n, _, _ in brute.repeats(rows)), key=key)
 
 
+def test_suffix_query_gives_what_stays(spark, tmp_path):
+    passage, x, y = say(90, 1), say(30, 2), say(30, 3)
+    short = passage[:399]
+    rows = [(1, f"{x}\u00e9{passage}\u00e9{y}"), (2, f"{y}\u0129{passage}#{x}"), (3, f"{x}<{short}>"), (4, f"({short})"), (5, "K" + y * 3), (6, "K" + y * 3), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in REGISTRY["op8_suffix_dedup"][0](spark, str(tmp_path)).collect()}
+    want = {k: (n, removed, spans, digest) for k, n, removed, spans, digest in brute.repeats(rows)}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == want
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in got.values())
+    # the passage starts within a character of 1 and 2; below 400 bytes it stays, whole copies lose all
+    stays = {1: f"{x}\ufffd\u00e9{y}", 2: f"{y}\ufffd#{x}", 3: rows[2][1], 4: rows[3][1], 5: "", 6: "", 7: ""}
+    assert {k: r.text for k, r in got.items()} == stays
+
+
 def test_suffix_sort_is_in_order():
     r = np.random.default_rng(2)
     text = r.integers(97, 99, 4000).astype(np.uint8)
