@@ -300,7 +300,8 @@ class Side:
 
     ``values`` maps result names to columns whose distinct clean tokens are listed, ``firsts`` to columns of which the first
     token is kept, ``counts`` to text columns whose distinct values are counted, ``latest`` to date expressions of which the
-    greatest is kept. ``order`` says which rows come first.
+    greatest is kept. ``order`` says which rows come first. ``distinct`` says that no two rows of a key are equal in all columns
+    named here: the first shuffle would bring nothing together.
     """
     df: DataFrame
     values: Mapping[str, str] = field(default_factory=dict)
@@ -308,25 +309,21 @@ class Side:
     firsts: Mapping[str, str] = field(default_factory=dict)
     counts: Mapping[str, str] = field(default_factory=dict)
     latest: Mapping[str, Column] = field(default_factory=dict)
+    distinct: bool = False
 
 
-def _tokens_of(side: Side, number: int, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str], str]:
-    """Key, side number, place of the row, dates, and the clean tokens of each of its columns as one array column; the names of
-    these by source column (counted values are values as they are, under ``#``); and the name of the place."""
-    listed = list(dict.fromkeys([*side.values.values(), *side.firsts.values()]))
-    counted = list(dict.fromkeys(side.counts.values()))
-    names = {c: f"_t{k}" for k, c in enumerate([*listed, *(f"#{c}" for c in counted)])}
+def _cells_of(side: Side, number: int, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str], str]:
+    """Key, side number, place of the row, dates, and the text of each of its columns; the names of these by source column; and
+    the name of the place."""
+    names = {c: f"_t{k}" for k, c in enumerate(dict.fromkeys([*side.values.values(), *side.firsts.values(), *side.counts.values()]))}
     at = [F.col(o) if isinstance(o, str) else o for o in side.order]
     kind = side.df.select(at[0]).schema[0].dataType if len(at) == 1 else None
     # a whole number stays a hash aggregate's buffer; any other order goes through a sort
     whole = not at or isinstance(kind, T.IntegralType)
     rank = "_first" if whole else f"_rank{number}"
     place = F.coalesce(at[0].cast("bigint"), F.lit(-1)) if at and whole else F.struct(*at) if at else F.lit(0).cast("bigint")
-    # null where there is none: an empty array would take more of a row than most tokens
-    counting = {f"#{c}": F.when(col(c).isNotNull(), F.array(col(c).cast("string"))) for c in counted}
-    cells = {c: maybe_tokens(col(c).cast("string")) for c in listed} | counting
     rows = side.df.select(*[col(k) for k in keys], F.lit(number).alias("_side"), place.alias(rank), *[d.alias(n) for n, d in side.latest.items()],
-                          *[cells[c].alias(n) for c, n in names.items()])
+                          *[col(c).cast("string").alias(n) for c, n in names.items()])
     return rows, names, rank
 
 
@@ -334,42 +331,53 @@ def join_unique_sides(sides: Sequence[Side], keys: Sequence[str]) -> DataFrame:
     """Distinct clean tokens per key, joined with ``", "`` in order of first appearance, for fields of several tables at once.
 
     The rows of all sides are stacked and shuffled twice in all, not twice a side. Rows of a key that are equal in all their
-    tokens become one by a combining aggregate first, so a key with a third of all rows brings each different row of its fields
-    to one place once; then each key gathers what is left in one list a side, out of which every field is read. A row travels
-    whole: its cells are neither stacked nor shuffled one by one, and a caller that reads few fields makes few. A single
-    whole-number order column per side keeps the first aggregate a hash aggregate. A key that a side lacks has nulls in that
-    side's fields.
+    texts become one by a combining aggregate first, so a key with a third of all rows brings each different row of its fields
+    to one place once; then each key gathers what is left, one list a field. Both shuffles move plain rows of texts: lists in
+    aggregation buffers and arrays of tokens would take several times their bytes on disk, so tokens are made where rows are
+    gathered, and only for fields that the caller reads. A single whole-number order column per side keeps the first aggregate a
+    hash aggregate. A key that a side lacks has nulls in that side's fields.
     """
-    parts = [_tokens_of(side, s, keys) for s, side in enumerate(sides)]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[0] for p in parts])
-    places = list(dict.fromkeys(p[2] for p in parts))
-    cells = [c for c in rows.columns if c.startswith("_t") and c[2:].isdigit()]
+    parts = [_cells_of(side, s, keys) for s, side in enumerate(sides)]
+    stacked = lambda chosen: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chosen)
     dates = [n for side in sides for n in side.latest]
     key_cols = [col(k) for k in keys]
-    first = rows.groupBy(*key_cols, "_side", *cells).agg(*[F.min(c).alias(c) for c in places], *[F.max(col(d)).alias(d) for d in dates])
-
-    mine = lambda s, x: F.when(F.col("_side") == s, x)
-    some = lambda n: F.coalesce(n, F.array().cast("array<string>")).alias(n)
-    gathered = first.groupBy(*key_cols).agg(
-        *[F.collect_list(mine(s, F.struct(F.col(rank).alias("at"), *map(some, names.values())))).alias(f"_all{s}") for s, (_, names, rank) in enumerate(parts)],
-        *[F.max(mine(s, F.size(n))).alias(f"_most{s}{n}") for s, (_, names, _) in enumerate(parts) for n in names.values()],
-        *[F.max(col(d)).alias(d) for d in dates])
-
-    def found(s: int, n: str) -> Column:
-        """Distinct tokens by place of the row, place in the row's list, token."""
-        placed = F.arrays_zip(F.col(f"_all{s}.at").alias("at"), F.col(f"_all{s}.{n}").alias("x"))
-        single = F.flatten(F.sort_array(placed)["x"])
-        several = F.sort_array(F.flatten(F.transform(placed, lambda r: F.transform(r["x"], lambda t, i: F.struct(r["at"].alias("at"), i.alias("i"), t.alias("t"))))))["t"]
-        return F.array_distinct(F.when(F.col(f"_most{s}{n}") > 1, several).otherwise(single))
-
-    tokens = gathered.select(*key_cols, *[col(d) for d in dates], *[found(s, n).alias(f"_found{s}{n}") for s, (_, names, _) in enumerate(parts) for n in names.values()])
-    out = [*key_cols]
-    for s, (side, (_, names, _)) in enumerate(zip(sides, parts)):
-        out += [F.nullif(F.array_join(F.col(f"_found{s}{names[c]}"), ", "), F.lit("")).alias(n) for n, c in side.values.items()]
-        out += [F.get(F.col(f"_found{s}{names[c]}"), F.lit(0)).alias(n) for n, c in side.firsts.items()]
-        out += [F.nullif(F.size(F.col(f"_found{s}{names[f'#{c}']}")).cast("bigint"), F.lit(0)).alias(n) for n, c in side.counts.items()]
+    once = [p[0] for p, side in zip(parts, sides) if side.distinct]
+    if repeated := [p[0] for p, side in zip(parts, sides) if not side.distinct]:
+        rows = stacked(repeated)
+        cells = [c for c in rows.columns if c.startswith("_t") and c[2:].isdigit()]
+        figures = [c for c in rows.columns if c not in (*keys, "_side", *cells)]
+        once.append(rows.groupBy(*key_cols, "_side", *cells).agg(*[(F.max if c in dates else F.min)(col(c)).alias(c) for c in figures]))
+
+    tokens, lists, out = [], [], [*key_cols]
+    for s, (side, (_, names, rank)) in enumerate(zip(sides, parts)):
+        mine = F.col("_side") == s
+        for c in dict.fromkeys([*side.values.values(), *side.firsts.values()]):
+            tokens.append(F.when(mine, maybe_tokens(col(names[c]))).alias(f"_x{s}{names[c]}"))
+        for c in dict.fromkeys(side.values.values()):
+            x = f"_x{s}{names[c]}"
+            lists += [F.collect_list(F.when(F.size(x) > 0, F.struct(F.col(rank).alias("at"), F.col(x).alias("x")))).alias(f"_all{x}"), F.max(F.size(x)).alias(f"_most{x}")]
+        for c in dict.fromkeys(side.firsts.values()):
+            first = F.get(f"_x{s}{names[c]}", F.lit(0))
+            lists.append(F.min(F.when(first.isNotNull(), F.struct(F.col(rank).alias("at"), first.alias("x"))))["x"].alias(f"_first{s}{names[c]}"))
+        for c in dict.fromkeys(side.counts.values()):
+            lists.append(F.size(F.collect_set(F.when(mine, col(names[c])))).cast("bigint").alias(f"_n{s}{names[c]}"))
+        out += [F.nullif(F.array_join(_in_order(f"_all_x{s}{names[c]}", f"_most_x{s}{names[c]}"), ", "), F.lit("")).alias(n) for n, c in side.values.items()]
+        out += [F.col(f"_first{s}{names[c]}").alias(n) for n, c in side.firsts.items()]
+        out += [F.nullif(F.col(f"_n{s}{names[c]}"), F.lit(0)).alias(n) for n, c in side.counts.items()]
         out += [col(n) for n in side.latest]
-    return tokens.select(*out)
+    # dealt out by key before the aggregate, or it would make lists of what a task happens to hold and shuffle these
+    met = stacked(once).repartition(*key_cols)
+    ranks = list(dict.fromkeys(p[2] for p in parts))
+    counted = list(dict.fromkeys(p[1][c] for p, side in zip(parts, sides) for c in side.counts.values()))
+    met = met.select(*key_cols, "_side", *ranks, *counted, *[col(d) for d in dates], *tokens)
+    return met.groupBy(*key_cols).agg(*lists, *[F.max(col(d)).alias(d) for d in dates]).select(*out)
+
+
+def _in_order(rows: str, most: str) -> Column:
+    """Distinct tokens of a list of (at, x), x a row's tokens: by place of the row, place in the row's list, token."""
+    single = F.flatten(F.sort_array(rows)["x"])
+    several = F.sort_array(F.flatten(F.transform(rows, lambda r: F.transform(r["x"], lambda t, i: F.struct(r["at"].alias("at"), i.alias("i"), t.alias("t"))))))["t"]
+    return F.array_distinct(F.when(F.col(most) > 1, several).otherwise(single))
 
 
 def join_unique_many(

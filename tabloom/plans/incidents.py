@@ -151,7 +151,7 @@ def iso_date(name: str) -> Column:
 
 
 def report_side(incidents: DataFrame, lookup: DataFrame | None) -> Side | None:
-    """One row per report key that an incident row lists, with what is known of that report; repeats fall to the aggregate."""
+    """One row per report key that an incident row lists, with what is known of that report."""
     listed = pick_column(incidents.columns, REPORT_LISTS)
     if listed is None:
         return None
@@ -162,9 +162,11 @@ def report_side(incidents: DataFrame, lookup: DataFrame | None) -> Side | None:
         lookup = lookup.withColumn("latest_report_date", F.lit(None).cast("string"))
     lookup = lookup.withColumn("latest_report_date", parse_date(F.col("latest_report_date")))  # once a report, not once a listing
     listed_keys = incidents.select("incident_id", F.posexplode(items).alias("_pos", "_item")).select("incident_id", "_pos", report_key(F.col("_item")).alias("_key"))
-    rows = listed_keys.where(F.col("_key").isNotNull()).join(lookup.withColumnRenamed("report_key", "_lookup"), F.col("_key") == F.col("_lookup"), "left")
+    # a report that an incident lists again is met before the lookup, whose texts then travel once and only as far as they are read
+    listed_keys = listed_keys.where(F.col("_key").isNotNull()).groupBy("incident_id", "_key").agg(F.min("_pos").alias("_pos"))
+    rows = listed_keys.join(lookup.withColumnRenamed("report_key", "_lookup"), F.col("_key") == F.col("_lookup"), "left")
     return Side(rows, {n: n for n in REPORT_FIELDS if n in lookup.columns}, ["_pos"], counts={"report_count": "_key"},
-                latest={"latest_report_date": F.col("latest_report_date")})
+                latest={"latest_report_date": F.col("latest_report_date")}, distinct=True)
 
 
 def report_summary(incidents: DataFrame, lookup: DataFrame | None) -> DataFrame | None:

@@ -139,3 +139,12 @@ def test_all_labels_are_paired(spark):
 
     df = spark.createDataFrame([("['a','b','c','d','e','f']", "['u','v','w','x','y','z']")], "r string, c string")
     assert label_pairs(df, "r", "c").count() == 36 and label_pairs(df, "r", "c", 4).count() == 16
+
+
+def test_a_report_listed_again_is_met_before_the_lookup(spark):
+    incidents = spark.createDataFrame([("1", "[8, 7.0, 8]"), ("1", "['7', 9]"), ("2", "['n/a', '']"), (None, "[7]")], "incident_id string, reports string")
+    lookup = spark.createDataFrame([("7", "b", "2024-02-01"), ("8", "a", None)], "report_key string, report_sources string, latest_report_date string")
+    rows = M.report_side(incidents, lookup).df
+    assert sorted((str(r.incident_id), r._key, r._pos) for r in rows.collect()) == [("1", "7", 0), ("1", "8", 0), ("1", "9", 1), ("None", "7", 0)]
+    got = {r.incident_id: (r.report_count, r.report_sources, r.latest_report_date) for r in M.report_summary(incidents, lookup).collect()}
+    assert got == {"1": (3, "a, b", "2024-02-01"), None: (1, "b", "2024-02-01")}

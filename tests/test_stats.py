@@ -220,6 +220,19 @@ def test_sides_travel_as_rows_not_cell_by_cell(spark):
     assert "lower" not in out.select("k")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sides_are_shuffled_as_plain_rows(spark):
+    side = spark.createDataFrame([("k", "['x', 'y']", "r1"), ("k", "x", "r2")], "id string, v string, r string")
+    out = A.join_unique_sides([A.Side(side, {"vs": "v"}, firsts={"v1": "v"}), A.Side(side, {"ws": "v"}, counts={"n": "r"}, distinct=True)], ["id"])
+    assert [tuple(r) for r in out.collect()] == [("k", "x, y", "x", "x, y", 2)]
+
+    def shuffled(node):
+        own = {f.dataType().simpleString() for f in (node.schema().apply(i) for i in range(node.schema().size()))} if node.nodeName() == "Exchange" else set()
+        return own.union(*(shuffled(node.children().apply(i)) for i in range(node.children().size())))
+
+    # neither tokens as arrays nor lists as aggregation buffers
+    assert shuffled(out._jdf.queryExecution().executedPlan().initialPlan()) == {"string", "int", "bigint"}
+
+
 def test_few_keys_are_told_to_all_tasks(spark, monkeypatch):
     seen = []
     held = Q._held
