@@ -21,17 +21,20 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .graph import components, split_join
-from .rows import cut_lineage, least_hashed, map_batches
+from .rows import cut_lineage, least_hashed
 
 COSINE = 0.98
 PIVOTS, NEAREST, SHARED = 256, 7, 3
 SAMPLE = 1024
 ALIKE = 0.6  # cosine that two pivots stay below
 BLOCK = 256
+ROWS, PAIRS = 1024, 100_000  # vectors and pairs that are worked on at once
 
 
 def unit(values: list) -> np.ndarray:
@@ -53,100 +56,137 @@ def reference_points(sample: list[list], width: int) -> np.ndarray:
     return points
 
 
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as the rows of one matrix, scaled to length 1 and filled up with zeros, and their lengths before."""
+    width, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy()
+    v = np.zeros((len(width), width.max(initial=0)))
+    if v.size == flat.size:
+        v[:] = flat.reshape(v.shape)
+    else:
+        v[np.arange(v.shape[1]) < width[:, None]] = flat
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True)), width
+
+
+def nearest(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Numbers of the NEAREST points of each row, ascending; of equally near points the first."""
+    s = v @ points.T
+    best = s >= np.partition(s, PIVOTS - NEAREST, axis=1)[:, PIVOTS - NEAREST, None]
+    for k in np.nonzero(best.sum(axis=1) > NEAREST)[0]:
+        best[k] = False
+        best[k, np.argsort(-s[k], kind="stable")[:NEAREST]] = True
+    return np.nonzero(best)[1].reshape(-1, NEAREST)
+
+
 def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """node, unit (doubles), shared (bits of the nearest pivots), lists (pivot combination and its list's key)."""
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The columns of ``classes`` (node, n, label as a number, v), near (the nearest pivots, ascending) and lists (for every pivot
+    combination its list's key and its last pivot)."""
+    sets = np.array(list(combinations(range(NEAREST), SHARED)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(5).integers(1, 1 << 62, SHARED + 1) * 2 + 1
-        for node, label, values in rows:
-            v = unit(values)
-            points = pivots.get(len(v))
-            if points is None:  # a length the sample did not meet
-                points = pivots[len(v)] = reference_points([], len(v))
-            near = np.argsort(-(points @ v), kind="stable")[:NEAREST]
-            bits = np.zeros(PIVOTS, np.uint8)
-            bits[near] = 1
-            sets = np.array(list(combinations(sorted(near.tolist()), min(SHARED, len(near)))), np.int64)
-            with np.errstate(over="ignore"):
-                keys = (sets * factors[:sets.shape[1]]).sum(axis=1) * factors[-1] + label
-            yield node, v.tobytes(), np.packbits(bits).tobytes(), [{"list": int(k), "pivots": s.tolist()} for k, s in zip(keys, sets)]
-
-    return map_batches(classes.select("node", F.xxhash64("label", F.size("v")), "v"), "node long, unit binary, bits binary, lists array<struct<list:long,pivots:array<int>>>", run)
-
-
-def block_links(key: tuple, group: dict[str, list]) -> Iterator[tuple]:
-    """(node, other, links) rows of one piece: links are the members of linked classes, other a node of its component."""
-    _, i, j = key
-    at = np.array(group["block"])
-    order = np.argsort(at, kind="stable")
-    nodes, sizes, label = (np.array(group[k], np.int64)[order] for k in ("node", "n", "label"))
-    v = [np.frombuffer(group["unit"][k]) for k in order]
-    if len({len(x) for x in v}) > 1:
-        same = [len(x) for x in v]
-        width = max(same)
-        label = np.array([hash((a, b)) for a, b in zip(label.tolist(), same)])
-        v = [np.pad(x, (0, width - len(x))) for x in v]
-    v = np.stack(v)
-    linked = (v @ v.T >= COSINE) & (label[:, None] == label[None, :])
-    if i != j:  # pairs inside a block belong to the block's own piece
-        first = at[order] == i
-        linked &= first[:, None] != first[None, :]
-    np.fill_diagonal(linked, False)
-    a, b = np.nonzero(linked)
-    if not len(a):
-        return
-    bits = np.unpackbits(np.frombuffer(b"".join(group["bits"][k] for k in order), np.uint8).reshape(len(nodes), -1), axis=1)
-    pivots = group["pivots"][0]
-    before = bits[:, :pivots[-1]]
-    # the list's own pivots are shared by all its rows; no other shared pivot may come before its last one
-    counted = (before[a] & before[b]).sum(axis=1) == len(pivots) - 1
-    links = np.bincount(a[counted], sizes[b[counted]], len(nodes)).astype(np.int64)
-    least = np.arange(len(nodes))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                v, width = matrix(part["v"])
+                near = np.empty((len(v), NEAREST), np.int64)
+                for w in np.unique(width):
+                    if w not in pivots:  # a length the sample did not meet
+                        pivots[w] = reference_points([], w)
+                    of = width == w
+                    near[of] = nearest(v[of, :w], pivots[w])
+                combined = near[:, sets]
+                keys = (combined * factors[:SHARED]).sum(axis=2) * factors[-1] + part["label"].to_numpy()[:, None]
+                each = pa.StructArray.from_arrays([pa.array(keys.ravel()), pa.array(combined[:, :, -1].ravel().astype(np.int16))], ["list", "last"])
+                at = lambda n: pa.array(np.arange(len(v) + 1, dtype=np.int32) * n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at(NEAREST), pa.array(near.ravel().astype(np.int16))),
+                                                  pa.ListArray.from_arrays(at(len(sets)), each)], [*part.schema.names, "near", "lists"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(run, f"{kept}, near array<smallint>, lists array<struct<list:bigint,last:smallint>>")
+
+
+def links_of(rows: pa.Table) -> pa.RecordBatch:
+    """(node, other, links) rows of whole pieces in order: links are the members of linked classes, other a node of the row's
+    component in its piece. Pieces of one size are compared at once, one matrix product each."""
+    piece, block, node, size, label, last = (np.stack([rows[k].to_numpy() for k in ("list", "i", "j")]), *(rows[k].to_numpy() for k in ("block", "node", "n", "label", "last")))
+    v, width = matrix(rows["v"].combine_chunks())
+    near = rows["near"].combine_chunks().flatten().to_numpy().reshape(-1, NEAREST)
+    starts = np.concatenate([[0], 1 + np.nonzero((piece[:, 1:] != piece[:, :-1]).any(axis=0))[0]])
+    lengths = np.diff(starts, append=len(node))
+    pairs = []
+    for length in np.unique(lengths[lengths > 1]):
+        of = starts[lengths == length]
+        together = max(1, ROWS // length)  # pieces at once
+        for k in range(0, len(of), together):
+            members = of[k:k + together, None] + np.arange(length)
+            x = v[members]
+            g, a, b = np.nonzero(np.triu(x @ x.transpose(0, 2, 1) >= COSINE, 1))
+            pairs.append((members[g, a], members[g, b]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    # pairs inside a block belong to the block's own piece
+    met = (label[a] == label[b]) & (width[a] == width[b]) & ((piece[1, a] == piece[2, a]) | (block[a] != block[b]))
+    a, b = a[met], b[met]
+    links, least = np.zeros(len(node), np.int64), np.arange(len(node))
+    has = np.zeros((len(node), PIVOTS), bool)
+    has[least[:, None], near] = True
+    for k in range(0, len(a), PAIRS):
+        one, two = a[k:k + PAIRS], b[k:k + PAIRS]
+        # the list's own pivots are shared by all its rows; no other shared pivot may come before its last one
+        before = has[two[:, None], near[one]] & (near[one] < last[one][:, None])
+        counted = before.sum(axis=1) == SHARED - 1
+        np.add.at(links, one[counted], size[two[counted]])
+        np.add.at(links, two[counted], size[one[counted]])
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
     while True:
         lower = least.copy()
         np.minimum.at(lower, a, least[b])
         if (lower == least).all():
             break
         least = lower
-    for k in np.unique(a):
-        yield int(nodes[k]), int(nodes[least[k]]), int(links[k])
+    k = np.unique(a)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (node[k], node[least[k]], links[k])], ["node", "other", "links"])
+
+
+def piece_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``links_of`` whole pieces: rows of the last piece of a batch wait for the next batch."""
+    held = None
+    for batch in batches:
+        held = pa.concat_tables([held, pa.table(batch)]) if held else pa.table(batch)
+        piece = np.stack([held[k].to_numpy() for k in ("list", "i", "j")])
+        begun = np.nonzero((piece[:, 1:] != piece[:, :-1]).any(axis=0))[0]
+        if len(begun):
+            yield links_of(held.slice(0, begun[-1] + 1))
+            held = held.slice(begun[-1] + 1)
+    if held:
+        yield links_of(held)
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id, kept for every row."""
     vector = F.col(vector_col)
-    sound = (F.col(label_col).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-             & F.exists(vector, lambda x: x != 0))
-    rows = table.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(label_col, vector_col)).alias("node"), F.col(label_col).alias("label"), vector.cast("array<double>").alias("v"))
+    most, least = F.array_max(vector), F.array_min(vector)  # NaN is the greatest of all
+    sound = (F.col(label_col).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()) & (most < F.lit(float("inf"))) & (least > F.lit(float("-inf")))
+             & ((most > 0) | (least < 0)))
+    kind = "array<float>" if isinstance(table.schema[vector_col].dataType, ArrayType) and isinstance(table.schema[vector_col].dataType.elementType, FloatType) else "array<double>"
+    rows = table.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(label_col, vector_col)).alias("node"), F.col(label_col).alias("label"), vector.cast(kind).alias("v"))
     classes = cut_lineage(rows.where("node is not null").groupBy("node", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
 
     sample = least_hashed(classes.select("v", "node"), ["node"], SAMPLE).orderBy("node").collect()
     pivots: dict[int, list] = {}
     for r in sample:
         pivots.setdefault(len(r["v"]), []).append(r["v"])
-    index = cut_lineage(described(classes, {width: reference_points(p, width) for width, p in pivots.items()}))
+    numbered = classes.select("node", "n", F.xxhash64("label", F.size("v")).alias("label"), "v")
+    index = cut_lineage(described(numbered, {width: reference_points(p, width) for width, p in pivots.items()}))
     postings = index.select("node", F.inline("lists"))
     lists = postings.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     lists = cut_lineage(lists.select("list", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks")))
-    listed = split_join(postings, lists, "list").withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int"))
-    pieces = listed.select("list", "node", "pivots", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "pivots", "block")
-    known = classes.select("node", "n", F.xxhash64("label").alias("label"))
-    full = split_join(split_join(pieces, index.select("node", "unit", "bits"), "node"), known, "node")
-    columns = ["list", "i", "j", "node", "pivots", "block", "unit", "bits", "n", "label"]
-
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        at, held = None, []
-        for row in rows:
-            if row[:3] != at:
-                if len(held) > 1:
-                    yield from block_links(at, dict(zip(columns[3:], zip(*[r[3:] for r in held]))))
-                at, held = row[:3], []
-            held.append(row)
-        if len(held) > 1:
-            yield from block_links(at, dict(zip(columns[3:], zip(*[r[3:] for r in held]))))
-
-    found = full.select(columns).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-    found = cut_lineage(map_batches(found, "node long, other long, links long", run))
+    listed = split_join(postings, lists.hint("shuffle_hash"), "list").withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int"))
+    pieces = listed.select("list", "node", "last", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "last", "block")
+    full = split_join(pieces, index.select("node", "n", "label", "near", "v"), "node")
+    found = full.select("list", "i", "j", "block", "node", "n", "label", "last", "near", "v").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+    found = cut_lineage(found.mapInArrow(piece_links, "node bigint, other bigint, links bigint"))
     of = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     figures = split_join(split_join(classes.select("node", "id", "n"), counts, "node", "left"), of, "node", "left").select(

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,41 @@ def test_long_lists_are_cut_and_keep_all_links(spark, monkeypatch):
     assert found >= 0.99 * there and all(g[1] <= w[1] for g, w in zip(got, want)) and [g[::2] for g in got] == [w[::2] for w in want]
 
 
+def test_postings_are_narrow_and_vectors_keep_their_type(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, [float(np.float32(x)) for x in r.standard_normal(12)], k % 3) for k in range(60)]
+    rows += [(100 + k, [float(np.float32(x)) for x in np.array(rows[k % 4][1]) * (1 + 0.01 * r.standard_normal(12))], rows[k % 4][2]) for k in range(40)]
+    want = sorted(((i, n, c) for i, n, c, _ in brute.vectors(rows)), key=key)
+    for kind in ("float", "double"):
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        assert rows_of(vectors.near_vectors(table), "vec_id", "n_links", "component_id") == want
+        classes = table.select(F.col("vec_id").alias("node"), F.lit(1).alias("n"), F.col("label").cast("long"), F.col("embedding").alias("v"))
+        index = dict(vectors.described(classes, {}).dtypes)
+        assert index["v"] == f"array<{kind}>" and index["lists"] == "array<struct<list:bigint,last:smallint>>"
+
+
+def test_pieces_are_compared_alike_however_batches_cut_them():
+    r = np.random.default_rng(10)
+    v = np.repeat(r.standard_normal((5, 8)), 12, axis=0) + 0.02 * r.standard_normal((60, 8))
+    near = np.sort(np.argsort(r.random((60, vectors.PIVOTS)), axis=1)[:, :vectors.NEAREST], axis=1)
+    near[:, :3] = [0, 1, 2]
+    column = lambda x, n: pa.ListArray.from_arrays(np.arange(61, dtype=np.int32) * n, pa.array(x.ravel()))
+    rows = pa.table({"list": np.repeat([1, 2, 3], [1, 29, 30]), "i": np.zeros(60, np.int32), "j": np.repeat(np.array([0, 1], np.int32), [30, 30]), "block": np.arange(60, dtype=np.int32) % 2,
+                     "node": np.arange(60), "n": np.ones(60, np.int64), "label": np.zeros(60, np.int64), "last": np.full(60, 2, np.int16), "near": column(near.astype(np.int16), 7), "v": column(v, 8)})
+    found = [sorted(x for b in vectors.piece_links(iter(rows.to_batches(max_chunksize=size))) for x in zip(*b.to_pydict().values())) for size in (1, 7, 60)]
+    assert found[0] == found[1] == found[2]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    meet = (u @ u.T >= vectors.COSINE) & (rows["list"].to_numpy()[:, None] == rows["list"].to_numpy()) & ~np.eye(60, dtype=bool)
+    meet[30:] &= np.arange(30, 60)[:, None] % 2 != np.arange(60) % 2
+    assert {node: links for node, _, links in found[0]} == {k: meet[k].sum() for k in range(60) if meet[k].any()}
+
+
+def test_of_equally_near_pivots_the_first_count():
+    points = np.zeros((vectors.PIVOTS, 4))
+    points[[5, 9], 0] = 1.0
+    assert vectors.nearest(np.eye(4)[:2], points).tolist() == [[0, 1, 2, 3, 4, 5, 9], [0, 1, 2, 3, 4, 5, 6]]
+
+
 def test_suffixes(dirty, none, given):
     cut = lambda docs: rows_of(suffixes.remove_repeats(docs).select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]).alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")), "doc_id", "n_bytes", "n", "s", "h")
     for docs in (dirty, given):
